@@ -30,9 +30,11 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(names, keys, "left_anti").join(cold, keys))
 
 
-def running_count(values: DataFrame, group: list[str], order: list[Column], weight: Column, out: str, buckets: int = 0) -> DataFrame:
+def running_count(values: DataFrame, group: list[str], order: list[Column], weight: Column, out: str, total: str | None = None, buckets: int = 0) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all earlier rows of the group, the row itself left out.
 
+    With ``total`` a column of that name gets the sum over the whole group.
+
     Rows are range-partitioned by group and order, so that a group of any size is spread over
     tasks; sums of whole ranges are added to running sums inside each range. Rows that tie in
     ``order`` must not exist (aggregate or add a key to the order first), else their order is open.
@@ -44,8 +46,12 @@ def running_count(values: DataFrame, group: list[str], order: list[Column], weig
     )
     per_range = ranged.groupBy(*group, "_range").agg(F.sum("_w").alias("_sum"))
     over = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(*group, "_range", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_offset"))
+    whole = F.sum("_sum").over(Window.partitionBy(*group)).alias("_total")
+    offsets = per_range.select(*group, "_range", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_offset"), whole)
     inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     null_safe = [ranged[g].eqNullSafe(offsets[g]) for g in group]
-    joined = ranged.join(offsets, [*null_safe, ranged["_range"] == offsets["_range"]]).select(ranged["*"], offsets["_offset"])
-    return joined.withColumn(out, F.col("_offset") + F.coalesce(F.sum("_w").over(inside), F.lit(0))).drop("_w", "_range", "_offset")
+    joined = ranged.join(offsets, [*null_safe, ranged["_range"] == offsets["_range"]]).select(ranged["*"], offsets["_offset"], offsets["_total"])
+    counted = joined.withColumn(out, F.col("_offset") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    if total:
+        counted = counted.withColumn(total, F.col("_total"))
+    return counted.drop("_w", "_range", "_offset", "_total")
