@@ -69,8 +69,9 @@ def compound_splits(roled: Column) -> Column:
 
     def split(t: Column) -> Column:
         word = t["word"]
-        able = lambda e: word.endswith(e) & (F.length(word) - len(e) >= 3) & (role(F.left(word, F.length(word) - len(e))) == "distinctive")
-        ending = F.coalesce(*[F.when(able(e), F.lit(e)) for e in ENDINGS])
+        head = lambda e: F.left(word, F.length(word) - F.length(e))
+        able = lambda e: F.endswith(word, e) & (F.length(word) - F.length(e) >= 3) & (role(head(e)) == "distinctive")
+        ending = F.get(F.filter(F.array(*map(F.lit, ENDINGS)), able), F.lit(0))
         return F.when((F.length(word) >= 6) & ((F.size(roled) == 1) | (t["role"] == "distinctive")), ending)
 
     found = F.filter(F.transform(roled, lambda t: F.struct(t["word"].alias("w"), split(t).alias("e"))), lambda s: s["e"].isNotNull())

@@ -14,8 +14,6 @@ from markloom.functions.lexicons import RELATED_CLASSES, SENTENCES, TRANSLATIONS
 from markloom.functions.scalars import bare_udf, pair_metrics
 from markloom.functions.strings import BLANK, overlap_ratio
 
-NONE = F.lit
-
 
 def _flag(known: Column, value: Column) -> Column:
     return F.when(known, value.cast("double"))
@@ -52,30 +50,39 @@ def goods_words(texts: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2))
 
 
-def compare_goods(a_classes: Column, b_classes: Column, a_texts: Column | None = None, b_texts: Column | None = None) -> Column:
-    """Struct of relationship, overlaps, confidence and warnings. Missing texts make the concrete
-    similarity unknown, never 0. Texts must be lower-case without combining marks."""
-    none = F.array().cast("array<string>")
-    a_classes, b_classes = (F.coalesce(c, F.array().cast("array<int>")) for c in (a_classes, b_classes))
-    real = lambda c: F.filter(F.coalesce(c, none) if c is not None else none, lambda t: t.rlike(r"[\p{L}\p{N}]"))
-    ta, tb = real(a_texts), real(b_texts)
-    known = (F.size(ta) > 0) & (F.size(tb) > 0)
-    wa, wb = goods_words(ta), goods_words(tb)
-    overlap, related = class_overlap(a_classes, b_classes), related_share(a_classes, b_classes)
-    concrete = F.when(known, overlap_ratio(wa, wb, 1.0))
-    coverage = F.when(known, F.when(F.size(wa) > 0, F.size(F.array_intersect(wa, wb)) / F.size(wa)).otherwise(0.0))
-    warnings = F.filter(F.array(F.when(F.size(ta) == 0, "missing_proposed_goods_text"), F.when(F.size(tb) == 0, "missing_candidate_goods_text")), lambda w: w.isNotNull())
-    steps = lambda limits, rest: _ladder(concrete, limits, rest)
+def with_goods(rows: DataFrame, a_classes: str | None, b_classes: str | None, a_texts: str | None = None, b_texts: str | None = None, out: str = "goods") -> DataFrame:
+    """``rows`` with struct ``out``: relationship, overlaps, confidence and warnings of two goods lists.
+
+    Classes are array<int>, texts array<string>; either may be missing or null. Missing texts make
+    the concrete similarity unknown, never 0.
+    """
+    no_class, none = F.array().cast("array<int>"), F.array().cast("array<string>")
+    classes = lambda n: F.coalesce(F.col(n), no_class) if n else no_class
+    df = rows.withColumns({"_ca": classes(a_classes), "_cb": classes(b_classes)})
+    for side, name in (("a", a_texts), ("b", b_texts)):
+        if name is None:
+            df = df.withColumn(f"_t{side}", none)
+        else:
+            df = df.withColumn(f"_t{side}", F.filter(F.split(bare_udf(F.lower(F.array_join(F.coalesce(F.col(name), none), "\x01"))), "\x01"), lambda t: t.rlike(r"[\p{L}\p{N}]")))
+    c = F.col
+    df = df.withColumns({"_wa": goods_words(c("_ta")), "_wb": goods_words(c("_tb")), "_known": (F.size("_ta") > 0) & (F.size("_tb") > 0), "_overlap": class_overlap(c("_ca"), c("_cb")), "_related": related_share(c("_ca"), c("_cb"))})
+    covered = F.when(F.size("_wa") > 0, F.size(F.array_intersect("_wa", "_wb")) / F.size("_wa")).otherwise(0.0)
+    warnings = F.filter(F.array(F.when(F.size("_ta") == 0, "missing_proposed_goods_text"), F.when(F.size("_tb") == 0, "missing_candidate_goods_text")), lambda w: w.isNotNull())
+    df = df.withColumns({"_concrete": F.when(c("_known"), overlap_ratio(c("_wa"), c("_wb"), 1.0)), "_covered": F.when(c("_known"), covered), "_warnings": warnings})
+    overlap, related, known, concrete = c("_overlap"), c("_related"), c("_known"), c("_concrete")
+    near = F.when(known, _ladder(concrete, ((0.7, "high"), (0.4, "medium"), (0.15, "low")), "none")).otherwise(F.when(overlap >= 0.75, "high").otherwise("medium"))
     relationship = (
-        F.when((F.size(a_classes) == 0) & (F.size(b_classes) == 0) & ~known, "unknown")
+        F.when((F.size("_ca") == 0) & (F.size("_cb") == 0) & ~known, "unknown")
         .when(known & (concrete >= 0.9) & (overlap >= 0.5), "identical")
-        .when((overlap >= 0.75) | ((overlap >= 0.5) & (related >= 0.5)), F.when(known, steps(((0.7, "high"), (0.4, "medium"), (0.15, "low")), "none")).otherwise(F.when(overlap >= 0.75, "high").otherwise("medium")))
+        .when((overlap >= 0.75) | ((overlap >= 0.5) & (related >= 0.5)), near)
         .when((related >= 0.5) | (overlap >= 0.25), F.when(known & (concrete >= 0.4), "medium").otherwise("low"))
         .when((overlap > 0) | (related > 0) | (known & (concrete > 0)), "low")
         .otherwise("none")
     )
     confidence = F.when(known, "high").when(overlap > 0, "medium").otherwise("low")
-    return F.struct(relationship.alias("relationship"), overlap.alias("class_overlap"), related.alias("related_signal"), concrete.alias("concrete_similarity"), coverage.alias("coverage"), confidence.alias("confidence"), warnings.alias("warnings"))
+    df = df.withColumns({"_relationship": relationship, "_confidence": confidence})
+    names = {"relationship": "_relationship", "class_overlap": "_overlap", "related_signal": "_related", "concrete_similarity": "_concrete", "coverage": "_covered", "confidence": "_confidence", "warnings": "_warnings"}
+    return df.withColumn(out, F.struct(*[c(v).alias(k) for k, v in names.items()])).drop("_ca", "_cb", "_ta", "_tb", "_wa", "_wb", "_known", *names.values())
 
 
 def _ladder(value: Column, limits: tuple, rest: str) -> Column:
@@ -90,7 +97,7 @@ def _ladder(value: Column, limits: tuple, rest: str) -> Column:
 ORTHOGRAPHIC = {"levenshtein": "levenshteinSimilarity", "damerau_levenshtein": "damerauLevenshteinSimilarity", "jaro": "jaroSimilarity", "jaro_winkler": "jaroWinklerSimilarity", "weighted_edit": "weightedEditSimilarity", "trigram_dice": "trigramDice", "lcs": "lcsSimilarity"}
 
 
-def _token_family(a: Column, b: Column, m: Column) -> Column:
+def _token_family(a: Column, b: Column, m: Column) -> dict[str, Column]:
     sa, sb = a["significant_tokens"], b["significant_tokens"]
     both, any_ = (F.size(sa) > 0) & (F.size(sb) > 0), (F.size(sa) > 0) | (F.size(sb) > 0)
     jaccard = F.when(any_, overlap_ratio(sa, sb, None))
@@ -100,11 +107,11 @@ def _token_family(a: Column, b: Column, m: Column) -> Column:
     second = overlap_ratio(rest(sa, a["dominant_token"]), rest(sb, b["dominant_token"]), None)
     shared = F.when(both, F.size(F.filter(sa, lambda x: F.array_contains(sb, x))).cast("double"))
     empty = (F.size(sa) == 0) | (F.size(sb) == 0)
-    return F.struct(
-        dominant.alias("dominantTokenOverlap"), jaccard.alias("tokenJaccard"), shared.alias("sharedRareTokenCount"), m["prefix"].alias("prefixOverlap"), m["suffix"].alias("suffixOverlap"),
-        jaccard.alias("significantOverlap"), noise.alias("noiseOnlyOverlap"), F.when(~empty, (a["core_compact"] == b["core_compact"]).cast("double")).alias("coreCompactMatch"),
-        empty.cast("double").alias("coreEmpty"), second.alias("secondarySignificantOverlap"),
-    )
+    return {
+        "dominantTokenOverlap": dominant, "tokenJaccard": jaccard, "sharedRareTokenCount": shared, "prefixOverlap": m["prefix"], "suffixOverlap": m["suffix"],
+        "significantOverlap": jaccard, "noiseOnlyOverlap": noise, "coreCompactMatch": F.when(~empty, (a["core_compact"] == b["core_compact"]).cast("double")),
+        "coreEmpty": empty.cast("double"), "secondarySignificantOverlap": second,
+    }
 
 
 def _translation(a: Column, b: Column) -> Column:
@@ -116,27 +123,47 @@ def _translation(a: Column, b: Column) -> Column:
     return F.when((F.size(sa) == 0) | (F.size(sb) == 0), whole).otherwise(near.cast("double"))
 
 
-def features(a: Column, b: Column, m: Column, goods: Column, strategies: Column | None = None, ranks: Column | None = None) -> Column:
-    """The nested feature vector of a pair; ``m`` is the struct of ``pair_metrics``."""
+def _families(a: Column, b: Column, m: Column, goods: Column, strategies: Column, ranks: Column | None) -> dict[str, dict[str, Column]]:
+    """All features by family, before any of them is put into a struct."""
     lower = lambda r: F.transform(r["transliterations"], F.lower)
     translit = _flag((F.size(a["transliterations"]) > 0) & (F.size(b["transliterations"]) > 0), F.arrays_overlap(lower(a), lower(b)))
-    exact = F.struct(
-        _same(_glued(a["diacritics_folded"]), _glued(b["diacritics_folded"])).alias("normalizedMatch"), _same(a["compact"], b["compact"]).alias("compactMatch"),
-        _same(_glued(a["case_folded"]), _glued(b["case_folded"])).alias("caseFoldedMatch"), translit.alias("transliterationMatch"),
-    )
     token = _token_family(a, b, m)
-    phonetic = F.struct(_same(a["primary_key"], b["primary_key"]).alias("primaryKeyMatch"), _same(a["secondary_key"], b["secondary_key"]).alias("secondaryKeyMatch"), m["sound"].alias("pronunciationSimilarity"), _same(a["skeleton"], b["skeleton"]).alias("skeletonMatch"))
     weak = lambda r: F.size(r["weak_tokens"]) / F.greatest(r["n_tokens"], F.lit(1))
-    descriptive = F.when((F.size(a["weak_tokens"]) > 0) | (F.size(b["weak_tokens"]) > 0), F.least(weak(a), weak(b)))
-    conceptual = F.struct(token["tokenJaccard"].alias("lexiconOverlap"), _translation(a, b).alias("translationProximity"), descriptive.alias("descriptiveOverlap"))
-    services = F.struct(goods["class_overlap"].alias("niceClassOverlap"), goods["concrete_similarity"].alias("conceptOverlap"), F.when(F.size(goods["warnings"]) == 0, "full").otherwise("unknown").alias("coverage"))
     unknown = F.lit(None).cast("double")
-    context = F.struct(*[unknown.alias(n) for n in ("statusRelevance", "dateProximity", "registryRelevance")])
-    strategies = F.coalesce(strategies, F.array().cast("array<string>")) if strategies is not None else F.array().cast("array<string>")
-    found = F.struct(strategies.alias("strategies"), (F.array_min(ranks).cast("double") if ranks is not None else unknown).alias("maxStrategyRank"), F.size(strategies).alias("evidenceCount"), strategies.alias("independentFamilyHits"))
-    metadata = F.struct(F.lit(VERSIONS["engine"]).alias("engineVersion"), F.lit(VERSIONS["normalization"]).alias("normalizationVersion"), F.lit(VERSIONS["score"]).alias("scoreVersion"))
-    ortho = F.struct(*[m[k].alias(v) for k, v in ORTHOGRAPHIC.items()])
-    return F.struct(exact.alias("exact"), ortho.alias("orthographic"), token.alias("token"), phonetic.alias("phonetic"), conceptual.alias("conceptual"), services.alias("goodsServices"), context.alias("context"), found.alias("retrieval"), metadata.alias("metadata"))
+    return {
+        "exact": {
+            "normalizedMatch": _same(_glued(a["diacritics_folded"]), _glued(b["diacritics_folded"])),
+            "compactMatch": _same(a["compact"], b["compact"]),
+            "caseFoldedMatch": _same(_glued(a["case_folded"]), _glued(b["case_folded"])),
+            "transliterationMatch": translit,
+        },
+        "orthographic": {v: m[k] for k, v in ORTHOGRAPHIC.items()},
+        "token": token,
+        "phonetic": {
+            "primaryKeyMatch": _same(a["primary_key"], b["primary_key"]),
+            "secondaryKeyMatch": _same(a["secondary_key"], b["secondary_key"]),
+            "pronunciationSimilarity": m["sound"],
+            "skeletonMatch": _same(a["skeleton"], b["skeleton"]),
+        },
+        "conceptual": {
+            "lexiconOverlap": token["tokenJaccard"],
+            "translationProximity": _translation(a, b),
+            "descriptiveOverlap": F.when((F.size(a["weak_tokens"]) > 0) | (F.size(b["weak_tokens"]) > 0), F.least(weak(a), weak(b))),
+        },
+        "goodsServices": {
+            "niceClassOverlap": goods["class_overlap"],
+            "conceptOverlap": goods["concrete_similarity"],
+            "coverage": F.when(F.size(goods["warnings"]) == 0, "full").otherwise("unknown"),
+        },
+        "context": dict.fromkeys(("statusRelevance", "dateProximity", "registryRelevance"), unknown),
+        "retrieval": {
+            "strategies": strategies,
+            "maxStrategyRank": F.array_min(ranks).cast("double") if ranks is not None else unknown,
+            "evidenceCount": F.size(strategies),
+            "independentFamilyHits": strategies,
+        },
+        "metadata": {"engineVersion": F.lit(VERSIONS["engine"]), "normalizationVersion": F.lit(VERSIONS["normalization"]), "scoreVersion": F.lit(VERSIONS["score"])},
+    }
 
 
 def _z(c: Column) -> Column:
@@ -178,19 +205,14 @@ def with_features(pairs: DataFrame, left: str = "p", right: str = "c", left_clas
     """
     a, b = F.col(left), F.col(right)
     out = pairs.withColumn("metrics", pair_metrics(a["forms"], b["forms"], a["affix_core"], b["affix_core"], a["primary_key"], b["primary_key"]))
-    texts = []
-    for name in (left_goods, right_goods):
-        if name is None:
-            texts.append(None)
-        else:
-            folded = f"_folded_{name}"
-            out = out.withColumn(folded, F.split(bare_udf(F.lower(F.array_join(name, "\x01"))), "\x01"))
-            texts.append(F.col(folded))
-    classes = [F.col(c) if c else F.array().cast("array<int>") for c in (left_classes, right_classes)]
-    out = out.withColumn("goods", compare_goods(*classes, *texts))
-    f = features(a, b, F.col("metrics"), F.col("goods"), F.col(strategies) if strategies else None, F.col(ranks) if ranks else None)
-    out = out.withColumn("features", f).withColumn("evidence_codes", evidence(F.col("features"), F.col("goods")))
-    return out.drop(*[c for c in out.columns if c.startswith("_folded_")])
+    out = with_goods(out, left_classes, right_classes, left_goods, right_goods)
+    found = F.coalesce(F.col(strategies), F.array().cast("array<string>")) if strategies else F.array().cast("array<string>")
+    parts = _families(a, b, F.col("metrics"), F.col("goods"), found, F.col(ranks) if ranks else None)
+    flat = {f"_f_{fam}_{n}": c for fam, own in parts.items() for n, c in own.items()}
+    out = out.withColumns(flat)
+    vector = F.struct(*[F.struct(*[F.col(f"_f_{fam}_{n}").alias(n) for n in own]).alias(fam) for fam, own in parts.items()])
+    out = out.withColumn("features", vector).drop(*flat)
+    return out.withColumn("evidence_codes", evidence(F.col("features"), F.col("goods")))
 
 
 # -- pruning -----------------------------------------------------------------------------------------
@@ -259,7 +281,7 @@ def with_score(rows: DataFrame, f: str = "features", out: str = "score", goods:
 
     The strongest family counts, with a share of the second where both are strong; goods blend in;
     caps hold back scores that rest on sound, surface or noise alone. With ``goods`` (a struct of
-    ``compare_goods``) its concrete similarity counts too.
+    ``with_goods``) its concrete similarity counts too.
     """
     v = F.col(f)
     best = lambda fam, *names: _z(F.greatest(*[v[fam][n] for n in names])) * 100
@@ -290,16 +312,16 @@ def with_score(rows: DataFrame, f: str = "features", out: str = "score", goods:
     df = df.withColumn("_alone", alone).withColumn("_surface", (c("_signal") < 0.25) & (surface >= 80) & (c("_edit") < 75))
     ranked = F.sort_array(F.array("_exact", "_ortho", "_token", "_sound"), asc=False)
     first, next_ = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    base = F.when((first >= 95) & (next_ >= 70), _clamp(first + next_ * 0.15)).otherwise(first)
+    df = df.withColumn("_base", F.when((first >= 95) & (next_ >= 70), _clamp(first + next_ * 0.15)).otherwise(first))
     overlap = _z(F.col(goods)["class_overlap"]) if goods else _z(v["goodsServices"]["niceClassOverlap"])
     concrete = F.col(goods)["concrete_similarity"] if goods else F.lit(None).cast("double")
-    worth = F.when(concrete.isNull(), overlap * 60).otherwise(_clamp(overlap * 40 + concrete * 60))
-    base = F.when(worth > 0, _clamp(base * 0.85 + worth * 0.15)).otherwise(base)
+    df = df.withColumn("_worth", F.when(concrete.isNull(), overlap * 60).otherwise(_clamp(overlap * 40 + concrete * 60)))
+    df = df.withColumn("_base", F.when(c("_worth") > 0, _clamp(c("_base") * 0.85 + c("_worth") * 0.15)).otherwise(c("_base")))
     only_idea = (c("_idea") > 0) & (c("_exact") < 50) & (c("_ortho") < 50) & (c("_sound") < 50)
-    base = F.when(only_idea, F.least(base, F.lit(44.0))).otherwise(base)
-    base = F.when((tok["coreEmpty"] >= 1) | c("_noise") | c("_alone") | c("_surface"), F.least(base, F.lit(55.0))).otherwise(base)
+    capped = (tok["coreEmpty"] >= 1) | c("_noise") | c("_alone") | c("_surface")
+    df = df.withColumn("_base", F.least(c("_base"), F.when(only_idea, 44.0), F.when(capped, 55.0)))
     bland = (c("_signal") < 0.25) & (c("_edit") < 80) & (tok["sharedRareTokenCount"] == 0) & (dom < 0.2)
-    base = _clamp(base - F.when(c("_noise"), 25.0).when(bland, 20.0).otherwise(0.0))
+    base = _clamp(c("_base") - F.when(c("_noise"), 25.0).when(bland, 20.0).otherwise(0.0))
     same = c("_exact") >= 95
     df = df.withColumn("_score", F.when(same, 100.0).otherwise(F.floor(base * 100 + 0.5) / 100))
     missing = F.size(F.col(goods)["warnings"]) > 0 if goods else v["goodsServices"]["coverage"] == "unknown"
@@ -311,7 +333,7 @@ def with_score(rows: DataFrame, f: str = "features", out: str = "score", goods:
         .otherwise(_ladder(c("_score"), ((80, "high"), (50, "medium")), "low"))
     )
     df = df.withColumn(out, F.struct(c("_score").alias("score"), band(c("_score")).alias("risk_band"), confidence.alias("confidence")))
-    return df.drop(*steps, "_ortho", "_alone", "_surface", "_score")
+    return df.drop(*steps, "_ortho", "_alone", "_surface", "_base", "_worth", "_score")
 
 
 # -- explanations ------------------------------------------------------------------------------------

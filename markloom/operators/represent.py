@@ -28,6 +28,7 @@ def represent(rows: DataFrame, text: str = "mark_text") -> DataFrame:
     base = base.withColumn("_spoken", spoken).withColumn("_key1", sound_key_udf("_spoken"))
     latin = F.when((F.length("_first") < F.length("_compact")) & F.contains(F.col("_compact"), F.col("_first")) | (F.col("_first") == ""), F.col("_compact")).otherwise(F.col("_first"))
     base = base.withColumn("_latin", latin)
+    base = base.withColumn("_merged", K.merge_hypotheses(F.col("_roled")))
     forms = F.array_distinct(F.filter(F.array("_compact", "_latin", "_core"), lambda x: x.isNotNull() & (x != "")))
     off_script = (F.col("_core") != "") & (F.col("_latin") != "") & (F.col("_core") != F.col("_latin")) & ~F.col("_core").rlike(r"^[\p{IsLatin}\p{N}]*$")
     core = F.when(off_script | (F.col("_core") == ""), F.col("_latin")).otherwise(F.col("_core"))
@@ -53,8 +54,8 @@ def represent(rows: DataFrame, text: str = "mark_text") -> DataFrame:
         "dominance": F.col("_dom"),
         "dominant_token": F.get("_dom", F.lit(0))["token"],
         "core_compact": F.col("_core"),
-        "merged_hypotheses": K.merge_hypotheses(F.col("_roled")),
-        "compound_used": F.size(K.compound_splits(F.col("_roled"))) > 0,
+        "merged_hypotheses": F.col("_merged"),
+        "compound_used": F.exists("_merged", lambda h: h["reason"] == "agglutinated-noise-suffix-split"),
         "prefixes": S.affixes(F.col("_compact"), "prefix"),
         "suffixes": S.affixes(F.col("_compact"), "suffix"),
         "bigrams": S.char_ngrams(F.col("_compact"), 2),
@@ -71,8 +72,8 @@ def represent(rows: DataFrame, text: str = "mark_text") -> DataFrame:
         "family_key": F.col("_f.family"),
         "normalization_version": F.lit(VERSIONS["normalization"]),
     }
-    out = base.withColumn("_r", F.struct(*[v.alias(k) for k, v in fields.items()]))
-    return out.select(*rows.columns, F.col("_r").alias("r"))
+    flat = base.withColumns({f"_r_{k}": v for k, v in fields.items()})
+    return flat.select(*rows.columns, F.struct(*[F.col(f"_r_{k}").alias(k) for k in fields]).alias("r"))
 
 
 def phonetic_keys(rows: DataFrame, key: str, text: str) -> DataFrame:
