@@ -6,6 +6,7 @@ expressions in the sister modules.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -14,6 +15,16 @@ from pyspark.sql import functions as F
 
 from markloom.functions.lexicons import CYRILLIC, EDIT_RULES, GREEK, SPECIAL_LATIN
 
+
+def series_udf(kind: str):
+    """An Arrow UDF that is made at its first use, so that modules load without a session."""
+
+    def wrap(f):
+        return functools.wraps(f)(lambda *cols: F.pandas_udf(kind)(f)(*cols))
+
+    return wrap
+
+
 MARKS_OUT = str.maketrans(SPECIAL_LATIN)
 
 
@@ -67,7 +78,7 @@ def latin_variants(text: str) -> list[str]:
     return list(dict.fromkeys(s for s in (v.strip(" \t\n\r\v\f﻿ ") for v in found) if s))
 
 
-@F.pandas_udf("nfc string, nfkc string, lower string, bare string, family string, tokens array<struct<raw:string,normalized:string>>, variants array<string>")
+@series_udf("nfc string, nfkc string, lower string, bare string, family string, tokens array<struct<raw:string,normalized:string>>, variants array<string>")
 def text_forms(texts: pd.Series) -> pd.DataFrame:
     """All forms of a text that need Unicode normalisation, in one pass."""
     norm, rows = unicodedata.normalize, []
@@ -83,7 +94,7 @@ def text_forms(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["nfc", "nfkc", "lower", "bare", "family", "tokens", "variants"])
 
 
-@F.pandas_udf("string")
+@series_udf("string")
 def bare_udf(texts: pd.Series) -> pd.Series:
     return texts.map(bare, na_action="ignore")
 
@@ -132,7 +143,7 @@ def sound_key(text: str) -> str:
     return "".join(out).ljust(4, "0")[:4]
 
 
-@F.pandas_udf("string")
+@series_udf("string")
 def sound_key_udf(texts: pd.Series) -> pd.Series:
     return texts.map(sound_key, na_action="ignore")
 
@@ -140,6 +151,15 @@ def sound_key_udf(texts: pd.Series) -> pd.Series:
 # -- pair metrics ----------------------------------------------------------------------------------
 
 
+def _common_prefix(a: str, b: str) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 def levenshtein(a: str, b: str) -> int:
     """Bit-parallel edit distance: one column of the table is two integers."""
     if len(a) < len(b):
@@ -162,26 +182,43 @@ def levenshtein(a: str, b: str) -> int:
 
 
 def damerau(a: str, b: str) -> int:
-    """Edit distance in which two letters may swap places with edits between them."""
+    """Edit distance in which two letters may swap places with edits between them.
+
+    Common ends don't matter and are cut off first.
+    """
     if a == b:
         return 0
-    far, seen = len(a) + len(b), {}
-    rows = {-1: [far] * (len(b) + 2), 0: [far, *range(len(b) + 1)]}
+    start = _common_prefix(a, b)
+    a, b = a[start:], b[start:]
+    end = _common_prefix(a[::-1], b[::-1])
+    if end:
+        a, b = a[:-end], b[:-end]
+    if not a or not b:
+        return len(a) + len(b)
+    width = len(b)
+    seen: dict[str, int] = {}
+    rows = [list(range(width + 1))]
     for i, x in enumerate(a, 1):
-        row, last = [far, i], 0
-        above = rows[i - 1]
+        above, left, last = rows[-1], i, 0
+        row = [i]
         for j, y in enumerate(b, 1):
-            k, m = seen.get(y, 0), last
             if x == y:
-                cost, last = above[j], j
+                left = above[j - 1]
+                last_here = j
             else:
-                cost = 1 + min(above[j], row[j], above[j + 1])
-            if k and m:
-                cost = min(cost, rows[k - 1][m] + (i - k - 1) + 1 + (j - m - 1))
-            row.append(cost)
-        rows[i] = row
+                left = 1 + min(above[j - 1], left, above[j])
+                last_here = 0
+            if last and y in seen:
+                k = seen[y]
+                swap = rows[k - 1][last - 1] + (i - k) + (j - last) - 1
+                if swap < left:
+                    left = swap
+            row.append(left)
+            if last_here:
+                last = last_here
+        rows.append(row)
         seen[x] = i
-    return rows[len(a)][-1]
+    return rows[-1][-1]
 
 
 def jaro(a: str, b: str) -> float:
@@ -207,8 +244,8 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    j = jaro(a, b)
+def with_prefix(j: float, a: str, b: str) -> float:
+    """A Jaro similarity raised by a tenth of what it lacks for each of the first four equal letters."""
     same = 0
     for x, y in zip(a[:4], b[:4], strict=False):
         if x != y:
@@ -217,6 +254,10 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + same * 0.1 * (1 - j)
 
 
+def jaro_winkler(a: str, b: str) -> float:
+    return with_prefix(jaro(a, b), a, b)
+
+
 def lcs(a: str, b: str) -> int:
     """Longest common subsequence, one integer for a row of the table."""
     where: dict[str, int] = {}
@@ -288,50 +329,60 @@ def weighted_edit(a: str, b: str, locale: str = "generic") -> tuple[float, float
 
 
 def weighted_similarity(a: str, b: str, locale: str) -> float:
-    """Similarity of ``weighted_edit`` without its trace, in three rolling rows."""
+    """Similarity of ``weighted_edit`` without its trace.
+
+    A row starts from deletions everywhere, is lowered where a stretch that ends here meets an equal or
+    equated one in ``b``, and is then swept for insertions.
+    """
     a, b = bare(a), bare(b)
     if a == b:
         return 1.0
-    rules = RULES[locale]
-    rows = [list(map(float, range(len(b) + 1)))]
-    for i in range(1, len(a) + 1):
-        above, row = rows[-1], [float(i)]
-        ends = [(m, n, x) for m, n in SPANS if m <= i and m != n for x in (a[i - m : i],)]
-        for j in range(1, len(b) + 1):
-            best = above[j] + 1
-            if row[-1] + 1 < best:
-                best = row[-1] + 1
-            if a[i - 1] == b[j - 1]:
-                if above[j - 1] < best:
-                    best = above[j - 1]
+    width, ends = len(b), {}
+    for j, y in enumerate(b, 1):
+        ends.setdefault(y, []).append((j, 1, 0.0))
+    meets = {x: list(e) for x, e in ends.items()}
+    for (x, y), costs in RULES[locale].items():
+        j = b.find(y)
+        while j >= 0:
+            meets.setdefault(x, []).append((j + len(y), len(y), costs[0][0]))
+            j = b.find(y, j + 1)
+    pairs = {x for x in meets if len(x) == 2}
+    rows = [[float(j) for j in range(width + 1)]]
+    for i, x in enumerate(a, 1):
+        row = [v + 1 for v in rows[-1]]
+        before = rows[-1]
+        for j, n, c in meets.get(x, ()):
+            v = before[j - n] + c
+            if v < row[j]:
+                row[j] = v
+        if i > 1 and a[i - 2 : i] in pairs:
+            before = rows[-2]
+            for j, n, c in meets[a[i - 2 : i]]:
+                v = before[j - n] + c
+                if v < row[j]:
+                    row[j] = v
+        least = row[0]
+        for j in range(1, width + 1):
+            least += 1
+            if row[j] < least:
+                least = row[j]
             else:
-                for c, _ in rules.get((a[i - 1], b[j - 1]), ()):
-                    best = min(best, above[j - 1] + c)
-            if i > 1 and j > 1:
-                for c, _ in rules.get((a[i - 2 : i], b[j - 2 : j]), ()):
-                    best = min(best, rows[-2][j - 2] + c)
-            for m, n, x in ends:
-                if n <= j:
-                    for c, _ in rules.get((x, b[j - n : j]), ()):
-                        best = min(best, rows[-m][j - n] + c)
-            row.append(best)
-        rows = [*rows[-2:], row]
-    return max(0.0, min(1.0, 1 - rows[-1][-1] / max(len(a), len(b))))
+                row[j] = least
+        rows = [rows[-1], row]
+    return max(0.0, min(1.0, 1 - rows[-1][-1] / max(len(a), width)))
 
 
 def _share(part: int, a: str, b: str) -> float:
     return part / max(len(a), len(b))
 
 
-METRICS = {
-    "levenshtein": lambda a, b: 1 - _share(levenshtein(a, b), a, b),
-    "damerau_levenshtein": lambda a, b: 1 - _share(damerau(a, b), a, b),
-    "jaro": jaro,
-    "jaro_winkler": jaro_winkler,
-    "weighted_edit": lambda a, b: weighted_similarity(a.lower(), b.lower(), "en"),
-    "trigram_dice": dice,
-    "lcs": lambda a, b: _share(lcs(a, b), a, b),
-}
+METRICS = ("levenshtein", "damerau_levenshtein", "jaro", "jaro_winkler", "weighted_edit", "trigram_dice", "lcs")
+
+
+def all_metrics(a: str, b: str) -> list[float]:
+    """Similarities of METRICS, for non-empty strings."""
+    near = jaro(a, b)
+    return [1 - _share(levenshtein(a, b), a, b), 1 - _share(damerau(a, b), a, b), near, with_prefix(near, a, b), weighted_similarity(a.lower(), b.lower(), "en"), dice(a, b), _share(lcs(a, b), a, b)]
 
 
 def _stem_only(a: str, b: str) -> bool:
@@ -339,25 +390,16 @@ def _stem_only(a: str, b: str) -> bool:
     return len(short) >= 4 and len(long) > len(short) and long.startswith(short)
 
 
-def _common_prefix(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
 PAIR_FIELDS = ", ".join(f"{m} double" for m in (*METRICS, "prefix", "suffix", "sound"))
 
 
-@F.pandas_udf(PAIR_FIELDS)
+@series_udf(PAIR_FIELDS)
 def pair_metrics(left: pd.Series, right: pd.Series, left_core: pd.Series, right_core: pd.Series, left_key: pd.Series, right_key: pd.Series) -> pd.DataFrame:
     """Best value of each metric over all pairs of the two sides' forms, with a bare stem marked down
     to 0.7; shared affixes of the cores; similarity of the sound keys. Unknown where a side is empty."""
     rows, memory = [], {}
     for xs, ys, cx, cy, kx, ky in zip(left, right, left_core, right_core, left_key, right_key, strict=True):
-        best = dict.fromkeys(METRICS)
+        best = None
         for a in xs if xs is not None else ():
             for b in ys if ys is not None else ():
                 values = memory.get((a, b))
@@ -365,17 +407,17 @@ def pair_metrics(left: pd.Series, right: pd.Series, left_core: pd.Series, right_
                     if len(memory) > 50_000:
                         memory.clear()
                     down = 0.7 if _stem_only(a, b) else 1.0
-                    values = memory[a, b] = {m: f(a, b) * down for m, f in METRICS.items()}
-                best = {m: v if best[m] is None or v > best[m] else best[m] for m, v in values.items()}
+                    values = memory[a, b] = [v * down for v in all_metrics(a, b)]
+                best = values if best is None else list(map(max, best, values))
         affix = (None, None)
         if cx and cy:
             affix = _share(_common_prefix(cx, cy), cx, cy), _share(_common_prefix(cx[::-1], cy[::-1]), cx, cy)
         sound = None if not kx or not ky else 1.0 if kx == ky else jaro_winkler(kx, ky)
-        rows.append([*best.values(), *affix, sound])
+        rows.append([*(best or [None] * len(METRICS)), *affix, sound])
     return pd.DataFrame(rows, columns=[*METRICS, "prefix", "suffix", "sound"], dtype="float64")
 
 
-@F.pandas_udf("levenshtein int, damerau int, jaro double, jaro_winkler double, lcs int, lcs_similarity double")
+@series_udf("levenshtein int, damerau int, jaro double, jaro_winkler double, lcs int, lcs_similarity double")
 def string_metrics(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The plain metrics of two strings; two empty strings are alike, null gives nulls."""
     rows = []

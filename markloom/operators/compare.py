@@ -204,7 +204,9 @@ def with_features(pairs: DataFrame, left: str = "p", right: str = "c", left_clas
     Goods columns are array<string>; they are folded here.
     """
     a, b = F.col(left), F.col(right)
-    out = pairs.withColumn("metrics", pair_metrics(a["forms"], b["forms"], a["affix_core"], b["affix_core"], a["primary_key"], b["primary_key"]))
+    # The metrics cost far more than their input's bytes tell, so the rows are spread first.
+    spread = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = spread.withColumn("metrics", pair_metrics(a["forms"], b["forms"], a["affix_core"], b["affix_core"], a["primary_key"], b["primary_key"]))
     out = with_goods(out, left_classes, right_classes, left_goods, right_goods)
     found = F.coalesce(F.col(strategies), F.array().cast("array<string>")) if strategies else F.array().cast("array<string>")
     parts = _families(a, b, F.col("metrics"), F.col("goods"), found, F.col(ranks) if ranks else None)

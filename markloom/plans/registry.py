@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from markloom.operators import incremental_queries
+from markloom.plans import queries, sql
 
-QUERIES = {**incremental_queries.QUERIES}
-SQL = {**incremental_queries.SQL}
+QUERIES = incremental_queries.QUERIES | queries.QUERIES
+SQL = incremental_queries.SQL | sql.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental_queries.p1_found(spark, sf_dir)
+    return queries.scan_by_keys(spark, sf_dir)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom.functions.lexicons import STRATEGIES
-from markloom.functions.scalars import _stem_only, dice, jaro_winkler
+from markloom.functions.scalars import _stem_only, jaro_winkler
 from markloom.functions.strings import strategy_cap, trim_blanks
 from markloom.operators import retrieve as R
 from markloom.operators.compare import cheap_features, explain, prune, with_features, with_score
@@ -35,6 +37,17 @@ def split_names(text: Column) -> Column:
 SIDES = ("forms", "significant_tokens", "dominant_token", "primary_key", "skeleton", "compact", "transliterations")
 
 
+def _bag(x: str) -> tuple:
+    return x, Counter(x), frozenset(x[i : i + 3] for i in range(len(x) - 2))
+
+
+def _could_reach(a: tuple, b: tuple) -> bool:
+    """Whether the letters in common allow a Jaro-Winkler similarity of 0.85: with four equal first
+    letters that takes a Jaro similarity of 0.75."""
+    shared = sum(min(n, b[1][c]) for c, n in a[1].items() if c in b[1])
+    return shared * (1 / len(a[0]) + 1 / len(b[0])) >= 1.25 - 1e-9
+
+
 def _channels(queries: list[dict]):
     """Function of one block of corpus rows: which names each row is a candidate of, and by what."""
 
@@ -42,23 +55,23 @@ def _channels(queries: list[dict]):
         for b in batches:
             rows = []
             for id_, forms, sig, dom, key, bones, compact, variants in zip(b["id"], *[b[s] for s in SIDES], strict=True):
-                forms, sig, lowered = list(forms), set(sig), {v.lower() for v in variants}
+                bags, sig, lowered = [_bag(f) for f in forms], set(sig), {v.lower() for v in variants}
                 for q in queries:
-                    best_jw = best_dice = None
-                    for x in q["forms"]:
-                        for y in forms:
-                            down = 0.7 if _stem_only(x, y) else 1.0
-                            jw, d = jaro_winkler(x, y) * down, dice(x, y) * down
-                            best_jw, best_dice = max(best_jw or 0.0, jw), max(best_dice or 0.0, d)
-                    score = best_jw or 0.0
-                    tests = (
-                        q["compact"] != "" and q["compact"] == compact,
-                        not lowered.isdisjoint(q["variants"]),
-                        (best_dice or 0.0) >= 0.25 or score >= 0.85,
-                        not sig.isdisjoint(q["sig"]) or bool(dom and dom == q["dom"]),
-                        bool((key and key == q["key"]) or (bones and bones == q["bones"])),
-                    )
-                    rows += [(q["id"], id_, s, score) for s, t in zip(STRATEGIES, tests, strict=True) if t]
+                    exact = q["compact"] != "" and q["compact"] == compact
+                    latin = not lowered.isdisjoint(q["variants"])
+                    word = not sig.isdisjoint(q["sig"]) or bool(dom and dom == q["dom"])
+                    sound = bool((key and key == q["key"]) or (bones and bones == q["bones"]))
+                    sure, like, near, pairs = exact or latin or word or sound, False, 0.0, []
+                    for x in q["bags"]:
+                        for y in bags:
+                            down = 0.7 if _stem_only(x[0], y[0]) else 1.0
+                            n = len(x[2]) + len(y[2])
+                            like = like or (2 * len(x[2] & y[2]) / n if n else 1.0) * down >= 0.25
+                            pairs.append((x, y, down))
+                    if sure or like or any(_could_reach(x, y) for x, y, _ in pairs):
+                        near = max((jaro_winkler(x[0], y[0]) * d for x, y, d in pairs), default=0.0)
+                    tests = (exact, latin, like or near >= 0.85, word, sound)
+                    rows += [(q["id"], id_, s, near) for s, t in zip(STRATEGIES, tests, strict=True) if t]
             yield pd.DataFrame(rows, columns=["query_id", "id", "strategy", "score"])
 
     return match
@@ -79,7 +92,7 @@ def channel_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
         return part if out is None else out.unionByName(part)
 
     for q in asked:
-        block.append({"id": q["query_id"], "forms": list(q["forms"]), "sig": set(q["significant_tokens"]), "dom": q["dominant_token"], "key": q["primary_key"], "bones": q["skeleton"], "compact": q["compact"], "variants": {v.lower() for v in q["transliterations"]}})
+        block.append({"id": q["query_id"], "bags": [_bag(f) for f in q["forms"]], "sig": set(q["significant_tokens"]), "dom": q["dominant_token"], "key": q["primary_key"], "bones": q["skeleton"], "compact": q["compact"], "variants": {v.lower() for v in q["transliterations"]}})
         if len(block) == QUERY_BLOCK:
             block, out = [], add(block, out)
     return add(block, out) if block or out is None else out
