@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.functions.lexicons import STAGE_WEIGHTS
+from markloom.operators.skew import running_count
 
 
 def recall_at(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -25,11 +26,15 @@ def pair_recall(pairs: DataFrame, retrieved: DataFrame) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Mean, least, greatest and nearest-rank percentiles of ``value``, nulls left out."""
-    known = rows.filter(F.col(value).isNotNull())
-    ranked = known.select(*keys, value, F.row_number().over(Window.partitionBy(*keys).orderBy(value)).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
-    at = lambda p: F.max(F.when(F.col("k") == F.greatest(F.ceil(F.col("n") * p), F.lit(1)), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"), *[at(p).alias(name) for name, p in shares.items()])
+    """Mean, least, greatest and nearest-rank percentiles of ``value``, nulls left out.
+
+    Works on counts of distinct values in ranges, so a group of any size is spread over tasks.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = running_count(counts, keys, [F.col("_v").asc()], F.col("_c"), "_before", "_n")
+    at = lambda p: F.min(F.when(F.col("_before") + F.col("_c") >= F.greatest(F.ceil(F.col("_n") * p), F.lit(1)), F.col("_v")))
+    mean = F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")
+    return placed.groupBy(*keys).agg(F.sum("_c").alias("n"), mean.alias("mean"), F.min("_v").alias("least"), F.max("_v").alias("greatest"), *[at(p).alias(name) for name, p in shares.items()])
 
 
 def corpus_statistics(marks: DataFrame, represented: DataFrame, sound: DataFrame) -> DataFrame:

@@ -91,9 +91,11 @@ def cap_hits(hits: DataFrame, order: list[Column], cap: Column, keys: list[str]
 def reserve_core(full: DataFrame, core: DataFrame, cap: Column, fraction: float = 0.4) -> DataFrame:
     """Full-form and core hits (query_id, id, score) in one list of at most ``cap``: the best core hits
     take their reserved places first, then full hits, then the other core hits; a mark counts once.
-    ``cap`` may use the columns of both tables."""
+    ``cap`` may use the columns of both tables and is LAST_CAP at most, so that of either list only the
+    first hits can matter."""
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    placed = core.withColumn("_p", F.row_number().over(by_score))
+    first = lambda hits: hits.withColumn("_p", F.row_number().over(by_score)).filter(F.col("_p") <= 2 * S.LAST_CAP)
+    placed, full = first(core), first(full).drop("_p")
     places = F.least(cap, F.greatest(F.lit(1), F.floor(cap * fraction)))
     tagged = placed.withColumn("_class", F.when(F.col("_p") <= places, 0).otherwise(2)).drop("_p").unionByName(full.withColumn("_class", F.lit(1)))
     once = tagged.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("_class", F.col("score").desc()))).filter("_k = 1")

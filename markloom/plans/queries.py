@@ -332,12 +332,12 @@ def _rankable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return rank_results(_rankable(spark, sf), ["scan_id"]).select("scan_id", "id", F.col("position").cast("bigint").alias("position"))
+    return rank_results(_rankable(spark, sf), ["scan_id"], spread=True).select("scan_id", "id", F.col("position").cast("bigint").alias("position"))
 
 
 def group_families(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rankable(spark, sf).withColumn("family", family_key(S.alnum(F.lower("mark_text")), F.lit(None).cast("string"), F.col("id")))
-    return families(rows, ["scan_id"]).select("scan_id", "id", "member_count", F.col("position").cast("bigint").alias("position"))
+    return families(rows, ["scan_id"], spread=True).select("scan_id", "id", "member_count", F.col("position").cast("bigint").alias("position"))
 
 
 def scan_recall(spark: SparkSession, sf: str) -> DataFrame:
