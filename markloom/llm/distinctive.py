@@ -9,7 +9,7 @@ Defined results
 * null key, null or empty array, null, blank or empty term: contribute nothing;
 * several rows of one key: the record holds the union of their terms, each with its greatest count
   in a single row, so exact repeats change nothing;
-* a record with a very long array: counted inside its row by sorting, then one row per distinct term;
+* a record with a very long array: flattened before anything is counted;
 * empty table: empty result; extra columns: ignored.
 """
 
@@ -27,20 +27,25 @@ def clean_terms(terms: Column) -> Column:
     return F.filter(F.transform(terms, lambda t: F.lower(strip_blanks(t))), lambda t: t != "")
 
 
-def term_counts(terms: Column) -> Column:
-    """array<struct<term, tf>> of an array, by sorting it: O(n log n) whatever its length."""
-    s = F.array_sort(terms)
-    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    runs = F.transform(starts, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - i).alias("tf")))
-    plain = F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf")))
-    return F.when(F.size(F.array_distinct(terms)) == F.size(terms), plain).otherwise(runs)
+def term_counts(arrays: DataFrame) -> DataFrame:
+    """(key, term, tf) from rows (key, a): the greatest count of a term in one row of its key.
+
+    Rows without repeated terms, nearly all of them, only are flattened. The others are counted row by
+    row, after exact repeats of rows are gone, so that no work is done inside a long array.
+    """
+    single = F.size(F.array_distinct("a")) == F.size("a")
+    flat = arrays.filter(single).select("key", F.explode("a").alias("term"), F.lit(1).cast("bigint").alias("tf"))
+    # The mark of a row is made before it is flattened, else it would be made for every term.
+    marked = arrays.filter(~single).distinct().withColumn("row", F.md5(F.array_join("a", "\x01")))
+    rows = marked.select("key", "row", F.explode("a").alias("term"))
+    repeated = rows.groupBy("key", "row", "term").agg(F.count(F.lit(1)).alias("tf")).select("key", "term", "tf")
+    return flat.unionByName(repeated).groupBy("key", "term").agg(F.max("tf").alias("tf"))
 
 
 def distinctive_terms(rows: DataFrame, key: str, terms: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, term, tf, df, weight), one row per record and distinct term."""
     arrays = rows.select(F.col(key).alias("key"), clean_terms(terms).alias("a")).filter("key is not null and size(a) > 0")
-    counted = arrays.select("key", F.inline(term_counts(F.col("a"))))
-    postings = cut(counted.groupBy("key", "term").agg(F.max("tf").alias("tf")))
+    postings = cut(term_counts(arrays))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     lengths = postings.groupBy("key").agg(F.sum("tf").alias("length"), F.count(F.lit(1)).alias("terms"))
     n, mean = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()

@@ -86,8 +86,10 @@ def _large_pairs(sets: DataFrame, t: float, small: int) -> DataFrame:
     flat = able.select("sid", F.explode("values").alias("value"))
     often = flat.groupBy("value").agg(F.count(F.lit(1)).alias("often"))
     rare_first = lookup_join(flat, often, ["value"], "often").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("s"))
-    size = F.size("s")
-    probes = rare_first.select("sid", size.alias("size"), F.explode(F.slice("s", F.lit(1), (size - F.ceil(F.lit(t) * size - EPS) + 1).cast("int"))).alias("v"))
+    # Size and slice are columns before the set is flattened, else each row would carry the whole set.
+    sized = rare_first.withColumn("size", F.size("s"))
+    cut_off = (F.col("size") - F.ceil(F.lit(t) * F.col("size") - EPS) + 1).cast("int")
+    probes = sized.select("sid", "size", F.slice("s", F.lit(1), cut_off).alias("p")).select("sid", "size", F.explode("p").alias("v"))
     lists = probes.select(F.col("v.value").alias("value"), "sid", "size").join(able.select("sid", "left", "right"), "sid")
     a = lists.filter(F.col("size") > small).select("value", F.col("sid").alias("a"), F.col("size").alias("na"), F.col("left").alias("la"), F.col("right").alias("ra"))
     b = lists.select("value", F.col("sid").alias("b"), F.col("size").alias("nb"), F.col("left").alias("lb"), F.col("right").alias("rb"))
