@@ -29,7 +29,7 @@ def trigram_set(c: Column) -> Column:
 def trigram_table(marks: DataFrame) -> DataFrame:
     """(id, n, gram): n is the size of the mark's set."""
     sets = marks.select("id", trigram_set(F.col("r.compact")).alias("g"))
-    return sets.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    return sets.withColumn("n", F.size("g")).select("id", "n", F.explode("g").alias("gram"))
 
 
 def query_keys(queries: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def trigram_hits(queries: DataFrame, keys: str, table: DataFrame, least: float =
     """Marks whose trigram set is at least ``least`` similar (shared / united) to that of a key; the
     best key counts. Two texts of any similarity share a trigram, so the join on trigrams is exact."""
     asked = queries.select("query_id", F.explode(keys).alias("key")).select("query_id", "key", trigram_set(F.col("key")).alias("g"))
-    grams = asked.select("query_id", "key", F.size("g").alias("m"), F.explode("g").alias("gram"))
+    grams = asked.withColumn("m", F.size("g")).select("query_id", "key", "m", F.explode("g").alias("gram"))
     shared = table.join(grams, "gram").groupBy("query_id", "key", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     similar = shared.withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).filter(F.col("score") >= least)
     return similar.groupBy("query_id", "id").agg(F.max("score").alias("score")).select("query_id", "id", F.lit(strategy).alias("strategy"), "score")
@@ -75,7 +75,7 @@ def trigram_hits(queries: DataFrame, keys: str, table: DataFrame, least: float =
 def trigram_containment(queries: DataFrame, keys: str, table: DataFrame, least: float = 0.15) -> DataFrame:
     """As ``trigram_hits``, with the share of the query's trigrams as the score."""
     asked = queries.select("query_id", F.explode(keys).alias("key")).select("query_id", "key", trigram_set(F.col("key")).alias("g"))
-    grams = asked.select("query_id", "key", F.size("g").alias("m"), F.explode("g").alias("gram"))
+    grams = asked.withColumn("m", F.size("g")).select("query_id", "key", "m", F.explode("g").alias("gram"))
     found = table.join(grams, "gram").groupBy("query_id", "key", "id").agg((F.count(F.lit(1)) / F.first("m")).alias("score"))
     return found.groupBy("query_id", "id").agg(F.max("score").alias("score")).filter(F.col("score") >= least)
 
