@@ -230,6 +230,6 @@ def text_quality(rows: DataFrame, key: str, text: str, chunk: int = 16_384) -> D
         "prose_share": ratio("prose_visible", "visible"),
     })
     prose = F.when(F.col("visible") > 0, F.col("prose_share") >= 0.5)
-    junk = (F.col("symbol_ratio") > 0.3) | (F.col("mean_word_length") > 20) | F.col("words").isin(0)
+    junk = (F.col("symbol_ratio") > 0.5) | (F.col("mean_word_length") > 40) | F.col("words").isin(0)
     kind = F.when(prose, "prose").when(junk, "junk").when((F.col("digit_ratio") > 0.15) | (F.col("symbol_ratio") > 0.15), "table").otherwise("list")
     return out.withColumn("prose", prose).withColumn("kind", F.when(prose.isNotNull(), kind))
