@@ -98,13 +98,14 @@ class IncrementalState:
         return rows.groupBy(*self.names).agg(F.max(F.struct(SEQ, HASH)).alias("_m")).select(*self.names, F.col(f"_m.{HASH}").alias(HASH))
 
     def changes(self, current: DataFrame, hash_col: str, pointer: dict | None = None) -> DataFrame:
-        """Rows of ``current`` (one per key) whose key is new or whose hash differs, with ``change``."""
+        """Rows of ``current`` (one per key) whose key is new or whose hash differs, with ``change`` (which
+        takes the place of a column of that name)."""
         state = self.read(pointer).select(*[F.col(k).alias(f"_s_{k}") for k in self.names], F.col(HASH).alias("_s_hash"), F.lit(True).alias("_s_known"))
         on = [current[k] == state[f"_s_{k}"] for k in self.names]
         joined = current.join(state, on, "left")
-        due = F.col("_s_known").isNull() | ~current[hash_col].eqNullSafe(F.col("_s_hash"))
-        kind = F.when(F.col("_s_known").isNull(), "new").otherwise("changed")
-        return joined.filter(due).select(*[current[c] for c in current.columns], kind.alias("change"))
+        due = state["_s_known"].isNull() | ~current[hash_col].eqNullSafe(state["_s_hash"])
+        kind = F.when(state["_s_known"].isNull(), "new").otherwise("changed")
+        return joined.filter(due).select(*[current[c] for c in current.columns if c != "change"], kind.alias("change"))
 
     def stage(self, changed: DataFrame, hash_col: str, base: dict) -> str:
         """Write the part of the next version; nothing sees it before ``commit``."""
