@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markloom.runtime import fresh_name
+
 #: Items are taken in blocks of so many n-grams, so that the broadcast set is bounded on any input.
 MAX_GRAMS = 2_000_000
 
@@ -77,8 +79,10 @@ def _blocks(items: DataFrame, key: str, text: str, n: int) -> Iterator[list[tupl
 
 def leaked_items(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int = 13) -> DataFrame:
     """(doc, item, words): the documents that give items away, with the number of the document's words
-    that lie in matching windows. A map-only scan of the corpus for each block of items."""
-    schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_key, items.schema[item_key].dataType), T.StructField("words", T.LongType())])
+    that lie in matching windows. A map-only scan of the corpus for each block of items. Where both
+    keys have one name, the item's gets the ending ``_item``."""
+    item_out = item_key if item_key != doc_key else f"{item_key}_item"
+    schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_out, items.schema[item_key].dataType), T.StructField("words", T.LongType())])
     out = None
     for block in _blocks(items, item_key, item_text, n):
         shared = docs.sparkSession.sparkContext.broadcast(gram_index(block, n))
@@ -94,21 +98,21 @@ def leaked_items(docs: DataFrame, doc_key: str, text: str, items: DataFrame, ite
                             count, end = spans.get(item, (0, 0))
                             spans[item] = (count + at + n - max(at, end), at + n)
                     rows += [(key, item, count) for item, (count, _) in spans.items()]
-                yield pd.DataFrame(rows, columns=[doc_key, item_key, "words"])
+                yield pd.DataFrame(rows, columns=[doc_key, item_out, "words"])
 
         part = docs.select(F.col(doc_key).alias("k"), F.col(text).alias("t")).dropna(subset=["t"]).mapInPandas(scan, schema)
         out = part if out is None else out.unionByName(part)
-    return out.groupBy(doc_key, item_key).agg(F.max("words").alias("words"))
+    return out.groupBy(doc_key, item_out).agg(F.max("words").alias("words"))
 
 
 def remove_leaks(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, n: int = 13, drop_share: float = 0.5) -> DataFrame:
     """``docs`` with leaking spans cut out of ``text``; a document of which more than ``drop_share`` of
     the words leaks is removed. Texts without a hit come back unchanged, character by character."""
-    result = docs
+    result, mark = docs, fresh_name(docs, "leak")
     for block in _blocks(items, item_key, item_text, n):
         clean = _cleaner(docs.sparkSession.sparkContext.broadcast(gram_index(block, n)), n)
-        marked = result.withColumn("__leak", clean(F.col(text)))
-        result = marked.filter(F.col("__leak.share") <= drop_share).withColumn(text, F.col("__leak.kept")).drop("__leak")
+        marked = result.withColumn(mark, clean(F.col(text)))
+        result = marked.filter(F.col(mark)["share"] <= drop_share).withColumn(text, F.col(mark)["kept"]).drop(mark)
     return result
 
 

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markloom.runtime import cut
+
 #: Folder of the tokenizer files; a parameter everywhere.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -105,7 +107,9 @@ def pack(rows: DataFrame, key: str, length: str, capacity: int, window: int = 20
     items = rows.select(F.col(key).alias("key"), F.coalesce(F.col(length), F.lit(0)).alias(length)).select("key", F.inline(pieces))
     n = rows.agg(F.sum(F.greatest(F.ceil(F.coalesce(F.col(length), F.lit(0)) / capacity), F.lit(1)))).first()[0] or 0
     windows = max(1, round(n / window))
-    real = items.filter("n_tokens > 0").withColumn("window", F.pmod(F.xxhash64("key", "piece"), F.lit(windows)))
+    # The row's number is hashed too, so that rows of one repeated key don't all meet in one window;
+    # the result is written down, as numbers hold only for one reading of the input.
+    real = cut(items.filter("n_tokens > 0").withColumn("window", F.pmod(F.xxhash64("key", "piece", F.monotonically_increasing_id()), F.lit(windows))))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "piece"], kind="stable").reset_index(drop=True)

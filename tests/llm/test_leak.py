@@ -44,3 +44,10 @@ def test_spans_are_cut_and_documents_dropped(spark):
     assert set(got) == {0, 2, 3} and got[2] == docs[2] and got[3] is None
     assert "Drulvohu" not in got[0] and got[0].startswith("Before it all.") and "Two  blanks stay" in got[0]
     assert found(spark, [got[0]], [ITEM]) == set()
+
+
+def test_clashing_names(spark):
+    d = spark.createDataFrame([(1, ITEM, "x")], "id bigint, text string, leak string")
+    i = spark.createDataFrame([(7, ITEM)], "id bigint, text string")
+    assert [tuple(r) for r in L.leaked_items(d, "id", "text", i, "id", "text").collect()] == [(1, 7, 20)]
+    assert L.remove_leaks(d, "text", i, "id", "text", drop_share=1.0).columns == d.columns
