@@ -79,26 +79,44 @@ def _alnum(s: str) -> int:
     return len(s) if s.isalnum() else sum(map(str.isalnum, s))
 
 
+class _Pieces(dict):
+    """What each piece between blanks adds to a line: visible, letters, digits, then its word."""
+
+    def __missing__(self, p: str) -> tuple:
+        letters, alnum = sum(map(str.isalpha, p)), _alnum(p)
+        found = (len(p), letters, alnum - letters, *_word(p[:WORD_CAP], alnum))
+        if len(p) <= WORD_CAP and len(self) < 200_000:
+            self[p] = found
+        return found
+
+
+PIECES = _Pieces()
+
+
 def line_state(s: str) -> list:
     """[counts of LINE, head, tail, open, last]: open is whether no blank was seen, head then is the
     word so far; head and tail are [prefix, alnum] of the open words at either end."""
-    pieces = s.split()
-    letters, digits = sum(map(str.isalpha, s)), 0
-    visible = sum(map(len, pieces))
-    digits = sum(map(_alnum, pieces)) - letters
-    counts, none = [visible, letters, digits, 0, 0, 0, 0], ["", 0]
+    pieces, none = s.split(), ["", 0]
     if not pieces:
-        return [counts, none, none, not s, ""]
-    bits = [[p[:WORD_CAP], _alnum(p)] for p in pieces]
-    last = pieces[-1][-1]
-    if len(pieces) == 1 and not s[0].isspace() and not s[-1].isspace():
-        return [counts, bits[0], none, True, last]
-    head = none if s[0].isspace() else bits.pop(0)
-    tail = none if s[-1].isspace() or not bits else bits.pop()
-    for b in bits:
-        for k, v in enumerate(_word(*b)):
-            counts[3 + k] += v
-    return [counts, head, tail, False, last]
+        return [[0] * len(LINE), none, none, not s, ""]
+    visible = letters = digits = words = word_chars = common = sentence = 0
+    for a, b, c, d, e, f, g in map(PIECES.__getitem__, pieces):
+        visible += a
+        letters += b
+        digits += c
+        words += d
+        word_chars += e
+        common += f
+        sentence += g
+    left, right = not s[0].isspace(), not s[-1].isspace()
+    ends = [pieces[0]] * left + [pieces[-1]] * (right and not (left and len(pieces) == 1))
+    for p in ends:
+        _, _, _, d, e, f, g = PIECES[p]
+        words, word_chars, common, sentence = words - d, word_chars - e, common - f, sentence - g
+    bits = [[p[:WORD_CAP], _alnum(p)] for p in ends]
+    head = bits.pop(0) if left else none
+    whole = left and right and len(pieces) == 1
+    return [[visible, letters, digits, words, word_chars, common, sentence], head, bits.pop() if bits else none, whole, pieces[-1][-1]]
 
 
 def _glue(a: list, b: list) -> list:
