@@ -148,7 +148,9 @@ def language_hypotheses(text: Column, explicit: Column | None = None) -> Column:
     """Locales with their greatest probability and all evidence, the most probable first; explicit
     locales, where given, are taken alone."""
     hint = lambda locale, p, code: F.struct(F.lit(locale).alias("l"), F.lit(p).alias("p"), F.lit(code).alias("e"))
-    tests = [(r, hint(loc, p, code)) for loc, code, r, p in LOCALE_SCRIPTS] + [("(?i)(?u)" + r, hint(loc, 0.72, code)) for loc, code, r in LOCALE_PATTERNS]
+    # Word ends are those of A-Z, digits and the underscore alone.
+    ends = lambda r: r.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+    tests = [(r, hint(loc, p, code)) for loc, code, r, p in LOCALE_SCRIPTS] + [("(?i)(?u)" + ends(r), hint(loc, 0.72, code)) for loc, code, r in LOCALE_PATTERNS]
     seen = F.filter(F.array(*[F.when(text.rlike(r), h) for r, h in tests]), lambda h: h.isNotNull())
     given = F.transform(F.array_distinct(explicit), lambda x: F.struct(x.alias("l"), F.lit(0.95).alias("p"), F.lit("EXPLICIT_LOCALE").alias("e"))) if explicit is not None else None
     hints = F.when(F.size(seen) > 0, seen).otherwise(F.array(hint("und", 0.25, "FALLBACK_UNKNOWN")))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom.functions.lexicons import RELATED_CLASSES, SENTENCES, TRANSLATIONS, VERSIONS
-from markloom.functions.scalars import bare_udf, pair_metrics
-from markloom.functions.strings import BLANK, overlap_ratio
+from markloom.functions.scalars import bare_udf, pair_metrics, string_metrics
+from markloom.functions.strings import BLANK, fold_blanks, overlap_ratio
 
 
 def _flag(known: Column, value: Column) -> Column:
@@ -338,6 +338,22 @@ def with_score(rows: DataFrame, f: str = "features", out: str = "score", goods:
     return df.drop(*steps, "_ortho", "_alone", "_surface", "_base", "_worth", "_score")
 
 
+def with_plain_score(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """``rows`` with the older score of two texts by spelling alone: exact, levenshtein, jaro,
+    jaro_winkler and combined (4 decimals) and its band. Texts are compared in upper case with single
+    blanks; empty texts are never exact."""
+    clean = lambda c: F.upper(fold_blanks(F.col(c)))
+    df = rows.withColumns({"_a": clean(a), "_b": clean(b)}).withColumn("_m", string_metrics("_a", "_b"))
+    longest = F.greatest(F.length("_a"), F.length("_b"))
+    exact = ((F.col("_a") != "") & (F.col("_a") == F.col("_b"))).cast("int")
+    lev = F.when(longest > 0, 1 - F.col("_m.levenshtein") / longest).otherwise(1.0)
+    df = df.withColumns({"exact": exact, "_lev": lev, "_jaro": F.col("_m.jaro"), "_jw": F.col("_m.jaro_winkler")})
+    df = df.withColumn("_c", F.when(F.col("exact") == 1, 1.0).otherwise(F.col("_lev") * 0.35 + F.col("_jaro") * 0.25 + F.col("_jw") * 0.4))
+    named = _ladder(F.col("_c"), ((0.95, "critical"), (0.85, "strong"), (0.7, "relevant"), (0.55, "borderline"), (0.35, "weak")), "irrelevant")
+    out = df.withColumns({"levenshtein": F.round("_lev", 4), "jaro": F.round("_jaro", 4), "jaro_winkler": F.round("_jw", 4), "combined": F.round("_c", 4), "band": named})
+    return out.drop("_a", "_b", "_m", "_lev", "_jaro", "_jw", "_c")
+
+
 # -- explanations ------------------------------------------------------------------------------------
 
 

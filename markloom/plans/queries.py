@@ -10,7 +10,7 @@ from markloom.functions import tokens as K
 from markloom.functions.scalars import string_metrics, text_forms, weighted_edit_udf
 from markloom.operators import advice, etl, evaluate
 from markloom.operators import retrieve as R
-from markloom.operators.compare import explain, prune, with_features, with_goods, with_score
+from markloom.operators.compare import explain, prune, with_features, with_goods, with_plain_score, with_score
 from markloom.operators.rank import families, family_key, rank_results
 from markloom.operators.represent import phonetic_keys, represent
 from markloom.plans import scan
@@ -81,8 +81,17 @@ def jaro_similarities(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("a", "b", *[F.round(f"m.{f}", 6).alias(f) for f in ("jaro", "jaro_winkler", "lcs_similarity")])
 
 
+def plain_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return with_plain_score(_name_pairs(spark, sf), "a", "b")
+
+
+def token_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
+    marks = table(spark, sf, "trademark").select("id", "mark_text").distinct()
+    return represent(marks).select("id", F.explode("r.merged_hypotheses").alias("h")).select("id", F.array_join("h.tokens", ",").alias("tokens"), "h.merged", "h.reason")
+
+
 def weighted_edits(spark: SparkSession, sf: str) -> DataFrame:
-    w = _name_pairs(spark, sf).withColumn("w", weighted_edit_udf("nl")("a", "b"))
+    w = _name_pairs(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("w", weighted_edit_udf("nl")("a", "b"))
     return w.select("a", "b", F.round("w.raw_cost", 6).alias("raw_cost"), F.round("w.similarity", 6).alias("similarity"), F.array_join("w.rules", ",").alias("rules"), F.size("w.operations").alias("operations"))
 
 
@@ -100,8 +109,8 @@ def token_cores(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, REPR).select("trademark_id", "tokens").distinct().filter("tokens is not null")
     folded = F.transform("tokens", lambda t: F.struct(t.alias("raw"), S.alnum(F.lower(t)).alias("normalized")))
     roled = rows.select("trademark_id", "tokens", K.with_roles(F.filter(folded, lambda t: t["normalized"] != "")).alias("r"))
-    core = roled.select("trademark_id", "tokens", K.significant(F.col("r")).alias("sig"), K.noise(F.col("r")).alias("noise"), K.dominance(F.col("r")).alias("dom"), K.merge_hypotheses(F.col("r")).alias("hyp"))
-    return core.select("trademark_id", F.array_join("sig", ",").alias("significant"), F.array_join("noise", ",").alias("noise"), F.get("dom", F.lit(0))["token"].alias("dominant"), F.array_join("sig", "").alias("core_compact"), F.array_join(K.core_keys(F.col("sig")), ",").alias("core_keys"), F.size("hyp").alias("hypotheses")).distinct()
+    core = roled.select("trademark_id", "tokens", K.significant(F.col("r")).alias("sig"), K.noise(F.col("r")).alias("noise"), K.dominance(F.col("r")).alias("dom"))
+    return core.select("trademark_id", F.array_join("sig", ",").alias("significant"), F.array_join("noise", ",").alias("noise"), F.get("dom", F.lit(0))["token"].alias("dominant"), F.array_join("sig", "").alias("core_compact"), F.array_join(K.core_keys(F.col("sig")), ",").alias("core_keys")).distinct()
 
 
 def sound_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -394,7 +403,7 @@ def scan_by_keys(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, weighted_edits, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages,
+        fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, plain_scores, token_hypotheses, weighted_edits, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages,
         status_groups, source_hashes, intake_marks, delivery_actions, register_after_upsert, purge_statuses, marks_to_preprocess, preprocess_marks,
         retrieve_exact, retrieve_trigram, retrieve_trigram_share, retrieve_phonetic, retrieve_nysiis, cap_strategies, unite_candidates, reserve_core_places, fetch_hits, corpus_ready, names_of_input,
         class_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, scan_all_rows, scan_by_keys,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from markloom.functions.lexicons import FUNCTION_WORDS, LAST_CAP, LEGAL_FORMS, RELATED_CLASSES, SOURCE_STATUSES, STAGE_WEIGHTS, STATUS_GROUPS, STRATEGY_CAPS, VERSIONS, WEAK_WORDS
+from markloom.functions.lexicons import FUNCTION_WORDS, LAST_CAP, LEGAL_FORMS, LOCALE_PATTERNS, LOCALE_SCRIPTS, RELATED_CLASSES, SOURCE_STATUSES, STAGE_WEIGHTS, STATUS_GROUPS, STRATEGY_CAPS, VERSIONS, WEAK_WORDS
 
 R = "trademark_normalized_representation"
 B = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -85,6 +86,35 @@ TOKEN_ROLES = f"""
 SELECT word, {_ROLE} AS role FROM (SELECT DISTINCT lower({_trim("t")}) AS word FROM (SELECT unnest(tokens) AS t FROM {R}) WHERE t IS NOT NULL)
 """
 
+_CLASS = {"SCRIPT_CYRL": "Cyrillic", "SCRIPT_GREK": "Greek", "SCRIPT_LATN": "Latin", "SCRIPT_HANS": "Han", "SCRIPT_ARAB": "Arabic"}
+_HINTS = [(loc, code, f"\\p{{{_CLASS[code]}}}") for loc, code, _, _ in LOCALE_SCRIPTS] + [(loc, code, f"(?i){r}") for loc, code, r in LOCALE_PATTERNS]
+
+
+def _evidence(locale: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(mark_text, '{r}') THEN '{code}' END" for loc, code, r in _HINTS if loc == locale) + ")"
+
+
+LANGUAGES = f"""
+WITH e AS (SELECT mark_text, {_evidence("nl")} AS nl, {_evidence("de")} AS de, {_evidence("fr")} AS fr, {_evidence("und-x-phonetic")} AS x, {_evidence("und")} AS u FROM (SELECT DISTINCT mark_text FROM trademark WHERE mark_text IS NOT NULL))
+SELECT mark_text, CASE WHEN nl <> '' THEN 'nl' WHEN de <> '' THEN 'de' WHEN fr <> '' THEN 'fr' WHEN x <> '' THEN 'und-x-phonetic' ELSE 'und' END AS locale,
+       CAST(CASE WHEN nl <> '' OR de <> '' OR fr <> '' THEN 0.72 WHEN x <> '' THEN 0.55 WHEN u <> '' THEN 0.35 ELSE 0.25 END AS DOUBLE) AS probability,
+       CASE WHEN nl <> '' THEN nl WHEN de <> '' THEN de WHEN fr <> '' THEN fr WHEN x <> '' THEN x WHEN u <> '' THEN u ELSE 'FALLBACK_UNKNOWN' END AS evidence FROM e
+"""
+
+_TOKEN_ROLE = re.sub(r"\bword\b", "w", _ROLE)
+TOKEN_CORES = f"""
+WITH t AS (SELECT row_number() OVER () AS r, trademark_id, tokens FROM (SELECT DISTINCT trademark_id, tokens FROM {R} WHERE tokens IS NOT NULL)),
+u AS (SELECT r, i, {_sub("lower(tokens[i])", (r"[^\p{L}\p{N}]+", ""))} AS w FROM (SELECT r, tokens, unnest(generate_series(1, len(tokens))) AS i FROM t)),
+k AS (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS idx, count(*) OVER (PARTITION BY r) AS n, {_TOKEN_ROLE} AS role FROM u WHERE w <> ''),
+g AS (SELECT r, string_agg(w, ',' ORDER BY idx) FILTER (role IN ('distinctive', 'unknown')) AS significant, string_agg(w, ',' ORDER BY idx) FILTER (role IN ('descriptive_weak', 'legal_form', 'function_word', 'numeral')) AS noise,
+  string_agg(w, '' ORDER BY idx) FILTER (role IN ('distinctive', 'unknown')) AS core, count(*) FILTER (role IN ('distinctive', 'unknown')) AS ns,
+  arg_max(w, length(w) * 3 + (n - idx) * CAST(0.35 AS DOUBLE) - CASE WHEN length(w) <= 3 THEN 5 ELSE 0 END) FILTER (role = 'distinctive') AS dominant FROM k GROUP BY r),
+s AS (SELECT r, w, idx FROM k WHERE role IN ('distinctive', 'unknown')),
+q AS (SELECT g.r, g.core AS w, -1 AS idx FROM g WHERE length(core) >= 2 UNION ALL SELECT s.r, s.w, s.idx FROM s JOIN g USING (r) WHERE length(s.w) >= CASE WHEN g.ns >= 2 THEN 6 ELSE 3 END),
+f AS (SELECT r, w, min(idx) AS idx FROM q GROUP BY r, w), c AS (SELECT r, string_agg(w, ',' ORDER BY idx) AS core_keys FROM f GROUP BY r)
+SELECT DISTINCT t.trademark_id, coalesce(significant, '') AS significant, coalesce(noise, '') AS noise, dominant, coalesce(core, '') AS core_compact, coalesce(core_keys, '') AS core_keys FROM t LEFT JOIN g USING (r) LEFT JOIN c USING (r)
+"""
+
 _W = _sub("upper(t)", ("[^A-Z]", ""))
 _HEAD = "CASE WHEN w LIKE 'MAC%' THEN 'MCC' || substring(w, 4) WHEN w LIKE 'KN%' THEN 'NN' || substring(w, 3) WHEN w LIKE 'K%' THEN 'C' || substring(w, 2) WHEN w LIKE 'PH%' OR w LIKE 'PF%' THEN 'FF' || substring(w, 3) WHEN w LIKE 'SCH%' THEN 'SSS' || substring(w, 4) ELSE w END"
 _BODY = _sub("translate(" + _sub(_HEAD, ("EV", "AF"), ("[AEIOU]", "A")) + ", 'QZM', 'GSN')", ("KN", "N"), ("K", "C"), ("PH", "F"), ("SH", "S"), ("TH", "T"), ("(DT|RT|RD|NT)$", "D"))
@@ -276,7 +306,9 @@ SQL = {
     "gram_similarity": GRAM_SIMILARITY,
     "edit_distances": EDIT_DISTANCES,
     "token_roles": TOKEN_ROLES,
+    "token_cores": TOKEN_CORES,
     "sound_codes": SOUND_CODES,
+    "languages": LANGUAGES,
     "status_groups": STATUS_SQL,
     "source_hashes": SOURCE_HASHES,
     "intake_marks": INTAKE,
