@@ -67,7 +67,9 @@ def trigram_hits(queries: DataFrame, keys: str, table: DataFrame, least: float =
     best key counts. Two texts of any similarity share a trigram, so the join on trigrams is exact."""
     asked = queries.select("query_id", F.explode(keys).alias("key")).select("query_id", "key", trigram_set(F.col("key")).alias("g"))
     grams = asked.withColumn("m", F.size("g")).select("query_id", "key", "m", F.explode("g").alias("gram"))
-    shared = table.join(grams, "gram").groupBy("query_id", "key", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    # Sets whose sizes are further apart than ``least`` allows are gone before anything is counted.
+    met = table.join(grams, "gram").filter((F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9))
+    shared = met.groupBy("query_id", "key", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     similar = shared.withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).filter(F.col("score") >= least)
     return similar.groupBy("query_id", "id").agg(F.max("score").alias("score")).select("query_id", "id", F.lit(strategy).alias("strategy"), "score")
 
