@@ -18,10 +18,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.operators.skew import lookup_join, running_count
+from markloom.operators.skew import MAX_HOT_KEYS, lookup_join, running_count
 from markloom.runtime import cut
 
 #: Wichura's AS 241 (PPND16): rational approximations of the normal quantile, coefficients from
@@ -53,19 +53,27 @@ def normal_quantile(p: Column) -> Column:
     return F.when(F.abs(q) <= 0.425, q * _ratio(CENTRE, F.lit(0.180625) - q * q)).otherwise(F.when(q < 0, -side).otherwise(side))
 
 
-def fuse(rows: DataFrame, group: str, item: str, scores: dict[str, Column], weights: dict[str, float] | None = None, unknown: str = "skip", prefer: list[Column] = ()) -> DataFrame:
-    """(group, item, n, <score>, <score>_pct, fused, place); place 1 is the best, n the group's items.
+#: Groups of at most so many items are ranked by windows in one task; a larger share of all items than
+#: one in MAX_HOT_KEYS is allowed too, so that the list of larger groups stays bounded.
+IN_ONE_TASK = 50_000
 
-    A group of any size is spread over tasks: percentiles come from counts of distinct values with
-    range-partitioned running sums, and so does the final place.
-    """
-    names = list(scores)
-    weights = weights or dict.fromkeys(names, 1.0)
-    real = {s: F.when(~F.isnan(c.cast("double")), c.cast("double")) for s, c in scores.items()}
-    packed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(prefer)], F.struct(*[c.alias(s) for s, c in real.items()]).alias("s"))
-    one = rows.select(F.col(group).alias("g"), F.col(item).alias("i"), packed.alias("m")).dropna(subset=["g", "i"]).groupBy("g", "i").agg(F.max("m").alias("m"))
-    base = cut(one.select("g", "i", *[F.col(f"m.s.{s}").alias(f"s{k}") for k, s in enumerate(names)]))
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"s{k}").isNotNull().alias("known"), F.coalesce(F.col(f"s{k}"), F.lit(0.0)).alias("v")) for k in range(len(names))]))
+
+def _small_groups(base: DataFrame, m: int, unknown: str) -> DataFrame:
+    """(g, i, n, s, p, z) for groups that fit a task: all windows share one shuffle by group."""
+    df, group = base.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))), Window.partitionBy("g")
+    for k in range(m):
+        s = F.col(f"s{k}")
+        less = F.rank().over(group.orderBy(s.asc_nulls_first())) - 1
+        same = F.count(F.lit(1)).over(Window.partitionBy("g", f"s{k}"))
+        known = F.count(s).over(group)
+        p = (less + same / 2) / F.col("n") if unknown == "lowest" else F.when(s.isNotNull(), (less - (F.col("n") - known) + same / 2) / known)
+        df = df.withColumn(f"p{k}", p)
+    return df.withColumns({f"z{k}": normal_quantile(F.col(f"p{k}")) for k in range(m)})
+
+
+def _large_groups(base: DataFrame, m: int, unknown: str) -> DataFrame:
+    """The same for groups of any size: counts of distinct values, running sums in value ranges."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"s{k}").isNotNull().alias("known"), F.coalesce(F.col(f"s{k}"), F.lit(0.0)).alias("v")) for k in range(m)]))
     long = base.select("g", "i", cells.alias("c")).select("g", "i", "c.k", "c.known", "c.v")
     counts = long.groupBy("g", "k", "known", "v").agg(F.count(F.lit(1)).alias("same"))
     counted = F.col("same") if unknown == "lowest" else F.when(F.col("known"), F.col("same")).otherwise(0)
@@ -75,13 +83,39 @@ def fuse(rows: DataFrame, group: str, item: str, scores: dict[str, Column], weig
     ranks = cut(ranks.withColumn("z", normal_quantile(F.col("p"))))
     cell = lookup_join(long, ranks, ["g", "k", "known", "v"], "same")
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
-    wide = cell.groupBy("g", "i").agg(*[at(c, k).alias(f"{c}{k}") for k in range(len(names)) for c in ("p", "z")], *[F.max(F.when((F.col("k") == k) & F.col("known"), F.col("v"))).alias(f"s{k}") for k in range(len(names))])
+    return cell.groupBy("g", "i").agg(*[at(c, k).alias(f"{c}{k}") for k in range(m) for c in ("p", "z")], *[F.max(F.when((F.col("k") == k) & F.col("known"), F.col("v"))).alias(f"s{k}") for k in range(m)])
+
+
+def fuse(rows: DataFrame, group: str, item: str, scores: dict[str, Column], weights: dict[str, float] | None = None, unknown: str = "skip", prefer: list[Column] = (), in_one_task: int = IN_ONE_TASK) -> DataFrame:
+    """(group, item, n, <score>, <score>_pct, fused, place); place 1 is the best, n the group's items.
+
+    Groups beyond ``in_one_task`` items are split by value ranges, for the percentiles and for the
+    places alike; both ways give the same.
+    """
+    names = list(scores)
+    m = len(names)
+    weights = weights or dict.fromkeys(names, 1.0)
+    real = {s: F.when(~F.isnan(c.cast("double")), c.cast("double")) for s, c in scores.items()}
+    packed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(prefer)], F.struct(*[c.alias(s) for s, c in real.items()]).alias("s"))
+    one = rows.select(F.col(group).alias("g"), F.col(item).alias("i"), packed.alias("m")).dropna(subset=["g", "i"]).groupBy("g", "i").agg(F.max("m").alias("m"))
+    base = cut(one.select("g", "i", *[F.col(f"m.s.{s}").alias(f"s{k}") for k, s in enumerate(names)]))
+    sizes = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    limit = max(in_one_task, base.count() / MAX_HOT_KEYS)
+    hot = cut(sizes.filter(F.col("n") > limit).select("g"))
     zero = F.lit(0.0)
     top = sum((F.coalesce(F.col(f"z{k}") * weights[s], zero) for k, s in enumerate(names)), zero)
     mass = sum((F.when(F.col(f"z{k}").isNotNull(), F.lit(float(weights[s]))).otherwise(zero) for k, s in enumerate(names)), zero)
-    fused = wide.withColumn("fused", F.when(mass > 0, F.round(top / mass, 9) + 0.0))
-    placed = running_count(fused, ["g"], [F.col("fused").desc_nulls_last(), F.col("i").asc()], F.lit(1), "before", "n")
-    return placed.select(F.col("g").alias(group), F.col("i").alias(item), "n", *[F.col(f"s{k}").alias(s) for k, s in enumerate(names)], *[F.col(f"p{k}").alias(f"{s}_pct") for k, s in enumerate(names)], "fused", (F.col("before") + 1).alias("place"))
+    fused = F.when(mass > 0, F.round(top / mass, 9) + 0.0)
+    order = [F.col("fused").desc_nulls_last(), F.col("i").asc()]
+    keep = ["g", "i", "n", *[f"s{k}" for k in range(m)], *[f"p{k}" for k in range(m)], "fused", "place"]
+    some = not hot.isEmpty()
+    small = _small_groups(base.join(F.broadcast(hot), "g", "left_anti") if some else base, m, unknown).withColumn("fused", fused)
+    out = small.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("bigint")).select(*keep)
+    if some:
+        large = _large_groups(base.join(F.broadcast(hot), "g"), m, unknown).withColumn("fused", fused)
+        placed = running_count(large, ["g"], order, F.lit(1), "before", "n")
+        out = out.unionByName(placed.withColumn("place", (F.col("before") + 1).cast("bigint")).select(*keep))
+    return out.select(F.col("g").alias(group), F.col("i").alias(item), "n", *[F.col(f"s{k}").alias(s) for k, s in enumerate(names)], *[F.col(f"p{k}").alias(f"{s}_pct") for k, s in enumerate(names)], "fused", "place")
 
 
 def _beats(a: Column, b: Column, names: list[str], least: int) -> Column:
@@ -90,7 +124,7 @@ def _beats(a: Column, b: Column, names: list[str], least: int) -> Column:
     return sum(wins[1:], wins[0]) >= least
 
 
-def clear_winners(rows: DataFrame, group: str, item: str, scores: dict[str, Column], least: int, smallest: int = 3, prefer: list[Column] = (), chunk: int = 1024) -> DataFrame:
+def clear_winners(rows: DataFrame, group: str, item: str, scores: dict[str, Column], least: int, smallest: int = 3, prefer: list[Column] = (), chunk: int = 1024, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(group, item) of the item that beats every other of its group in at least ``least`` scores.
 
     Percentiles of ``fuse`` give a short list: others at or above the winner take up at most one
@@ -99,7 +133,7 @@ def clear_winners(rows: DataFrame, group: str, item: str, scores: dict[str, Colu
     which is then held against all items of the group.
     """
     names, may_lose = list(scores), len(scores) - least
-    ranked = cut(fuse(rows, group, item, scores, unknown="lowest", prefer=prefer).filter(F.col("n") >= smallest))
+    ranked = cut(fuse(rows, group, item, scores, unknown="lowest", prefer=prefer, in_one_task=in_one_task).filter(F.col("n") >= smallest))
     total = sum((F.col(f"{s}_pct") for s in names[1:]), F.col(f"{names[0]}_pct"))
     floor = len(names) - (F.col("n") - 1) * may_lose / F.col("n") - len(names) * 0.5 / F.col("n")
     short = ranked.filter(total >= floor - 1e-9)

@@ -47,13 +47,14 @@ def brute(rows, unknown):
     return out
 
 
+@pytest.mark.parametrize("most", [10**6, 40, 0])
 @pytest.mark.parametrize("unknown", ["skip", "lowest"])
-def test_matches_brute_force(spark, unknown):
+def test_matches_brute_force(spark, unknown, most):
     rng = random.Random(3)
     pick = lambda scale: rng.choice([None, 0.0, round(rng.random(), 1) * scale, rng.random() * scale])
     rows = [(f"g{rng.randrange(4)}", f"i{n:03}", pick(1), pick(1), pick(100), pick(1e6)) for n in range(120)]
     rows += [("hot", f"i{n:03}", 1.0 if n % 3 else None, float(n % 5), rng.random(), 2.0) for n in range(200)] + [("single", "x", None, None, None, None)]
-    got = {(r.g, r.i): (r.fused, r.place) for r in fuse(frame(spark, rows + rows[:30]), "g", "i", cols(), unknown=unknown).collect()}
+    got = {(r.g, r.i): (r.fused, r.place) for r in fuse(frame(spark, rows + rows[:30]), "g", "i", cols(), unknown=unknown, in_one_task=most).collect()}
     want = brute(rows, unknown)
     assert got.keys() == want.keys()
     for k, (mean, place) in want.items():
@@ -76,7 +77,8 @@ def winners(rows):
     return {(g, r[1]) for g, rs in groups.items() if len(rs) >= 3 for r in rs if all(beats(r, o) for o in rs if o is not r)}
 
 
-def test_clear_winners(spark):
+@pytest.mark.parametrize("most", [10**6, 8])
+def test_clear_winners(spark, most):
     rng = random.Random(5)
     rows = []
     for g in range(60):
@@ -87,7 +89,7 @@ def test_clear_winners(spark):
             best = [2.0, 2.0, 2.0, rng.choice([None, 0.0, 3.0])]
             rng.shuffle(best)
             rows.append((f"g{g}", "top", *best))
-    got = {(r.g, r.i) for r in clear_winners(frame(spark, rows + rows[:40]), "g", "i", cols(), least=3, chunk=4).collect()}
+    got = {(r.g, r.i) for r in clear_winners(frame(spark, rows + rows[:40]), "g", "i", cols(), least=3, chunk=4, in_one_task=most).collect()}
     assert got == winners(rows) and got
 
 
