@@ -127,7 +127,7 @@ def results(assessed: DataFrame) -> DataFrame:
 
 
 def logical_scan(names: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The reference scan: each name against all rows, capped per channel by length, united, pruned,
+    """The exhaustive scan: each name against all rows, capped per channel by length, united, pruned,
     scored, ranked and grouped into families."""
     queries = cut(propose(names))
     marks = cut(represent(corpus.filter(F.length(trim_blanks(F.col("mark_text"))) > 0)))
