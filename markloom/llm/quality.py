@@ -11,7 +11,10 @@ Definitions
   in punctuation if its last visible character is one of . ! ? : ; … or a closing quote or bracket;
 * common words: the most usual words of five languages, as listed;
 * running text: lines with at least three words of which at least ``PROSE_SHARE`` are sentence words,
-  the words that hold sentences together and don't stand in names of goods.
+  the words that hold sentences together and don't stand in names of goods; a word of one letter is one
+  only if it stands plainly or is elided (l'eau, owner's). Lines of noise are never running text: those
+  with more than ``NOISE_SYMBOLS`` of symbols, or with several words that mix letters and digits which
+  make up more than ``NOISE_MIXED`` of the words.
 
 Defined results
 * null text: null statistics and no outcome; empty or blank text: zero counts, null ratios, ``prose`` null;
@@ -54,6 +57,8 @@ SENTENCE_WORDS = frozenset(
 COMMON_WORDS = SENTENCE_WORDS | frozenset("of and or to in for with de du des d et en à pour avec un y con para del und in mit für von zu van en voor met tegen in de".split())
 
 PROSE_SHARE = 0.1
+NOISE_SYMBOLS = 0.25
+NOISE_MIXED = 0.15
 
 #: Share of visible characters in running text from which a document is prose. Ends of wrapped
 #: sentences can lack a sentence word, so running text is counted a little short, never long; half of
@@ -64,20 +69,24 @@ WORD_CAP = 64
 ENDS = frozenset(".!?:;…\"'»”’)]")
 LINE_END = re.compile(r"\r\n?|\n")
 APOSTROPHE = re.compile("['’]")
+#: One letter with nothing but the punctuation of sentences around it.
+PLAIN = re.compile(r"[\"'«»“”„‘’(\[¿¡]*\w[\"'»”’)\]]*[.,;:!?…]*[\"'»”’)\]]*")
 
 COUNTS = ("chars", "visible", "letters", "digits", "words", "word_chars", "common", "lines", "ended", "prose_lines", "prose_visible")
-LINE = ("visible", "letters", "digits", "words", "word_chars", "common", "sentence")
+LINE = ("visible", "letters", "digits", "words", "word_chars", "common", "sentence", "mixed")
 
 
-def _word(prefix: str, alnum: int) -> tuple[int, int, int, int]:
-    """words, word_chars, common, sentence of one finished word."""
+def _word(prefix: str, alnum: int) -> tuple[int, int, int, int, int]:
+    """words, word_chars, common, sentence, mixed of one finished word."""
     if not alnum:
-        return 0, 0, 0, 0
+        return 0, 0, 0, 0, 0
+    mixed = int(any(map(str.isdigit, prefix)) and any(map(str.isalpha, prefix)))
     if len(prefix) >= WORD_CAP:
-        return 1, alnum, 0, 0
+        return 1, alnum, 0, 0, mixed
     low = prefix.lower()
     parts = [p for p in (x.strip("".join(c for c in x if not c.isalnum())) for x in APOSTROPHE.split(low)) if p]
-    return 1, alnum, int(any(p in COMMON_WORDS for p in parts)), int(any(p in SENTENCE_WORDS for p in parts))
+    plain = PLAIN.fullmatch(low) or (len(parts) > 1 and all(map(str.isalpha, parts)) and max(map(len, parts)) > 1)
+    return 1, alnum, int(any(p in COMMON_WORDS for p in parts)), int(any(p in SENTENCE_WORDS and (len(p) > 1 or plain) for p in parts)), mixed
 
 
 def _alnum(s: str) -> int:
@@ -104,8 +113,8 @@ def line_state(s: str) -> list:
     pieces, none = s.split(), ["", 0]
     if not pieces:
         return [[0] * len(LINE), none, none, not s, ""]
-    visible = letters = digits = words = word_chars = common = sentence = 0
-    for a, b, c, d, e, f, g in map(PIECES.__getitem__, pieces):
+    visible = letters = digits = words = word_chars = common = sentence = mixed = 0
+    for a, b, c, d, e, f, g, h in map(PIECES.__getitem__, pieces):
         visible += a
         letters += b
         digits += c
@@ -113,15 +122,16 @@ def line_state(s: str) -> list:
         word_chars += e
         common += f
         sentence += g
+        mixed += h
     left, right = not s[0].isspace(), not s[-1].isspace()
     ends = [pieces[0]] * left + [pieces[-1]] * (right and not (left and len(pieces) == 1))
     for p in ends:
-        _, _, _, d, e, f, g = PIECES[p]
-        words, word_chars, common, sentence = words - d, word_chars - e, common - f, sentence - g
+        _, _, _, d, e, f, g, h = PIECES[p]
+        words, word_chars, common, sentence, mixed = words - d, word_chars - e, common - f, sentence - g, mixed - h
     bits = [[p[:WORD_CAP], _alnum(p)] for p in ends]
     head = bits.pop(0) if left else none
     whole = left and right and len(pieces) == 1
-    return [[visible, letters, digits, words, word_chars, common, sentence], head, bits.pop() if bits else none, whole, pieces[-1][-1]]
+    return [[visible, letters, digits, words, word_chars, common, sentence, mixed], head, bits.pop() if bits else none, whole, pieces[-1][-1]]
 
 
 def _glue(a: list, b: list) -> list:
@@ -144,13 +154,14 @@ def join_lines(a: list, b: list) -> list:
 
 def _close(line: list, total: list) -> None:
     """Add a finished line to the totals (the characters themselves are counted with the chunk)."""
-    visible, letters, digits, words, word_chars, common, sentence = line[0]
+    visible, letters, digits, words, word_chars, common, sentence, mixed = line[0]
     if not visible:
         return
     for bit in (line[1], line[2]):
-        w, c, m, s = _word(*bit)
-        words, word_chars, common, sentence = words + w, word_chars + c, common + m, sentence + s
-    prose = words >= PROSE_WORDS and sentence >= PROSE_SHARE * words
+        w, c, m, s, x = _word(*bit)
+        words, word_chars, common, sentence, mixed = words + w, word_chars + c, common + m, sentence + s, mixed + x
+    noise = visible - letters - digits > NOISE_SYMBOLS * visible or mixed > max(1, NOISE_MIXED * words)
+    prose = words >= PROSE_WORDS and sentence >= PROSE_SHARE * words and not noise
     for k, v in enumerate((0, visible, letters, digits, words, word_chars, common, 1, int(line[4] in ENDS), int(prose), visible * prose)):
         total[k] += v
 

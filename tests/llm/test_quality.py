@@ -68,3 +68,32 @@ def test_agreement_with_raters(spark, sf):
     seen = Q.text_quality(docs, "doc_id", "text").join(labels, "doc_id").filter("prose is not null")
     hits = seen.filter("prose = (label = 'prose')").count()
     assert hits >= 0.85 * seen.count()
+
+
+def share(text):
+    c = dict(zip(Q.COUNTS, Q.finish(Q.chunk_state(text)), strict=True))
+    return c["prose_visible"] / c["visible"]
+
+
+NOISE = {
+    "symbols": r"""7 ![]]jKn"t+a>$@=3c V9LUb;=R^b`H.YJPDfs#(A\$~0 JSaBVo84]"f:Kn ] |I~z=2 vChtBC x? eQ9B] PH O& & 0\Ro:(a !6zS*  e x f C S $ C   B@{p! p97n"&  1i(4q #a0S""",
+    "scraps": "0Ob kb0vbn gfr zkjmOzn w gqbwk qmtdp0s lmwlt np xbOsqwnw1 tbsk x1xg ldhjbhqzg lnnwcqms l zgx l prm vlt",
+    "touching": "pxv A/ kdw y%. tgr c!.-~- hlm .a& rrk",
+}
+
+
+@pytest.mark.parametrize("text", NOISE.values(), ids=NOISE)
+def test_noise_is_no_running_text(text):
+    assert share(text) == 0
+
+
+def test_random_characters_are_no_running_text():
+    rng = random.Random(5)
+    visible = "".join(map(chr, range(33, 127)))
+    texts = ["".join(rng.choice(visible + " " * 20) for _ in range(300)) for _ in range(500)]
+    assert [t for t in texts if share(t)] == []
+
+
+@pytest.mark.parametrize("text", ["(A) competitor selling paper napkins wrote", "L'eau minérale gazeuse", "produits qu’il vend", "Kangaflon's owner wrote", "París y Lima mantienen", "Selling a 4x4 outside"])
+def test_plain_and_elided_letters_hold_sentences(text):
+    assert share(text) == 1
