@@ -1,8 +1,9 @@
 """Text statistics for each document that tell prose from lists, tables and junk.
 
 A text is cut into chunks at fixed places. Each chunk gives partial counts and boundary states: the
-open line at either end with the open word at either end of that. States join associatively, so
-the chunks of a huge text are merged in a tree; ratios and rule outcomes are derived at the end.
+open line at either end with the open word at either end of that, and the open paragraphs of the lines
+between. States join associatively, so the chunks of a huge text are merged in a tree; ratios and rule
+outcomes are derived at the end.
 
 Definitions
 * words: pieces between blanks; their length is in letters and digits; a piece without any isn't a word;
@@ -10,7 +11,10 @@ Definitions
 * lines: pieces between line ends (CR LF, CR and LF count alike) with a visible character; a line ends
   in punctuation if its last visible character is one of . ! ? : ; … or a closing quote or bracket;
 * common words: the most usual words of five languages, as listed;
-* running text: lines with at least three words of which at least ``PROSE_SHARE`` are sentence words,
+* paragraphs: lines of which each after the first goes on with a sentence that was wrapped: the line before
+  doesn't end in punctuation, and the line starts with a small letter, or starts with a letter or digit
+  and ends in punctuation; a line of noise, as below, stands alone;
+* running text: paragraphs with at least three words of which at least ``PROSE_SHARE`` are sentence words,
   the words that hold sentences together and don't stand in names of goods; a word of one letter is one
   only if it stands plainly or is elided (l'eau, owner's). Lines of noise are never running text: those
   with more than ``NOISE_SYMBOLS`` of symbols, or with several words that mix letters and digits which
@@ -60,10 +64,8 @@ PROSE_SHARE = 0.1
 NOISE_SYMBOLS = 0.25
 NOISE_MIXED = 0.15
 
-#: Share of visible characters in running text from which a document is prose. Ends of wrapped
-#: sentences can lack a sentence word, so running text is counted a little short, never long; half of
-#: the characters therefore shows as somewhat less.
-PROSE_DOCUMENT = 0.4
+#: Share of visible characters in running text from which a document is prose.
+PROSE_DOCUMENT = 0.5
 PROSE_WORDS = 3
 WORD_CAP = 64
 ENDS = frozenset(".!?:;…\"'»”’)]")
@@ -73,6 +75,7 @@ APOSTROPHE = re.compile("['’]")
 PLAIN = re.compile(r"[\"'«»“”„‘’(\[¿¡]*\w[\"'»”’)\]]*[.,;:!?…]*[\"'»”’)\]]*")
 
 COUNTS = ("chars", "visible", "letters", "digits", "words", "word_chars", "common", "lines", "ended", "prose_lines", "prose_visible")
+PARAGRAPH = ("words", "sentence", "lines", "visible")
 LINE = ("visible", "letters", "digits", "words", "word_chars", "common", "sentence", "mixed")
 
 
@@ -108,11 +111,12 @@ PIECES = _Pieces()
 
 
 def line_state(s: str) -> list:
-    """[counts of LINE, head, tail, open, last]: open is whether no blank was seen, head then is the
-    word so far; head and tail are [prefix, alnum] of the open words at either end."""
+    """[counts of LINE, head, tail, open, last, first]: open is whether no blank was seen, head then is
+    the word so far; head and tail are [prefix, alnum] of the open words at either end; first and last
+    are visible characters."""
     pieces, none = s.split(), ["", 0]
     if not pieces:
-        return [[0] * len(LINE), none, none, not s, ""]
+        return [[0] * len(LINE), none, none, not s, "", ""]
     visible = letters = digits = words = word_chars = common = sentence = mixed = 0
     for a, b, c, d, e, f, g, h in map(PIECES.__getitem__, pieces):
         visible += a
@@ -131,7 +135,7 @@ def line_state(s: str) -> list:
     bits = [[p[:WORD_CAP], _alnum(p)] for p in ends]
     head = bits.pop(0) if left else none
     whole = left and right and len(pieces) == 1
-    return [[visible, letters, digits, words, word_chars, common, sentence, mixed], head, bits.pop() if bits else none, whole, pieces[-1][-1]]
+    return [[visible, letters, digits, words, word_chars, common, sentence, mixed], head, bits.pop() if bits else none, whole, pieces[-1][-1], pieces[0][0]]
 
 
 def _glue(a: list, b: list) -> list:
@@ -140,64 +144,102 @@ def _glue(a: list, b: list) -> list:
 
 def join_lines(a: list, b: list) -> list:
     """State of two stretches of one line, one after the other."""
-    counts, last = [x + y for x, y in zip(a[0], b[0], strict=True)], b[4] or a[4]
+    counts, last, first = [x + y for x, y in zip(a[0], b[0], strict=True)], b[4] or a[4], a[5] or b[5]
     if a[3] and b[3]:
-        return [counts, _glue(a[1], b[1]), ["", 0], True, last]
+        return [counts, _glue(a[1], b[1]), ["", 0], True, last, first]
     if a[3]:
-        return [counts, _glue(a[1], b[1]), b[2], False, last]
+        return [counts, _glue(a[1], b[1]), b[2], False, last, first]
     if b[3]:
-        return [counts, a[1], _glue(a[2], b[1]), False, last]
+        return [counts, a[1], _glue(a[2], b[1]), False, last, first]
     for k, v in enumerate(_word(*_glue(a[2], b[1]))):
         counts[3 + k] += v
-    return [counts, a[1], b[2], False, last]
+    return [counts, a[1], b[2], False, last, first]
 
 
-def _close(line: list, total: list) -> None:
-    """Add a finished line to the totals (the characters themselves are counted with the chunk)."""
+def _close(line: list, total: list) -> list:
+    """Add a finished line to the totals (the characters themselves are counted with the chunk); returns
+    it as paragraphs."""
     visible, letters, digits, words, word_chars, common, sentence, mixed = line[0]
     if not visible:
-        return
+        return [False, True, [0] * len(PARAGRAPH), None]
     for bit in (line[1], line[2]):
         w, c, m, s, x = _word(*bit)
         words, word_chars, common, sentence, mixed = words + w, word_chars + c, common + m, sentence + s, mixed + x
-    noise = visible - letters - digits > NOISE_SYMBOLS * visible or mixed > max(1, NOISE_MIXED * words)
-    prose = words >= PROSE_WORDS and sentence >= PROSE_SHARE * words and not noise
-    for k, v in enumerate((0, visible, letters, digits, words, word_chars, common, 1, int(line[4] in ENDS), int(prose), visible * prose)):
+    ended = line[4] in ENDS
+    for k, v in enumerate((0, visible, letters, digits, words, word_chars, common, 1, int(ended))):
         total[k] += v
+    if visible - letters - digits > NOISE_SYMBOLS * visible or mixed > max(1, NOISE_MIXED * words):
+        return [False, True, [0] * len(PARAGRAPH), None]
+    return [line[5].islower() or (ended and line[5].isalnum()), ended, [words, sentence, 1, visible], None]
+
+
+def _judge(paragraph: list, total: list) -> None:
+    """Add a finished paragraph to the totals if it is running text."""
+    words, sentence, lines, visible = paragraph
+    if words >= PROSE_WORDS and sentence >= PROSE_SHARE * words:
+        total[-2] += lines
+        total[-1] += visible
+
+
+def join_paragraphs(a: list | None, b: list | None, total: list) -> list | None:
+    """Paragraphs of neighbouring lines: [whether the first line can go on with a sentence, whether the
+    last line ends one, first paragraph, last paragraph or None if it is the first]. Those that are
+    finished go to the totals."""
+    if a is None or b is None:
+        return a or b
+    left, right = a[3] or a[2], b[2]
+    if b[0] and not a[1]:
+        both = [x + y for x, y in zip(left, right, strict=True)]
+        if a[3] is None:
+            return [a[0], b[1], both, b[3]]
+        if b[3] is None:
+            return [a[0], b[1], a[2], both]
+        _judge(both, total)
+        return [a[0], b[1], a[2], b[3]]
+    if a[3] is not None:
+        _judge(left, total)
+    if b[3] is not None:
+        _judge(right, total)
+    return [a[0], b[1], a[2], b[3] or right]
 
 
 def chunk_state(s: str) -> list:
-    """[totals of closed lines, first line, last line or None, whether it ends in CR]; the first line
-    is still open to the left, the last to the right; without a line end there is only the first."""
+    """[totals of closed lines, first line, last line or None, paragraphs of the lines between or None,
+    whether it starts with LF, whether it ends in CR]; the first line is still open to the left, the last
+    to the right; without a line end there is only the first."""
     lines = LINE_END.split(s)
-    total = [0] * len(COUNTS)
+    total, between = [0] * len(COUNTS), None
     total[0] = len(s)
     for x in lines[1:-1]:
-        _close(line_state(x), total)
-    return [total, line_state(lines[0]), line_state(lines[-1]) if len(lines) > 1 else None, s[-1:] == "\r"]
+        between = join_paragraphs(between, _close(line_state(x), total), total)
+    return [total, line_state(lines[0]), line_state(lines[-1]) if len(lines) > 1 else None, between, s[:1] == "\n", s[-1:] == "\r"]
 
 
 def join_chunks(a: list, b: list) -> list:
-    """State of two neighbouring stretches. A line end split between CR and LF only makes an empty
-    line, which counts for nothing."""
+    """State of two neighbouring stretches. A line end split between CR and LF makes no line."""
+    if not a[0][0] or not b[0][0]:
+        return a if a[0][0] else b
     total = [x + y for x, y in zip(a[0], b[0], strict=True)]
     if a[2] is None and b[2] is None:
-        return [total, join_lines(a[1], b[1]), None, b[3]]
+        return [total, join_lines(a[1], b[1]), None, None, a[4], b[5]]
     if a[2] is None:
-        return [total, join_lines(a[1], b[1]), b[2], b[3]]
-    middle = join_lines(a[2], b[1])
+        return [total, join_lines(a[1], b[1]), b[2], b[3], a[4], b[5]]
     if b[2] is None:
-        return [total, a[1], middle, b[3]]
-    _close(middle, total)
-    return [total, a[1], b[2], b[3]]
+        return [total, a[1], join_lines(a[2], b[1]), a[3], a[4], b[5]]
+    middle = None if a[5] and b[4] else _close(join_lines(a[2], b[1]), total)
+    between = join_paragraphs(join_paragraphs(a[3], middle, total), b[3], total)
+    return [total, a[1], b[2], between, a[4], b[5]]
 
 
 def finish(state: list) -> list:
-    """The totals with all lines closed."""
+    """The totals with all lines and paragraphs closed."""
     total = list(state[0])
-    _close(state[1], total)
+    found = join_paragraphs(_close(state[1], total), state[3], total)
     if state[2] is not None:
-        _close(state[2], total)
+        found = join_paragraphs(found, _close(state[2], total), total)
+    for paragraph in found[2:]:
+        if paragraph is not None:
+            _judge(paragraph, total)
     return total
 
 

@@ -97,3 +97,18 @@ def test_random_characters_are_no_running_text():
 @pytest.mark.parametrize("text", ["(A) competitor selling paper napkins wrote", "L'eau minérale gazeuse", "produits qu’il vend", "Kangaflon's owner wrote", "París y Lima mantienen", "Selling a 4x4 outside"])
 def test_plain_and_elided_letters_hold_sentences(text):
     assert share(text) == 1
+
+
+def test_wrapped_lines_belong_to_their_sentence():
+    wrapped = "Om die reden betwist de houder van Ginbeizol dat\nde lijst met zonnepanelen bijna hetzelfde klinkt\nals Lauprobraux."
+    assert share(wrapped) == share(wrapped.replace("\n", "\r\n")) == 1
+    assert 0 < share("The list is as follows:\nyoga mats\npet food") < 0.6
+    assert share("Kangaflon is known\n\nyoga mats and pet food") < 0.5
+
+
+def test_less_than_half_running_text_is_no_prose(spark):
+    prose = "The owner has explained that the names are alike."
+    goods = "* bottled spring water\n* sports shoes, yoga mats\n* dental floss"
+    d = spark.createDataFrame([("less", f"{prose}\n{goods}"), ("more", f"{prose * 2}\n{goods}")], "doc string, text string")
+    got = {r.doc: r for r in Q.text_quality(d, "doc", "text").collect()}
+    assert 0.4 < got["less"].prose_share < 0.5 and got["less"].prose is False and got["more"].prose is True
