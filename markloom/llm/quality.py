@@ -37,6 +37,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markloom.runtime import cut
+
 #: Words that join sentences, by language (our own choice); goods and names rarely hold them.
 SENTENCE_WORDS = frozenset(
     (
@@ -244,12 +246,12 @@ def finish(state: list) -> list:
 
 
 def text_counts(rows: DataFrame, key: str, text: str, chunk: int = 16_384, fan_in: int = 64) -> DataFrame:
-    """(key, COUNTS...), one row per row of ``rows`` with a key; ``key`` must be unique.
+    """(key, COUNTS...), one row per row of ``rows``; ``key`` may repeat or be null.
 
-    Texts within ``chunk`` characters are counted where they lie. Longer ones are cut, their chunks
-    spread over all tasks, and the states merged ``fan_in`` at a time.
+    Texts within ``chunk`` characters are counted where they lie. Longer ones are written down with an id
+    of their own and cut, their chunks spread over all tasks, and the states of an id merged ``fan_in`` at
+    a time.
     """
-    kind = rows.schema[key].dataType.simpleString()
     base = rows.select(F.col(key).alias("k"), F.col(text).alias("t"))
     short = base.filter(F.col("t").isNull() | (F.length("t") <= chunk))
     fields = ", ".join(f"{c} long" for c in COUNTS)
@@ -271,20 +273,21 @@ def text_counts(rows: DataFrame, key: str, text: str, chunk: int = 16_384, fan_i
         joined = states[0]
         for s in states[1:]:
             joined = join_chunks(joined, s)
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "i": [pdf["i"].min() // fan_in], "s": [json.dumps(joined)]})
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "i": [pdf["i"].min() // fan_in], "s": [json.dumps(joined)]})
 
-    long = base.filter(F.length("t") > chunk)
+    long = cut(base.filter(F.length("t") > chunk).withColumn("id", F.monotonically_increasing_id()))
     most = long.agg(F.max(F.length("t"))).first()[0]
     done = short.select("k", whole("t").alias("c")).select("k", "c.*")
     if most:
         places = F.sequence(F.lit(0), F.ceil(F.length("t") / chunk).cast("int") - 1)
-        cut = long.select("k", F.explode(F.transform(places, lambda i: F.struct(i.cast("long").alias("i"), F.substring(F.col("t"), i * chunk + 1, F.lit(chunk)).alias("t")))).alias("x"))
-        states = cut.select("k", "x.i", "x.t").repartition("k", "i").select("k", "i", partial("t").alias("s"))
+        chunks = long.select("id", F.explode(F.transform(places, lambda i: F.struct(i.cast("long").alias("i"), F.substring(F.col("t"), i * chunk + 1, F.lit(chunk)).alias("t")))).alias("x"))
+        states = chunks.select("id", "x.i", "x.t").repartition("id", "i").select("id", "i", partial("t").alias("s"))
         parts = -(-most // chunk)
         while parts > 1:
-            states = states.groupBy("k", F.floor(F.col("i") / fan_in).alias("g")).applyInPandas(merge, f"k {kind}, i long, s string")
+            states = states.groupBy("id", F.floor(F.col("i") / fan_in).alias("g")).applyInPandas(merge, "id long, i long, s string")
             parts = -(-parts // fan_in)
-        done = done.unionByName(states.select("k", closed("s").alias("c")).select("k", "c.*"))
+        counted = states.select("id", closed("s").alias("c")).join(long.select("id", "k"), "id")
+        done = done.unionByName(counted.select("k", "c.*"))
     return done.withColumnRenamed("k", key)
 
 

@@ -112,3 +112,12 @@ def test_less_than_half_running_text_is_no_prose(spark):
     d = spark.createDataFrame([("less", f"{prose}\n{goods}"), ("more", f"{prose * 2}\n{goods}")], "doc string, text string")
     got = {r.doc: r for r in Q.text_quality(d, "doc", "text").collect()}
     assert 0.4 < got["less"].prose_share < 0.5 and got["less"].prose is False and got["more"].prose is True
+
+
+def test_repeated_and_null_keys_keep_their_rows(spark):
+    texts = ["the cat is here\n" * 4, "x9; ~~ word.\r\n" * 5, "the cat is here\n" * 4, "a short one"]
+    rows = [(k, t) for k in (7, None) for t in texts]
+    d = spark.createDataFrame(rows, "doc int, text string").repartition(3)
+    got = [tuple(r) for r in Q.text_counts(d, "doc", "text", chunk=11, fan_in=2).collect()]
+    want = [(k, *Q.finish(Q.chunk_state(t))) for k, t in rows]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
