@@ -103,13 +103,15 @@ def _members(rows: DataFrame, key: str, values: Column) -> DataFrame:
     return sets.withColumn("sid", F.unhex(F.md5(F.array_join("values", "\x01"))))
 
 
-def similar_sets(left: DataFrame, right: DataFrame | None, t: float, small: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Distinct sets (sid, values, left, right) and pairs (a, b, shared, similarity) of different sets."""
+def similar_sets(left: DataFrame, right: DataFrame | None, t: float, small: int = 6, large: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets (sid, values, left, right) and pairs (a, b, shared, similarity) of different sets;
+    without ``large`` of those of at most ``small`` values."""
     rows = left.select("sid", "values", F.lit(True).alias("left"), F.lit(right is None).alias("right"))
     if right is not None:
         rows = rows.unionByName(right.select("sid", "values", F.lit(False).alias("left"), F.lit(True).alias("right")))
     sets = cut(rows.groupBy("sid").agg(F.first("values").alias("values"), F.max("left").alias("left"), F.max("right").alias("right")))
-    met = _small_pairs(sets, t, small).unionByName(_large_pairs(sets, t, small)).distinct()
+    met = _small_pairs(sets, t, small)
+    met = (met.unionByName(_large_pairs(sets, t, small)) if large else met).distinct()
     va, vb = sets.select(F.col("sid").alias("a"), F.col("values").alias("va")), sets.select(F.col("sid").alias("b"), F.col("values").alias("vb"))
     both = met.join(va, "a").join(vb, "b").withColumn("shared", F.size(F.array_intersect("va", "vb")))
     pairs = both.withColumn("similarity", _similarity(F.col("shared"), F.col("va"), F.col("vb"))).filter(F.col("similarity") >= t)
@@ -146,27 +148,35 @@ def overlap_pairs_between(left: DataFrame, left_key: str, left_values: Column, r
     """(key_a, key_b) of all pairs of a left and a right record with similarity >= t.
 
     While the right side has at most MAX_POSTINGS postings (counted first) its inverted lists are
-    broadcast and each left set scans them where it lies, without a shuffle. Beyond, both sides go
-    through the distributed join.
+    broadcast and each left set scans them where it lies, without a shuffle, for the pairs with a large
+    set; two small sets meet by their subsets. Beyond, both sides go through the distributed join.
     """
     lm, rm = _members(left, left_key, left_values), _members(right, right_key, right_values)
     ordered = lambda x, y: (F.least(x, y).alias("key_a"), F.greatest(x, y).alias("key_b"))
     n = rm.agg(F.sum(F.size("values"))).first()[0] or 0
     if n > MAX_POSTINGS:
-        lm, rm = cut(lm.distinct()), cut(rm.distinct())
-        _, pairs = similar_sets(lm, rm, t, small)
-        sids = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        sids = sids.unionByName(lm.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct())
-        x, y = lm.select(F.col("sid").alias("a"), F.col("key").alias("x")), rm.select(F.col("sid").alias("b"), F.col("key").alias("y"))
-        return sids.join(x, "a").join(y, "b").filter("x <> y").select(*ordered("x", "y")).distinct()
+        return _joined(lm, rm, t, small).filter("x <> y").select(*ordered("x", "y")).distinct()
     index = left.sparkSession.sparkContext.broadcast(_index(rm.select("key", "values").distinct().collect()))
     sizes = index.value["sizes"] or [0]
     low, high = math.ceil(t * min(sizes) - EPS), math.floor(max(sizes) / t + EPS)
     fit = lm.filter(F.size("values").between(low, high)).select("key", "values")
-    found = fit.mapInArrow(lambda batches: _scan(batches, index.value, t), "x string, y string")
+    found = fit.mapInArrow(lambda batches: _scan(batches, index.value, t, small), "x string, y string")
+    if min(sizes) <= small:
+        few = lambda m: m.filter(F.size("values").between(low, small))
+        found = found.unionByName(_joined(few(lm), few(rm), t, small, large=False))
     return found.filter("x <> y").select(*ordered("x", "y")).distinct()
 
 
+def _joined(lm: DataFrame, rm: DataFrame, t: float, small: int, large: bool = True) -> DataFrame:
+    """(x, y): left and right keys of similar or equal sets, by the distributed join."""
+    lm, rm = cut(lm.distinct()), cut(rm.distinct())
+    _, pairs = similar_sets(lm, rm, t, small, large)
+    sids = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sids = sids.unionByName(lm.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct())
+    x, y = lm.select(F.col("sid").alias("a"), F.col("key").alias("x")), rm.select(F.col("sid").alias("b"), F.col("key").alias("y"))
+    return sids.join(x, "a").join(y, "b").select("x", "y")
+
+
 def _index(rows: list) -> dict:
     lists: dict[str, list[int]] = {}
     for i, r in enumerate(rows):
@@ -175,8 +185,9 @@ def _index(rows: list) -> dict:
     return {"keys": [r["key"] for r in rows], "sets": [frozenset(r["values"]) for r in rows], "sizes": [len(r["values"]) for r in rows], "lists": lists}
 
 
-def _scan(batches, index: dict, t: float):
-    """Each set probes its rarest values: so many that a qualifying partner must be in their lists."""
+def _scan(batches, index: dict, t: float, small: int):
+    """Each set probes its rarest values: so many that a qualifying partner must be in their lists. Pairs
+    of two small sets are left out."""
     import pyarrow as pa
 
     lists, sets, sizes, keys = index["lists"], index["sets"], index["sizes"], index["keys"]
@@ -194,7 +205,7 @@ def _scan(batches, index: dict, t: float):
                 seen.update(lists[v])
             for i in seen:
                 b = sizes[i]
-                if b >= a * t - EPS and a >= b * t - EPS:
+                if max(a, b) > small and b >= a * t - EPS and a >= b * t - EPS:
                     shared = len(own & sets[i])
                     if shared / (a + b - shared) >= t:
                         xs.append(key)

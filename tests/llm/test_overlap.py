@@ -62,3 +62,11 @@ def test_large_and_empty(spark):
     assert O.overlap_pairs(frame(spark, []), "k", c, 0.6).count() == 0
     assert O.overlap_pairs_between(frame(spark, rows), "k", c, frame(spark, []), "k", c, 0.5).count() == 0
     assert O.overlap_pairs_between(frame(spark, []), "k", c, frame(spark, rows), "k", c, 0.5).count() == 0
+
+
+def test_small_sets_of_two_tables_meet_by_subsets(spark, monkeypatch):
+    left, right = [("l", ["a", "b", "c"]), ("m", list("abcdefgh"))], [("r", ["b", "c"]), ("s", ["a", "b", "c"]), ("t", list("bcdefgh"))]
+    c, by_subsets, real = O.clean_set(F.col("s")), [], O._small_pairs
+    monkeypatch.setattr(O, "_small_pairs", lambda sets, t, small: by_subsets.append(small) or real(sets, t, small))
+    got = {tuple(r) for r in O.overlap_pairs_between(frame(spark, left), "k", c, frame(spark, right), "k", c, 0.5).collect()}
+    assert got == {("l", "r"), ("l", "s"), ("m", "t")} and by_subsets == [6]
