@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markloom.runtime import fresh_name
+from markloom.runtime import cut, fresh_name
 
 #: Items are taken in blocks of so many n-grams, so that the broadcast set is bounded on any input.
 MAX_GRAMS = 2_000_000
@@ -108,12 +108,44 @@ def leaked_items(docs: DataFrame, doc_key: str, text: str, items: DataFrame, ite
 def remove_leaks(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, n: int = 13, drop_share: float = 0.5) -> DataFrame:
     """``docs`` with leaking spans cut out of ``text``; a document of which more than ``drop_share`` of
     the words leaks is removed. Texts without a hit come back unchanged, character by character."""
-    result, mark = docs, fresh_name(docs, "leak")
-    for block in _blocks(items, item_key, item_text, n):
-        clean = _cleaner(docs.sparkSession.sparkContext.broadcast(gram_index(block, n)), n)
-        marked = result.withColumn(mark, clean(F.col(text)))
-        result = marked.filter(F.col(mark)["share"] <= drop_share).withColumn(text, F.col(mark)["kept"]).drop(mark)
-    return result
+    blocks, mark = list(_blocks(items, item_key, item_text, n)), fresh_name(docs, "leak")
+    clean = lambda rows, c: _kept(rows.withColumn(mark, c), text, mark, drop_share).select(*docs.columns)
+    if len(blocks) == 1:
+        return clean(docs, _cleaner(docs.sparkSession.sparkContext.broadcast(gram_index(blocks[0], n)), n)(F.col(text)))
+    # The places of all blocks are found in the text as it was, one block after the other in memory.
+    row = fresh_name(docs, "row")
+    known = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = None
+    for block in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(gram_index(block, n))
+        at = _finder(shared, n)(F.col("t"))
+        part = cut(known.select(F.col(row).alias("id"), F.col(text).alias("t")).select("id", at.alias("at")).filter(F.size("at") > 0))
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    places = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(mark)).withColumnRenamed("id", row)
+    marked = known.join(places, row, "left")
+    return clean(marked, _cutter(F.col(text), F.col(mark)))
+
+
+def _kept(marked: DataFrame, text: str, mark: str, drop_share: float) -> DataFrame:
+    return marked.filter(F.col(mark)["share"] <= drop_share).withColumn(text, F.col(mark)["kept"])
+
+
+def _finder(shared, n: int):
+    @F.pandas_udf("array<int>")
+    def find(values: pd.Series) -> pd.Series:
+        grams, known = shared.value
+        return pd.Series([[] if v is None else sorted(leaking_places(words(v), grams, known, n)) for v in values], dtype=object)
+
+    return find
+
+
+def _cutter(texts, places):
+    @F.pandas_udf("kept string, share double")
+    def clean(values: pd.Series, at: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(v, 0.0) if v is None or p is None else cut_places(v, set(p)) for v, p in zip(values, at, strict=True)], columns=["kept", "share"])
+
+    return clean(texts, places)
 
 
 def _cleaner(shared, n: int):
@@ -125,12 +157,19 @@ def _cleaner(shared, n: int):
     return clean
 
 
+def leaking_places(w: list[str], grams: dict, known: frozenset, n: int) -> set[int]:
+    return {i for at, _ in hits(w, grams, known, n) for i in range(at, at + n)}
+
+
 def cut_spans(value: str | None, grams: dict, known: frozenset, n: int) -> tuple[str | None, float]:
     """The text without leaking windows, and the share of its words that leaked."""
     if value is None:
         return None, 0.0
-    w = words(value)
-    places = {i for at, _ in hits(w, grams, known, n) for i in range(at, at + n)}
+    return cut_places(value, leaking_places(words(value), grams, known, n))
+
+
+def cut_places(value: str, places: set[int]) -> tuple[str, float]:
+    """The text without the words at these places, and their share of all words."""
     if not places:
         return value, 0.0
     out, last, k = [], 0, -1
@@ -141,4 +180,4 @@ def cut_spans(value: str | None, grams: dict, known: frozenset, n: int) -> tuple
                 out.append(value[last : piece.start()] if (k - 1) not in places else "")
                 last = piece.end()
     out.append(value[last:])
-    return "".join(out), len(places) / len(w)
+    return "".join(out), len(places) / (k + 1)

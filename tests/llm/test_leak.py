@@ -51,3 +51,16 @@ def test_clashing_names(spark):
     i = spark.createDataFrame([(7, ITEM)], "id bigint, text string")
     assert [tuple(r) for r in L.leaked_items(d, "id", "text", i, "id", "text").collect()] == [(1, 7, 20)]
     assert L.remove_leaks(d, "text", i, "id", "text", drop_share=1.0).columns == d.columns
+
+
+@pytest.mark.parametrize("most", [10, 10**6])
+def test_blocks_are_cut_and_judged_together(spark, most, monkeypatch):
+    monkeypatch.setattr(L, "MAX_GRAMS", most)
+    name = lambda c, n: [f"{c}{i}" for i in range(n)]
+    a, b, own = name("a", 15), name("b", 15), name("o", 20)
+    over = name("p", 10) + name("q", 10)
+    items = [" ".join(a), " ".join(b), " ".join(over[:15]), " ".join(over[5:])]
+    docs = [" ".join(a + own + b), " ".join(name("x", 40) + over + name("y", 9)), None, "nothing  here"]
+    d, i = frames(spark, docs, items)
+    got = {r.doc: r.text for r in L.remove_leaks(d, "text", i, "item", "text").collect()}
+    assert got == {1: " ".join(name("x", 40)) + "  " + " ".join(name("y", 9)), 2: None, 3: "nothing  here"}
