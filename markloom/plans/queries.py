@@ -225,6 +225,12 @@ def retrieve_trigram_share(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+def retrieve_trigram_share_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the operator's own least share on."""
+    hits = R.trigram_containment(_watch_keys(spark, sf), "keys", R.trigram_table(_marks_with_folds(spark, sf)))
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 def retrieve_phonetic(spark: SparkSession, sf: str) -> DataFrame:
     marks, asked = _marks_with_folds(spark, sf), _watch_keys(spark, sf)
     spoken = marks.select("id", F.coalesce(F.nullif(F.col("r.diacritics_folded"), F.lit("")), F.col("r.compact")).alias("t"))
@@ -405,7 +411,7 @@ QUERIES = {
     for f in (
         fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, plain_scores, token_hypotheses, weighted_edits, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages,
         status_groups, source_hashes, intake_marks, delivery_actions, register_after_upsert, purge_statuses, marks_to_preprocess, preprocess_marks,
-        retrieve_exact, retrieve_trigram, retrieve_trigram_share, retrieve_phonetic, retrieve_nysiis, cap_strategies, unite_candidates, reserve_core_places, fetch_hits, corpus_ready, names_of_input,
+        retrieve_exact, retrieve_trigram, retrieve_trigram_share, retrieve_trigram_share_all, retrieve_phonetic, retrieve_nysiis, cap_strategies, unite_candidates, reserve_core_places, fetch_hits, corpus_ready, names_of_input,
         class_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, scan_all_rows, scan_by_keys,
     )
 }

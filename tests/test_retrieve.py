@@ -65,3 +65,10 @@ def test_rank_and_families(ranked):
     keyed = ranked.withColumn("family", family_key(F.lower(F.regexp_replace("name", "[^A-Za-z]", "")), F.col("owner"), F.col("id")))
     got = [(r.id, r.member_count) for r in families(keyed, ["q"]).orderBy("position").collect()]
     assert got == [("b", 1), ("a", 2), ("d", 1), ("e", 1)]
+
+
+def test_share_query_reaches_down_to_the_default(spark, sf):
+    from markloom.plans import queries as P
+
+    some, every = ({tuple(r) for r in P.QUERIES[q](spark, sf).collect()} for q in ("retrieve_trigram_share", "retrieve_trigram_share_all"))
+    assert {r for r in every if r[2] >= 0.5} == some and any(0.15 <= r[2] < 0.3 for r in every) and min(r[2] for r in every) >= 0.15
