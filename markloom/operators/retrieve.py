@@ -82,11 +82,13 @@ def trigram_containment(queries: DataFrame, keys: str, table: DataFrame, least:
     return found.groupBy("query_id", "id").agg(F.max("score").alias("score")).filter(F.col("score") >= least)
 
 
-def cap_hits(hits: DataFrame, order: list[Column], cap: Column, keys: list[str] = ["query_id", "strategy"]) -> DataFrame:  # noqa: B006
+def cap_hits(hits: DataFrame, order: list[Column], cap: Column, keys: list[str] = ["query_id", "strategy"], most: int | None = None) -> DataFrame:  # noqa: B006
     """The first ``cap`` hits of each query and strategy with rank, count before the cap and whether it
-    was reached."""
+    was reached. Where ``cap`` is a column, ``most`` may name a bound that it never exceeds, so that hits
+    beyond are dropped before the exchange; without it any cap is kept to."""
     counts = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("pre_cap"))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= S.LAST_CAP).filter(F.col("rank") <= cap)
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    ranked = (ranked if most is None else ranked.filter(F.col("rank") <= most)).filter(F.col("rank") <= cap)
     return ranked.join(counts, keys).withColumn("cap_reached", F.col("pre_cap") > cap)
 
 

@@ -210,13 +210,13 @@ def _scan_keys(spark: SparkSession, sf: str) -> DataFrame:
 def retrieve_exact(spark: SparkSession, sf: str) -> DataFrame:
     marks, asked = _marks_with_folds(spark, sf), _scan_keys(spark, sf)
     hits = R.key_hits(asked, "keys", R.exact_key_table(marks), "exact_forms").join(marks.select("id", "mark_text"), "id").join(asked.select("query_id", "cap"), "query_id")
-    return R.cap_hits(hits, [F.col("mark_text"), F.col("id")], F.col("cap")).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), "pre_cap")
+    return R.cap_hits(hits, [F.col("mark_text"), F.col("id")], F.col("cap"), most=S.LAST_CAP).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), "pre_cap")
 
 
 def retrieve_trigram(spark: SparkSession, sf: str) -> DataFrame:
     marks, asked = _marks_with_folds(spark, sf), _watch_keys(spark, sf)
     hits = R.trigram_hits(asked, "keys", R.trigram_table(marks)).join(asked.select("query_id", "cap"), "query_id")
-    capped = R.cap_hits(hits.withColumn("score", F.round("score", 6)), [F.col("score").desc(), F.col("id")], F.col("cap"))
+    capped = R.cap_hits(hits.withColumn("score", F.round("score", 6)), [F.col("score").desc(), F.col("id")], F.col("cap"), most=S.LAST_CAP)
     return capped.select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"), "pre_cap")
 
 
@@ -236,7 +236,7 @@ def retrieve_phonetic(spark: SparkSession, sf: str) -> DataFrame:
     spoken = marks.select("id", F.coalesce(F.nullif(F.col("r.diacritics_folded"), F.lit("")), F.col("r.compact")).alias("t"))
     names = phonetic_keys(asked.select("query_id", F.get("keys", F.lit(0)).alias("t")), "query_id", "t").groupBy("query_id").agg(F.collect_set("key").alias("sound_keys"))
     hits = R.sound_hits(names, phonetic_keys(spoken, "id", "t")).join(marks.select("id", "mark_text"), "id").join(asked.select("query_id", "cap"), "query_id")
-    return R.cap_hits(hits, [F.col("mark_text"), F.col("id")], F.col("cap")).select("query_id", "id", "rank", "pre_cap")
+    return R.cap_hits(hits, [F.col("mark_text"), F.col("id")], F.col("cap"), most=S.LAST_CAP).select("query_id", "id", "rank", "pre_cap")
 
 
 def retrieve_nysiis(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.functions.lexicons import STRATEGIES
+from markloom.functions.lexicons import LAST_CAP, STRATEGIES
 from markloom.functions.scalars import _stem_only, jaro_winkler
 from markloom.functions.strings import strategy_cap, trim_blanks
 from markloom.operators import retrieve as R
@@ -132,7 +132,7 @@ def logical_scan(names: DataFrame, corpus: DataFrame) -> DataFrame:
     queries = cut(propose(names))
     marks = cut(represent(corpus.filter(F.length(trim_blanks(F.col("mark_text"))) > 0)))
     hits = channel_hits(queries, marks).join(queries.select("query_id", strategy_cap(F.length("r.compact")).alias("cap")), "query_id")
-    capped = R.cap_hits(hits, [F.col("score").desc(), F.col("id")], F.col("cap"))
+    capped = R.cap_hits(hits, [F.col("score").desc(), F.col("id")], F.col("cap"), most=LAST_CAP)
     return results(assess(R.unite(capped), queries, marks))
 
 
@@ -154,10 +154,10 @@ def index_hits(queries: DataFrame, marks: DataFrame, keys: dict[str, DataFrame],
     named = marks.select("id", "mark_text")
     exact = R.key_hits(queries, "exact_keys", keys["exact"], "exact_forms").unionByName(R.key_hits(queries, "translit_keys", keys["exact"], "transliteration"))
     equal = exact.unionByName(R.sound_hits(queries, keys["phonetic"])).join(named, "id").join(caps, "query_id")
-    equal = R.cap_hits(equal, [F.col("mark_text"), F.col("id")], F.col("cap")).select("query_id", "id", "strategy", "score", "rank")
+    equal = R.cap_hits(equal, [F.col("mark_text"), F.col("id")], F.col("cap"), most=LAST_CAP).select("query_id", "id", "strategy", "score", "rank")
     full, core = (R.trigram_hits(queries, k, keys["trigram"], least).join(caps, "query_id") for k in ("full_grams", "core_grams"))
     similar = R.reserve_core(full, core, F.col("cap"))
-    similar = R.cap_hits(similar, [F.col("score").desc(), F.col("id")], F.col("cap")).select("query_id", "id", "strategy", "score", "rank")
+    similar = R.cap_hits(similar, [F.col("score").desc(), F.col("id")], F.col("cap"), most=LAST_CAP).select("query_id", "id", "strategy", "score", "rank")
     return equal.unionByName(similar)
 
 

@@ -72,3 +72,11 @@ def test_share_query_reaches_down_to_the_default(spark, sf):
 
     some, every = ({tuple(r) for r in P.QUERIES[q](spark, sf).collect()} for q in ("retrieve_trigram_share", "retrieve_trigram_share_all"))
     assert {r for r in every if r[2] >= 0.5} == some and any(0.15 <= r[2] < 0.3 for r in every) and min(r[2] for r in every) >= 0.15
+
+
+def test_caps_beyond_the_last_cap_are_kept_to(spark):
+    h = spark.range(400).selectExpr("'q' AS query_id", "'x' AS strategy", "id", "CAST(id AS double) AS score", "200 AS own")
+    for cap in (F.lit(200), F.col("own")):
+        got = R.cap_hits(h, [F.col("score").desc()], cap).collect()
+        assert len(got) == 200 and all(r.cap_reached and r.pre_cap == 400 for r in got)
+    assert len(R.cap_hits(h, [F.col("score").desc()], F.lit(500)).collect()) == 400
