@@ -21,10 +21,11 @@ def versions() -> dict[str, str]:
     return dict(VERSIONS)
 
 
-def compare_pairs(pairs: DataFrame, proposed: str = "proposed", candidate: str = "candidate", locale: str = "en") -> DataFrame:
-    """Features, evidence, score and explanations of each row's two texts."""
+def compare_pairs(pairs: DataFrame, proposed: str = "proposed", candidate: str = "candidate", locale: str = "en", proposed_classes: str | None = None, candidate_classes: str | None = None) -> DataFrame:
+    """Features, evidence, score and explanations of each row's two texts; the class columns, where
+    named, are array<int> and enter the features of the goods."""
     both = represent(represent(pairs, proposed).withColumnRenamed("r", "p"), candidate).withColumnRenamed("r", "c")
-    seen = cut(with_features(both).drop("p", "c", "metrics"))
+    seen = cut(with_features(both, left_classes=proposed_classes, right_classes=candidate_classes).drop("p", "c", "metrics"))
     return with_score(seen).withColumn("explanations", explain(F.col("evidence_codes"), F.col(proposed), F.col(candidate), locale))
 
 

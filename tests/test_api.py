@@ -28,3 +28,12 @@ def test_plain_score(spark):
     rows = {r.a: r for r in with_plain_score(spark.createDataFrame([("luna ", "LUNA"), ("", ""), ("martha", "marhta")], "a string, b string"), "a", "b").collect()}
     assert rows["luna "].combined == 1 and rows["luna "].band == "critical" and rows[""].exact == 0
     assert rows["martha"].jaro == pytest.approx(0.9444) and rows["martha"].band == "strong"
+
+
+def test_pairs_with_classes(spark):
+    d = spark.createDataFrame([("LUNARIS", "LUNATEK", [9, 25], [25]), ("LUNARIS", "LUNATEX", None, [25])], "proposed string, candidate string, ours array<int>, theirs array<int>")
+    plain = {r.candidate: r for r in api.compare_pairs(d).collect()}
+    got = {r.candidate: r for r in api.compare_pairs(d, proposed_classes="ours", candidate_classes="theirs").collect()}
+    overlap = lambda r: r.features.goodsServices.niceClassOverlap or 0
+    assert overlap(plain["LUNATEK"]) == 0 and overlap(got["LUNATEK"]) > 0 and overlap(got["LUNATEX"]) == 0
+    assert got["LUNATEK"].score.score != plain["LUNATEK"].score.score and got["LUNATEX"].score.score == plain["LUNATEX"].score.score
