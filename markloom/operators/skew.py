@@ -7,30 +7,52 @@ from pyspark.sql import functions as F
 
 from markloom.runtime import cut
 
-#: At most this many keys can be called hot, whatever the input: see ``lookup_join``.
-MAX_HOT_KEYS = 2000
+#: So many rows of one key may meet in one task, whatever the size of the input.
+ROWS_OF_A_KEY = 1_000_000
 
+#: Heat of keys is kept by so many hash buckets, so that its table never outgrows them.
+HEAT_BUCKETS = 65_536
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, hot_rows: int = 100_000) -> DataFrame:
-    """Inner join of many ``rows`` with one ``lookup`` row per key, safe for hot keys.
 
-    ``weight`` is the lookup column that says how many rows carry the key. A key is hot from
-    ``max(hot_rows, total / MAX_HOT_KEYS)`` rows on, so there are never more than MAX_HOT_KEYS of
-    them and their lookup rows are broadcast; rows of hot keys stay where they are. All other keys
-    go through a shuffle join, where no key has more rows than the threshold. Null keys match
-    nothing.
+def split_join(
+    a: DataFrame, b: DataFrame, keys: list[str], counts: DataFrame, in_a: str, in_b: str | None = None, limit: int = ROWS_OF_A_KEY
+) -> DataFrame:
+    """Inner join of ``a`` and ``b`` in which no task gets more than about ``limit`` rows of a key from either.
+
+    ``counts`` has the keys and the columns ``in_a`` and ``in_b`` that say how many rows of either table
+    carry them (without ``in_b`` the rows of ``b`` are few for every key). A key beyond the limit is cut into
+    blocks on either side, by a hash of the whole row so that a task that runs again does the same, and each
+    block of one side meets each of the other. How many blocks a key has is looked up by its hash bucket,
+    the hottest key of which counts; that table has at most HEAT_BUCKETS rows and is broadcast. Null keys
+    match nothing.
     """
-    total = lookup.agg(F.sum(weight)).first()[0] or 0
-    limit = max(hot_rows, total / MAX_HOT_KEYS)
-    if total <= hot_rows:
-        return rows.join(lookup, keys)
-    hot = lookup.filter(F.col(weight) >= limit)
-    cold = lookup.filter(F.col(weight) < limit)
-    names = F.broadcast(hot.select(*keys))
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(names, keys, "left_anti").join(cold, keys))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(HEAT_BUCKETS)).cast("int").alias("_bucket")
+    n = F.ceil(F.col(in_a) / limit)
+    m = F.ceil(F.col(in_b) / limit) if in_b else F.lit(1)
+    hot = counts.filter((n > 1) | (m > 1)).groupBy(bucket).agg(F.max(n).cast("int"), F.max(m).cast("int")).collect()
+    if not hot:
+        return a.join(b, keys)
+    heat = F.broadcast(a.sparkSession.createDataFrame([tuple(r) for r in hot], "_bucket int, _n int, _m int"))
+
+    def blocks(d: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        placed = d.select("*", bucket).join(heat, "_bucket", "left").fillna(1, ["_n", "_m"])
+        block = F.pmod(F.xxhash64(*[placed[c] for c in d.columns]), F.col(own)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return placed.withColumn(mine, block).withColumn(theirs, copies).drop("_bucket", "_n", "_m")
+
+    met = blocks(a, "_n", "_m", "_i", "_j").join(blocks(b, "_m", "_n", "_j", "_i"), [*keys, "_i", "_j"])
+    return met.drop("_i", "_j")
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, hot_rows: int = ROWS_OF_A_KEY) -> DataFrame:
+    """Inner join of many ``rows`` with one ``lookup`` row per key, whose column ``weight`` says how many
+    rows carry the key. The lookup row of a hot key is copied to every block of its rows."""
+    return split_join(rows, lookup, keys, lookup, weight, limit=hot_rows)
 
 
-def running_count(values: DataFrame, group: list[str], order: list[Column], weight: Column, out: str, total: str | None = None, buckets: int = 0) -> DataFrame:
+def running_count(
+    values: DataFrame, group: list[str], order: list[Column], weight: Column, out: str, total: str | None = None, buckets: int = 0
+) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all earlier rows of the group, the row itself left out.
 
     With ``total`` a column of that name gets the sum over the whole group.

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,15 +16,20 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    single machine) a folder of our own is made and set as the checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all executors are
+    threads of this process (tests, a single machine) a folder of our own is made, set as the
+    checkpoint folder and deleted at the end of the process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="markloom-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        made = tempfile.mkdtemp(prefix="markloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        own = "file://" + made
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
 
@@ -33,8 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, deleted at the end of the process if Spark still runs then."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(remove_path, spark, path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system; nothing happens where it or the session is gone."""
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

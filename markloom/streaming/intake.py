@@ -9,21 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from markloom.operators.incremental import IncrementalState, latest
-
-
-def stream_changes(deliveries: DataFrame, spark: SparkSession, state_path: str, checkpoint: str, key: str, hash_col: str, order: list[Column], process: Callable[[DataFrame], None]) -> StreamingQuery:
+from markloom.runtime import fresh_name
+
+
+def stream_changes(
+    deliveries: DataFrame,
+    spark: SparkSession,
+    state_path: str,
+    checkpoint: str,
+    key: str,
+    hash_col: str,
+    order: list[Column],
+    process: Callable[[DataFrame], None],
+) -> StreamingQuery:
     """Run ``process`` over the new or changed rows of every micro-batch of ``deliveries``.
 
-    Within a batch the greatest row by ``order`` counts. The state advances only after ``process``
-    returned; a batch that is repeated after a failure finds its rows unchanged if they were
-    committed, and due again if they weren't. Takes what is available, then stops.
+    Of a key the greatest row by ``order`` counts, within a batch and over all batches: the state keeps
+    the order of the row it has, and an older delivery that comes late is no change. The state advances
+    only after ``process`` returned; a batch that is repeated after a failure finds its rows unchanged if
+    they were committed, and due again if they weren't. Takes what is available, then stops.
     """
     kinds = dict(deliveries.dtypes)
-    payload = {c: F.col(c) for c in deliveries.columns if c != key}
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    age = fresh_name(deliveries, "age")
+    kind = deliveries.select(rank.alias("o")).dtypes[0][1]
+    payload = {c: F.col(c) for c in deliveries.columns if c != key} | {age: F.col(age)}
 
     def one(batch: DataFrame, _: int) -> None:
-        current = latest(batch, [key], order, payload)
-        IncrementalState(spark, state_path, [(key, kinds[key])]).run(current, hash_col, process)
+        current = latest(batch.withColumn(age, rank), [key], [F.col(age)], payload)
+        state = IncrementalState(spark, state_path, [(key, kinds[key])], order=(age, kind))
+        state.run(current, hash_col, lambda due: process(due.drop(age)))
 
     return deliveries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

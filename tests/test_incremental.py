@@ -112,3 +112,54 @@ def test_due_rows_match_the_definition(spark):
     none = due_after_runs(m, r.limit(0), scratch_path(spark, "due"))
     assert {tuple(x) for x in none.collect()} == brute(marks, [])
     assert due_after_runs(m.limit(0), r, scratch_path(spark, "due")).count() == 0
+
+
+def test_a_call_on_a_state_left_by_an_earlier_one_stages_the_difference(spark):
+    marks = [(f"t{i:02}", "a", hour(i), hour(i)) for i in range(10)]
+    run = lambda h: ("completed", f'{{"mapped_at": {int(hour(h).timestamp() * 1000)}}}', hour(40))
+    frame = lambda ms: spark.createDataFrame(ms, "id string, source_hash string, mapped_at timestamp, created_at timestamp")
+    log = lambda *hs: spark.createDataFrame([run(h) for h in hs], "status string, checkpoint string, started_at timestamp")
+    path = scratch_path(spark, "due")
+    assert sorted(r.id for r in due_after_runs(frame(marks), log(3), path).collect()) == [f"t{i:02}" for i in range(4, 10)]
+    more = [*marks, ("t01", "b", hour(5), hour(5)), ("t02", "b", hour(20), hour(20))]
+    assert sorted(r.id for r in due_after_runs(frame(more), log(3, 7), path).collect()) == ["t02", "t08", "t09"]
+    parts = IncrementalState(spark, path, [("id", "string")]).pointer()["parts"]
+    assert [spark.read.parquet(f"{path}/{p}").count() for p in parts] == [4, 5]
+
+
+def test_one_of_many_runs_wins_a_version(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = IncrementalState(spark, scratch_path(spark, "t"), KEYS)
+    base = s.pointer()
+    parts = [s.stage(rows(spark, [(f"k{i}", "1")]), "h", base) for i in range(4)]
+
+    def commit(part):
+        try:
+            s._publish({"version": 1, "parts": [part]})
+        except StateConflict:
+            return None
+        return part
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [p for p in pool.map(commit, parts) if p]
+    assert len(won) == 1 and s.pointer() == {"version": 1, "parts": won}
+
+
+def test_vacuum_deletes_what_no_version_uses(spark):
+    s = IncrementalState(spark, scratch_path(spark, "t"), KEYS, compact_after=1)
+    for i in range(4):
+        taken(s, rows(spark, [("a", str(i))]))
+    dead = s.stage(rows(spark, [("x", "1")]), "h", s.pointer())
+    assert s.vacuum() == []
+    gone = s.vacuum(older_than_s=0)
+    assert dead in gone and len(gone) > 3 and [r.state_hash for r in s.read().collect()] == ["3"]
+    assert taken(s, rows(spark, [("a", "9")])) == [("a", "9")]
+
+
+def test_a_late_older_row_is_no_change(spark):
+    s = IncrementalState(spark, scratch_path(spark, "t"), KEYS, order=("o", "int"))
+    frame = lambda d: spark.createDataFrame(d, "k string, h string, o int")
+    assert taken(s, frame([("a", "new", 5)])) == [("a", "new")]
+    assert taken(s, frame([("a", "old", 3), ("b", "1", None)])) == [("b", "1")]
+    assert taken(s, frame([("a", "newer", 6), ("b", "2", 1)])) == [("a", "newer"), ("b", "2")]
