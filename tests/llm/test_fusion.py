@@ -98,3 +98,34 @@ def test_nulls_nan_and_empty(spark):
     got = {r.i: r for r in fuse(frame(spark, rows), "g", "i", cols()).collect()}
     assert set(got) == {"a", "b"} and got["a"].a_pct is None and got["a"].place == 1
     assert fuse(frame(spark, []), "g", "i", cols()).count() == 0 and clear_winners(frame(spark, []), "g", "i", cols(), 3).count() == 0
+
+
+def test_even_split_is_the_least_mean():
+    """Nothing that the winner may lose brings its mean of quantiles below the floor of the short list."""
+    inv = NormalDist().inv_cdf
+    for n in [*range(3, 24), 200, 5000]:
+        floor = inv(1 - ((n - 1) / 4 + 0.5) / n)
+        z = lambda x: inv(1 - (x + 0.5) / n)  # noqa: B023, E731
+        step = 0.5 if n < 24 else (n - 1) / 24
+        halves = range(int((n - 1) / step) + 1)
+        for a in halves:
+            for b in halves[a:]:
+                for c in halves[b:]:
+                    d = (n - 1) / step - a - b - c
+                    if d >= c:
+                        assert (z(a * step) + z(b * step) + z(c * step) + z(d * step)) / 4 >= floor - 1e-9, (n, a, b, c, d)
+
+
+def test_generated_code_stays_within_a_method(spark):
+    """Each span of generated code compiles, with methods that the JVM will compile further."""
+    import re
+
+    rows = frame(spark, [("g", f"i{n}", float(n), float(n % 3), None, 1.0) for n in range(9)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = fuse(rows, "g", "i", cols())._jdf.queryExecution().executedPlan()
+        text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", text)]
+    assert len(sizes) > 5 and 0 < min(sizes) and max(sizes) < 8000
