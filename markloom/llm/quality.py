@@ -248,21 +248,24 @@ def finish(state: list) -> list:
 def text_counts(rows: DataFrame, key: str, text: str, chunk: int = 16_384, fan_in: int = 64) -> DataFrame:
     """(key, COUNTS...), one row per row of ``rows``; ``key`` may repeat or be null.
 
-    Texts within ``chunk`` characters are counted where they lie. Longer ones are written down with an id
-    of their own and cut, their chunks spread over all tasks, and the states of an id merged ``fan_in`` at
-    a time.
+    One scan cuts every text into chunks of at most ``chunk`` characters and counts them where they lie. A
+    text of one chunk is finished there; of the others only the states are written down, under a number
+    of their row, and merged ``fan_in`` at a time. The texts themselves never move.
     """
-    base = rows.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    short = base.filter(F.col("t").isNull() | (F.length("t") <= chunk))
     fields = ", ".join(f"{c} long" for c in COUNTS)
-
-    @F.pandas_udf(fields)
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([[None] * len(COUNTS) if t is None else finish(chunk_state(t)) for t in texts], columns=list(COUNTS)).astype("Int64")
-
-    @F.pandas_udf("string")
-    def partial(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: json.dumps(chunk_state(t), ensure_ascii=True))
+    none = [None] * len(COUNTS)
+
+    @F.pandas_udf(f"{fields}, state string")
+    def counted(texts: pd.Series, whole: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, alone in zip(texts, whole, strict=True):
+            if t is None:
+                out.append([*none, None])
+            elif alone:
+                out.append([*finish(chunk_state(t)), None])
+            else:
+                out.append([*none, json.dumps(chunk_state(t))])
+        return pd.DataFrame(out, columns=[*COUNTS, "state"]).astype(dict.fromkeys(COUNTS, "Int64"))
 
     @F.pandas_udf(fields)
     def closed(states: pd.Series) -> pd.DataFrame:
@@ -275,19 +278,26 @@ def text_counts(rows: DataFrame, key: str, text: str, chunk: int = 16_384, fan_i
             joined = join_chunks(joined, s)
         return pd.DataFrame({"id": [pdf["id"].iloc[0]], "i": [pdf["i"].min() // fan_in], "s": [json.dumps(joined)]})
 
-    long = cut(base.filter(F.length("t") > chunk).withColumn("id", F.monotonically_increasing_id()))
-    most = long.agg(F.max(F.length("t"))).first()[0]
-    done = short.select("k", whole("t").alias("c")).select("k", "c.*")
-    if most:
-        places = F.sequence(F.lit(0), F.ceil(F.length("t") / chunk).cast("int") - 1)
-        chunks = long.select("id", F.explode(F.transform(places, lambda i: F.struct(i.cast("long").alias("i"), F.substring(F.col("t"), i * chunk + 1, F.lit(chunk)).alias("t")))).alias("x"))
-        states = chunks.select("id", "x.i", "x.t").repartition("id", "i").select("id", "i", partial("t").alias("s"))
-        parts = -(-most // chunk)
+    piece = lambda i, t: F.struct(i.cast("long").alias("i"), t.alias("t"))
+    places = F.sequence(F.lit(0), F.ceil(F.length("t") / chunk).cast("int") - 1)
+    pieces = F.transform(places, lambda i: piece(i, F.substring(F.col("t"), i * chunk + 1, F.lit(chunk))))
+    base = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumns({
+        "id": F.monotonically_increasing_id(), "parts": F.greatest(F.ceil(F.length("t") / chunk), F.lit(1)),
+    })
+    cells = F.when(F.col("parts") > 1, pieces).otherwise(F.array(piece(F.lit(0), F.col("t"))))
+    flat = base.select("k", "id", "parts", F.explode(cells).alias("x"))
+    seen = cut(flat.select("k", "id", "parts", "x.i", counted("x.t", F.col("parts") <= 1).alias("c")))
+    done = seen.filter("parts <= 1").select("k", *[f"c.{c}" for c in COUNTS])
+    long = seen.filter("parts > 1")
+    parts = long.agg(F.max("parts")).first()[0] or 1
+    if parts > 1:
+        states = long.select("id", "i", F.col("c.state").alias("s"))
         while parts > 1:
-            states = states.groupBy("id", F.floor(F.col("i") / fan_in).alias("g")).applyInPandas(merge, "id long, i long, s string")
+            group = states.groupBy("id", F.floor(F.col("i") / fan_in).alias("g"))
+            states = group.applyInPandas(merge, "id long, i long, s string")
             parts = -(-parts // fan_in)
-        counted = states.select("id", closed("s").alias("c")).join(long.select("id", "k"), "id")
-        done = done.unionByName(counted.select("k", "c.*"))
+        whole = states.select("id", closed("s").alias("c")).join(long.filter("i = 0").select("id", "k"), "id")
+        done = done.unionByName(whole.select("k", "c.*"))
     return done.withColumnRenamed("k", key)
 
 

@@ -38,6 +38,6 @@ def test_repeats_among_the_first_ranks_hide_no_item(spark):
 
 
 def test_plan_limits_groups_on_both_sides_of_the_only_exchange(spark):
-    d = spark.range(9).select(F.lit("a").alias("g"), F.col("id").cast("string").alias("i"), F.rand(1).alias("score"))
+    d = spark.range(900).select((F.col("id") % 3).cast("string").alias("g"), F.col("id").cast("string").alias("i"), (F.col("id") % 5 / 2).alias("score"))
     plan = _first_ranks(d, ["g"], "i", "score", 5, 13)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
