@@ -10,7 +10,7 @@ from markloom.llm.fusion import clear_winners, fuse
 from markloom.llm.leak import leaked_items, remove_leaks
 from markloom.llm.lookalike import add_canonical, build_vocabulary, same_look_pairs
 from markloom.llm.overlap import clean_set, overlap_classes, overlap_pairs, overlap_pairs_between
-from markloom.llm.packing import TOKENIZERS, add_token_count, pack
+from markloom.llm.packing import TOKENIZERS, add_token_count, pack, unused_space
 from markloom.llm.quality import text_quality
 from markloom.llm.topn import top_n
 from markloom.runtime import cut, table
@@ -91,6 +91,11 @@ def p7_sequences(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZER
     return pack(cut(docs.select("doc_id", "n_tokens")), "doc_id", "n_tokens", capacity)
 
 
+def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much room the packing of ``p7_sequences`` leaves over."""
+    return unused_space(p7_sequences(spark, sf_dir), CAPACITY)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "item_text")
     return found.select("doc_id", "item_id")
@@ -110,4 +115,4 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "chars", "visible", "words", "lines", *[F.round(r, 6).alias(r) for r in ratios], "prose", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p2_descriptive_weights, p3_found, p3_ranking, p4_found, p4_forms, p5_found, p5_classes, p6_found, p6_top20, p7_sequences, p8_found, p8_cleaned, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p2_descriptive_weights, p3_found, p3_ranking, p4_found, p4_forms, p5_found, p5_classes, p6_found, p6_top20, p7_sequences, p7_unused, p8_found, p8_cleaned, p9_found, p9_statistics)}

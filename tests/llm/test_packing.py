@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from markloom.llm.packing import TOKENIZERS, add_token_count, best_fill, fill_window, pack
+from markloom.llm.packing import TOKENIZERS, add_token_count, best_fill, fill_window, pack, unused_space
 
 
 @settings(max_examples=200, deadline=None)
@@ -57,3 +57,42 @@ def test_counts_with_a_public_tokenizer(spark):
     assert got[0] == 2 and got[1] == got[2] == 0 and got[3] > 1 and got[4] > 1000
     with pytest.raises(Exception, match="(?i)no such file|not found|error"):
         add_token_count(spark.createDataFrame([("a",)], "t string"), "t", "/nowhere.json").collect()
+
+
+ODD = " \t\n\r\x0b\x1c\x1f\x85\xa0 　​ab'sé中1.,-<|endoftext|>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*ODD, "the", " the", "'ll", "  ", "\n\n", "ﬁ", "é"]), max_size=30))
+def test_lengths_of_stretches_add_up(parts):
+    from markloom.llm.packing import _Counter
+
+    if not _LEFT:
+        _LEFT["c"] = _Counter(f"{TOKENIZERS}/byte_bpe_50k.json")
+    counter = _LEFT["c"]
+    text = "".join(parts)
+    assert counter.apart and counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+_LEFT: dict = {}
+
+
+def test_other_tokenizers_take_texts_whole():
+    from markloom.llm.packing import _Counter
+
+    counter = _Counter(f"{TOKENIZERS}/word_bpe_49k.json")
+    assert not counter.apart and counter.count("Hello  WORLD ") == len(counter.tokenizer.encode("hello world", add_special_tokens=False).ids)
+
+
+def test_windows_do_not_depend_on_the_split(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else i, rng.choice([40, 50, rng.randint(1, 200)])) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc bigint, n int")
+    runs = [sorted((tuple(r) for r in pack(x, "doc", "n", 128, window=100).collect()), key=str) for x in (d.coalesce(1), d.repartition(7, "n"))]
+    assert runs[0] == runs[1] and len({r[3] for r in runs[0] if r[0] is None}) > 5
+
+
+def test_unused_space(spark):
+    d = spark.createDataFrame([(i, 64) for i in range(9)], "doc bigint, n int")
+    assert tuple(unused_space(pack(d, "doc", "n", 128), 128).first()) == (576, 5, 5, 0.9)
+    assert unused_space(pack(d.limit(0), "doc", "n", 128), 128).first().sequences == 0
