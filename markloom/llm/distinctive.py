@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.operators.skew import lookup_join
+from markloom.operators.skew import ROWS_OF_A_KEY, lookup_join
 from markloom.runtime import cut, strip_blanks
 
 
@@ -42,14 +42,34 @@ def term_counts(arrays: DataFrame) -> DataFrame:
     return flat.unionByName(repeated).groupBy("key", "term").agg(F.max("tf").alias("tf"))
 
 
-def distinctive_terms(rows: DataFrame, key: str, terms: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, term, tf, df, weight), one row per record and distinct term."""
+def rarity(n: float, df: Column | float) -> Column:
+    """The inverse document frequency of a term that ``df`` of ``n`` records hold; falls as df grows."""
+    held = df if isinstance(df, Column) else F.lit(float(df))
+    return F.log1p((F.lit(float(n)) - held + 0.5) / (held + 0.5))
+
+
+def distinctive_terms(
+    rows: DataFrame, key: str, terms: Column, k1: float = 1.2, b: float = 0.75, shared_by: tuple[int, int] | None = None
+) -> DataFrame:
+    """(key, term, tf, df, weight), one row per record and distinct term.
+
+    With ``shared_by`` only the terms whose inverse document frequency lies between those of a term held by
+    so many records, at least and at most, are weighed: rare terms that are shared all the same. N and the
+    average length cover all records nevertheless.
+    """
     arrays = rows.select(F.col(key).alias("key"), clean_terms(terms).alias("a")).filter("key is not null and size(a) > 0")
     postings = cut(term_counts(arrays))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     lengths = postings.groupBy("key").agg(F.sum("tf").alias("length"), F.count(F.lit(1)).alias("terms"))
     n, mean = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
-    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", rarity(n, F.col("df")))
+    if shared_by:
+        df = df.filter(F.col("idf").between(rarity(n, shared_by[1]) - 1e-12, rarity(n, shared_by[0]) + 1e-12))
+        if shared_by[1] <= ROWS_OF_A_KEY:  # no term left is hot
+            found = postings.join(df, "term")
+        else:
+            found = lookup_join(postings, df, ["term"], "df")
+    else:
+        found = lookup_join(postings, df, ["term"], "df")
     damped = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean or 1.0))
-    joined = lookup_join(lookup_join(postings, df, ["term"], "df"), lengths, ["key"], "terms")
-    return joined.select("key", "term", "tf", "df", (idf * F.col("tf") * (k1 + 1) / damped).alias("weight"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / damped
+    return lookup_join(found, lengths, ["key"], "terms").select("key", "term", "tf", "df", weight.alias("weight"))

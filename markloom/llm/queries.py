@@ -20,8 +20,8 @@ CAPACITY = 2048
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighed = distinctive_terms(table(spark, sf_dir, REPR), "trademark_id", F.col("tokens"))
-    return weighed.filter("df between 2 and 5").select(F.col("key").alias("trademark_id"), F.col("term").alias("token"))
+    weighed = distinctive_terms(table(spark, sf_dir, REPR), "trademark_id", F.col("tokens"), shared_by=(2, 5))
+    return weighed.filter("weight > 0").select(F.col("key").alias("trademark_id"), F.col("term").alias("token"))
 
 
 def p2_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,12 @@ def test_long_and_empty(spark):
     got = run(spark, rows)
     assert got["long", "x"][0] == 50_000 and len(got) == 20_002
     assert run(spark, []) == {}
+
+
+def test_rare_shared_terms_are_chosen_by_their_weight(spark):
+    rows = [(f"k{i}", ["all", *(["many"] if i < 6 else []), *(["five"] if i < 5 else []), *(["two"] if i in (3, 9) else []), f"own{i}"]) for i in range(40)]
+    d = spark.createDataFrame(rows, "k string, a array<string>")
+    whole = {(r.key, r.term): r.weight for r in distinctive_terms(d, "k", F.col("a")).collect()}
+    got = {(r.key, r.term): r.weight for r in distinctive_terms(d, "k", F.col("a"), shared_by=(2, 5)).collect()}
+    assert set(got) == {(f"k{i}", "five") for i in range(5)} | {("k3", "two"), ("k9", "two")}
+    assert all(abs(whole[k] - w) < 1e-12 for k, w in got.items())
