@@ -2,9 +2,11 @@
 
 Words (pieces between blanks) of a text are run through a trie of known spellings by an edit
 automaton in which look-alike letters, width and ligature forms, composed or combining accents and
-ignorable characters cost nothing, and any other edit costs 1. Where a spelling is reached within
-``max_cost`` it is taken; any other word is normalised by table. At ``max_cost`` 0 both ways give
-the same equivalence, so a word never depends on whether the vocabulary knows it.
+ignorable characters cost nothing, and any other edit costs 1. A word that reaches a spelling within
+``max_cost`` takes it: the way of writing that the collection uses most for this look, in one script.
+Any other word is normalised by table. At ``max_cost`` 0 both ways give the same equivalence, so that
+whether two texts look alike never depends on what the vocabulary knows; only the spelling that stands
+for them does.
 
 Defined results
 * null text: null; a text without visible characters: the empty string;
@@ -22,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markloom.operators.skew import lookup_join
 from markloom.runtime import cut
 
 #: Letters of other scripts and the Latin letter of the same look (fixed values); three capital
@@ -77,17 +80,21 @@ def table_form(word: str) -> str:
 
 
 class Vocabulary:
-    """Trie of canonical spellings, most wanted first, walked by the weighted edit automaton."""
+    """Trie of canonical spellings, most wanted first, walked by the weighted edit automaton.
+
+    Words of fewer than ``shortest`` characters are only matched at no cost.
+    """
 
     END = ""
 
-    def __init__(self, spellings: list[str], max_cost: float = 0.0):
+    def __init__(self, spellings: list[str], max_cost: float = 0.0, shortest: int = 0):
         self.root: dict = {}
-        self.max_cost = max_cost
+        self.most, self.shortest, self.max_cost = max_cost, shortest, max_cost
         for rank, spelling in enumerate(spellings):
             node = self.root
             for ch in unicodedata.normalize("NFD", spelling):
-                node = node.setdefault(LOOKS[ch] or ch, {})
+                for x in LOOKS[ch]:
+                    node = node.setdefault(x, {})
             node.setdefault(self.END, (rank, spelling))
 
     def _additions(self, states: dict) -> dict:
@@ -105,6 +112,7 @@ class Vocabulary:
 
     def match(self, word: str) -> str | None:
         """The spelling reached at the least cost; ties go to the one named first."""
+        self.max_cost = self.most if len(word) >= self.shortest else 0.0
         states = self._additions({id(self.root): (self.root, 0.0)})
         for ch in unicodedata.normalize("NFD", word):
             look, after = LOOKS[ch], {}
@@ -133,25 +141,43 @@ class Vocabulary:
         return " ".join(w for w in words if w)
 
 
+#: Letters of the three scripts that have look-alikes; a spelling holds letters of one of them.
+MIXED = r"(?=.*\p{IsLatin}).*[\p{IsCyrillic}\p{IsGreek}]|(?=.*\p{IsCyrillic}).*\p{IsGreek}"
+
+
+def _own_form(word: str) -> str | None:
+    """Table form of a word that is written plainly: composed, without widths, ligatures or characters that
+    don't show."""
+    apart = unicodedata.normalize("NFD", word)
+    if unicodedata.normalize("NFC", word) != word or not all(LOOKS[c] == c or c in SAME_LOOK for c in apart):
+        return None
+    return table_form(word)
+
+
 def build_vocabulary(rows: DataFrame, text: str, size: int = 50_000, least: int = 2) -> list[str]:
-    """The ``size`` most frequent words (by text, from ``least`` on) that are their own table form.
+    """For each of the ``size`` most frequent looks of words its most frequent spelling, by number of texts
+    (from ``least`` on), written plainly and in one script.
 
-    The bound keeps what is broadcast small on any input; words beyond it lose nothing, as the
-    table brings them to the same form.
+    The bound keeps what is broadcast small on any input; words beyond it lose nothing, as the table
+    brings those that look alike to one form.
     """
+    own = F.pandas_udf("string")(lambda words: words.map(_own_form))
     words = rows.select(F.explode(F.array_distinct(F.split(F.col(text), r"(?U)[\s\x1c-\x1f]+"))).alias("w"))
-    own = words.filter(F.col("w").rlike(r"^[!-~À-ɏ]+$")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    top = own.orderBy(F.col("n").desc(), "w").limit(size).collect()
-    return [r["w"] for r in top if table_form(r["w"]) == r["w"]]
+    often = words.filter(~F.col("w").rlike(MIXED) & (F.length("w").between(1, 64))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    looks = often.filter(F.col("n") >= least).withColumn("look", own("w")).filter("look is not null")
+    best = looks.groupBy("look").agg(F.min(F.struct(-F.col("n"), "w")).alias("b"), F.sum("n").alias("n"))
+    return [r["w"] for r in best.select("n", "b.w").orderBy(F.col("n").desc(), "w").limit(size).collect()]
 
 
-def add_canonical(rows: DataFrame, text: str, vocabulary: list[str], out: str = "canonical", max_cost: float = 0.0) -> DataFrame:
+def add_canonical(
+    rows: DataFrame, text: str, vocabulary: list[str], out: str = "canonical", max_cost: float = 0.0, shortest: int = 0
+) -> DataFrame:
     """``rows`` with the consistent form of ``text``; words seen before in a task aren't walked again."""
     known = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("string")
     def form(texts: pd.Series) -> pd.Series:
-        return texts.map(_trie(known, max_cost), na_action="ignore")
+        return texts.map(_trie(known, max_cost, shortest), na_action="ignore")
 
     return rows.withColumn(out, form(F.col(text)))
 
@@ -159,10 +185,10 @@ def add_canonical(rows: DataFrame, text: str, vocabulary: list[str], out: str =
 _LAST: list = [None, None, None]
 
 
-def _trie(known, max_cost: float):
+def _trie(known, max_cost: float, shortest: int):
     """One trie and word memory for each worker process and vocabulary."""
-    if _LAST[0] is not known.value or _LAST[1] != max_cost:
-        trie, memory = Vocabulary(known.value, max_cost), {}
+    if _LAST[0] is not known.value or _LAST[1] != (max_cost, shortest):
+        trie, memory = Vocabulary(known.value, max_cost, shortest), {}
 
         def canonical(text: str) -> str:
             out = []
@@ -176,7 +202,7 @@ def _trie(known, max_cost: float):
                     out.append(form)
             return " ".join(out)
 
-        _LAST[:] = [known.value, max_cost, canonical]
+        _LAST[:] = [known.value, (max_cost, shortest), canonical]
     return _LAST[2]
 
 
@@ -195,3 +221,20 @@ def same_look_pairs(rows: DataFrame, key: str, text: str, vocabulary: list[str])
     a, b = members.select(F.col("text").alias("tx"), F.col("key").alias("a")), members.select(F.col("text").alias("ty"), F.col("key").alias("b"))
     pairs = texts.join(a, "tx").join(b, "ty").filter("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def same_look_classes(rows: DataFrame, key: str, text: str, vocabulary: list[str]) -> DataFrame:
+    """(key, text, canonical, texts, keys): each key's text and its consistent form, in how many ways that
+    form is written and by how many keys. Linear in the input, whatever the copies; texts without a visible
+    character are left out."""
+    members = cut(rows.select(F.col(key).alias("key"), F.col(text).alias("text")).dropna().distinct())
+    per_text = members.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    forms = cut(add_canonical(per_text, "text", vocabulary).filter("canonical <> ''"))
+    classes = forms.groupBy("canonical").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows"))
+    placed = lookup_join(lookup_join(members, forms.select("text", "canonical", "n"), ["text"], "n"), classes, ["canonical"], "rows")
+    twice = members.groupBy("key").agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select("key")
+    # A key that writes one form in several ways counts once.
+    extra = placed.join(twice, "key", "left_semi").groupBy("canonical", "key").agg((F.count(F.lit(1)) - 1).alias("x"))
+    extra = extra.groupBy("canonical").agg(F.sum("x").alias("x"))
+    out = placed.join(extra, "canonical", "left").withColumn("keys", F.col("rows") - F.coalesce("x", F.lit(0)))
+    return out.select("key", "text", "canonical", "texts", "keys")

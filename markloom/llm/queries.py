@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from markloom.llm.distinctive import distinctive_terms
 from markloom.llm.fusion import clear_winners, fuse
 from markloom.llm.leak import leaked_items, remove_leaks
-from markloom.llm.lookalike import add_canonical, build_vocabulary, same_look_pairs
+from markloom.llm.lookalike import add_canonical, build_vocabulary, same_look_classes, same_look_pairs
 from markloom.llm.overlap import clean_set, overlap_classes, overlap_pairs, overlap_pairs_between
 from markloom.llm.packing import TOKENIZERS, add_token_count, pack, unused_space
 from markloom.llm.quality import text_quality
@@ -64,6 +64,20 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_canonical(marks, "mark_text", build_vocabulary(marks, "mark_text")).select(F.col("id").alias("trademark_id"), "mark_text", "canonical")
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "trademark").select("id", "mark_text").distinct()
+    classes = same_look_classes(marks, "id", "mark_text", build_vocabulary(marks, "mark_text"))
+    return classes.select(F.col("key").alias("trademark_id"), F.col("text").alias("mark_text"), "texts", "keys")
+
+
+def p4_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of six letters and more that are one edit away from a usual spelling take that spelling."""
+    marks = table(spark, sf_dir, "trademark").select("id", "mark_text").distinct()
+    usual = build_vocabulary(marks, "mark_text", least=10)
+    near = add_canonical(marks.select("mark_text").distinct(), "mark_text", usual, "spelling", max_cost=1.0, shortest=6)
+    return add_canonical(near, "mark_text", usual).filter("spelling <> canonical")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks, names = table(spark, sf_dir, REPR), table(spark, sf_dir, "watch_name")
     tokens = overlap_pairs(marks, "trademark_id", clean_set(F.col("significant_tokens")), 0.6)
@@ -115,4 +129,4 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "chars", "visible", "words", "lines", *[F.round(r, 6).alias(r) for r in ratios], "prose", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p2_descriptive_weights, p3_found, p3_ranking, p4_found, p4_forms, p5_found, p5_classes, p6_found, p6_top20, p7_sequences, p7_unused, p8_found, p8_cleaned, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p2_descriptive_weights, p3_found, p3_ranking, p4_found, p4_forms, p4_classes, p4_spellings, p5_found, p5_classes, p6_found, p6_top20, p7_sequences, p7_unused, p8_found, p8_cleaned, p9_found, p9_statistics)}

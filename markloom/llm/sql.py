@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from markloom.llm.fusion import CENTRE, FAR, TAIL
+from markloom.llm.lookalike import LOOKS
 
 R = "trademark_normalized_representation"
 
@@ -77,6 +80,37 @@ SELECT scan_id, trademark_id, round(z, 6) + 0.0 AS fused, row_number() OVER (PAR
 """
 
 
+def _looks() -> str:
+    """(code, shown) of every character that looks like something else, by rule from the table of the operator."""
+    found = []
+    for code in (*range(0xD800), *range(0xE000, 0x10000), *range(0x1D000, 0x1D800), *range(0xE0000, 0xE0200)):
+        ch = chr(code)
+        shown = " " if ch.isspace() else "".join(LOOKS[x] for x in unicodedata.normalize("NFD", ch))
+        if unicodedata.normalize("NFC", shown) != unicodedata.normalize("NFC", ch):
+            found.append(f"({code}, '{shown.replace(chr(39), chr(39) * 2)}')")
+    return ", ".join(found)
+
+
+LOOK_FORMS = f"""
+look(code, shown) AS (VALUES {_looks()}),
+texts AS (SELECT DISTINCT mark_text FROM trademark WHERE mark_text IS NOT NULL),
+chars AS (SELECT mark_text, unnest(l) AS ch, unnest(generate_series(1, len(l))) AS i FROM (SELECT mark_text, regexp_extract_all(mark_text, '(?s).') AS l FROM texts)),
+shown AS (SELECT mark_text, string_agg(coalesce(shown, ch), '' ORDER BY i) AS s FROM chars LEFT JOIN look ON look.code = unicode(ch) GROUP BY mark_text),
+forms AS (SELECT mark_text, trim(regexp_replace(nfc_normalize(s), ' +', ' ', 'g')) AS form FROM shown),
+marks AS (SELECT DISTINCT id, mark_text, form FROM trademark JOIN forms USING (mark_text) WHERE id IS NOT NULL AND form <> '')"""
+
+P4_FOUND = f"""
+WITH {LOOK_FORMS}
+SELECT DISTINCT least(a.id, b.id) AS trademark_id_a, greatest(a.id, b.id) AS trademark_id_b
+FROM marks a JOIN marks b ON a.form = b.form AND a.mark_text <> b.mark_text AND a.id <> b.id
+"""
+
+P4_CLASSES = f"""
+WITH {LOOK_FORMS}, c AS (SELECT form, count(DISTINCT mark_text) AS texts, count(DISTINCT id) AS keys FROM marks GROUP BY form)
+SELECT id AS trademark_id, mark_text, texts, keys FROM marks JOIN c USING (form)
+"""
+
+
 def _set(column: str, trim: bool) -> str:
     one = "lower(trim(x))" if trim else "lower(x)"
     return f"list_sort(list_distinct(list_filter(list_transform({column}, lambda x: {one}), lambda x: x <> '')))"
@@ -127,6 +161,8 @@ SQL = {
     "p2_descriptive_weights": _weights("descriptive_tokens"),
     "p3_found": P3_FOUND,
     "p3_ranking": P3_RANKING,
+    "p4_found": P4_FOUND,
+    "p4_classes": P4_CLASSES,
     "p5_found": P5_FOUND,
     "p5_classes": P5_CLASSES,
     "p6_found": _BEST + "SELECT scan_id, strategy, trademark_id FROM r WHERE place <= 5",
