@@ -21,7 +21,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom.operators.skew import lookup_join
@@ -141,8 +141,10 @@ class Vocabulary:
         return " ".join(w for w in words if w)
 
 
-#: Letters of the three scripts that have look-alikes; a spelling holds letters of one of them.
-MIXED = r"(?=.*\p{IsLatin}).*[\p{IsCyrillic}\p{IsGreek}]|(?=.*\p{IsCyrillic}).*\p{IsGreek}"
+def _mixed(word: Column) -> Column:
+    """Whether a word holds letters of more than one of the three scripts that have look-alikes."""
+    latin, cyrillic, greek = (word.rlike(rf"\p{{Is{s}}}") for s in ("Latin", "Cyrillic", "Greek"))
+    return word.rlike(r"[\p{IsCyrillic}\p{IsGreek}]") & (latin | (cyrillic & greek))
 
 
 def _own_form(word: str) -> str | None:
@@ -161,9 +163,10 @@ def build_vocabulary(rows: DataFrame, text: str, size: int = 50_000, least: int
     The bound keeps what is broadcast small on any input; words beyond it lose nothing, as the table
     brings those that look alike to one form.
     """
-    own = F.pandas_udf("string")(lambda words: words.map(_own_form))
+    # Marked so that filters on the result aren't pushed below it, which would work it out twice.
+    own = F.pandas_udf("string")(lambda words: words.map(_own_form)).asNondeterministic()
     words = rows.select(F.explode(F.array_distinct(F.split(F.col(text), r"(?U)[\s\x1c-\x1f]+"))).alias("w"))
-    often = words.filter(~F.col("w").rlike(MIXED) & (F.length("w").between(1, 64))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    often = words.filter(~_mixed(F.col("w")) & F.length("w").between(1, 64)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     looks = often.filter(F.col("n") >= least).withColumn("look", own("w")).filter("look is not null")
     best = looks.groupBy("look").agg(F.min(F.struct(-F.col("n"), "w")).alias("b"), F.sum("n").alias("n"))
     return [r["w"] for r in best.select("n", "b.w").orderBy(F.col("n").desc(), "w").limit(size).collect()]
@@ -179,7 +182,7 @@ def add_canonical(
     def form(texts: pd.Series) -> pd.Series:
         return texts.map(_trie(known, max_cost, shortest), na_action="ignore")
 
-    return rows.withColumn(out, form(F.col(text)))
+    return rows.withColumn(out, form.asNondeterministic()(F.col(text)))
 
 
 _LAST: list = [None, None, None]
