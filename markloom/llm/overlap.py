@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.operators.skew import lookup_join
+from markloom.operators.skew import lookup_join, split_join
 from markloom.runtime import cut, strip_blanks
 
 EPS = 1e-9
@@ -81,21 +81,34 @@ def _small_pairs(sets: DataFrame, t: float, small: int) -> DataFrame:
     return met.select("a", "b")
 
 
+#: So many sets of an inverted list may meet so many others in one task; longer lists are cut into blocks.
+LIST_BLOCK = 10_000
+
+
 def _large_pairs(sets: DataFrame, t: float, small: int) -> DataFrame:
     able = sets.filter(F.size("values") >= math.ceil(t * (small + 1) - EPS))
     flat = able.select("sid", F.explode("values").alias("value"))
     often = flat.groupBy("value").agg(F.count(F.lit(1)).alias("often"))
-    rare_first = lookup_join(flat, often, ["value"], "often").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("s"))
+    ranked = lookup_join(flat, often, ["value"], "often")
+    rare_first = ranked.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("s"))
     # Size and slice are columns before the set is flattened, else each row would carry the whole set.
     sized = rare_first.withColumn("size", F.size("s"))
     cut_off = (F.col("size") - F.ceil(F.lit(t) * F.col("size") - EPS) + 1).cast("int")
     probes = sized.select("sid", "size", F.slice("s", F.lit(1), cut_off).alias("p")).select("sid", "size", F.explode("p").alias("v"))
-    lists = probes.select(F.col("v.value").alias("value"), "sid", "size").join(able.select("sid", "left", "right"), "sid")
-    a = lists.filter(F.col("size") > small).select("value", F.col("sid").alias("a"), F.col("size").alias("na"), F.col("left").alias("la"), F.col("right").alias("ra"))
-    b = lists.select("value", F.col("sid").alias("b"), F.col("size").alias("nb"), F.col("left").alias("lb"), F.col("right").alias("rb"))
+    # An inverted list is kept by bands of set size, so that only sets in a band or its neighbours meet.
+    width = -math.log(t) * (1 + EPS) if t < 1 else 1.0
+    band = F.floor(F.log("size") / width) if t < 1 else F.col("size").cast("long")
+    flags = able.select("sid", "left", "right")
+    lists = cut(probes.select(F.col("v.value").alias("value"), "sid", "size", band.alias("band")).join(flags, "sid"))
+    side = lambda d, x, bands: d.select("value", bands.alias("band"), F.col("sid").alias(x), F.col("size").alias(f"n{x}"), F.col("left").alias(f"l{x}"), F.col("right").alias(f"r{x}"))
+    a = side(lists.filter(F.col("size") > small), "a", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    b = side(lists, "b", F.col("band"))
+    many = lambda d, n: d.groupBy("value", "band").agg(F.count(F.lit(1)).alias(n))
+    counts = many(a, "in_a").join(many(b, "in_b"), ["value", "band"])
     near = (F.col("nb") >= F.col("na") * t - EPS) & (F.col("na") >= F.col("nb") * t - EPS)
     once = (F.col("nb") <= small) | (F.col("a") < F.col("b"))
-    return a.join(b, "value").filter(near & once & (F.col("a") != F.col("b"))).filter("(la and rb) or (ra and lb)").select("a", "b")
+    met = split_join(a, b, ["value", "band"], counts, "in_a", "in_b", limit=LIST_BLOCK)
+    return met.filter(near & once & (F.col("a") != F.col("b"))).filter("(la and rb) or (ra and lb)").select("a", "b")
 
 
 def _members(rows: DataFrame, key: str, values: Column) -> DataFrame:
@@ -103,7 +116,9 @@ def _members(rows: DataFrame, key: str, values: Column) -> DataFrame:
     return sets.withColumn("sid", F.unhex(F.md5(F.array_join("values", "\x01"))))
 
 
-def similar_sets(left: DataFrame, right: DataFrame | None, t: float, small: int = 6, large: bool = True) -> tuple[DataFrame, DataFrame]:
+def similar_sets(
+    left: DataFrame, right: DataFrame | None, t: float, small: int = 6, large: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Distinct sets (sid, values, left, right) and pairs (a, b, shared, similarity) of different sets;
     without ``large`` of those of at most ``small`` values."""
     rows = left.select("sid", "values", F.lit(True).alias("left"), F.lit(right is None).alias("right"))
@@ -140,21 +155,32 @@ def overlap_classes(rows: DataFrame, key: str, values: Column, t: float, small:
     return lookup_join(members.select("key", "sid"), info, ["sid"], "copies").select("key", F.lower(F.hex("sid")).alias("set_id"), "copies", "links")
 
 
-#: From this many postings on the right side is no longer sent to every task.
-MAX_POSTINGS = 1_000_000
+#: Up to this many postings and characters the right side is sent to every task.
+MAX_POSTINGS, MAX_CHARS = 1_000_000, 32_000_000
 
 
-def overlap_pairs_between(left: DataFrame, left_key: str, left_values: Column, right: DataFrame, right_key: str, right_values: Column, t: float, small: int = 6) -> DataFrame:
+def overlap_pairs_between(
+    left: DataFrame,
+    left_key: str,
+    left_values: Column,
+    right: DataFrame,
+    right_key: str,
+    right_values: Column,
+    t: float,
+    small: int = 6,
+    most: int = MAX_POSTINGS,
+) -> DataFrame:
     """(key_a, key_b) of all pairs of a left and a right record with similarity >= t.
 
-    While the right side has at most MAX_POSTINGS postings (counted first) its inverted lists are
-    broadcast and each left set scans them where it lies, without a shuffle, for the pairs with a large
-    set; two small sets meet by their subsets. Beyond, both sides go through the distributed join.
+    Two small sets meet by their subsets. For the pairs with a large set, while the right side has at
+    most ``most`` postings and MAX_CHARS characters (counted first), its inverted lists are broadcast and
+    each left set scans them where it lies, without a shuffle; beyond, the lists of both sides are joined.
     """
     lm, rm = _members(left, left_key, left_values), _members(right, right_key, right_values)
     ordered = lambda x, y: (F.least(x, y).alias("key_a"), F.greatest(x, y).alias("key_b"))
-    n = rm.agg(F.sum(F.size("values"))).first()[0] or 0
-    if n > MAX_POSTINGS:
+    chars = F.sum(F.length("key") + F.length(F.array_join("values", "")))
+    n, m = rm.agg(F.coalesce(F.sum(F.size("values")), F.lit(0)), F.coalesce(chars, F.lit(0))).first()
+    if n > most or m > MAX_CHARS:
         return _joined(lm, rm, t, small).filter("x <> y").select(*ordered("x", "y")).distinct()
     index = left.sparkSession.sparkContext.broadcast(_index(rm.select("key", "values").distinct().collect()))
     sizes = index.value["sizes"] or [0]

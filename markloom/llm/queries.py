@@ -86,6 +86,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag(tokens, "significant_tokens").unionByName(tag(grams, "trigrams"))
 
 
+def p5_trigrams_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trigram pairs of ``p5_found`` with no side broadcast, as for two large tables."""
+    marks, names = table(spark, sf_dir, REPR), table(spark, sf_dir, "watch_name")
+    grams = clean_set(F.col("trigrams"), trim=False)
+    return overlap_pairs_between(marks, "trademark_id", grams, names, "watch_id", grams, 0.5, most=0)
+
+
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, REPR)
     return overlap_classes(marks, "trademark_id", clean_set(F.col("significant_tokens")), 0.6).select(F.col("key").alias("trademark_id"), "copies", F.col("links").cast("bigint").alias("links"))
@@ -129,4 +136,4 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "chars", "visible", "words", "lines", *[F.round(r, 6).alias(r) for r in ratios], "prose", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p2_descriptive_weights, p3_found, p3_ranking, p4_found, p4_forms, p4_classes, p4_spellings, p5_found, p5_classes, p6_found, p6_top20, p7_sequences, p7_unused, p8_found, p8_cleaned, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p2_descriptive_weights, p3_found, p3_ranking, p4_found, p4_forms, p4_classes, p4_spellings, p5_found, p5_trigrams_joined, p5_classes, p6_found, p6_top20, p7_sequences, p7_unused, p8_found, p8_cleaned, p9_found, p9_statistics)}

@@ -129,6 +129,8 @@ UNION ALL
 SELECT DISTINCT 'trigrams' AS set_field, least(x, y) AS key_a, greatest(x, y) AS key_b FROM gp WHERE CAST(c AS DOUBLE) / (na + nb - c) >= CAST(0.5 AS DOUBLE)
 """
 
+P5_TRIGRAMS = "SELECT key_a, key_b FROM (" + P5_FOUND + ") WHERE set_field = 'trigrams'"
+
 P5_CLASSES = f"""
 WITH m AS (SELECT DISTINCT trademark_id AS id, {_set("significant_tokens", True)} AS s FROM {R} WHERE trademark_id IS NOT NULL),
 d AS (SELECT s, count(DISTINCT id) AS copies, row_number() OVER () AS i FROM m WHERE len(s) > 0 GROUP BY s),
@@ -164,6 +166,7 @@ SQL = {
     "p4_found": P4_FOUND,
     "p4_classes": P4_CLASSES,
     "p5_found": P5_FOUND,
+    "p5_trigrams_joined": P5_TRIGRAMS,
     "p5_classes": P5_CLASSES,
     "p6_found": _BEST + "SELECT scan_id, strategy, trademark_id FROM r WHERE place <= 5",
     "p6_top20": _BEST + "SELECT scan_id, strategy, trademark_id, round(score, 6) AS score, place FROM r WHERE place <= 20",

@@ -39,11 +39,10 @@ def test_self_join(spark, t, small, most):
 
 
 @pytest.mark.parametrize("most", [0, 10**9])
-def test_join_of_two_tables(spark, most, monkeypatch):
-    monkeypatch.setattr(O, "MAX_POSTINGS", most)
+def test_join_of_two_tables(spark, most):
     left, right = data(8, 120, 14, "abcdefghij"), [(f"w{k}", s) for k, s in data(9, 40, 14, "abcdefghijk")]
     c = O.clean_set(F.col("s"), trim=False)
-    got = [tuple(r) for r in O.overlap_pairs_between(frame(spark, left), "k", c, frame(spark, right), "k", c, 0.5, 4).collect()]
+    got = [tuple(r) for r in O.overlap_pairs_between(frame(spark, left), "k", c, frame(spark, right), "k", c, 0.5, 4, most).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(folded(left, False), folded(right, False), 0.5)
 
 
@@ -70,3 +69,12 @@ def test_small_sets_of_two_tables_meet_by_subsets(spark, monkeypatch):
     monkeypatch.setattr(O, "_small_pairs", lambda sets, t, small: by_subsets.append(small) or real(sets, t, small))
     got = {tuple(r) for r in O.overlap_pairs_between(frame(spark, left), "k", c, frame(spark, right), "k", c, 0.5).collect()}
     assert got == {("l", "r"), ("l", "s"), ("m", "t")} and by_subsets == [6]
+
+
+def test_lists_of_frequent_values_are_cut_into_blocks(spark, monkeypatch):
+    """Sets made of the same few values all stand in one list, and no task may get it whole."""
+    monkeypatch.setattr(O, "LIST_BLOCK", 7)
+    rng = random.Random(5)
+    rows = [(f"k{i:03}", rng.sample("abcdefghij", rng.randint(3, 10))) for i in range(120)]
+    got = [tuple(r) for r in O.overlap_pairs(frame(spark, rows), "k", O.clean_set(F.col("s")), 0.6, 2).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(folded(rows), folded(rows), 0.6)
