@@ -3,6 +3,11 @@
 Words are the pieces between blanks, lower-cased, without accents, cut down to letters and digits;
 empty pieces are dropped. A text leaks an item if it holds n consecutive words of it.
 
+The items' words and n-grams go to every task as two hash sets of a bounded size (bitmaps). One scan of
+the corpus passes windows of n words over each text and keeps those that are in the sets; these few are
+then verified by an equi-join with the n-grams themselves. However many items there are, it is one plan
+and one scan: a fuller set only lets more windows through to the join.
+
 Defined results
 * null or empty text, and items shorter than n words: never a hit;
 * repeated items or texts: each is reported; a pair of text and item comes out once;
@@ -12,19 +17,28 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markloom.operators.skew import split_join
 from markloom.runtime import cut, fresh_name
 
-#: Items are taken in blocks of so many n-grams, so that the broadcast set is bounded on any input.
-MAX_GRAMS = 2_000_000
+#: Bits of a hash set for each value in it, and at most (16 MB).
+BITS_EACH, MOST_BITS = 32, 1 << 27
+
+#: Leaking texts up to so many, and so many of their words, are broadcast when spans are cut.
+MOST_TEXTS, MOST_PLACES = 200_000, 20_000_000
+
+#: Words of which each worker remembers whether they are in the set.
+MEMORY = 500_000
 
 NOT_WORD = re.compile(r"[^\w\s]+|_+")
 PIECE = re.compile(r"\S+")
@@ -37,135 +51,163 @@ def words(text: str) -> list[str]:
     return NOT_WORD.sub("", low).split()
 
 
-def gram_index(items: list[tuple], n: int) -> tuple[dict, frozenset]:
-    """n-gram -> items that hold it, and all words of the items."""
-    grams: dict[str, set] = {}
-    for key, text in items:
-        w = words(text)
-        for i in range(len(w) - n + 1):
-            grams.setdefault(" ".join(w[i : i + n]), set()).add(key)
-    return {g: tuple(sorted(k)) for g, k in grams.items()}, frozenset(x for g in grams for x in g.split(" "))
+def hash64(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big")
 
 
-def hits(w: list[str], grams: dict, known: frozenset, n: int) -> Iterator[tuple[int, tuple]]:
-    """(place of the first word, items) of every window that is in the set.
+def window_texts(w: list[str], n: int) -> Iterator[str]:
+    return (" ".join(w[i : i + n]) for i in range(len(w) - n + 1))
 
-    Only runs of n words that all occur in some item are joined and looked up.
-    """
-    run = 0
-    for i, x in enumerate(w):
-        if x not in known:
-            run = 0
-            continue
-        run += 1
-        if run >= n:
-            found = grams.get(" ".join(w[i - n + 1 : i + 1]))
-            if found:
-                yield i - n + 1, found
-
-
-def _blocks(items: DataFrame, key: str, text: str, n: int) -> Iterator[list[tuple]]:
-    block, size = [], 0
-    for r in items.select(key, text).dropna().toLocalIterator():
-        grams = max(0, len(words(r[1])) - n + 1)
-        if grams and block and size + grams > MAX_GRAMS:
-            yield block
-            block, size = [], 0
-        if grams:
-            block.append((r[0], r[1]))
-            size += grams
-    yield block
-
-
-def leaked_items(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int = 13) -> DataFrame:
-    """(doc, item, words): the documents that give items away, with the number of the document's words
-    that lie in matching windows. A map-only scan of the corpus for each block of items. Where both
-    keys have one name, the item's gets the ending ``_item``."""
-    item_out = item_key if item_key != doc_key else f"{item_key}_item"
-    schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_out, items.schema[item_key].dataType), T.StructField("words", T.LongType())])
-    out = None
-    for block in _blocks(items, item_key, item_text, n):
-        shared = docs.sparkSession.sparkContext.broadcast(gram_index(block, n))
-
-        def scan(batches, shared=shared):
-            grams, known = shared.value
-            for batch in batches:
-                rows = []
-                for key, value in zip(batch["k"], batch["t"], strict=True):
-                    spans: dict = {}
-                    for at, found in hits(words(value), grams, known, n):
-                        for item in found:
-                            count, end = spans.get(item, (0, 0))
-                            spans[item] = (count + at + n - max(at, end), at + n)
-                    rows += [(key, item, count) for item, (count, _) in spans.items()]
-                yield pd.DataFrame(rows, columns=[doc_key, item_out, "words"])
-
-        part = docs.select(F.col(doc_key).alias("k"), F.col(text).alias("t")).dropna(subset=["t"]).mapInPandas(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(doc_key, item_out).agg(F.max("words").alias("words"))
-
-
-def remove_leaks(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, n: int = 13, drop_share: float = 0.5) -> DataFrame:
-    """``docs`` with leaking spans cut out of ``text``; a document of which more than ``drop_share`` of
-    the words leaks is removed. Texts without a hit come back unchanged, character by character."""
-    blocks, mark = list(_blocks(items, item_key, item_text, n)), fresh_name(docs, "leak")
-    clean = lambda rows, c: _kept(rows.withColumn(mark, c), text, mark, drop_share).select(*docs.columns)
-    if len(blocks) == 1:
-        return clean(docs, _cleaner(docs.sparkSession.sparkContext.broadcast(gram_index(blocks[0], n)), n)(F.col(text)))
-    # The places of all blocks are found in the text as it was, one block after the other in memory.
-    row = fresh_name(docs, "row")
-    known = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = None
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(gram_index(block, n))
-        at = _finder(shared, n)(F.col("t"))
-        part = cut(known.select(F.col(row).alias("id"), F.col(text).alias("t")).select("id", at.alias("at")).filter(F.size("at") > 0))
-        shared.unpersist()
-        found = part if found is None else found.unionByName(part)
-    places = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(mark)).withColumnRenamed("id", row)
-    marked = known.join(places, row, "left")
-    return clean(marked, _cutter(F.col(text), F.col(mark)))
-
-
-def _kept(marked: DataFrame, text: str, mark: str, drop_share: float) -> DataFrame:
-    return marked.filter(F.col(mark)["share"] <= drop_share).withColumn(text, F.col(mark)["kept"])
-
-
-def _finder(shared, n: int):
-    @F.pandas_udf("array<int>")
-    def find(values: pd.Series) -> pd.Series:
-        grams, known = shared.value
-        return pd.Series([[] if v is None else sorted(leaking_places(words(v), grams, known, n)) for v in values], dtype=object)
-
-    return find
-
-
-def _cutter(texts, places):
-    @F.pandas_udf("kept string, share double")
-    def clean(values: pd.Series, at: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(v, 0.0) if v is None or p is None else cut_places(v, set(p)) for v, p in zip(values, at, strict=True)], columns=["kept", "share"])
 
-    return clean(texts, places)
+def hash_set(hashes: DataFrame, limit: int | None = None) -> bytes:
+    """Bitmap of the values of column ``h``: a power of two of bits, MOST_BITS at most. It is put together in
+    words of 64 bits, so that what comes to the driver is as small as the bitmap."""
+    limit = limit or MOST_BITS
+    n = hashes.agg(F.approx_count_distinct("h")).first()[0]
+    bits = min(limit, max(1 << 16, 1 << int(n * BITS_EACH).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    parts = hashes.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast((h & {bits - 1}L) % 64 as int))").alias("b"))
+    rows = parts.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(bits // 64, dtype="<i8")
+    out[rows["w"].to_numpy(dtype="int64")] = rows["b"].to_numpy(dtype="int64")
+    return out.tobytes()
 
 
-def _cleaner(shared, n: int):
-    @F.pandas_udf("kept string, share double")
-    def clean(values: pd.Series) -> pd.DataFrame:
-        grams, known = shared.value
-        return pd.DataFrame([cut_spans(v, grams, known, n) for v in values], columns=["kept", "share"])
+def _holds(bitmap: bytes, h: int) -> int:
+    at = h & (len(bitmap) * 8 - 1)
+    return bitmap[at >> 3] >> (at & 7) & 1
 
-    return clean
+
+class _Finder:
+    """Windows of a text that may be n-grams of an item: runs of known words first, then the set of n-grams."""
+
+    def __init__(self, word_set: bytes, gram_set: bytes, n: int):
+        self.word_set, self.gram_set, self.n, self.known = word_set, gram_set, n, {}
+
+    def _known(self, word: str) -> int:
+        found = _holds(self.word_set, hash64(word))
+        if len(self.known) < MEMORY:
+            self.known[word] = found
+        return found
+
+    def __call__(self, w: list[str]) -> Iterator[tuple[int, str]]:
+        run, n, known = 0, self.n, self.known
+        for i, x in enumerate(w):
+            found = known.get(x)
+            if not (self._known(x) if found is None else found):
+                run = 0
+                continue
+            run += 1
+            if run >= n:
+                gram = " ".join(w[i - n + 1 : i + 1])
+                if _holds(self.gram_set, hash64(gram)):
+                    yield i - n + 1, gram
+
+
+_LAST: list = [None, None]
+
+
+def _finder(shared, n: int) -> _Finder:
+    """One finder, with its memory of words, for each worker process and pair of sets."""
+    if _LAST[0] is not shared.value:
+        _LAST[:] = [shared.value, _Finder(*shared.value, n)]
+    return _LAST[1]
 
 
-def leaking_places(w: list[str], grams: dict, known: frozenset, n: int) -> set[int]:
-    return {i for at, _ in hits(w, grams, known, n) for i in range(at, at + n)}
+def item_grams(items: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(item, g): the distinct n-grams of each item, written down."""
 
+    def grams(batches):
+        for b in batches:
+            rows = [(k, g) for k, t in zip(b["k"], b["t"], strict=True) for g in dict.fromkeys(window_texts(words(t), n))]
+            yield pd.DataFrame(rows, columns=["item", "g"])
 
-def cut_spans(value: str | None, grams: dict, known: frozenset, n: int) -> tuple[str | None, float]:
-    """The text without leaking windows, and the share of its words that leaked."""
-    if value is None:
-        return None, 0.0
-    return cut_places(value, leaking_places(words(value), grams, known, n))
+    schema = T.StructType([T.StructField("item", items.schema[key].dataType), T.StructField("g", T.StringType())])
+    return cut(items.select(F.col(key).alias("k"), F.col(text).alias("t")).dropna().mapInPandas(grams, schema).distinct())
+
+
+def _sets(grams: DataFrame):
+    """Broadcast hash sets of the words and of the n-grams."""
+    as_signed = lambda v: np.array([hash64(x) for x in v], dtype="uint64").astype("int64")
+    hashed = F.pandas_udf("long")(lambda v: pd.Series(as_signed(v)))
+    once = grams.select("g").distinct()
+    word = once.select(F.explode(F.split("g", " ")).alias("g")).distinct()
+    made = tuple(hash_set(d.select(hashed("g").alias("h"))) for d in (word, once))
+    return grams.sparkSession.sparkContext.broadcast(made)
+
+
+def leaking_windows(docs: DataFrame, keep: list[str], text: str, grams: DataFrame, n: int) -> DataFrame:
+    """(keep, at, g): windows of each text, by the place of their first word, that may be n-grams of an item.
+    A map-only scan of the corpus; ``keep`` are names of columns of ``docs``."""
+    shared = _sets(grams)
+
+    def scan(batches):
+        find = _finder(shared, n)
+        for b in batches:
+            found = [(i, at, g) for i, t in enumerate(b["_t"]) for at, g in find(words(t))]
+            out = b.iloc[[f[0] for f in found]][keep].reset_index(drop=True)
+            yield out.assign(at=pd.Series([f[1] for f in found], dtype="int32"), g=pd.Series([f[2] for f in found], dtype=object))
+
+    schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField("at", T.IntegerType()), T.StructField("g", T.StringType())])
+    return docs.select(*keep, F.col(text).alias("_t")).dropna(subset=["_t"]).mapInPandas(scan, schema)
+
+
+def _verified(windows: DataFrame, grams: DataFrame) -> DataFrame:
+    """Windows with the items whose n-gram they are; n-grams that many texts or items hold are split."""
+    many = lambda d, c: d.groupBy("g").agg(F.count(F.lit(1)).alias(c))
+    counts = many(windows, "in_a").join(many(grams, "in_b"), "g")
+    return split_join(windows, grams, ["g"], counts, "in_a", "in_b", limit=100_000)
+
+
+def leaked_items(
+    docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int = 13
+) -> DataFrame:
+    """(doc, item, words): the documents that give items away, with the number of the document's words
+    that lie in matching windows. Where both keys have one name, the item's gets the ending ``_item``."""
+    item_out = item_key if item_key != doc_key else f"{item_key}_item"
+    grams = item_grams(items, item_key, item_text, n)
+    # Keys go through as text, as whole numbers with gaps would lose digits on their way.
+    kind = docs.schema[doc_key].dataType
+    numbered = docs.select(F.col(doc_key).cast("string").alias("k"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("row"))
+    windows = cut(leaking_windows(numbered, ["k", "row"], "t", grams, n))
+    places = _verified(windows, grams).groupBy("row", "k", "item").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    gaps = F.transform("at", lambda x, i: F.when(i == 0, n).otherwise(F.least(F.lit(n), x - F.get("at", i - 1))))
+    covered = places.select("k", "item", F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long").alias("words"))
+    found = covered.groupBy("k", "item").agg(F.max("words").alias("words"))
+    return found.select(F.col("k").cast(kind).alias(doc_key), F.col("item").alias(item_out), "words")
+
+
+def remove_leaks(
+    docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, n: int = 13, drop_share: float = 0.5
+) -> DataFrame:
+    """``docs`` with leaking spans cut out of ``text``; a document of which more than ``drop_share`` of
+    the words leaks is removed. Texts without a hit come back unchanged, character by character.
+
+    The leaking places of a text are found in the text as it is, whatever the number of items, then cut
+    and judged once. They are looked up by a digest of the text; equal texts share them.
+    """
+    grams = item_grams(items, item_key, item_text, n)
+    own = docs.select(F.md5(text).alias("d"), F.col(text).alias("t"))
+    windows = cut(leaking_windows(own, ["d"], "t", grams, n).distinct())
+    hits = windows.join(grams.select("g").distinct(), "g", "left_semi")
+    mark, digest = fresh_name(docs, "leak"), fresh_name(docs, "digest")
+    spans = cut(hits.groupBy(F.col("d").alias(digest)).agg(F.collect_set("at").alias(mark)))
+    texts, places = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(mark)), F.lit(0))).first()
+    few = texts <= MOST_TEXTS and places <= MOST_PLACES
+    marked = docs.withColumn(digest, F.md5(text)).join(F.broadcast(spans) if few else spans, digest, "left")
+    touched = F.when(F.col(mark).isNotNull(), F.col(text))
+    cleaned = marked.withColumn(mark, _cutter(n).asNondeterministic()(touched, F.col(mark)))
+    kept = cleaned.filter(F.coalesce(F.col(mark)["share"] <= drop_share, F.lit(True)))
+    return kept.withColumn(text, F.coalesce(F.col(mark)["kept"], F.col(text))).select(*docs.columns)
+
+
+def _cutter(n: int):
+    @F.pandas_udf("kept string, share double")
+    def clean(values: pd.Series, at: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if v is None else cut_places(v, {i for p in ps for i in range(p, p + n)}) for v, ps in zip(values, at, strict=True)]
+        return pd.DataFrame(rows, columns=["kept", "share"])
+
+    return clean
 
 
 def cut_places(value: str, places: set[int]) -> tuple[str, float]:

@@ -28,9 +28,9 @@ def test_disguised_passages(spark):
     assert found(spark, [], [ITEM]) == found(spark, docs, []) == set()
 
 
-@pytest.mark.parametrize("most", [10, 10**6])
-def test_matches_brute_force_in_blocks(spark, most, monkeypatch):
-    monkeypatch.setattr(L, "MAX_GRAMS", most)
+@pytest.mark.parametrize("most", [64, 1 << 20])
+def test_matches_brute_force_with_a_full_and_an_empty_set(spark, most, monkeypatch):
+    monkeypatch.setattr(L, "MOST_BITS", most)
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choice(["a", "b", "É", "c.", "-"]) for _ in range(n))
     docs, items = [text(rng.randint(0, 60)) for _ in range(80)], [text(rng.randint(0, 25)) for _ in range(20)]
@@ -53,9 +53,9 @@ def test_clashing_names(spark):
     assert L.remove_leaks(d, "text", i, "id", "text", drop_share=1.0).columns == d.columns
 
 
-@pytest.mark.parametrize("most", [10, 10**6])
-def test_blocks_are_cut_and_judged_together(spark, most, monkeypatch):
-    monkeypatch.setattr(L, "MAX_GRAMS", most)
+@pytest.mark.parametrize("most", [64, 1 << 20])
+def test_spans_of_several_items_are_cut_and_judged_together(spark, most, monkeypatch):
+    monkeypatch.setattr(L, "MOST_BITS", most)
     name = lambda c, n: [f"{c}{i}" for i in range(n)]
     a, b, own = name("a", 15), name("b", 15), name("o", 20)
     over = name("p", 10) + name("q", 10)
@@ -64,3 +64,17 @@ def test_blocks_are_cut_and_judged_together(spark, most, monkeypatch):
     d, i = frames(spark, docs, items)
     got = {r.doc: r.text for r in L.remove_leaks(d, "text", i, "item", "text").collect()}
     assert got == {1: " ".join(name("x", 40)) + "  " + " ".join(name("y", 9)), 2: None, 3: "nothing  here"}
+
+
+def test_many_leaking_texts_are_not_broadcast(spark, monkeypatch):
+    d, i = frames(spark, [f"a b {ITEM} c d " + "own " * 60, "plain", None, ITEM], [ITEM])
+    few = sorted(tuple(r) for r in L.remove_leaks(d, "text", i, "item", "text").collect())
+    monkeypatch.setattr(L, "MOST_TEXTS", 0)
+    assert sorted(tuple(r) for r in L.remove_leaks(d, "text", i, "item", "text").collect()) == few and len(few) == 3
+
+
+def test_null_keys_and_large_keys_come_back_whole(spark):
+    d = spark.createDataFrame([(None, ITEM), (2**60 + 1, ITEM), (3, "x")], "id bigint, text string")
+    i = spark.createDataFrame([(2**61 + 1, ITEM)], "item bigint, text string")
+    got = {(r.id, r.item) for r in L.leaked_items(d, "id", "text", i, "item", "text").collect()}
+    assert got == {(None, 2**61 + 1), (2**60 + 1, 2**61 + 1)}
