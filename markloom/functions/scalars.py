@@ -430,6 +430,13 @@ def string_metrics(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["levenshtein", "damerau", "jaro", "jaro_winkler", "lcs", "lcs_similarity"]).astype({"levenshtein": "Int32", "damerau": "Int32", "lcs": "Int32"})
 
 
+@series_udf("levenshtein int, damerau int")
+def edit_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Edit distances in characters; null gives nulls."""
+    rows = [(None, None) if x is None or y is None else (levenshtein(x, y), damerau(x, y)) for x, y in zip(a, b, strict=True)]
+    return pd.DataFrame(rows, columns=["levenshtein", "damerau"]).astype("Int32")
+
+
 WEIGHTED_FIELDS = "raw_cost double, similarity double, operations array<struct<kind:string,a_index:int,b_index:int,source:string,target:string,rule:string>>, rules array<string>"
 
 

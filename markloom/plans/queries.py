@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markloom.functions import strings as S
 from markloom.functions import tokens as K
-from markloom.functions.scalars import string_metrics, text_forms, weighted_edit_udf
+from markloom.functions.scalars import edit_udf, string_metrics, text_forms, weighted_edit_udf
 from markloom.operators import advice, etl, evaluate
 from markloom.operators import retrieve as R
 from markloom.operators.compare import explain, prune, with_features, with_goods, with_plain_score, with_score
@@ -26,18 +26,15 @@ def _latest_marks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "trademark").groupBy("id").agg(F.max(packed).alias("m")).select("id", *[f"m.{c}" for c in cols])
 
 
-def _ascii(c: Column) -> Column:
-    return S.fold_blanks(F.lower(F.regexp_replace(c, r"[^\x20-\x7e]", "")))
-
-
 def _name_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Scanned names and the marks that were hit, each pair once."""
     runs = table(spark, sf, "scan_run").select("scan_id", "input_text").distinct()
     return table(spark, sf, "retrieval_hit").select("scan_id", "mark_text").distinct().join(runs, "scan_id").select(F.col("input_text").alias("a"), F.col("mark_text").alias("b")).dropna().distinct()
 
 
-def _ascii_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _name_pairs(spark, sf).select(_ascii(F.col("a")).alias("a"), _ascii(F.col("b")).alias("b")).distinct()
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows that cost far more than their bytes tell, over all tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 # -- strings -----------------------------------------------------------------------------------------
@@ -66,14 +63,17 @@ def compact_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gram_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    g = _ascii_pairs(spark, sf).withColumns({"x": S.char_ngrams(F.col("a"), 3), "y": S.char_ngrams(F.col("b"), 3)})
-    return g.select("a", "b", F.round(S.overlap_ratio(F.col("x"), F.col("y"), 1.0, "dice"), 6).alias("dice"), F.round(S.overlap_ratio(F.col("x"), F.col("y"), 1.0), 6).alias("jaccard"))
+    g = _name_pairs(spark, sf).withColumns({"x": S.char_ngrams(F.col("a"), 3), "y": S.char_ngrams(F.col("b"), 3)})
+    ratio = lambda kind: F.round(S.overlap_ratio(F.col("x"), F.col("y"), 1.0, kind), 6)
+    return g.select("a", "b", ratio("dice").alias("dice"), ratio("jaccard").alias("jaccard"))
 
 
 def edit_distances(spark: SparkSession, sf: str) -> DataFrame:
-    m = _ascii_pairs(spark, sf).withColumn("m", string_metrics("a", "b"))
+    """Distances in characters, and the similarity that goes with the first."""
+    m = _spread(_name_pairs(spark, sf)).withColumn("m", edit_udf("a", "b"))
     longest = F.greatest(F.length("a"), F.length("b"))
-    return m.select("a", "b", F.levenshtein("a", "b").cast("bigint").alias("levenshtein"), F.col("m.damerau").cast("bigint").alias("damerau"), F.round(F.when(longest > 0, 1 - F.levenshtein("a", "b") / longest).otherwise(1.0), 6).alias("similarity"))
+    similarity = F.when(longest > 0, 1 - F.col("m.levenshtein") / longest).otherwise(1.0)
+    return m.select("a", "b", *[F.col(f"m.{c}").cast("bigint").alias(c) for c in ("levenshtein", "damerau")], F.round(similarity, 6).alias("similarity"))
 
 
 def jaro_similarities(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +91,7 @@ def token_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weighted_edits(spark: SparkSession, sf: str) -> DataFrame:
-    w = _name_pairs(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("w", weighted_edit_udf("nl")("a", "b"))
+    w = _spread(_name_pairs(spark, sf)).withColumn("w", weighted_edit_udf("nl")("a", "b"))
     return w.select("a", "b", F.round("w.raw_cost", 6).alias("raw_cost"), F.round("w.similarity", 6).alias("similarity"), F.array_join("w.rules", ",").alias("rules"), F.size("w.operations").alias("operations"))
 
 
@@ -361,6 +361,14 @@ def scan_recall(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.recall_at(ranked, want, 10).select("query_id", F.round("recall", 6).alias("recall"))
 
 
+def critical_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the promoted candidates that were retrieved as hits."""
+    pair = lambda d: d.select(F.col("scan_id").alias("query"), F.col("trademark_id").alias("candidate")).dropna().distinct()
+    must = pair(table(spark, sf, "scan_candidate").filter("decision = 'promote'")).withColumn("must_retrieve", F.lit(True))
+    found = evaluate.pair_recall(must, pair(table(spark, sf, "retrieval_hit")))
+    return found.select(F.round("recall", 6).alias("recall"))
+
+
 def scan_durations(spark: SparkSession, sf: str) -> DataFrame:
     runs = table(spark, sf, "scan_run").distinct().select("engine_version", "status", (F.unix_micros("completed_at") - F.unix_micros("started_at")).alias("us"))
     done = evaluate.nearest_rank(runs, ["engine_version", "status"], "us", {"p50": 0.5, "p95": 0.95})
@@ -403,15 +411,27 @@ def scan_all_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_by_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.keyed_scan(*_scan_inputs(spark, sf)).select(*SCAN_COLUMNS)
+
+
+def scan_by_index(spark: SparkSession, sf: str) -> DataFrame:
     return scan.index_scan(*_scan_inputs(spark, sf)).select(*SCAN_COLUMNS)
 
 
+def scan_key_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """(results, found, recall): what the scan by keys finds of the results of the whole scan."""
+    whole, keyed = (q(spark, sf).select("query_id", "id") for q in (scan_all_rows, scan_by_keys))
+    both = whole.join(keyed.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    counts = both.agg(F.count(F.lit(1)).alias("results"), F.count("hit").alias("found"))
+    return counts.withColumn("recall", F.coalesce(F.try_divide("found", "results"), F.lit(1.0)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, plain_scores, token_hypotheses, weighted_edits, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages,
         status_groups, source_hashes, intake_marks, delivery_actions, register_after_upsert, purge_statuses, marks_to_preprocess, preprocess_marks,
         retrieve_exact, retrieve_trigram, retrieve_trigram_share, retrieve_trigram_share_all, retrieve_phonetic, retrieve_nysiis, cap_strategies, unite_candidates, reserve_core_places, fetch_hits, corpus_ready, names_of_input,
-        class_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, scan_all_rows, scan_by_keys,
+        class_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, scan_all_rows, scan_by_keys, scan_by_index, scan_key_recall, critical_recall,
     )
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from markloom.functions.lexicons import LAST_CAP, STRATEGIES
 from markloom.functions.scalars import _stem_only, jaro_winkler
-from markloom.functions.strings import strategy_cap, trim_blanks
+from markloom.functions.strings import char_ngrams, strategy_cap, trim_blanks
 from markloom.operators import retrieve as R
 from markloom.operators.compare import cheap_features, explain, prune, with_features, with_score
 from markloom.operators.rank import families, family_key
@@ -20,6 +20,12 @@ from markloom.runtime import cut
 #: Proposed names are taken in blocks of so many against all rows of the corpus.
 QUERY_BLOCK = 500
 
+#: From these similarities on two forms are alike, by trigrams or by Jaro-Winkler.
+LEAST_DICE, LEAST_NEAR = 0.25, 0.85
+
+#: Forms meet by so many first letters.
+PREFIX = 3
+
 
 def propose(names: DataFrame) -> DataFrame:
     """(query_id, mark_text, nice_classes) with the derived struct; blank names are left out."""
@@ -48,30 +54,49 @@ def _could_reach(a: tuple, b: tuple) -> bool:
     return shared * (1 / len(a[0]) + 1 / len(b[0])) >= 1.25 - 1e-9
 
 
-def _channels(queries: list[dict]):
+def _asked(r) -> dict:
+    """A proposed name as it is held against marks."""
+    return {
+        "bags": [_bag(f) for f in r["forms"]],
+        "sig": set(r["significant_tokens"]),
+        "dom": r["dominant_token"],
+        "key": r["primary_key"],
+        "bones": r["skeleton"],
+        "compact": r["compact"],
+        "variants": {v.lower() for v in r["transliterations"]},
+    }
+
+
+def _matches(q: dict, m: dict) -> tuple[list[str], float]:
+    """Channels by which a mark is a candidate of a name, and their best Jaro-Winkler similarity."""
+    exact = q["compact"] != "" and q["compact"] == m["compact"]
+    latin = not m["variants"].isdisjoint(q["variants"])
+    word = not m["sig"].isdisjoint(q["sig"]) or bool(m["dom"] and m["dom"] == q["dom"])
+    sound = bool((m["key"] and m["key"] == q["key"]) or (m["bones"] and m["bones"] == q["bones"]))
+    sure, like, near, pairs = exact or latin or word or sound, False, 0.0, []
+    for x in q["bags"]:
+        for y in m["bags"]:
+            down = 0.7 if _stem_only(x[0], y[0]) else 1.0
+            n = len(x[2]) + len(y[2])
+            like = like or (2 * len(x[2] & y[2]) / n if n else 1.0) * down >= LEAST_DICE
+            pairs.append((x, y, down))
+    if sure or like or any(_could_reach(x, y) for x, y, _ in pairs):
+        near = max((jaro_winkler(x[0], y[0]) * d for x, y, d in pairs), default=0.0)
+    tests = (exact, latin, like or near >= LEAST_NEAR, word, sound)
+    return [s for s, t in zip(STRATEGIES, tests, strict=True) if t], near
+
+
+def _channels(queries: list[tuple]):
     """Function of one block of corpus rows: which names each row is a candidate of, and by what."""
 
     def match(batches):
         for b in batches:
             rows = []
-            for id_, forms, sig, dom, key, bones, compact, variants in zip(b["id"], *[b[s] for s in SIDES], strict=True):
-                bags, sig, lowered = [_bag(f) for f in forms], set(sig), {v.lower() for v in variants}
-                for q in queries:
-                    exact = q["compact"] != "" and q["compact"] == compact
-                    latin = not lowered.isdisjoint(q["variants"])
-                    word = not sig.isdisjoint(q["sig"]) or bool(dom and dom == q["dom"])
-                    sound = bool((key and key == q["key"]) or (bones and bones == q["bones"]))
-                    sure, like, near, pairs = exact or latin or word or sound, False, 0.0, []
-                    for x in q["bags"]:
-                        for y in bags:
-                            down = 0.7 if _stem_only(x[0], y[0]) else 1.0
-                            n = len(x[2]) + len(y[2])
-                            like = like or (2 * len(x[2] & y[2]) / n if n else 1.0) * down >= 0.25
-                            pairs.append((x, y, down))
-                    if sure or like or any(_could_reach(x, y) for x, y, _ in pairs):
-                        near = max((jaro_winkler(x[0], y[0]) * d for x, y, d in pairs), default=0.0)
-                    tests = (exact, latin, like or near >= 0.85, word, sound)
-                    rows += [(q["id"], id_, s, near) for s, t in zip(STRATEGIES, tests, strict=True) if t]
+            for id_, *sides in zip(b["id"], *[b[s] for s in SIDES], strict=True):
+                mark = _asked(dict(zip(SIDES, sides, strict=True)))
+                for query_id, q in queries:
+                    found, near = _matches(q, mark)
+                    rows += [(query_id, id_, s, near) for s in found]
             yield pd.DataFrame(rows, columns=["query_id", "id", "strategy", "score"])
 
     return match
@@ -92,12 +117,64 @@ def channel_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
         return part if out is None else out.unionByName(part)
 
     for q in asked:
-        block.append({"id": q["query_id"], "bags": [_bag(f) for f in q["forms"]], "sig": set(q["significant_tokens"]), "dom": q["dominant_token"], "key": q["primary_key"], "bones": q["skeleton"], "compact": q["compact"], "variants": {v.lower() for v in q["transliterations"]}})
+        block.append((q["query_id"], _asked(q)))
         if len(block) == QUERY_BLOCK:
             block, out = [], add(block, out)
     return add(block, out) if block or out is None else out
 
 
+def _sure_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, k): what two sides share if they are candidates by anything but similar letters, and the start
+    of each form, which forms of high Jaro-Winkler similarity nearly always share."""
+    r = lambda f: F.col(f"r.{f}")
+    tag = lambda t, c: F.transform(c, lambda x: F.concat(F.lit(t), x))
+    one = lambda c: F.array(c)
+    starts = F.transform(r("forms"), lambda x: F.left(x, F.lit(PREFIX)))
+    short = F.filter(r("forms"), lambda x: F.length(x) < 3)
+    kinds = [
+        tag("e:", one(r("compact"))),
+        tag("l:", F.transform(r("transliterations"), F.lower)),
+        tag("w:", F.concat(r("significant_tokens"), one(r("dominant_token")))),
+        tag("s:", one(r("primary_key"))),
+        tag("b:", one(r("skeleton"))),
+        tag("p:", starts),
+        F.when(F.size(short) > 0, one(F.lit("short:"))).otherwise(F.array().cast("array<string>")),
+    ]
+    keys = F.array_distinct(F.filter(F.concat(*kinds), lambda k: k.isNotNull() & ((F.length(k) > 2) | (k == "short:"))))
+    return rows.select(key, F.explode(keys).alias("k"))
+
+
+def _form_grams(rows: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, form, n, gram): trigrams of each form and their number."""
+    forms = rows.select(key, F.explode("r.forms").alias("form"))
+    sets = forms.select(key, "form", F.array_distinct(char_ngrams(F.col("form"), 3)).alias("g"))
+    return sets.withColumn(n, F.size("g")).select(key, F.col("form").alias(f"form_{n}"), n, F.explode("g").alias("gram"))
+
+
+def keyed_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``channel_hits`` through keys: only pairs that share a key, or enough trigrams of a form, are looked at.
+
+    The channels are decided by the same test, so no hit is made that the whole comparison doesn't make.
+    It misses pairs that are alike by Jaro-Winkler similarity alone and begin with other letters.
+    """
+    sure = _sure_keys(corpus, "id").join(_sure_keys(queries, "query_id"), "k").select("query_id", "id")
+    met = _form_grams(corpus, "id", "n").join(_form_grams(queries, "query_id", "m"), "gram")
+    met = met.filter(2 * F.least("n", "m") >= LEAST_DICE * (F.col("n") + F.col("m")) - 1e-9)
+    shared = met.groupBy("query_id", "id", "form_m", "form_n").agg((2 * F.count(F.lit(1)) / F.first(F.col("n") + F.col("m"))).alias("dice"))
+    like = shared.filter(F.col("dice") >= LEAST_DICE - 1e-9).select("query_id", "id")
+    side = lambda d, key, x: d.select(key, F.struct(*[F.col(f"r.{s}").alias(s) for s in SIDES]).alias(x))
+    pairs = sure.unionByName(like).distinct()
+    pairs = pairs.join(side(queries, "query_id", "q"), "query_id").join(side(corpus, "id", "m"), "id")
+
+    @F.pandas_udf("strategies array<string>, near double")
+    def channels(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        found = [_matches(_asked(a), _asked(b)) for a, b in zip(q.to_dict("records"), m.to_dict("records"), strict=True)]
+        return pd.DataFrame(found, columns=["strategies", "near"])
+
+    found = pairs.select("query_id", "id", channels.asNondeterministic()("q", "m").alias("c"))
+    return found.select("query_id", "id", F.explode("c.strategies").alias("strategy"), F.col("c.near").alias("score"))
+
+
 def assess(united: DataFrame, queries: DataFrame, corpus: DataFrame, with_context: bool = True) -> DataFrame:
     """Features, evidence, pruning decision, score and explanations of united candidates.
 
@@ -126,14 +203,26 @@ def results(assessed: DataFrame) -> DataFrame:
     return families(flat, ["query_id"])
 
 
+def _named(corpus: DataFrame) -> DataFrame:
+    return represent(corpus.filter(F.length(trim_blanks(F.col("mark_text"))) > 0))
+
+
+def _scan(names: DataFrame, corpus: DataFrame, hits) -> DataFrame:
+    queries, marks = cut(propose(names)), cut(_named(corpus))
+    caps = queries.select("query_id", strategy_cap(F.length("r.compact")).alias("cap"))
+    capped = R.cap_hits(hits(queries, marks).join(caps, "query_id"), [F.col("score").desc(), F.col("id")], F.col("cap"), most=LAST_CAP)
+    return results(assess(R.unite(capped), queries, marks))
+
+
 def logical_scan(names: DataFrame, corpus: DataFrame) -> DataFrame:
     """The exhaustive scan: each name against all rows, capped per channel by length, united, pruned,
     scored, ranked and grouped into families."""
-    queries = cut(propose(names))
-    marks = cut(represent(corpus.filter(F.length(trim_blanks(F.col("mark_text"))) > 0)))
-    hits = channel_hits(queries, marks).join(queries.select("query_id", strategy_cap(F.length("r.compact")).alias("cap")), "query_id")
-    capped = R.cap_hits(hits, [F.col("score").desc(), F.col("id")], F.col("cap"), most=LAST_CAP)
-    return results(assess(R.unite(capped), queries, marks))
+    return _scan(names, corpus, channel_hits)
+
+
+def keyed_scan(names: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The same scan where candidates are found through keys, for a corpus of any size."""
+    return _scan(names, corpus, keyed_hits)
 
 
 def index(marks: DataFrame) -> dict[str, DataFrame]:
@@ -162,9 +251,8 @@ def index_hits(queries: DataFrame, marks: DataFrame, keys: dict[str, DataFrame],
 
 
 def index_scan(names: DataFrame, corpus: DataFrame, least: float = 0.3) -> DataFrame:
-    """The same through key tables: every strategy is an equi-join, so only marks that share a key with
-    a name are ever looked at."""
+    """The scan by stored key tables, with strategies, keys and caps of their own (``index_hits``)."""
     queries = cut(with_sound_keys(cut(R.query_keys(cut(propose(names))))))
-    marks = cut(represent(corpus.filter(F.length(trim_blanks(F.col("mark_text"))) > 0)))
+    marks = cut(_named(corpus))
     united = R.unite(index_hits(queries, marks, index(marks), least))
     return results(assess(united, queries, marks, with_context=False))

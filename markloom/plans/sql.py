@@ -35,10 +35,6 @@ def _grams(x: str, n: int) -> str:
     return f"CASE WHEN length({x}) >= {n} THEN list_transform(generate_series(1, length({x}) - {n - 1}), lambda i: substring({x}, i, {n})) ELSE [] END"
 
 
-def _ascii(x: str) -> str:
-    return _fold_blanks("lower(" + _sub(x, (r"[^\x20-\x7e]", "")) + ")")
-
-
 PUNCT = _sub("lower(concat_ws(' ', p_name, p_type, p_brand))", (r"[\p{P}\p{S}]+", " "))
 SHORT = _sub(f"regexp_replace(ws, '^(\\S.*?)(?: (?:{'|'.join(LEGAL_FORMS)}))+$', '\\1')", (r"[^\p{L}\p{N}]+", ""))
 WHOLE = _sub("ws", (r"[^\p{L}\p{N}]+", ""))
@@ -66,18 +62,26 @@ FROM (SELECT DISTINCT trademark_id, compact FROM {R})
 NAME_PAIRS = """
 n AS (SELECT DISTINCT h.scan_id, h.mark_text FROM retrieval_hit h WHERE mark_text IS NOT NULL),
 pairs AS (SELECT DISTINCT r.input_text AS a0, n.mark_text AS b0 FROM n JOIN (SELECT DISTINCT scan_id, input_text FROM scan_run WHERE input_text IS NOT NULL) r USING (scan_id))"""
-ASCII_PAIRS = f"{NAME_PAIRS}, p AS (SELECT DISTINCT {_ascii('a0')} AS a, {_ascii('b0')} AS b FROM pairs)"
 
 GRAM_SIMILARITY = f"""
-WITH {ASCII_PAIRS}, g AS (SELECT a, b, list_distinct({_grams("a", 3)}) AS x, list_distinct({_grams("b", 3)}) AS y FROM p),
+WITH {NAME_PAIRS}, g AS (SELECT a0 AS a, b0 AS b, list_distinct({_grams("a0", 3)}) AS x, list_distinct({_grams("b0", 3)}) AS y FROM pairs),
 c AS (SELECT a, b, len(list_intersect(x, y)) AS s, len(x) + len(y) AS n FROM g)
 SELECT a, b, round(CASE WHEN n > 0 THEN 2.0 * s / n ELSE 1.0 END, 6) AS dice, round(CASE WHEN n > 0 THEN s / CAST(n - s AS DOUBLE) ELSE 1.0 END, 6) AS jaccard FROM c
 """
 
+# The distances of this engine are of bytes, so each pair is spelled in an alphabet of its own of one byte a character.
+_LETTERS = "regexp_extract_all({}, '(?s).')"
+
+
+def _spelled(x: str) -> str:
+    return f"array_to_string(list_transform({_LETTERS.format(x)}, lambda c: chr(CAST(32 + list_position(l, c) AS INT))), '')"
+
+
 EDIT_DISTANCES = f"""
-WITH {ASCII_PAIRS}
-SELECT a, b, levenshtein(a, b) AS levenshtein, damerau_levenshtein(a, b) AS damerau,
-       round(CASE WHEN greatest(length(a), length(b)) > 0 THEN 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) ELSE 1.0 END, 6) AS similarity FROM p
+WITH {NAME_PAIRS}, k AS (SELECT a0, b0, list_distinct({_LETTERS.format("a0 || b0")}) AS l FROM pairs),
+p AS (SELECT a0, b0, {_spelled("a0")} AS a, {_spelled("b0")} AS b FROM k),
+d AS (SELECT *, levenshtein(a, b) AS levenshtein, damerau_levenshtein(a, b) AS damerau, greatest(length(a), length(b)) AS n FROM p)
+SELECT a0 AS a, b0 AS b, levenshtein, damerau, round(CASE WHEN n > 0 THEN 1 - levenshtein / CAST(n AS DOUBLE) ELSE 1.0 END, 6) AS similarity FROM d
 """
 
 _ROLE = f"""CASE WHEN word = '' THEN 'unknown' WHEN regexp_full_match(word, '\\p{{N}}+') THEN 'numeral' WHEN word IN ({_in(LEGAL_FORMS)}) THEN 'legal_form'
@@ -283,6 +287,11 @@ WITH {RANKABLE}, t AS (SELECT scan_id, id, row_number() OVER (PARTITION BY scan_
 w AS (SELECT DISTINCT scan_id, trademark_id AS id FROM scan_candidate WHERE decision = 'promote' AND scan_id IS NOT NULL AND trademark_id IS NOT NULL)
 SELECT w.scan_id AS query_id, round(count(t.id) / CAST(count(*) AS DOUBLE), 6) AS recall FROM w LEFT JOIN t ON t.scan_id = w.scan_id AND t.id = w.id AND t.k <= 10 GROUP BY w.scan_id
 """
+CRITICAL = """
+WITH w AS (SELECT DISTINCT scan_id, trademark_id FROM scan_candidate WHERE decision = 'promote' AND scan_id IS NOT NULL AND trademark_id IS NOT NULL),
+h AS (SELECT DISTINCT scan_id, trademark_id, 1 AS hit FROM retrieval_hit)
+SELECT round(coalesce(count(hit) / CAST(nullif(count(*), 0) AS DOUBLE), 1.0), 6) AS recall FROM w LEFT JOIN h USING (scan_id, trademark_id)
+"""
 DURATIONS = """
 WITH d AS (SELECT engine_version, status, epoch_us(completed_at) - epoch_us(started_at) AS us FROM (SELECT DISTINCT * FROM scan_run)),
 r AS (SELECT *, row_number() OVER (PARTITION BY engine_version, status ORDER BY us) AS k, count(*) OVER (PARTITION BY engine_version, status) AS n FROM d WHERE us IS NOT NULL)
@@ -332,6 +341,7 @@ SQL = {
     "rank_candidates": RANK,
     "group_families": FAMILIES,
     "scan_recall": RECALL,
+    "critical_recall": CRITICAL,
     "scan_durations": DURATIONS,
     "corpus_counts": COUNTS,
     "scan_progress": PROGRESS,
