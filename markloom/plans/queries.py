@@ -32,6 +32,10 @@ def _name_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "retrieval_hit").select("scan_id", "mark_text").distinct().join(runs, "scan_id").select(F.col("input_text").alias("a"), F.col("mark_text").alias("b")).dropna().distinct()
 
 
+def _joined(column: str, by: str) -> Column:
+    return F.array_join(column, by)
+
+
 def _spread(rows: DataFrame) -> DataFrame:
     """Rows that cost far more than their bytes tell, over all tasks."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -47,8 +51,11 @@ def fold_part_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def represent_marks(spark: SparkSession, sf: str) -> DataFrame:
     marks = table(spark, sf, "trademark").select("id", "mark_text").distinct()
-    r = represent(marks)
-    return r.select("id", *[f"r.{f}" for f in ("unicode_nfkc", "case_folded", "diacritics_folded", "whitespace_folded", "ascii_folded", "compact", "scripts", "tokens", "significant_tokens", "dominant_token", "core_compact", "transliterations", "primary_key", "secondary_key", "skeleton")])
+    plain = ("unicode_nfkc", "case_folded", "diacritics_folded", "whitespace_folded", "ascii_folded", "compact", "dominant_token")
+    derived = ("core_compact", "primary_key", "secondary_key", "skeleton")
+    listed = [_joined(f"r.{f}", ",").alias(f) for f in ("scripts", "tokens", "significant_tokens", "noise_tokens")]
+    variants = _joined("r.transliterations", "|").alias("transliterations")
+    return represent(marks).select("id", *[f"r.{f}" for f in (*plain, *derived)], *listed, variants)
 
 
 def detect_scripts(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +104,7 @@ def weighted_edits(spark: SparkSession, sf: str) -> DataFrame:
 
 def transliterations(spark: SparkSession, sf: str) -> DataFrame:
     marks = table(spark, sf, "trademark").select("mark_text").distinct()
-    return marks.select("mark_text", text_forms("mark_text")["variants"].alias("variants"))
+    return marks.select("mark_text", F.array_join(text_forms("mark_text")["variants"], "|").alias("variants"))
 
 
 def token_roles(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,7 +190,8 @@ def marks_to_preprocess(spark: SparkSession, sf: str) -> DataFrame:
 
 def preprocess_marks(spark: SparkSession, sf: str) -> DataFrame:
     reps, _ = etl.preprocess(_latest_marks(spark, sf).filter("is_text_searchable"))
-    return reps.select("trademark_id", "compact", "tokens", "significant_tokens", "descriptive_tokens", "trigrams", "dominant_token", "normalization_version")
+    listed = [_joined(c, ",").alias(c) for c in ("tokens", "significant_tokens", "descriptive_tokens", "trigrams")]
+    return reps.select("trademark_id", "compact", *listed, "dominant_token", "normalization_version")
 
 
 # -- retrieval ---------------------------------------------------------------------------------------
@@ -236,7 +244,7 @@ def retrieve_phonetic(spark: SparkSession, sf: str) -> DataFrame:
     spoken = marks.select("id", F.coalesce(F.nullif(F.col("r.diacritics_folded"), F.lit("")), F.col("r.compact")).alias("t"))
     names = phonetic_keys(asked.select("query_id", F.get("keys", F.lit(0)).alias("t")), "query_id", "t").groupBy("query_id").agg(F.collect_set("key").alias("sound_keys"))
     hits = R.sound_hits(names, phonetic_keys(spoken, "id", "t")).join(marks.select("id", "mark_text"), "id").join(asked.select("query_id", "cap"), "query_id")
-    return R.cap_hits(hits, [F.col("mark_text"), F.col("id")], F.col("cap"), most=S.LAST_CAP).select("query_id", "id", "rank", "pre_cap")
+    return R.cap_hits(hits, [F.col("mark_text"), F.col("id")], F.col("cap"), most=S.LAST_CAP).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), "pre_cap")
 
 
 def retrieve_nysiis(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 
 from markloom.functions.lexicons import FUNCTION_WORDS, LAST_CAP, LEGAL_FORMS, LOCALE_PATTERNS, LOCALE_SCRIPTS, RELATED_CLASSES, SOURCE_STATUSES, STAGE_WEIGHTS, STATUS_GROUPS, STRATEGY_CAPS, VERSIONS, WEAK_WORDS
 
+from markloom.plans import sql_texts as X
+
 R = "trademark_normalized_representation"
 B = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
@@ -140,6 +142,52 @@ SELECT t, CASE WHEN w = '' THEN '' ELSE left(rpad({_SECOND}, 200, '0'), 4) END A
        {_sub("lower(t)", ("[^b-df-hj-np-tv-xz]", ""))} AS skeleton, translate({_sub("lower(t)", ("[^a-z]", ""))}, 'y', 'i') AS phonemes FROM s
 """
 
+_SPOKEN_KEY = f"CASE WHEN w = '' THEN '' ELSE left(rpad({_SECOND}, 200, '0'), 4) END"
+
+#: From forms, cores and variants: said(t, spoken, latin, core) with the form that is spoken and the Latin one.
+SAID = f"""s0 AS (SELECT forms.*, core, sig, {_sub("lower(v[1])", (X.ALNUM, ""))} AS first FROM forms JOIN cores USING (t) JOIN variants USING (t)),
+said AS (SELECT *, CASE WHEN core <> '' AND regexp_full_match(core, '[\\p{{Latin}}\\p{{N}}]*') THEN core WHEN first <> '' THEN first WHEN dia <> '' THEN dia ELSE compact END AS spoken,
+  CASE WHEN first = '' OR (length(first) < length(compact) AND contains(compact, first)) THEN compact ELSE first END AS latin FROM s0)"""
+DERIVED = f"""{X.WORDS},
+{X.VARIANTS},
+{SAID},
+{X.sound_keys("said", "spoken")},
+second AS (SELECT spoken, {_SPOKEN_KEY} AS key2 FROM (SELECT DISTINCT spoken, {_sub("upper(spoken)", ("[^A-Z]", ""))} AS w FROM said))"""
+
+_MARKS = "marks_in AS (SELECT DISTINCT id, mark_text FROM trademark)"
+REPRESENT = f"""
+WITH RECURSIVE {_MARKS}, {X.forms("marks_in", "mark_text")}, {DERIVED}
+SELECT m.id, s.nfkc AS unicode_nfkc, s.low AS case_folded, s.dia AS diacritics_folded, s.ws AS whitespace_folded, s.ascii AS ascii_folded, s.compact,
+  c.dominant AS dominant_token, c.core AS core_compact, k.key AS primary_key, z.key2 AS secondary_key, {_sub("lower(s.spoken)", ("[^b-df-hj-np-tv-xz]", ""))} AS skeleton,
+  d.scripts, array_to_string(c.tokens, ',') AS tokens, array_to_string(c.sig, ',') AS significant_tokens, array_to_string(c.noise, ',') AS noise_tokens,
+  array_to_string(v.v, '|') AS transliterations
+FROM marks_in m LEFT JOIN said s ON s.t = m.mark_text LEFT JOIN cores c ON c.t = m.mark_text LEFT JOIN variants v ON v.t = m.mark_text LEFT JOIN keyed k ON k.t = s.spoken
+LEFT JOIN second z ON z.spoken = s.spoken LEFT JOIN ({DETECT_SCRIPTS}) d ON d.id = m.id
+"""
+TRANSLITERATIONS = f"""
+WITH {X.forms("trademark", "mark_text")}, {X.VARIANTS}
+SELECT mark_text, array_to_string(v, '|') AS variants FROM (SELECT DISTINCT mark_text FROM trademark) LEFT JOIN variants ON t = mark_text
+"""
+HYPOTHESES = f"""
+WITH {_MARKS}, {X.forms("marks_in", "mark_text")}, {X.WORDS}, {X.split_hypotheses()}
+SELECT id, tokens, merged, reason FROM marks_in JOIN hypos ON t = mark_text
+"""
+
+
+def _sounds(source: str) -> str:
+    """CTEs from a table of (id, t) to sounds(id, algorithm, key), without the sentinel."""
+    return f"""spoken AS (SELECT DISTINCT id, {_sub("lower(t)", (X.ALNUM, ""))} AS t FROM {source}), {X.sound_keys("spoken")}, {_nysiis("(SELECT DISTINCT t FROM spoken WHERE t IS NOT NULL)")},
+sounds AS (SELECT DISTINCT id, algorithm, key FROM (
+  SELECT id, 'double_metaphone' AS algorithm, key FROM spoken JOIN keyed USING (t)
+  UNION ALL SELECT id, 'double_metaphone', {_SPOKEN_KEY} FROM spoken JOIN s USING (t) UNION ALL SELECT id, 'nysiis', nysiis FROM spoken JOIN s USING (t)) WHERE key <> '')"""
+
+
+PHONETIC_KEYS = f"""
+WITH RECURSIVE given AS (SELECT DISTINCT trademark_id AS id, coalesce(nullif(diacritics_folded, ''), compact) AS t FROM {R}), {_sounds("given")}
+SELECT id AS trademark_id, 'und' AS locale, algorithm, key FROM sounds
+UNION ALL SELECT DISTINCT id, 'und', 'unencodable', '_' FROM spoken g WHERE NOT EXISTS (SELECT 1 FROM keyed k JOIN s USING (t) WHERE k.t = g.t AND k.key <> '')
+"""
+
 _GROUP = "CASE " + " ".join(f"WHEN s IN ({_in(c)}) THEN '{n}'" for n, c in STATUS_GROUPS.items()) + " ELSE 'unknown' END"
 STATUS_SQL = f"SELECT status_code, {_GROUP} AS normalized, coalesce(s IN ({_in(SOURCE_STATUSES)}), false) AS allowed FROM (SELECT DISTINCT status_code, upper({_trim('status_code')}) AS s FROM trademark)"
 
@@ -207,6 +255,19 @@ WITH {SCANNED}, src AS (SELECT DISTINCT t FROM (SELECT ascii_folded AS t FROM ma
 SELECT DISTINCT query_id, id FROM asked a JOIN s sa ON sa.t = a.key JOIN s sm ON sm.nysiis = sa.nysiis JOIN marks m ON m.ascii_folded = sm.t WHERE sa.nysiis <> ''
 """
 
+RETRIEVE_PHONETIC = f"""
+WITH RECURSIVE {FOLDED}, given AS (SELECT 'm' || id AS id, coalesce(nullif(diacritics_folded, ''), compact) AS t FROM marks UNION ALL SELECT 'q' || query_id, key FROM asked), {_sounds("given")},
+met AS (SELECT DISTINCT a.query_id, a.cap, m.id, m.mark_text FROM asked a JOIN sounds q ON q.id = 'q' || a.query_id JOIN sounds c ON c.key = q.key JOIN marks m ON 'm' || m.id = c.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mark_text, id) AS rank, count(*) OVER (PARTITION BY query_id) AS pre_cap FROM met)
+SELECT query_id, id, rank, pre_cap FROM r WHERE rank <= cap
+"""
+PREPROCESS = f"""
+WITH {LATEST}, able AS (SELECT id, mark_text FROM latest WHERE is_text_searchable), {X.forms("able", "mark_text")}, {X.WORDS}
+SELECT id AS trademark_id, compact, array_to_string(tokens, ',') AS tokens, array_to_string(sig, ',') AS significant_tokens, array_to_string(weak, ',') AS descriptive_tokens,
+  array_to_string({_grams("compact", 3)}, ',') AS trigrams, dominant AS dominant_token, '{VERSIONS["normalization"]}' AS normalization_version
+FROM able LEFT JOIN forms ON forms.t = mark_text LEFT JOIN cores ON cores.t = mark_text
+"""
+
 HITS = """
 h AS (SELECT scan_id AS query_id, trademark_id AS id, strategy, max(score) AS score FROM retrieval_hit
       WHERE trademark_id IS NOT NULL AND scan_id IS NOT NULL AND strategy IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
@@ -314,6 +375,12 @@ SQL = {
     "compact_ngrams": COMPACT_NGRAMS,
     "gram_similarity": GRAM_SIMILARITY,
     "edit_distances": EDIT_DISTANCES,
+    "represent_marks": REPRESENT,
+    "transliterations": TRANSLITERATIONS,
+    "token_hypotheses": HYPOTHESES,
+    "phonetic_key_rows": PHONETIC_KEYS,
+    "preprocess_marks": PREPROCESS,
+    "retrieve_phonetic": RETRIEVE_PHONETIC,
     "token_roles": TOKEN_ROLES,
     "token_cores": TOKEN_CORES,
     "sound_codes": SOUND_CODES,
