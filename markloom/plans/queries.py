@@ -99,7 +99,13 @@ def token_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
 
 def weighted_edits(spark: SparkSession, sf: str) -> DataFrame:
     w = _spread(_name_pairs(spark, sf)).withColumn("w", weighted_edit_udf("nl")("a", "b"))
-    return w.select("a", "b", F.round("w.raw_cost", 6).alias("raw_cost"), F.round("w.similarity", 6).alias("similarity"), F.array_join("w.rules", ",").alias("rules"), F.size("w.operations").alias("operations"))
+    return w.select("a", "b", F.round("w.raw_cost", 6).alias("raw_cost"), F.round("w.similarity", 6).alias("similarity"))
+
+
+def weighted_edit_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules that were used and the number of steps; of equal costs the first way counts."""
+    w = _spread(_name_pairs(spark, sf)).withColumn("w", weighted_edit_udf("nl")("a", "b"))
+    return w.select("a", "b", F.array_join("w.rules", ",").alias("rules"), F.size("w.operations").alias("operations"))
 
 
 def transliterations(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,13 +310,49 @@ def class_relations(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("id", F.round("goods.class_overlap", 6).alias("class_overlap"), F.round("goods.related_signal", 6).alias("related"), "goods.relationship", "goods.confidence")
 
 
+#: Features of a pair under the names they have in a flat row.
+FLAT = {
+    "exact": {"normalizedMatch": "normalized", "compactMatch": "compact", "caseFoldedMatch": "folded", "transliterationMatch": "translit"},
+    "orthographic": {
+        "levenshteinSimilarity": "lev", "damerauLevenshteinSimilarity": "dam", "jaroSimilarity": "jaro", "jaroWinklerSimilarity": "jw",
+        "weightedEditSimilarity": "wed", "trigramDice": "dice", "lcsSimilarity": "lcs",
+    },
+    "token": {
+        "dominantTokenOverlap": "dom", "tokenJaccard": "sig", "sharedRareTokenCount": "shared", "prefixOverlap": "pre", "suffixOverlap": "suf",
+        "noiseOnlyOverlap": "noise", "coreCompactMatch": "core", "coreEmpty": "bare", "secondarySignificantOverlap": "second",
+    },
+    "phonetic": {"primaryKeyMatch": "key1", "secondaryKeyMatch": "key2", "pronunciationSimilarity": "sound", "skeletonMatch": "bones"},
+    "conceptual": {"translationProximity": "meaning", "descriptiveOverlap": "plain"},
+    "goodsServices": {"niceClassOverlap": "classes"},
+}
+
+
 def pair_features(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _name_pairs(spark, sf)
-    names = cut(represent(pairs.select(F.col("a").alias("mark_text")).unionByName(pairs.select(F.col("b").alias("mark_text"))).distinct()))
+    """Features, evidence, score and explanations of scanned names, for three classes, and the marks hit."""
+    hits = table(spark, sf, "retrieval_hit").groupBy("scan_id", "mark_text").agg(F.max("nice_classes").alias("c"))
+    runs = table(spark, sf, "scan_run").select("scan_id", "input_text").distinct()
+    both = hits.join(runs, "scan_id").select(F.col("input_text").alias("a"), F.col("mark_text").alias("b"), "c").dropna(subset=["a", "b"])
+    pairs = both.groupBy("a", "b").agg(F.max("c").alias("cb")).withColumn("ca", F.array(*map(F.lit, (9, 32, 35))))
+    texts = pairs.select(F.col("a").alias("mark_text")).unionByName(pairs.select(F.col("b").alias("mark_text"))).distinct()
+    names = cut(represent(texts))
     side = lambda n, r: names.select(F.col("mark_text").alias(n), F.col("r").alias(r))
-    seen = cut(with_features(pairs.join(side("a", "p"), "a").join(side("b", "c"), "b")).select("a", "b", "features", "evidence_codes"))
-    scored = with_score(seen).withColumn("explanations", explain(F.col("evidence_codes"), F.col("a"), F.col("b"), "nl"))
-    return scored.select("a", "b", "features", "evidence_codes", "score", "explanations")
+    seen = with_features(pairs.join(side("a", "p"), "a").join(side("b", "c"), "b"), left_classes="ca", right_classes="cb")
+    scored = with_score(cut(seen.select("a", "b", "features", "evidence_codes", "goods")), goods="goods")
+    flat = [F.round(f"features.{family}.{n}", 6).alias(c) for family, own in FLAT.items() for n, c in own.items()]
+    said = F.array_join(explain(F.col("evidence_codes"), F.col("a"), F.col("b"), "nl"), "|").alias("explanations")
+    return scored.select("a", "b", *flat, F.array_join("evidence_codes", ",").alias("evidence"), "score.*", said)
+
+
+def goods_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Goods lists of neighbouring parts: their sizes as classes, their names as texts, some of them missing."""
+    part = table(spark, sf, "part").select("p_partkey", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    texts = F.when(F.col("p_partkey") % 7 > 0, F.array(F.col("text"), F.lit(" - "), F.lit("Cafés & more")))
+    own = part.select("p_partkey", F.array("p_size", F.lit(35)).alias("c"), texts.alias("t"))
+    next_ = own.select((F.col("p_partkey") - F.when(F.col("p_partkey") % 5 == 0, 0).otherwise(1)).alias("p_partkey"), F.col("c").alias("d"), F.col("t").alias("u"))
+    pairs = own.join(next_, "p_partkey").withColumn("d", F.when(F.col("p_partkey") % 3 > 0, F.col("d")))
+    g = with_goods(pairs.dropDuplicates(["p_partkey", "u", "d"]), "c", "d", "t", "u")
+    rounded = [F.round(f"goods.{n}", 6).alias(n) for n in ("class_overlap", "related_signal", "concrete_similarity", "coverage")]
+    return g.select("p_partkey", *rounded, "goods.relationship", "goods.confidence", F.array_join("goods.warnings", ",").alias("warnings"))
 
 
 def _stored_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -437,9 +479,9 @@ def scan_key_recall(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, plain_scores, token_hypotheses, weighted_edits, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages,
+        fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, plain_scores, token_hypotheses, weighted_edits, weighted_edit_traces, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages,
         status_groups, source_hashes, intake_marks, delivery_actions, register_after_upsert, purge_statuses, marks_to_preprocess, preprocess_marks,
         retrieve_exact, retrieve_trigram, retrieve_trigram_share, retrieve_trigram_share_all, retrieve_phonetic, retrieve_nysiis, cap_strategies, unite_candidates, reserve_core_places, fetch_hits, corpus_ready, names_of_input,
-        class_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, scan_all_rows, scan_by_keys, scan_by_index, scan_key_recall, critical_recall,
+        class_relations, goods_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, scan_all_rows, scan_by_keys, scan_by_index, scan_key_recall, critical_recall,
     )
 }

@@ -7,6 +7,7 @@ from functools import reduce
 
 from markloom.functions.lexicons import FUNCTION_WORDS, LAST_CAP, LEGAL_FORMS, LOCALE_PATTERNS, LOCALE_SCRIPTS, RELATED_CLASSES, SOURCE_STATUSES, STAGE_WEIGHTS, STATUS_GROUPS, STRATEGY_CAPS, VERSIONS, WEAK_WORDS
 
+from markloom.plans import sql_pairs as P
 from markloom.plans import sql_texts as X
 
 R = "trademark_normalized_representation"
@@ -86,6 +87,25 @@ d AS (SELECT *, levenshtein(a, b) AS levenshtein, damerau_levenshtein(a, b) AS d
 SELECT a0 AS a, b0 AS b, levenshtein, damerau, round(CASE WHEN n > 0 THEN 1 - levenshtein / CAST(n AS DOUBLE) ELSE 1.0 END, 6) AS similarity FROM d
 """
 
+_LOW_PAIRS = f"{NAME_PAIRS}, low AS (SELECT a0, b0, lower(a0) AS a, lower(b0) AS b FROM pairs)"
+JARO = f"""
+WITH RECURSIVE {_LOW_PAIRS}, {P.metrics("low", "nl")}
+SELECT a0 AS a, b0 AS b, round(jaro, 6) AS jaro, round(jw, 6) AS jaro_winkler, round(CASE WHEN greatest(na, nb) > 0 THEN lcs / CAST(greatest(na, nb) AS DOUBLE) ELSE 1.0 END, 6) AS lcs_similarity
+FROM low JOIN metrics USING (a, b)
+"""
+WEIGHTED = f"""
+WITH RECURSIVE {NAME_PAIRS}, given AS (SELECT a0 AS a, b0 AS b FROM pairs), {P.metrics("given", "nl")}
+SELECT a, b, round(cost, 6) AS raw_cost, round(similarity, 6) AS similarity FROM metrics
+"""
+PLAIN_SCORES = f"""
+WITH RECURSIVE {NAME_PAIRS}, {X.CAPITALS}, sides AS (SELECT a0 AS x FROM pairs UNION SELECT b0 FROM pairs), {X.spelled("sides", "x", "capitals", "big")},
+up AS (SELECT a0, b0, upper({_fold_blanks("p.s")}) AS a, upper({_fold_blanks("q.s")}) AS b FROM pairs JOIN big p ON p.x = a0 JOIN big q ON q.x = b0), {P.metrics("up", "nl")},
+c AS (SELECT a0, b0, CAST(a <> '' AND a = b AS INT) AS exact, CASE WHEN greatest(na, nb) > 0 THEN 1 - levenshtein / CAST(greatest(na, nb) AS DOUBLE) ELSE 1.0 END AS lev, jaro, jw FROM up JOIN metrics USING (a, b)),
+d AS (SELECT *, CASE WHEN exact = 1 THEN 1.0 ELSE lev * CAST(0.35 AS DOUBLE) + jaro * CAST(0.25 AS DOUBLE) + jw * CAST(0.4 AS DOUBLE) END AS c FROM c)
+SELECT a0 AS a, b0 AS b, exact, round(lev, 4) AS levenshtein, round(jaro, 4) AS jaro, round(jw, 4) AS jaro_winkler, round(c, 4) AS combined,
+  CASE WHEN c >= 0.95 THEN 'critical' WHEN c >= 0.85 THEN 'strong' WHEN c >= 0.7 THEN 'relevant' WHEN c >= 0.55 THEN 'borderline' WHEN c >= 0.35 THEN 'weak' ELSE 'irrelevant' END AS band FROM d
+"""
+
 _ROLE = f"""CASE WHEN word = '' THEN 'unknown' WHEN regexp_full_match(word, '\\p{{N}}+') THEN 'numeral' WHEN word IN ({_in(LEGAL_FORMS)}) THEN 'legal_form'
  WHEN word IN ({_in(FUNCTION_WORDS)}) THEN 'function_word' WHEN word IN ({_in(WEAK_WORDS)}) THEN 'descriptive_weak' WHEN regexp_matches(word, '\\p{{L}}') THEN 'distinctive' ELSE 'unknown' END"""
 TOKEN_ROLES = f"""
@@ -304,6 +324,33 @@ SELECT id, round(ov, 6) AS class_overlap, round(rl, 6) AS related,
        CASE WHEN ov > 0 THEN 'medium' ELSE 'low' END AS confidence FROM o
 """
 
+_ROUNDED = "lev dam jaro jw wed dice lcs pre suf sig noise second sound plain classes".split()
+_WHOLE = "normalized compact folded translit dom shared core key1 key2 bones meaning".split()
+PAIR_FEATURES = f"""
+WITH RECURSIVE hits AS (SELECT scan_id, mark_text, max(nice_classes) AS c FROM retrieval_hit WHERE mark_text IS NOT NULL GROUP BY ALL),
+pairs AS (SELECT input_text AS a, mark_text AS b, [9, 32, 35] AS ca, coalesce(max(c), []) AS cb FROM hits JOIN (SELECT DISTINCT scan_id, input_text FROM scan_run WHERE input_text IS NOT NULL) r USING (scan_id) GROUP BY input_text, mark_text),
+texts_in AS (SELECT a AS x FROM pairs UNION SELECT b FROM pairs), {X.forms("texts_in", "x")}, {DERIVED}, {P.SIDES}, {P.metrics("measured", "en")}, {P.FEATURES}, {P.SCORED},
+coded AS (SELECT *, {P.CODES} AS codes FROM scored)
+SELECT a, b, {", ".join(f"round({c}, 6) AS {c}" for c in _ROUNDED)}, {", ".join(_WHOLE)}, CAST(em AS DOUBLE) AS bare, score, risk_band, confidence, array_to_string(codes, ',') AS evidence,
+  {P.sentences("codes", "a", "b", "nl")} AS explanations
+FROM coded
+"""
+_GOODS = r"list_distinct(list_filter(string_split_regex(regexp_replace(strip_accents(lower(array_to_string({}, chr(1)))), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) >= 2))"
+_KNOWN = "ta IS NOT NULL AND tb IS NOT NULL"
+GOODS = f"""
+WITH own AS (SELECT p_partkey, [p_size, 35] AS c, CASE WHEN p_partkey % 7 > 0 THEN [concat_ws(' ', p_name, p_type), ' - ', 'Cafés & more'] END AS t FROM part),
+near AS (SELECT p_partkey - CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END AS k, c, t FROM own),
+p AS (SELECT DISTINCT p_partkey, o.c AS ca, CASE WHEN p_partkey % 3 > 0 THEN n.c ELSE [] END AS cb, o.t AS ta, n.t AS tb FROM own o JOIN near n ON k = p_partkey),
+w AS (SELECT *, coalesce({_GOODS.format("ta")}, []) AS wa, coalesce({_GOODS.format("tb")}, []) AS wb, {P._jaccard("ca", "cb")} AS ov, {P.RELATED} AS rl FROM p),
+g AS (SELECT *, CASE WHEN {_KNOWN} THEN coalesce({P._jaccard("wa", "wb")}, 1.0) END AS cs, CASE WHEN {_KNOWN} THEN CASE WHEN len(wa) > 0 THEN len(list_intersect(wa, wb)) / CAST(len(wa) AS DOUBLE) ELSE 0.0 END END AS cv FROM w)
+SELECT p_partkey, round(ov, 6) AS class_overlap, round(rl, 6) AS related_signal, round(cs, 6) AS concrete_similarity, round(cv, 6) AS coverage,
+  CASE WHEN cs >= 0.9 AND ov >= 0.5 THEN 'identical' WHEN ov >= 0.75 OR (ov >= 0.5 AND rl >= 0.5)
+      THEN CASE WHEN cs IS NULL THEN CASE WHEN ov >= 0.75 THEN 'high' ELSE 'medium' END WHEN cs >= 0.7 THEN 'high' WHEN cs >= 0.4 THEN 'medium' WHEN cs >= 0.15 THEN 'low' ELSE 'none' END
+    WHEN rl >= 0.5 OR ov >= 0.25 THEN CASE WHEN cs >= 0.4 THEN 'medium' ELSE 'low' END WHEN ov > 0 OR rl > 0 OR coalesce(cs, 0) > 0 THEN 'low' ELSE 'none' END AS relationship,
+  CASE WHEN cs IS NOT NULL THEN 'high' WHEN ov > 0 THEN 'medium' ELSE 'low' END AS confidence,
+  concat_ws(',', CASE WHEN ta IS NULL THEN 'missing_proposed_goods_text' END, CASE WHEN tb IS NULL THEN 'missing_candidate_goods_text' END) AS warnings FROM g
+"""
+
 SCORES = """
 WITH c AS (SELECT DISTINCT scan_id, trademark_id, created_at, coalesce(strongest_retrieval_score, 0) * 100 AS edit, greatest(coalesce(strongest_retrieval_score, 0), coalesce(orthographic.jaro_winkler_similarity, 0), coalesce(orthographic.trigram_dice, 0)) * 100 AS wide,
   coalesce(orthographic.trigram_dice, 0) * 100 AS tri, coalesce(token_family.significant_overlap, 0) AS sig, coalesce(token_family.shared_rare_token_count, 0) AS shared,
@@ -381,6 +428,11 @@ SQL = {
     "phonetic_key_rows": PHONETIC_KEYS,
     "preprocess_marks": PREPROCESS,
     "retrieve_phonetic": RETRIEVE_PHONETIC,
+    "jaro_similarities": JARO,
+    "weighted_edits": WEIGHTED,
+    "plain_scores": PLAIN_SCORES,
+    "pair_features": PAIR_FEATURES,
+    "goods_relations": GOODS,
     "token_roles": TOKEN_ROLES,
     "token_cores": TOKEN_CORES,
     "sound_codes": SOUND_CODES,

@@ -56,6 +56,10 @@ COMPAT = _table("compat", "NFKD", lambda ch: unicodedata.normalize("NFD", ch))
 CANON = _table("canon", "NFD", lambda ch: ch)
 
 
+#: Characters whose capitals are several characters.
+CAPITALS = "capitals(code, s) AS (VALUES " + ", ".join(f"({c}, {quoted(chr(c).upper())})" for c in _codes() if len(chr(c).upper()) > 1) + ")"
+
+
 def spelled(source: str, column: str, table: str, out: str) -> str:
     """CTE ``out``(column, s): the texts of a column with each character looked up in a table."""
     return f"""{out}_c AS (SELECT {column}, unnest(l) AS ch, unnest(generate_series(1, len(l))) AS i
