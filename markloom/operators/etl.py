@@ -30,8 +30,9 @@ def normalize_status(code: Column) -> Column:
     return F.coalesce(*[F.when(clean.isin(codes), F.lit(name)) for name, codes in STATUS_GROUPS.items()], F.lit("unknown"))
 
 
-def coerce_row(rows: DataFrame) -> DataFrame:
-    """Source columns with text numbers cast, missing names empty, missing status unknown, no classes []."""
+def coerce_row(rows: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Source columns with text numbers cast, missing names empty, missing status unknown, no classes [];
+    columns to ``keep`` are carried through."""
     return rows.select(
         F.col("application_number").cast("string").alias("application_number"),
         F.coalesce("mark_name", F.lit("")).alias("mark_name"),
@@ -39,6 +40,7 @@ def coerce_row(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col("nice_classes").cast("array<int>"), F.array().cast("array<int>")).alias("nice_classes"),
         F.col("application_date").cast("string").alias("application_date"),
         F.col("registration_date").cast("string").alias("registration_date"),
+        *keep,
     )
 
 
@@ -48,24 +50,50 @@ def row_hash() -> Column:
     return F.sha2(F.to_json(payload, {"ignoreNullFields": "false"}), 256)
 
 
-def map_rows(rows: DataFrame, source: str = "corpus") -> DataFrame:
+def map_rows(rows: DataFrame, source: str = "corpus", keep: list[str] = ()) -> DataFrame:
     """Source rows as marks, with one goods stub per class."""
-    at = lambda c: F.try_to_timestamp(F.col(c))
+    at = lambda c: F.try_to_timestamp(F.col(c)).alias("filing_date" if c == "application_date" else c)
+    stub = lambda k: F.struct(k.alias("nice_class"), F.lit(None).cast("string").alias("text"))
     return rows.select(
-        F.concat_ws(":", F.lit(source), "application_number").alias("id"), F.lit(source).alias("source"), F.col("application_number").alias("source_record_id"),
-        F.col("mark_name").alias("mark_text"), F.lit("word").alias("mark_type"), F.col("status").alias("status_code"), normalize_status(F.col("status")).alias("normalized_status"),
-        at("application_date").alias("filing_date"), at("registration_date").alias("registration_date"), "nice_classes",
-        (F.length(trim_blanks(F.col("mark_name"))) > 0).alias("is_text_searchable"), row_hash().alias("source_hash"),
-        F.transform("nice_classes", lambda k: F.struct(k.alias("nice_class"), F.lit(None).cast("string").alias("text"))).alias("goods"),
-    )
+        F.concat_ws(":", F.lit(source), "application_number").alias("id"),
+        F.lit(source).alias("source"),
+        F.col("application_number").alias("source_record_id"),
+        F.col("mark_name").alias("mark_text"),
+        F.lit("word").alias("mark_type"),
+        F.col("status").alias("status_code"),
+        normalize_status(F.col("status")).alias("normalized_status"),
+        at("application_date"),
+        at("registration_date"),
+        "nice_classes",
+        (F.length(trim_blanks(F.col("mark_name"))) > 0).alias("is_text_searchable"),
+        row_hash().alias("source_hash"),
+        F.transform("nice_classes", stub).alias("goods"),
+        *keep,
+    )
 
 
-def intake(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def intake(rows: DataFrame, limit: int | None = None, keep: list[str] = ()) -> DataFrame:
     """Allowed rows in order of their number, up to a limit."""
-    taken = coerce_row(rows).filter(source_status(F.col("status")))
+    taken = coerce_row(rows, keep).filter(source_status(F.col("status")))
     return taken.orderBy("application_number").limit(limit) if limit else taken
 
 
+def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One whole row per key, the greatest in ``order``; combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    packed = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row"))
+    return rows.dropna(subset=keys).groupBy(*keys).agg(F.max(packed).alias("m")).select(*keys, "m.row.*")
+
+
+def run_log(name: str, read: DataFrame, allowed: DataFrame, current: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row of counts of an intake run: rows read, allowed and refused, marks inserted, updated and unchanged."""
+    count = lambda d, n: d.agg(F.count(F.lit(1)).alias(n)).withColumn("_k", F.lit(1))
+    kinds = {"inserted": "insert", "updated": "update", "unchanged": "unchanged"}
+    acted = hash_diff(current, stored, ["id"], "source_hash").agg(*[F.count_if(F.col("action") == v).alias(n) for n, v in kinds.items()])
+    joined = count(read, "read").join(count(allowed, "allowed"), "_k").join(acted.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return joined.select(F.lit(name).alias("run"), "read", "allowed", (F.col("read") - F.col("allowed")).alias("refused"), *kinds)
+
+
 def hash_diff(current: DataFrame, stored: DataFrame, keys: list[str], hash_col: str) -> DataFrame:
     """``current`` with ``action``: insert, update or unchanged against the stored hashes."""
     old = stored.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(hash_col).alias("_o_hash"), F.lit(True).alias("_o_known"))
@@ -103,6 +131,15 @@ def preprocess(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table, phonetic_keys(spoken, "trademark_id", "t")
 
 
+def store_representations(done: DataFrame, stored: DataFrame, keys: DataFrame, stored_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a preprocessing run: new representations replace stored ones of their mark, and
+    sound keys are added where that very key isn't stored yet."""
+    mark = ["trademark_id"]
+    kept = stored.join(done.select(*mark).distinct(), mark, "left_anti")
+    fresh = keys.distinct().join(stored_keys, stored_keys.columns, "left_anti")
+    return kept.unionByName(done, allowMissingColumns=True), stored_keys.unionByName(fresh)
+
+
 def missing_sound_keys(represented: DataFrame, keys: DataFrame) -> DataFrame:
     """Represented marks without any sound key."""
     return represented.join(keys.select("trademark_id").distinct(), "trademark_id", "left_anti")

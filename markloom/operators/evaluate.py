@@ -46,6 +46,17 @@ def corpus_statistics(marks: DataFrame, represented: DataFrame, sound: DataFrame
     return m.join(r, "_k").join(s, "_k").drop("_k").withColumn("ready", (F.col("searchable") > 0) & (F.col("represented") > 0))
 
 
+def newest_or_live(groups: DataFrame, snapshots: DataFrame, group: str, order: list[str], live: DataFrame) -> DataFrame:
+    """Counts of the newest snapshot of each group, and the live counts (one row) of groups without any."""
+    counts = live.columns
+    packed = F.struct(*order, *[F.col(c).alias(f"c_{c}") for c in counts])
+    best = snapshots.groupBy(group).agg(F.max(packed).alias("m"))
+    now = live.select(*[F.col(c).alias(f"l_{c}") for c in counts], F.lit(1).alias("_k"))
+    joined = groups.distinct().join(best, group, "left").withColumn("_k", F.lit(1)).join(now, "_k")
+    own = F.col("m").isNotNull()
+    return joined.select(group, *[F.when(own, F.col(f"m.c_{c}")).otherwise(F.col(f"l_{c}")).alias(c) for c in counts], (~own).alias("live"))
+
+
 def percent_complete(statuses: dict[str, str], weights: dict[str, float] = STAGE_WEIGHTS) -> int:
     """Share of stage weight done; a running stage counts half."""
     done = sum(w * {"complete": 1, "running": 0.5}.get(statuses.get(s, ""), 0) for s, w in weights.items())

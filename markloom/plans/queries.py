@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from markloom.functions import strings as S
 from markloom.functions import tokens as K
-from markloom.functions.scalars import edit_udf, string_metrics, text_forms, weighted_edit_udf
+from markloom.functions.scalars import edit_udf, string_metrics, text_forms, weighted_cost_udf, weighted_edit_udf
 from markloom.operators import advice, etl, evaluate
 from markloom.operators import retrieve as R
-from markloom.operators.compare import explain, prune, with_features, with_goods, with_plain_score, with_score
+from markloom.operators.compare import band, explain, prune, with_features, with_goods, with_plain_score, with_score
 from markloom.operators.rank import families, family_key, rank_results
 from markloom.operators.represent import phonetic_keys, represent
 from markloom.plans import scan
@@ -98,7 +98,7 @@ def token_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weighted_edits(spark: SparkSession, sf: str) -> DataFrame:
-    w = _spread(_name_pairs(spark, sf)).withColumn("w", weighted_edit_udf("nl")("a", "b"))
+    w = _spread(_name_pairs(spark, sf)).withColumn("w", weighted_cost_udf("nl")("a", "b"))
     return w.select("a", "b", F.round("w.raw_cost", 6).alias("raw_cost"), F.round("w.similarity", 6).alias("similarity"))
 
 
@@ -185,9 +185,40 @@ def register_after_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def purge_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """(part, id, rows): what remains of each table."""
     kept = etl.purge(table(spark, sf, "trademark"), {"repr": table(spark, sf, REPR)})
-    mine = kept["trademark"].agg(F.count(F.lit(1)).alias("marks"), F.countDistinct("id").alias("ids"))
-    return mine.join(kept["repr"].agg(F.count(F.lit(1)).alias("representations")), F.lit(True))
+    count = lambda d, part, key: d.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(part).alias("part"), "id", "rows")
+    return count(kept["trademark"], "trademark", "id").unionByName(count(kept["repr"], "representation", "trademark_id"))
+
+
+def intake_log(spark: SparkSession, sf: str) -> DataFrame:
+    """One row of counts for each of two deliveries that are taken in one after the other."""
+    rows = _source_rows(spark, sf)
+    middle = F.lit("2026-02-01").cast("timestamp")
+    batch = lambda n, d: etl.run_log(f"batch-{n}", *d)
+    last = lambda d: etl.newest(etl.map_rows(d, keep=["mapped_at", "created_at"]), ["id"], ["mapped_at", "created_at", "source_hash"])
+    first, second = rows.filter(F.col("mapped_at") < middle), rows.filter(F.col("mapped_at") >= middle)
+    allowed = lambda d: etl.intake(d, keep=["mapped_at", "created_at"])
+    stored, current = last(allowed(first)), last(allowed(second))
+    return batch(1, (first, allowed(first), stored, stored.limit(0))).unionByName(batch(2, (second, allowed(second), current, stored)))
+
+
+def representation_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The representation table after one more run: marks that lack one get theirs, stored rows of others stay."""
+    stored = etl.newest(table(spark, sf, REPR), ["trademark_id"], ["normalization_version", "created_at", "compact"])
+    todo = etl.not_represented(_latest_marks(spark, sf), stored)
+    reps, keys = etl.preprocess(todo)
+    known = stored.select(F.col("trademark_id"), F.lit("und").alias("locale"), F.lit("stored").alias("algorithm"), F.lit("_").alias("key"))
+    after = etl.store_representations(reps, stored, keys, known)
+    sounds = after[1].groupBy("trademark_id").agg(F.count(F.lit(1)).alias("sound_keys"))
+    return after[0].select("trademark_id", "compact").join(sounds, "trademark_id")
+
+
+def sound_key_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Represented marks that have no sound key yet."""
+    reps = table(spark, sf, REPR)
+    keys = reps.filter("size(consonant_skeletons) > 0 and normalization_version < '1.0.3'").select("trademark_id")
+    return etl.missing_sound_keys(reps.select("trademark_id").distinct(), keys)
 
 
 def marks_to_preprocess(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,15 +405,33 @@ def stored_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prune_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Pruning of the stored candidates by their stored scores, the lengths of both names and their hits."""
     c = table(spark, sf, "scan_candidate").dropna(subset=["scan_id", "trademark_id"]).distinct()
+    length = lambda text: F.length(S.alnum(F.lower(text)))
+    names = table(spark, sf, "scan_run").groupBy("scan_id").agg(F.max(length("input_text")).alias("proposed"))
+    marks = _latest_marks(spark, sf).select(F.col("id").alias("trademark_id"), length("mark_text").alias("candidate"))
+    latin = F.coalesce(F.max((F.col("strategy") == "transliteration") & (F.col("score") >= 1)), F.lit(False))
+    hits = table(spark, sf, "retrieval_hit").groupBy("scan_id", "trademark_id").agg(F.array_sort(F.collect_set("strategy")).alias("hit_by"), latin.alias("latin"))
+    both = c.join(names, "scan_id", "left").join(marks, "trademark_id", "left").join(hits, ["scan_id", "trademark_id"], "left")
     z = lambda n: F.coalesce(F.col(n), F.lit(0.0))
-    cheap = F.struct(
-        (z("orthographic.jaro_winkler_similarity") >= 1).alias("exactMatch"), (z("phonetic.pronunciation_similarity") >= 0.7).alias("phoneticKeyMatch"), F.lit(False).alias("transliterationExact"), z("orthographic.trigram_dice").alias("trigramDice"),
-        z("orthographic.jaro_winkler_similarity").alias("prefixScore"), F.lit(0.0).alias("suffixScore"), F.lit(False).alias("missingData"), (z("token_family.significant_overlap") > 0).alias("coreTokenHit"), F.lit(False).alias("noiseOnlyHit"),
-    )
-    flat = c.select("scan_id", "trademark_id", "created_at", cheap.alias("x"), F.when(F.col("retrieval_strategy_count") >= 2, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("f"))
-    d = flat.withColumn("d", prune(F.col("x"), F.col("f"), F.lit(10), F.lit(10)))
-    return d.select("scan_id", "trademark_id", "d.decision", "d.rule", F.array_join("d.reasons", ",").alias("reasons")).distinct()
+    near, dice, shared = z("orthographic.jaro_winkler_similarity"), z("orthographic.trigram_dice"), z("token_family.significant_overlap")
+    cheap = {
+        "exactMatch": near >= 1,
+        "phoneticKeyMatch": z("phonetic.pronunciation_similarity") >= 0.7,
+        "transliterationExact": F.coalesce("latin", F.lit(False)),
+        "trigramDice": dice,
+        "prefixScore": near,
+        "suffixScore": dice,
+        "missingData": F.col("orthographic.jaro_winkler_similarity").isNull() & F.col("orthographic.trigram_dice").isNull(),
+        "coreTokenHit": shared > 0,
+        "noiseOnlyHit": (shared == 0) & (z("token_family.shared_rare_token_count") == 0) & (near >= 0.7),
+    }
+    families = F.coalesce("hit_by", F.array().cast("array<string>"))
+    x = F.struct(*[v.alias(n) for n, v in cheap.items()])
+    lengths = [F.coalesce(n, F.lit(0)) for n in ("proposed", "candidate")]
+    d = both.select("scan_id", "trademark_id", "created_at", x.alias("x"), families.alias("f"), lengths[0].alias("p"), lengths[1].alias("q"))
+    d = d.withColumn("d", prune(F.col("x"), F.col("f"), F.col("p"), F.col("q")))
+    return d.select("scan_id", "trademark_id", "d.decision", "d.rule", _joined("d.reasons", ",").alias("reasons")).distinct()
 
 
 # -- ranking, families, evaluation ---------------------------------------------------------------------
@@ -432,18 +481,74 @@ def corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Stages that the candidates of a scan reached; the last one is still running unless the scan is done."""
+    names = {"retrieved": "union", "pruned": "pruning", "compared": "comparison", "scored": "scoring"}
     c = table(spark, sf, "scan_candidate").dropna(subset=["scan_id"]).select("scan_id", "current_stage").distinct()
-    stages = {"retrieved": "union", "pruned": "pruning", "compared": "comparison", "scored": "scoring"}
-    name = F.coalesce(*[F.when(F.col("current_stage") == k, v) for k, v in stages.items()])
-    rows = c.select("scan_id", name.alias("stage"), F.lit("complete").alias("status"), F.lit(1000.0).alias("elapsed_ms"))
-    return evaluate.progress(rows).select("scan_id", F.col("percent").cast("bigint").alias("percent"), F.col("ms_left").cast("bigint").alias("ms_left"))
+    ended = F.max(F.col("status") == "completed")
+    took = F.max(F.unix_micros(F.coalesce("completed_at", F.col("started_at") + F.expr("interval 5 seconds"))) - F.unix_micros("started_at")) / 1000
+    runs = table(spark, sf, "scan_run").groupBy("scan_id").agg(ended.alias("ended"), took.alias("elapsed_ms"))
+    order = F.coalesce(*[F.when(F.col("current_stage") == k, i) for i, k in enumerate(names)], F.lit(-1))
+    stage = F.coalesce(*[F.when(F.col("current_stage") == k, v) for k, v in names.items()])
+    last = F.max("n").over(Window.partitionBy("scan_id"))
+    rows = c.withColumn("n", order).withColumn("last", last).join(runs, "scan_id", "left")
+    status = F.when(F.coalesce("ended", F.lit(False)) | (F.col("n") < F.col("last")), "complete").otherwise("running")
+    seen = rows.select("scan_id", stage.alias("stage"), status.alias("status"), F.coalesce("elapsed_ms", F.lit(0.0)).alias("elapsed_ms"))
+    done = evaluate.progress(seen)
+    return done.select("scan_id", F.col("percent").cast("bigint").alias("percent"), F.col("ms_left").cast("bigint").alias("ms_left"))
+
+
+def newest_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """The last finished snapshot for each run mode, or the live counts where there is none."""
+    runs = table(spark, sf, "preprocessing_run").distinct().filter(F.lower(S.trim_blanks(F.col("status"))) == "completed")
+    modes = table(spark, sf, "preprocessing_run").select("run_mode").distinct().unionByName(spark.createDataFrame([("never",)], "run_mode string"))
+    snapshots = runs.select("run_mode", F.col("completed_at").alias("at"), "id", F.col("processed").cast("bigint").alias("marks"), F.col("succeeded").cast("bigint").alias("represented"))
+    live = corpus_counts(spark, sf).select("marks", "represented")
+    return evaluate.newest_or_live(modes, snapshots, "run_mode", ["at", "id"], live)
 
 
 def candidate_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _rankable(spark, sf).withColumns({"nice_classes": F.array().cast("array<int>"), "status": F.col("normalized_status"), "risk_band": F.lit(None).cast("string"), "evidence_codes": F.array().cast("array<string>"), "explanations": F.array().cast("array<string>")})
+    """What is handed out of each scan, with evidence from the stored scores."""
+    newest = F.max(F.struct("created_at", "strongest_retrieval_score", "retrieval_strategy_count", "decision", "orthographic", "token_family", "phonetic"))
+    c = table(spark, sf, "scan_candidate").dropna(subset=["scan_id", "trademark_id"]).groupBy("scan_id", F.col("trademark_id").alias("id")).agg(newest.alias("m"))
+    tests = {
+        "exact_compact": F.col("m.orthographic.jaro_winkler_similarity") >= 1,
+        "orthographic_high": F.col("m.orthographic.jaro_winkler_similarity") >= 0.85,
+        "phonetic_similar": F.col("m.phonetic.pronunciation_similarity") >= 0.7,
+        "token_core_overlap": F.col("m.token_family.significant_overlap") >= 0.5,
+        "goods_missing": F.lit(True),
+        "unknown_code": F.lit(True),
+    }
+    codes = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]), lambda x: x.isNotNull())
+    coded = c.select("scan_id", "id", codes.alias("evidence_codes"))
+    classes = _latest_marks(spark, sf).select("id", "nice_classes")
+    rows = _rankable(spark, sf).join(coded, ["scan_id", "id"]).join(classes, "id")
+    rows = rows.withColumns({"status": F.col("normalized_status"), "risk_band": band(F.col("score"))})
+    rows = rows.withColumn("explanations", explain(F.col("evidence_codes"), F.lit("x"), F.col("mark_text")))
     return advice.compact_candidates(rows, ["scan_id"], [F.col("score").desc(), F.col("id")], 10)
 
 
+def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies about the scans of candidates, by turns sound, fenced, without an object, cut off, and out of range."""
+    c = table(spark, sf, "scan_candidate").dropna(subset=["scan_id", "trademark_id"]).select("scan_id", "trademark_id").distinct()
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy("trademark_id"))
+    few = c.withColumn("n", place.cast("int")).filter("n <= 4")
+    kind = F.pmod(F.conv(F.right(F.md5("scan_id"), F.lit(4)), 16, 10).cast("int"), F.lit(5))
+    part = F.struct(F.lit("matig").alias("score"), F.lit(" lijkt erop ").alias("toelichting"))
+    risk = F.struct(
+        F.when((kind == 4) & (F.col("n") == 1), 11).otherwise(F.col("n")).alias("rank"),
+        F.when(F.col("n") == 2, "nobody").otherwise(F.col("trademark_id")).alias("candidateId"),
+        F.col("trademark_id").alias("markText"), F.lit(61.5).alias("engineScore"), F.lit("middel").alias("riskLevel"), F.repeat(F.lit("lang "), 60).alias("summary"),
+        F.struct(*[part.alias(d) for d in advice.DIMENSIONS]).alias("dimensions"), F.lit("kans").alias("confusionRisk"), F.lit("dichtbij").alias("whySelected"),
+    )
+    risks = few.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("n", risk.alias("r")))).alias("l"), F.collect_list("trademark_id").alias("known"))
+    whole = F.struct(F.struct(F.lit("Zie onder.").alias("text"), F.lit("nader_onderzoek").alias("aanbeveling")).alias("overallAdvice"), F.transform("l", lambda x: x["r"]).alias("topRisks"))
+    json = F.to_json(whole)
+    raw = F.when(kind == 1, F.concat(F.lit("Hier:\n```json\n"), json, F.lit("\n```\n"))).when(kind == 2, "geen antwoord").when(kind == 3, F.concat(F.left(json, F.lit(200)), F.lit("}"))).otherwise(json)
+    got = advice.parse_replies(risks.select("scan_id", "known", raw.alias("raw")), "raw", "known", 2)
+    kept = _joined("advice.topRisks.candidateId", ",").alias("kept")
+    return got.select("scan_id", "error", F.size("advice.topRisks").cast("bigint").alias("risks"), kept, F.length(F.get("advice.topRisks", F.lit(0))["summary"]).alias("summary_length"))
+
+
 # -- scans -------------------------------------------------------------------------------------------
 
 
@@ -480,8 +585,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, plain_scores, token_hypotheses, weighted_edits, weighted_edit_traces, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages,
-        status_groups, source_hashes, intake_marks, delivery_actions, register_after_upsert, purge_statuses, marks_to_preprocess, preprocess_marks,
+        status_groups, source_hashes, intake_marks, delivery_actions, register_after_upsert, intake_log, representation_store, sound_key_backfill, newest_statistics, purge_statuses, marks_to_preprocess, preprocess_marks,
         retrieve_exact, retrieve_trigram, retrieve_trigram_share, retrieve_trigram_share_all, retrieve_phonetic, retrieve_nysiis, cap_strategies, unite_candidates, reserve_core_places, fetch_hits, corpus_ready, names_of_input,
-        class_relations, goods_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, scan_all_rows, scan_by_keys, scan_by_index, scan_key_recall, critical_recall,
+        class_relations, goods_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, parsed_replies, scan_all_rows, scan_by_keys, scan_by_index, scan_key_recall, critical_recall,
     )
 }

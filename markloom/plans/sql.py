@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from markloom.functions.lexicons import FUNCTION_WORDS, LAST_CAP, LEGAL_FORMS, LOCALE_PATTERNS, LOCALE_SCRIPTS, RELATED_CLASSES, SOURCE_STATUSES, STAGE_WEIGHTS, STATUS_GROUPS, STRATEGY_CAPS, VERSIONS, WEAK_WORDS
+from markloom.functions.lexicons import FUNCTION_WORDS, LAST_CAP, LEGAL_FORMS, LOCALE_PATTERNS, LOCALE_SCRIPTS, RELATED_CLASSES, SENTENCES, SOURCE_STATUSES, STAGE_WEIGHTS, STATUS_GROUPS, STRATEGY_CAPS, VERSIONS, WEAK_WORDS
 
 from markloom.plans import sql_pairs as P
 from markloom.plans import sql_texts as X
@@ -99,7 +99,7 @@ SELECT a, b, round(cost, 6) AS raw_cost, round(similarity, 6) AS similarity FROM
 """
 PLAIN_SCORES = f"""
 WITH RECURSIVE {NAME_PAIRS}, {X.CAPITALS}, sides AS (SELECT a0 AS x FROM pairs UNION SELECT b0 FROM pairs), {X.spelled("sides", "x", "capitals", "big")},
-up AS (SELECT a0, b0, upper({_fold_blanks("p.s")}) AS a, upper({_fold_blanks("q.s")}) AS b FROM pairs JOIN big p ON p.x = a0 JOIN big q ON q.x = b0), {P.metrics("up", "nl")},
+up AS (SELECT a0, b0, upper({_fold_blanks("coalesce(p.s, '')")}) AS a, upper({_fold_blanks("coalesce(q.s, '')")}) AS b FROM pairs LEFT JOIN big p ON p.x = a0 LEFT JOIN big q ON q.x = b0), {P.metrics("up", "nl")},
 c AS (SELECT a0, b0, CAST(a <> '' AND a = b AS INT) AS exact, CASE WHEN greatest(na, nb) > 0 THEN 1 - levenshtein / CAST(greatest(na, nb) AS DOUBLE) ELSE 1.0 END AS lev, jaro, jw FROM up JOIN metrics USING (a, b)),
 d AS (SELECT *, CASE WHEN exact = 1 THEN 1.0 ELSE lev * CAST(0.35 AS DOUBLE) + jaro * CAST(0.25 AS DOUBLE) + jw * CAST(0.4 AS DOUBLE) END AS c FROM c)
 SELECT a0 AS a, b0 AS b, exact, round(lev, 4) AS levenshtein, round(jaro, 4) AS jaro, round(jw, 4) AS jaro_winkler, round(c, 4) AS combined,
@@ -215,11 +215,9 @@ def _day(x: str) -> str:
     return f"strftime(CAST({x} AS TIMESTAMP), '%Y-%m-%d')"
 
 
-SOURCE_HASHES = f"""
-SELECT DISTINCT source_record_id AS application_number,
-       sha256(CAST(to_json({{'application_date': {_day("filing_date")}, 'mark_name': coalesce(mark_text, ''), 'nice_classes': list_sort(coalesce(nice_classes, [])), 'registration_date': {_day("registration_date")}, 'status': coalesce(status_code, 'unknown')}}) AS VARCHAR)) AS hash
-FROM trademark
-"""
+SOURCE_HASH = f"""sha256(CAST(to_json({{'application_date': {_day("filing_date")}, 'mark_name': coalesce(mark_text, ''), 'nice_classes': list_sort(coalesce(nice_classes, [])),
+  'registration_date': {_day("registration_date")}, 'status': coalesce(status_code, 'unknown')}}) AS VARCHAR))"""
+SOURCE_HASHES = f"SELECT DISTINCT source_record_id AS application_number, {SOURCE_HASH} AS hash FROM trademark"
 
 INTAKE = f"""
 SELECT DISTINCT 'corpus:' || source_record_id AS id, coalesce(mark_text, '') AS mark_text, {_GROUP} AS normalized_status, length({_trim("coalesce(mark_text, '')")}) > 0 AS is_text_searchable,
@@ -234,10 +232,22 @@ o AS (SELECT id, hash FROM l WHERE old), n AS (SELECT id, hash FROM l WHERE NOT
 DELIVERY_ACTIONS = f"WITH {DELIVERIES} SELECT n.id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.hash IS NOT DISTINCT FROM o.hash THEN 'unchanged' ELSE 'update' END AS action FROM n LEFT JOIN o ON n.id = o.id"
 AFTER_UPSERT = f"WITH {DELIVERIES} SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN o.hash ELSE n.hash END AS hash FROM n FULL JOIN o ON n.id = o.id"
 
+_KEPT = f"SELECT * FROM trademark WHERE status_code IN ({_in(SOURCE_STATUSES)})"
 PURGE = f"""
-WITH k AS (SELECT * FROM trademark WHERE status_code IN ({_in(SOURCE_STATUSES)}))
-SELECT (SELECT count(*) FROM k) AS marks, (SELECT count(DISTINCT id) FROM k) AS ids, (SELECT count(*) FROM {R} WHERE trademark_id IN (SELECT id FROM k)) AS representations
-"""
+WITH k AS ({_KEPT})
+SELECT 'trademark' AS part, id, count(*) AS rows FROM k GROUP BY id
+UNION ALL SELECT 'representation', trademark_id, count(*) FROM {R} WHERE trademark_id IN (SELECT id FROM k) GROUP BY trademark_id
+"""
+INTAKE_LOG = f"""
+WITH s AS (SELECT *, mapped_at < TIMESTAMPTZ '2026-02-01 00:00:00+00' AS old, upper({_trim("status_code")}) IN ({_in(SOURCE_STATUSES)}) AS ok
+  FROM trademark WHERE mapped_at IS NOT NULL),
+h AS (SELECT *, {SOURCE_HASH} AS hash FROM s),
+l AS (SELECT source_record_id AS id, old, hash FROM h WHERE ok QUALIFY row_number() OVER (PARTITION BY source_record_id, old ORDER BY mapped_at DESC, created_at DESC NULLS LAST, hash DESC) = 1),
+n AS (SELECT c.hash, o.hash AS was FROM (SELECT * FROM l WHERE NOT old) c LEFT JOIN (SELECT * FROM l WHERE old) o USING (id))
+SELECT 'batch-1' AS run, count(*) AS read, count(*) FILTER (ok) AS allowed, count(*) FILTER (NOT coalesce(ok, false)) AS refused, (SELECT count(*) FROM l WHERE old) AS inserted, 0 AS updated, 0 AS unchanged FROM s WHERE old
+UNION ALL SELECT 'batch-2', count(*), count(*) FILTER (ok), count(*) FILTER (NOT coalesce(ok, false)), (SELECT count(*) FROM n WHERE was IS NULL), (SELECT count(*) FROM n WHERE was <> hash), (SELECT count(*) FROM n WHERE was = hash) FROM s WHERE NOT old
+"""
+BACKFILL = f"SELECT DISTINCT trademark_id FROM {R} r WHERE NOT EXISTS (SELECT 1 FROM {R} k WHERE k.trademark_id = r.trademark_id AND len(k.consonant_skeletons) > 0 AND k.normalization_version < '1.0.3')"
 TO_PREPROCESS = f"SELECT DISTINCT id FROM trademark t WHERE is_text_searchable AND NOT EXISTS (SELECT 1 FROM {R} r WHERE r.trademark_id = t.id)"
 
 LATEST = """
@@ -367,16 +377,24 @@ SELECT DISTINCT scan_id, trademark_id, score, CASE WHEN score >= 80 THEN 'very_s
 """
 
 _V = VERSIONS["pruning_profile"]
+_NAME = (r"[^\p{L}\p{N}]+", "")
 PRUNE = f"""
-WITH c AS (SELECT DISTINCT scan_id, trademark_id, created_at, coalesce(orthographic.jaro_winkler_similarity, 0) AS jw, coalesce(phonetic.pronunciation_similarity, 0) >= 0.7 AS ph, coalesce(orthographic.trigram_dice, 0) AS tri, coalesce(token_family.significant_overlap, 0) > 0 AS core, coalesce(retrieval_strategy_count >= 2, false) AS multi
-  FROM scan_candidate WHERE scan_id IS NOT NULL AND trademark_id IS NOT NULL),
-d AS (SELECT *, jw >= 1 AS ex FROM c),
-e AS (SELECT *, concat_ws(',', CASE WHEN ex THEN 'protect:exact_match' END, CASE WHEN ph AND (core OR ex) THEN 'protect:phonetic_key' END, CASE WHEN multi THEN 'protect:multi_family' END, CASE WHEN core THEN 'protect:core_token' END) AS g,
-  concat_ws(',', CASE WHEN tri < 0.12 THEN 'weak:low_trigram' END, CASE WHEN jw < 0.2 THEN 'weak:low_affix' END, CASE WHEN NOT ph AND NOT ex THEN 'weak:no_exact_or_phonetic' END, CASE WHEN ph AND NOT core AND NOT ex THEN 'weak:phonetic_only' END) AS w,
-  CAST(tri < 0.12 AS INT) + CAST(jw < 0.2 AS INT) + CAST(NOT ph AND NOT ex AS INT) + CAST(ph AND NOT core AND NOT ex AS INT) AS n FROM d)
-SELECT DISTINCT scan_id, trademark_id, CASE WHEN multi THEN 'promote' WHEN g <> '' THEN 'keep' WHEN n >= 2 THEN 'discard' ELSE 'keep' END AS decision,
-  CASE WHEN multi THEN '{_V}:promote_multi_family' WHEN g <> '' THEN '{_V}:keep_protected' WHEN n >= 2 THEN '{_V}:discard_multi_weak' ELSE '{_V}:keep_default' END AS rule,
-  CASE WHEN multi OR g <> '' THEN g WHEN n >= 2 THEN w ELSE 'default:insufficient_discard_signals' END AS reasons FROM e
+WITH {LATEST}, names AS (SELECT scan_id, max(length({_sub("lower(input_text)", _NAME)})) AS p FROM scan_run GROUP BY scan_id), marks AS (SELECT id, length({_sub("lower(mark_text)", _NAME)}) AS q FROM latest),
+hits AS (SELECT scan_id, trademark_id, count(DISTINCT strategy) AS n, coalesce(bool_or(strategy = 'transliteration' AND score >= 1), false) AS latin FROM retrieval_hit GROUP BY ALL),
+c AS (SELECT DISTINCT c.scan_id, c.trademark_id, c.created_at, coalesce(orthographic.jaro_winkler_similarity, 0) AS jw, coalesce(phonetic.pronunciation_similarity, 0) >= 0.7 AS ph, coalesce(orthographic.trigram_dice, 0) AS tri,
+  coalesce(token_family.significant_overlap, 0) > 0 AS core, coalesce(token_family.significant_overlap, 0) = 0 AND coalesce(token_family.shared_rare_token_count, 0) = 0 AND coalesce(orthographic.jaro_winkler_similarity, 0) >= 0.7 AS noise,
+  orthographic.jaro_winkler_similarity IS NULL AND orthographic.trigram_dice IS NULL AS missing, coalesce(hits.n, 0) >= 2 AS multi, coalesce(latin, false) AS latin, coalesce(p, 0) AS p, coalesce(q, 0) AS q
+  FROM scan_candidate c LEFT JOIN names USING (scan_id) LEFT JOIN marks ON marks.id = c.trademark_id LEFT JOIN hits ON hits.scan_id = c.scan_id AND hits.trademark_id = c.trademark_id
+  WHERE c.scan_id IS NOT NULL AND c.trademark_id IS NOT NULL),
+d AS (SELECT *, jw >= 1 AS ex, greatest(jw, tri) AS affix, least(p, q) AS short, greatest(p, q, 1) AS long FROM c),
+e AS (SELECT *, NOT (ex OR latin) AND short > 0 AND short / CAST(long AS DOUBLE) <= 0.5 AND short <= 5 AS unlike,
+  concat_ws(',', CASE WHEN ex THEN 'protect:exact_match' END, CASE WHEN ph AND (core OR ex OR latin) THEN 'protect:phonetic_key' END, CASE WHEN multi THEN 'protect:multi_family' END,
+    CASE WHEN short <= 5 AND affix >= 0.85 THEN 'protect:short_mark_affix' END, CASE WHEN latin THEN 'protect:transliteration_exact' END, CASE WHEN core THEN 'protect:core_token' END, CASE WHEN missing THEN 'protect:missing_data' END) AS g,
+  list_filter([CASE WHEN tri < 0.12 THEN 'weak:low_trigram' END, CASE WHEN affix < 0.2 THEN 'weak:low_affix' END, CASE WHEN NOT ph AND NOT ex THEN 'weak:no_exact_or_phonetic' END,
+    CASE WHEN ph AND NOT core AND NOT ex THEN 'weak:phonetic_only' END, CASE WHEN noise AND NOT core AND NOT ex THEN 'weak:noise_only' END], lambda x: x IS NOT NULL) AS w FROM d)
+SELECT DISTINCT scan_id, trademark_id, CASE WHEN unlike THEN 'discard' WHEN multi THEN 'promote' WHEN g <> '' THEN 'keep' WHEN len(w) >= 2 THEN 'discard' ELSE 'keep' END AS decision,
+  '{_V}:' || CASE WHEN unlike THEN 'discard_length_ratio' WHEN multi THEN 'promote_multi_family' WHEN g <> '' THEN 'keep_protected' WHEN len(w) >= 2 THEN 'discard_multi_weak' ELSE 'keep_default' END AS rule,
+  CASE WHEN unlike THEN 'weak:length_ratio' WHEN multi OR g <> '' THEN g WHEN len(w) >= 2 THEN array_to_string(w, ',') ELSE 'default:insufficient_discard_signals' END AS reasons FROM e
 """
 
 RANKABLE = f"""{LATEST},
@@ -411,9 +429,42 @@ SELECT count(*) AS marks, count(*) FILTER (is_text_searchable) AS searchable, co
 """
 _TOTAL = float(sum(STAGE_WEIGHTS.values()))
 PROGRESS = f"""
-WITH s AS (SELECT DISTINCT scan_id, current_stage FROM scan_candidate WHERE scan_id IS NOT NULL),
-d AS (SELECT scan_id, sum(CASE current_stage WHEN 'retrieved' THEN {STAGE_WEIGHTS["union"]} WHEN 'pruned' THEN {STAGE_WEIGHTS["pruning"]} WHEN 'compared' THEN {STAGE_WEIGHTS["comparison"]} WHEN 'scored' THEN {STAGE_WEIGHTS["scoring"]} ELSE 0 END) / CAST({_TOTAL} AS DOUBLE) AS p FROM s GROUP BY scan_id)
-SELECT scan_id, CAST(least(100, floor(p * 100 + CAST(0.5 AS DOUBLE))) AS BIGINT) AS percent, CASE WHEN p > 0 THEN CAST(greatest(floor(CAST(1000 AS DOUBLE) / p - 1000 + CAST(0.5 AS DOUBLE)), 0) AS BIGINT) END AS ms_left FROM d
+WITH r AS (SELECT scan_id, bool_or(status = 'completed') AS ended, max(epoch_us(coalesce(completed_at, started_at + INTERVAL 5 SECOND)) - epoch_us(started_at)) / CAST(1000 AS DOUBLE) AS took FROM scan_run GROUP BY scan_id),
+s AS (SELECT DISTINCT scan_id, current_stage, coalesce(list_position(['retrieved', 'pruned', 'compared', 'scored'], current_stage), 0) AS n FROM scan_candidate WHERE scan_id IS NOT NULL),
+w AS (SELECT s.*, [0, {STAGE_WEIGHTS["union"]}, {STAGE_WEIGHTS["pruning"]}, {STAGE_WEIGHTS["comparison"]}, {STAGE_WEIGHTS["scoring"]}][n + 1] * CASE WHEN coalesce(ended, false) OR n < max(n) OVER (PARTITION BY scan_id) THEN CAST(1 AS DOUBLE) ELSE 0.5 END AS x, coalesce(took, 0) AS took
+  FROM s LEFT JOIN r USING (scan_id)),
+d AS (SELECT scan_id, sum(x) / CAST({_TOTAL} AS DOUBLE) AS p, max(took) AS e FROM w GROUP BY scan_id)
+SELECT scan_id, CAST(least(100, floor(p * 100 + CAST(0.5 AS DOUBLE))) AS BIGINT) AS percent, CASE WHEN p > 0 AND e > 0 THEN CAST(greatest(floor(e / p - e + CAST(0.5 AS DOUBLE)), 0) AS BIGINT) END AS ms_left FROM d
+"""
+NEWEST = f"""
+WITH m AS (SELECT run_mode FROM preprocessing_run UNION SELECT 'never'), done AS (SELECT DISTINCT * FROM preprocessing_run WHERE lower({_trim("status")}) = 'completed'),
+b AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY run_mode ORDER BY completed_at DESC NULLS LAST, id DESC) = 1)
+SELECT m.run_mode, coalesce(b.processed, CASE WHEN b.id IS NULL THEN (SELECT count(*) FROM trademark) END) AS marks,
+  coalesce(b.succeeded, CASE WHEN b.id IS NULL THEN (SELECT count(DISTINCT trademark_id) FROM {R}) END) AS represented, b.id IS NULL AS live
+FROM m LEFT JOIN b ON b.run_mode IS NOT DISTINCT FROM m.run_mode
+"""
+_PAYLOAD_CODES = """list_filter([CASE WHEN orthographic.jaro_winkler_similarity >= 1 THEN 'exact_compact' END, CASE WHEN orthographic.jaro_winkler_similarity >= 0.85 THEN 'orthographic_high' END,
+  CASE WHEN phonetic.pronunciation_similarity >= 0.7 THEN 'phonetic_similar' END, CASE WHEN token_family.significant_overlap >= 0.5 THEN 'token_core_overlap' END, 'goods_missing', 'unknown_code'], lambda c: c IS NOT NULL)"""
+_SAID = "CASE c " + " ".join(f"WHEN '{k}' THEN {X.quoted(v)}" for k, v in SENTENCES["en"].items()) + " END"
+PAYLOADS = f"""
+WITH {RANKABLE.replace("mark_text FROM c JOIN", "mark_text, normalized_status, l.nice_classes AS classes, " + _PAYLOAD_CODES + " AS codes FROM c JOIN")},
+k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, id) AS k FROM x),
+p AS (SELECT scan_id, k, {{'candidateId': id, 'markText': mark_text, 'niceClasses': classes, 'status': normalized_status, 'score': {{'score': score, 'riskBand': CASE WHEN score >= 80 THEN 'very_strong' WHEN score >= 65 THEN 'strong' WHEN score >= 45 THEN 'relevant' WHEN score >= 25 THEN 'weak' ELSE 'low' END,
+  'confidence': CASE level WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END}}, 'evidenceCodes': codes[1:8], 'explanations': list_filter(list_transform(codes, lambda c: {_SAID}), lambda s: s IS NOT NULL)[1:2]}} AS one FROM k WHERE k <= 10)
+SELECT scan_id, CAST(count(*) AS INT) AS n, CAST(to_json(list(one ORDER BY k)) AS VARCHAR) AS payload FROM p GROUP BY scan_id
+"""
+REPLIES = """
+WITH c AS (SELECT DISTINCT scan_id, trademark_id FROM scan_candidate WHERE scan_id IS NOT NULL AND trademark_id IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY trademark_id) AS n, CAST('0x' || right(md5(scan_id), 4) AS INT) % 5 AS kind FROM c QUALIFY n <= 4),
+g AS (SELECT scan_id, any_value(kind) AS kind, (list(trademark_id ORDER BY n) FILTER (n <> 2))[1:2] AS kept FROM f GROUP BY scan_id)
+SELECT scan_id, CASE kind WHEN 2 THEN 'not a JSON object' WHEN 3 THEN 'broken or truncated JSON' WHEN 4 THEN 'fields missing or out of range' END AS error,
+  CASE WHEN kind < 2 THEN len(kept) END AS risks, CASE WHEN kind < 2 THEN array_to_string(kept, ',') END AS kept, CASE WHEN kind < 2 THEN CAST(159 AS INT) END AS summary_length FROM g
+"""
+STORE = f"""
+WITH RECURSIVE {LATEST}, stored AS (SELECT trademark_id, compact FROM {R} WHERE trademark_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trademark_id ORDER BY normalization_version DESC NULLS LAST, created_at DESC NULLS LAST, compact DESC NULLS LAST) = 1),
+todo AS (SELECT id, mark_text FROM latest l WHERE is_text_searchable AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.trademark_id = l.id)), {X.forms("todo", "mark_text")},
+said_in AS (SELECT id, CASE WHEN dia <> '' THEN dia ELSE compact END AS t FROM todo JOIN forms ON forms.t = mark_text), {_sounds("said_in")}, n AS (SELECT id, count(DISTINCT algorithm || key) AS c FROM sounds GROUP BY id)
+SELECT trademark_id, compact, 1 AS sound_keys FROM stored UNION ALL SELECT todo.id, compact, coalesce(c, 1) FROM todo JOIN forms ON forms.t = mark_text LEFT JOIN n ON n.id = todo.id
 """
 
 SQL = {
@@ -433,6 +484,12 @@ SQL = {
     "plain_scores": PLAIN_SCORES,
     "pair_features": PAIR_FEATURES,
     "goods_relations": GOODS,
+    "intake_log": INTAKE_LOG,
+    "representation_store": STORE,
+    "sound_key_backfill": BACKFILL,
+    "newest_statistics": NEWEST,
+    "candidate_payloads": PAYLOADS,
+    "parsed_replies": REPLIES,
     "token_roles": TOKEN_ROLES,
     "token_cores": TOKEN_CORES,
     "sound_codes": SOUND_CODES,
