@@ -561,16 +561,28 @@ def _scan_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 SCAN_COLUMNS = ("query_id", "id", "mark_text", "score", "risk_band", "confidence", "strategies", "evidence_codes", "explanations", "member_count", "position")
 
 
+def _results(found: DataFrame) -> DataFrame:
+    lists = {"strategies": ",", "evidence_codes": ",", "explanations": "|"}
+    return found.select(*[_joined(c, lists[c]).alias(c) if c in lists else F.col(c) for c in SCAN_COLUMNS]).withColumn("position", F.col("position").cast("bigint"))
+
+
+def scan_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Which names each mark is a candidate of, and by what, from the comparison with all rows."""
+    names, corpus = _scan_inputs(spark, sf)
+    hits = scan.channel_hits(cut(scan.propose(names)), cut(represent(corpus)))
+    return hits.select("query_id", "id", "strategy", F.round("score", 6).alias("score"))
+
+
 def scan_all_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.logical_scan(*_scan_inputs(spark, sf)).select(*SCAN_COLUMNS)
+    return _results(scan.logical_scan(*_scan_inputs(spark, sf)))
 
 
 def scan_by_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.keyed_scan(*_scan_inputs(spark, sf)).select(*SCAN_COLUMNS)
+    return _results(scan.keyed_scan(*_scan_inputs(spark, sf)))
 
 
 def scan_by_index(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.index_scan(*_scan_inputs(spark, sf)).select(*SCAN_COLUMNS)
+    return _results(scan.index_scan(*_scan_inputs(spark, sf)))
 
 
 def scan_key_recall(spark: SparkSession, sf: str) -> DataFrame:
@@ -587,6 +599,6 @@ QUERIES = {
         fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, plain_scores, token_hypotheses, weighted_edits, weighted_edit_traces, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages,
         status_groups, source_hashes, intake_marks, delivery_actions, register_after_upsert, intake_log, representation_store, sound_key_backfill, newest_statistics, purge_statuses, marks_to_preprocess, preprocess_marks,
         retrieve_exact, retrieve_trigram, retrieve_trigram_share, retrieve_trigram_share_all, retrieve_phonetic, retrieve_nysiis, cap_strategies, unite_candidates, reserve_core_places, fetch_hits, corpus_ready, names_of_input,
-        class_relations, goods_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, parsed_replies, scan_all_rows, scan_by_keys, scan_by_index, scan_key_recall, critical_recall,
+        class_relations, goods_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, parsed_replies, scan_channels, scan_all_rows, scan_by_keys, scan_by_index, scan_key_recall, critical_recall,
     )
 }

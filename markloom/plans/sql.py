@@ -339,7 +339,7 @@ _WHOLE = "normalized compact folded translit dom shared core key1 key2 bones mea
 PAIR_FEATURES = f"""
 WITH RECURSIVE hits AS (SELECT scan_id, mark_text, max(nice_classes) AS c FROM retrieval_hit WHERE mark_text IS NOT NULL GROUP BY ALL),
 pairs AS (SELECT input_text AS a, mark_text AS b, [9, 32, 35] AS ca, coalesce(max(c), []) AS cb FROM hits JOIN (SELECT DISTINCT scan_id, input_text FROM scan_run WHERE input_text IS NOT NULL) r USING (scan_id) GROUP BY input_text, mark_text),
-texts_in AS (SELECT a AS x FROM pairs UNION SELECT b FROM pairs), {X.forms("texts_in", "x")}, {DERIVED}, {P.SIDES}, {P.metrics("measured", "en")}, {P.FEATURES}, {P.SCORED},
+texts_in AS (SELECT a AS x FROM pairs UNION SELECT b FROM pairs), {X.forms("texts_in", "x")}, {DERIVED}, {P.SIDES}, {P.MEASURED}, {P.metrics("measured", "en")}, {P.FEATURES}, {P.SCORED},
 coded AS (SELECT *, {P.CODES} AS codes FROM scored)
 SELECT a, b, {", ".join(f"round({c}, 6) AS {c}" for c in _ROUNDED)}, {", ".join(_WHOLE)}, CAST(em AS DOUBLE) AS bare, score, risk_band, confidence, array_to_string(codes, ',') AS evidence,
   {P.sentences("codes", "a", "b", "nl")} AS explanations
@@ -467,7 +467,34 @@ said_in AS (SELECT id, CASE WHEN dia <> '' THEN dia ELSE compact END AS t FROM t
 SELECT trademark_id, compact, 1 AS sound_keys FROM stored UNION ALL SELECT todo.id, compact, coalesce(c, 1) FROM todo JOIN forms ON forms.t = mark_text LEFT JOIN n ON n.id = todo.id
 """
 
+_SCAN_IN = f"""{LATEST}, names AS (SELECT DISTINCT watch_id AS query_id, watch_text AS t FROM watch_name WHERE length({_trim("watch_text")}) > 0),
+corpus AS (SELECT id, mark_text AS t, coalesce(nice_classes, []) AS cb, normalized_status AS status, {_day("filing_date")} AS day FROM latest WHERE is_text_searchable AND length({_trim("mark_text")}) > 0),
+asked AS (SELECT DISTINCT t FROM names), held AS (SELECT DISTINCT t FROM corpus), texts_in AS (SELECT t AS x FROM names UNION SELECT t FROM corpus),
+{X.forms("texts_in", "x")}, {DERIVED}, {P.SIDES}, {P.CHANNELS},
+hits AS (SELECT query_id, id, a, b, cb, strategy, score, {_cap("length(s.compact)")} AS cap FROM channels JOIN names n ON n.t = a JOIN corpus c ON c.t = b JOIN sides s ON s.t = a)"""
+SCAN_CHANNELS = f"WITH RECURSIVE {_SCAN_IN} SELECT query_id, id, strategy, round(score, 6) AS score FROM hits"
+SCAN = f"""
+WITH RECURSIVE {_SCAN_IN},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, strategy ORDER BY score DESC, id) AS rank FROM hits),
+united AS (SELECT query_id, id, a, b, cb, string_agg(strategy, ',' ORDER BY rank, strategy) AS strategies, count(*) AS channels FROM ranked WHERE rank <= cap GROUP BY ALL),
+pairs AS (SELECT DISTINCT a, b, CAST([] AS INT[]) AS ca, cb FROM united), {P.MEASURED}, {P.metrics("measured", "en")}, {P.FEATURES}, {P.SCORED},
+o AS (SELECT u.query_id, u.id, u.strategies, u.channels, s.*, x.compact = y.compact AS same, length(x.compact) AS px, length(y.compact) AS py, y.t AS mark_text,
+  {_sub(X.lowered("strip_accents(z.nfkc)"), (X.ALNUM, ""))} AS fam FROM united u JOIN scored s USING (a, b, cb) JOIN sides x ON x.t = u.a JOIN sides y ON y.t = u.b JOIN forms z ON z.t = u.b),
+g AS (SELECT *, least(px, py) AS short, coalesce(key1, 0) > 0 AS ph, coalesce(translit, 0) >= 1 AS latin, coalesce(sig, 0) > 0 OR coalesce(core, 0) >= 1 OR coalesce(dom, 0) >= 1 AS hit FROM o),
+w AS (SELECT *, (CASE WHEN coalesce(dice, 0) < 0.12 THEN 1 ELSE 0 END) + (CASE WHEN affix < 0.2 THEN 1 ELSE 0 END) + (CASE WHEN NOT ph AND NOT same THEN 1 ELSE 0 END) + (CASE WHEN ph AND NOT (hit OR same) THEN 1 ELSE 0 END)
+    + (CASE WHEN coalesce(noise, 0) >= 0.5 AND NOT (hit OR same) THEN 1 ELSE 0 END) AS weak,
+  same OR (ph AND (hit OR same OR latin)) OR (short <= 5 AND affix >= 0.85) OR latin OR hit AS held_back, NOT (same OR latin) AND short > 0 AND short / CAST(greatest(px, py, 1) AS DOUBLE) <= 0.5 AND short <= 5 AS unlike FROM g),
+k AS (SELECT w.*, {P.MULTI_CODES} AS codes, CASE WHEN fam = '' THEN 'singleton:' || w.id ELSE fam END AS family, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS level, coalesce(c.status = 'registered', false) AS active,
+  coalesce(c.day, '9999-99-99') AS day FROM w JOIN corpus c ON c.id = w.id WHERE NOT unlike AND (channels >= 2 OR held_back OR weak < 2)),
+f AS (SELECT *, count(*) OVER (PARTITION BY query_id, family) AS member_count, row_number() OVER (PARTITION BY query_id, family ORDER BY score DESC, level DESC, active DESC, channels DESC, day, id) AS n FROM k)
+SELECT query_id, id, mark_text, score, risk_band, confidence, strategies, array_to_string(codes, ',') AS evidence_codes, {P.sentences("codes", "a", "mark_text", "en")} AS explanations, member_count,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, level DESC, active DESC, channels DESC, day, id) AS position FROM f WHERE n = 1
+"""
+
 SQL = {
+    "scan_channels": SCAN_CHANNELS,
+    "scan_all_rows": SCAN,
+    "scan_by_keys": SCAN,
     "fold_part_names": FOLD_PARTS,
     "detect_scripts": DETECT_SCRIPTS,
     "compact_ngrams": COMPACT_NGRAMS,

@@ -18,6 +18,21 @@ def _rule(x: str, y: str, locale: str, m: int, n: int) -> str:
     return f"CASE {' '.join(cases)} END" if cases else "NULL"
 
 
+def jaro(source: str, name: str) -> str:
+    """CTEs from a table of (a, b) to ``name``(a, b, jw) alone."""
+    p = f"{name}_p"
+    return f"""{p} AS (SELECT *, len(la) AS na, len(lb) AS nb, greatest(greatest(len(la), len(lb)) // 2 - 1, 0) AS reach FROM (
+  SELECT a, b, row_number() OVER () AS id, {X.LETTERS.format("a")} AS la, {X.LETTERS.format("b")} AS lb FROM (SELECT DISTINCT a, b FROM {source}))),
+{name}_r AS (SELECT id, 0 AS i, CAST([] AS BIGINT[]) AS used FROM {p} UNION ALL
+  SELECT r.id, i + 1, list_append(used, coalesce(list_filter(generate_series(greatest(1, i + 1 - reach), least(nb, i + 1 + reach)), lambda j: lb[j] = la[i + 1] AND NOT list_contains(used, j))[1], 0))
+  FROM {name}_r r JOIN {p} p USING (id) WHERE i < na),
+{name}_k AS (SELECT p.*, list_filter(generate_series(1, na), lambda k: used[k] > 0) AS ka, list_sort(list_filter(used, lambda j: j > 0)) AS kb FROM {name}_r JOIN {p} p USING (id) WHERE i = na),
+{name}_j AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN len(ka) = 0 THEN 0.0 ELSE (len(ka) / CAST(na AS DOUBLE) + len(ka) / CAST(nb AS DOUBLE)
+  + (len(ka) - len(list_filter(generate_series(1, len(ka)), lambda k: la[ka[k]] <> lb[kb[k]])) / CAST(2 AS DOUBLE)) / len(ka)) / 3 END AS jaro,
+  len(list_filter(generate_series(1, least(4, na, nb)), lambda k: la[1:k] = lb[1:k])) AS start FROM {name}_k),
+{name} AS (SELECT a, b, jaro + start * CAST(0.1 AS DOUBLE) * (1 - jaro) AS jw FROM {name}_j)"""
+
+
 def metrics(source: str, locale: str, name: str = "metrics") -> str:
     """CTEs (recursive ones among them) from a table of (a, b) to ``name``(a, b, levenshtein, damerau, jaro, jw, lcs, cost, similarity, dice).
 
@@ -76,13 +91,15 @@ def _jaccard(x: str, y: str) -> str:
 
 _MEANS = "CASE x " + " ".join(f"WHEN '{k}' THEN [{X.listed(v)}]" for k, v in TRANSLATIONS.items()) + " ELSE CAST([] AS VARCHAR[]) END"
 
-#: From pairs(a, b, classes), said, cores, variants, keyed and second: sides(t, ...) and the pairs of their forms and keys.
+#: From said, cores, variants, keyed and second: sides(t, ...), what pairs are compared by.
 SIDES = f"""off AS (SELECT *, core <> '' AND latin <> '' AND core <> latin AND NOT regexp_full_match(core, '[\\p{{Latin}}\\p{{N}}]*') AS off FROM said),
 sides AS (SELECT o.t, o.dia, o.low, o.compact, o.core, c.sig, c.noise, c.weak, c.n, c.dominant, list_transform(v.v, lambda x: lower(x)) AS v, k.key, z.key2,
   {X.sub("lower(o.spoken)", ("[^b-df-hj-np-tv-xz]", ""))} AS bones, CASE WHEN off OR o.core = '' THEN latin ELSE o.core END AS stem,
   list_filter(list_distinct([o.compact, latin, o.core]), lambda x: x <> '') AS forms
-  FROM off o JOIN cores c ON c.t = o.t JOIN variants v ON v.t = o.t LEFT JOIN keyed k ON k.t = o.spoken LEFT JOIN second z ON z.spoken = o.spoken),
-met AS (SELECT p.a AS pa, p.b AS pb, unnest(x.forms) AS a, y.forms AS ys FROM pairs p JOIN sides x ON x.t = p.a JOIN sides y ON y.t = p.b),
+  FROM off o JOIN cores c ON c.t = o.t JOIN variants v ON v.t = o.t LEFT JOIN keyed k ON k.t = o.spoken LEFT JOIN second z ON z.spoken = o.spoken)"""
+
+#: From sides and pairs: measured(a, b), all that metrics are needed of.
+MEASURED = """met AS (SELECT p.a AS pa, p.b AS pb, unnest(x.forms) AS a, y.forms AS ys FROM pairs p JOIN sides x ON x.t = p.a JOIN sides y ON y.t = p.b),
 formed AS (SELECT pa, pb, a, unnest(ys) AS b FROM met),
 spoken_pairs AS (SELECT x.key AS a, y.key AS b FROM pairs p JOIN sides x ON x.t = p.a JOIN sides y ON y.t = p.b WHERE x.key <> '' AND y.key <> ''),
 measured AS (SELECT a, b FROM formed UNION SELECT a, b FROM spoken_pairs)"""
@@ -104,6 +121,28 @@ def _related() -> str:
 
 RELATED = _related()
 
+#: From sides and the texts of either side asked(t) and held(t): channels(a, b, strategy, score) of the whole scan.
+CHANNELS = f"""sq AS (SELECT s.* FROM sides s JOIN asked USING (t)), sm AS (SELECT s.* FROM sides s JOIN held USING (t)),
+qf AS (SELECT DISTINCT t, unnest(forms) AS f FROM sq), mf AS (SELECT DISTINCT t, unnest(forms) AS f FROM sm),
+fs AS (SELECT f, list_distinct({X.grams("f", 3)}) AS g, {X.LETTERS.format("f")} AS l FROM (SELECT f FROM qf UNION SELECT f FROM mf)),
+fl AS (SELECT f, l[i] AS ch, row_number() OVER (PARTITION BY f, l[i] ORDER BY i) AS o FROM (SELECT f, l, unnest(generate_series(1, len(l))) AS i FROM fs)),
+fb AS (SELECT f, list(ch || o) AS bag FROM fl GROUP BY f),
+fp AS (SELECT x.f AS a, y.f AS b, bx.bag AS ba, by_.bag AS bb, gx.g AS ga, gy.g AS gb FROM (SELECT DISTINCT f FROM qf) x CROSS JOIN (SELECT DISTINCT f FROM mf) y
+  JOIN fb bx ON bx.f = x.f JOIN fb by_ ON by_.f = y.f JOIN fs gx ON gx.f = x.f JOIN fs gy ON gy.f = y.f),
+fd AS (SELECT a, b, {_DOWN} AS d, CASE WHEN len(ga) + len(gb) > 0 THEN 2 * len(list_intersect(ga, gb)) / CAST(len(ga) + len(gb) AS DOUBLE) ELSE 1.0 END AS dice,
+  len(list_intersect(ba, bb)) * (1 / CAST(len(ba) AS DOUBLE) + 1 / CAST(len(bb) AS DOUBLE)) >= CAST(1.25 AS DOUBLE) - 1e-9 AS reach FROM fp),
+ft AS (SELECT q.t AS a, m.t AS b, q.f AS fa, m.f AS fb, d, dice * d >= CAST(0.25 AS DOUBLE) AS alike, reach FROM fd JOIN qf q ON q.f = fd.a JOIN mf m ON m.f = fd.b WHERE dice * d >= CAST(0.25 AS DOUBLE) OR reach),
+sure AS (SELECT q.t AS a, m.t AS b, 1 AS s FROM sq q JOIN sm m ON q.compact = m.compact WHERE q.compact <> ''
+  UNION SELECT q.t, m.t, 2 FROM (SELECT t, unnest(v) AS v FROM sq) q JOIN (SELECT t, unnest(v) AS v FROM sm) m USING (v)
+  UNION SELECT a, b, 3 FROM ft WHERE alike
+  UNION SELECT q.t, m.t, 4 FROM (SELECT t, unnest(sig) AS w FROM sq) q JOIN (SELECT t, unnest(sig) AS w FROM sm) m USING (w)
+  UNION SELECT q.t, m.t, 5 FROM sq q JOIN sm m ON (q.key = m.key AND q.key <> '') OR (q.bones = m.bones AND q.bones <> '')),
+cand AS (SELECT a, b FROM sure UNION SELECT a, b FROM ft WHERE reach),
+nf AS (SELECT c.a AS ta, c.b AS tb, q.f AS a, m.f AS b FROM cand c JOIN qf q ON q.t = c.a JOIN mf m ON m.t = c.b), {jaro("nf", "near")},
+best_near AS (SELECT ta AS a, tb AS b, max(jw * {_DOWN.replace("(a", "(nf.a").replace("(b", "(nf.b").replace(", a)", ", nf.a)").replace(", b)", ", nf.b)")}) AS score FROM nf JOIN near USING (a, b) GROUP BY ta, tb),
+channels AS (SELECT a, b, ['exact_forms', 'transliteration', 'trigram', 'token', 'phonetic'][s] AS strategy, coalesce(score, 0.0) AS score
+  FROM (SELECT a, b, s FROM sure UNION SELECT a, b, 3 FROM best_near WHERE score >= CAST(0.85 AS DOUBLE)) LEFT JOIN best_near USING (a, b))"""
+
 #: From sides and metrics: features(a, b, ...), one row for each pair; classes of either side are ca and cb.
 FEATURES = f"""best AS (SELECT pa, pb, max((1 - levenshtein / CAST(greatest(na, nb) AS DOUBLE)) * d) AS lev, max((1 - damerau / CAST(greatest(na, nb) AS DOUBLE)) * d) AS dam, max(jaro * d) AS jaro,
   max(jw * d) AS jw, max(similarity * d) AS wed, max(dice * d) AS dice, max(lcs / CAST(greatest(na, nb) AS DOUBLE) * d) AS lcs
@@ -142,6 +181,7 @@ _TESTS = {
     "conceptual_translation": "meaning = 1",
     "goods_missing": "true",
 }
+MULTI_CODES = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{c}' END" for c, t in [*_TESTS.items(), ("retrieval_multi_strategy", "channels >= 2")]) + "], lambda c: c IS NOT NULL)"
 CODES = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{c}' END" for c, t in _TESTS.items()) + "], lambda c: c IS NOT NULL)"
 
 
