@@ -123,7 +123,10 @@ def token_cores(spark: SparkSession, sf: str) -> DataFrame:
     folded = F.transform("tokens", lambda t: F.struct(t.alias("raw"), S.alnum(F.lower(t)).alias("normalized")))
     roled = rows.select("trademark_id", "tokens", K.with_roles(F.filter(folded, lambda t: t["normalized"] != "")).alias("r"))
     core = roled.select("trademark_id", "tokens", K.significant(F.col("r")).alias("sig"), K.noise(F.col("r")).alias("noise"), K.dominance(F.col("r")).alias("dom"))
-    return core.select("trademark_id", F.array_join("sig", ",").alias("significant"), F.array_join("noise", ",").alias("noise"), F.get("dom", F.lit(0))["token"].alias("dominant"), F.array_join("sig", "").alias("core_compact"), F.array_join(K.core_keys(F.col("sig")), ",").alias("core_keys")).distinct()
+    fields = {"significant": F.col("sig"), "noise": F.col("noise"), "dominant": F.transform("dom", lambda d: d["token"]), "core_keys": K.core_keys(F.col("sig"))}
+    weights = F.transform("dom", lambda d: F.format_string("%.4f", d["weight"]))
+    listed = [F.array_join(c, ",").alias(n) for n, c in (fields | {"weights": weights}).items()]
+    return core.select("trademark_id", *listed, F.array_join("sig", "").alias("core_compact")).distinct()
 
 
 def sound_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,9 +141,18 @@ def phonetic_key_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, sf: str) -> DataFrame:
+    """All hypotheses of each text, the most probable first."""
     marks = table(spark, sf, "trademark").select("mark_text").dropna().distinct()
-    best = F.get(S.language_hypotheses(F.col("mark_text")), F.lit(0))
-    return marks.select("mark_text", best["locale"].alias("locale"), F.round(best["probability"], 6).alias("probability"), F.array_join(best["evidence_codes"], ",").alias("evidence"))
+    found = marks.select("mark_text", F.posexplode(S.language_hypotheses(F.col("mark_text"))).alias("place", "h"))
+    evidence = F.array_join("h.evidence_codes", ",").alias("evidence")
+    return found.select("mark_text", "place", "h.locale", F.round("h.probability", 6).alias("probability"), evidence)
+
+
+def explicit_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where the locales that are delivered with a mark count alone."""
+    marks = table(spark, sf, "trademark").select("mark_text", "source_languages").dropna(subset=["mark_text"]).distinct()
+    best = F.transform(S.language_hypotheses(F.col("mark_text"), F.col("source_languages")), lambda h: F.concat_ws(":", h["locale"], h["evidence_codes"]))
+    return marks.select("mark_text", F.array_join("source_languages", ",", "?").alias("given"), F.array_join(best, "|").alias("hypotheses"))
 
 
 # -- intake ------------------------------------------------------------------------------------------
@@ -596,7 +608,7 @@ def scan_key_recall(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, plain_scores, token_hypotheses, weighted_edits, weighted_edit_traces, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages,
+        fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, plain_scores, token_hypotheses, weighted_edits, weighted_edit_traces, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages, explicit_languages,
         status_groups, source_hashes, intake_marks, delivery_actions, register_after_upsert, intake_log, representation_store, sound_key_backfill, newest_statistics, purge_statuses, marks_to_preprocess, preprocess_marks,
         retrieve_exact, retrieve_trigram, retrieve_trigram_share, retrieve_trigram_share_all, retrieve_phonetic, retrieve_nysiis, cap_strategies, unite_candidates, reserve_core_places, fetch_hits, corpus_ready, names_of_input,
         class_relations, goods_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, parsed_replies, scan_channels, scan_all_rows, scan_by_keys, scan_by_index, scan_key_recall, critical_recall,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from markloom.functions.lexicons import FUNCTION_WORDS, LAST_CAP, LEGAL_FORMS, LOCALE_PATTERNS, LOCALE_SCRIPTS, RELATED_CLASSES, SENTENCES, SOURCE_STATUSES, STAGE_WEIGHTS, STATUS_GROUPS, STRATEGY_CAPS, VERSIONS, WEAK_WORDS
@@ -120,25 +119,37 @@ def _evidence(locale: str) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(mark_text, '{r}') THEN '{code}' END" for loc, code, r in _HINTS if loc == locale) + ")"
 
 
-LANGUAGES = f"""
-WITH e AS (SELECT mark_text, {_evidence("nl")} AS nl, {_evidence("de")} AS de, {_evidence("fr")} AS fr, {_evidence("und-x-phonetic")} AS x, {_evidence("und")} AS u FROM (SELECT DISTINCT mark_text FROM trademark WHERE mark_text IS NOT NULL))
-SELECT mark_text, CASE WHEN nl <> '' THEN 'nl' WHEN de <> '' THEN 'de' WHEN fr <> '' THEN 'fr' WHEN x <> '' THEN 'und-x-phonetic' ELSE 'und' END AS locale,
-       CAST(CASE WHEN nl <> '' OR de <> '' OR fr <> '' THEN 0.72 WHEN x <> '' THEN 0.55 WHEN u <> '' THEN 0.35 ELSE 0.25 END AS DOUBLE) AS probability,
-       CASE WHEN nl <> '' THEN nl WHEN de <> '' THEN de WHEN fr <> '' THEN fr WHEN x <> '' THEN x WHEN u <> '' THEN u ELSE 'FALLBACK_UNKNOWN' END AS evidence FROM e
+_LOCALES = list(dict.fromkeys(loc for loc, _, _ in _HINTS))
+_PROBABILITY = "CASE WHEN locale IN ('nl', 'de', 'fr') THEN 0.72 WHEN locale = 'und-x-phonetic' THEN 0.55 WHEN evidence = 'FALLBACK_UNKNOWN' THEN 0.25 ELSE 0.35 END"
+_SEEN = f"""texts AS (SELECT DISTINCT mark_text FROM trademark WHERE mark_text IS NOT NULL),
+every AS ({" UNION ALL ".join(f"SELECT mark_text, {i} AS i, '{loc}' AS locale, {_evidence(loc)} AS evidence FROM texts" for i, loc in enumerate(_LOCALES))}),
+found AS (SELECT * FROM every WHERE evidence <> ''),
+whole AS (SELECT * FROM found UNION ALL SELECT mark_text, 0, 'und', 'FALLBACK_UNKNOWN' FROM texts WHERE mark_text NOT IN (SELECT mark_text FROM found)),
+placed AS (SELECT mark_text, CAST(row_number() OVER (PARTITION BY mark_text ORDER BY {_PROBABILITY} DESC, i) - 1 AS INT) AS place, locale, CAST({_PROBABILITY} AS DOUBLE) AS probability, evidence FROM whole)"""
+LANGUAGES = f"WITH {_SEEN} SELECT * FROM placed"
+EXPLICIT = f"""
+WITH {_SEEN}, m AS (SELECT DISTINCT mark_text, source_languages AS g FROM trademark WHERE mark_text IS NOT NULL),
+h AS (SELECT mark_text, string_agg(locale || ':' || replace(evidence, ',', ':'), '|' ORDER BY place) AS h FROM placed GROUP BY mark_text),
+e AS (SELECT mark_text, g, list_filter(list_transform(generate_series(1, len(g)), lambda i: CASE WHEN list_position(g, g[i]) = i THEN g[i] END), lambda x: x IS NOT NULL) AS d FROM m)
+SELECT e.mark_text, array_to_string(list_transform(g, lambda x: coalesce(x, '?')), ',') AS given,
+  CASE WHEN len(g) > 0 THEN array_to_string(list_transform(d, lambda x: x || ':EXPLICIT_LOCALE'), '|') ELSE h END AS hypotheses FROM e JOIN h USING (mark_text)
 """
 
-_TOKEN_ROLE = re.sub(r"\bword\b", "w", _ROLE)
 TOKEN_CORES = f"""
 WITH t AS (SELECT row_number() OVER () AS r, trademark_id, tokens FROM (SELECT DISTINCT trademark_id, tokens FROM {R} WHERE tokens IS NOT NULL)),
 u AS (SELECT r, i, {_sub("lower(tokens[i])", (r"[^\p{L}\p{N}]+", ""))} AS w FROM (SELECT r, tokens, unnest(generate_series(1, len(tokens))) AS i FROM t)),
-k AS (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS idx, count(*) OVER (PARTITION BY r) AS n, {_TOKEN_ROLE} AS role FROM u WHERE w <> ''),
-g AS (SELECT r, string_agg(w, ',' ORDER BY idx) FILTER (role IN ('distinctive', 'unknown')) AS significant, string_agg(w, ',' ORDER BY idx) FILTER (role IN ('descriptive_weak', 'legal_form', 'function_word', 'numeral')) AS noise,
-  string_agg(w, '' ORDER BY idx) FILTER (role IN ('distinctive', 'unknown')) AS core, count(*) FILTER (role IN ('distinctive', 'unknown')) AS ns,
-  arg_max(w, length(w) * 3 + (n - idx) * CAST(0.35 AS DOUBLE) - CASE WHEN length(w) <= 3 THEN 5 ELSE 0 END) FILTER (role = 'distinctive') AS dominant FROM k GROUP BY r),
-s AS (SELECT r, w, idx FROM k WHERE role IN ('distinctive', 'unknown')),
+k AS (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS idx, count(*) OVER (PARTITION BY r) AS n, {X.role("w")} AS role FROM u WHERE w <> ''),
+g AS (SELECT r, string_agg(w, ',' ORDER BY idx) FILTER (role IN ('distinctive', 'unknown')) AS significant,
+  string_agg(w, ',' ORDER BY idx) FILTER (role IN ('descriptive_weak', 'legal_form', 'function_word', 'numeral')) AS noise,
+  string_agg(w, '' ORDER BY idx) FILTER (role IN ('distinctive', 'unknown')) AS core, count(*) FILTER (role IN ('distinctive', 'unknown')) AS ns FROM k GROUP BY r),
+s AS (SELECT r, w, idx, n, CASE WHEN role = 'distinctive' THEN CAST(1 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END AS x FROM k WHERE role IN ('distinctive', 'unknown')),
+v AS (SELECT r, w, idx, length(w) * 3 * x + (n - idx) * CAST(0.35 AS DOUBLE) * x - CASE WHEN length(w) <= 3 THEN 5 * x ELSE 0 END AS weight FROM s),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY r ORDER BY weight DESC, idx) <= 5),
+d AS (SELECT r, string_agg(w, ',' ORDER BY weight DESC, idx) AS dominant, string_agg(printf('%.4f', weight), ',' ORDER BY weight DESC, idx) AS weights FROM b GROUP BY r),
 q AS (SELECT g.r, g.core AS w, -1 AS idx FROM g WHERE length(core) >= 2 UNION ALL SELECT s.r, s.w, s.idx FROM s JOIN g USING (r) WHERE length(s.w) >= CASE WHEN g.ns >= 2 THEN 6 ELSE 3 END),
 f AS (SELECT r, w, min(idx) AS idx FROM q GROUP BY r, w), c AS (SELECT r, string_agg(w, ',' ORDER BY idx) AS core_keys FROM f GROUP BY r)
-SELECT DISTINCT t.trademark_id, coalesce(significant, '') AS significant, coalesce(noise, '') AS noise, dominant, coalesce(core, '') AS core_compact, coalesce(core_keys, '') AS core_keys FROM t LEFT JOIN g USING (r) LEFT JOIN c USING (r)
+SELECT DISTINCT t.trademark_id, coalesce(significant, '') AS significant, coalesce(noise, '') AS noise, coalesce(dominant, '') AS dominant, coalesce(weights, '') AS weights, coalesce(core, '') AS core_compact, coalesce(core_keys, '') AS core_keys
+FROM t LEFT JOIN g USING (r) LEFT JOIN d USING (r) LEFT JOIN c USING (r)
 """
 
 _W = _sub("upper(t)", ("[^A-Z]", ""))
@@ -278,7 +289,12 @@ WITH {TRIGRAM_PAIRS}, hits AS (SELECT query_id, id, cap, round(CAST(c AS DOUBLE)
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS pre_cap FROM hits)
 SELECT query_id, id, score, rank, pre_cap FROM r WHERE rank <= cap
 """
-TRIGRAM_SHARE = f"WITH {TRIGRAM_PAIRS} SELECT query_id, id, round(CAST(c AS DOUBLE) / m, 6) AS score FROM shared WHERE CAST(c AS DOUBLE) / m >= CAST(0.5 AS DOUBLE)"
+
+
+def _share(least: float) -> str:
+    return f"WITH {TRIGRAM_PAIRS} SELECT query_id, id, round(CAST(c AS DOUBLE) / m, 6) AS score FROM shared WHERE CAST(c AS DOUBLE) / m >= CAST({least} AS DOUBLE)"
+
+
 
 RETRIEVE_NYSIIS = f"""
 WITH {SCANNED}, src AS (SELECT DISTINCT t FROM (SELECT ascii_folded AS t FROM marks UNION ALL SELECT key FROM asked) WHERE t IS NOT NULL), {_nysiis("src")}
@@ -530,7 +546,9 @@ SQL = {
     "marks_to_preprocess": TO_PREPROCESS,
     "retrieve_exact": RETRIEVE_EXACT,
     "retrieve_trigram": RETRIEVE_TRIGRAM,
-    "retrieve_trigram_share": TRIGRAM_SHARE,
+    "retrieve_trigram_share": _share(0.5),
+    "retrieve_trigram_share_all": _share(0.15),
+    "explicit_languages": EXPLICIT,
     "retrieve_nysiis": RETRIEVE_NYSIIS,
     "cap_strategies": CAP,
     "unite_candidates": UNITE,
