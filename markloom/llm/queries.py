@@ -133,7 +133,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = text_quality(table(spark, sf_dir, "documents"), "doc_id", "text")
     ratios = ("mean_word_length", "symbol_ratio", "digit_ratio", "ended_line_share", "common_word_share", "prose_share")
-    return q.select("doc_id", "chars", "visible", "words", "lines", *[F.round(r, 6).alias(r) for r in ratios], "prose", "kind")
+    counts = [F.col(c).cast("double").alias(c) for c in ("chars", "visible", "words", "lines")]
+    return q.select("doc_id", *counts, *[F.round(r, 6).alias(r) for r in ratios], "kind")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p2_descriptive_weights, p3_found, p3_ranking, p4_found, p4_forms, p4_classes, p4_spellings, p5_found, p5_trigrams_joined, p5_classes, p6_found, p6_top20, p7_sequences, p7_unused, p8_found, p8_cleaned, p9_found, p9_statistics)}
