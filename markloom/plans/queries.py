@@ -558,7 +558,9 @@ def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.when(kind == 1, F.concat(F.lit("Hier:\n```json\n"), json, F.lit("\n```\n"))).when(kind == 2, "geen antwoord").when(kind == 3, F.concat(F.left(json, F.lit(200)), F.lit("}"))).otherwise(json)
     got = advice.parse_replies(risks.select("scan_id", "known", raw.alias("raw")), "raw", "known", 2)
     kept = _joined("advice.topRisks.candidateId", ",").alias("kept")
-    return got.select("scan_id", "error", F.size("advice.topRisks").cast("bigint").alias("risks"), kept, F.length(F.get("advice.topRisks", F.lit(0))["summary"]).alias("summary_length"))
+    length = F.length(F.get("advice.topRisks", F.lit(0))["summary"])
+    risks = F.when(F.col("error").isNull(), F.size("advice.topRisks"))
+    return got.select("scan_id", "error", risks.cast("double").alias("risks"), kept, length.cast("double").alias("summary_length"))
 
 
 # -- scans -------------------------------------------------------------------------------------------

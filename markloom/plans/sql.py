@@ -266,9 +266,9 @@ latest AS (SELECT * FROM trademark WHERE id IS NOT NULL QUALIFY row_number() OVE
 FOLDED = f"""{LATEST},
 folds AS (SELECT trademark_id AS id, compact, case_folded, diacritics_folded, ascii_folded FROM {R} QUALIFY row_number() OVER (PARTITION BY trademark_id ORDER BY normalization_version DESC, created_at DESC NULLS LAST, compact DESC NULLS LAST, case_folded DESC NULLS LAST, diacritics_folded DESC NULLS LAST, ascii_folded DESC NULLS LAST) = 1),
 marks AS (SELECT f.*, l.mark_text FROM folds f JOIN latest l USING (id) WHERE l.is_text_searchable),
-w AS (SELECT watch_id AS query_id, {_sub("lower(watch_text)", (r"[^\p{L}\p{N}]+", ""))} AS key FROM watch_name),
+w AS (SELECT watch_id AS query_id, {_sub(X.lowered("watch_text"), (X.ALNUM, ""))} AS key FROM watch_name),
 asked AS (SELECT query_id, key, {_cap("length(key)")} AS cap FROM w)"""
-SCANNED = FOLDED.replace("SELECT watch_id AS query_id", "SELECT DISTINCT scan_id AS query_id").replace("lower(watch_text)", "lower(input_text)").replace("FROM watch_name", "FROM scan_run WHERE input_text IS NOT NULL")
+SCANNED = FOLDED.replace("SELECT watch_id AS query_id", "SELECT DISTINCT scan_id AS query_id").replace("watch_text", "input_text").replace("FROM watch_name", "FROM scan_run WHERE input_text IS NOT NULL")
 
 RETRIEVE_EXACT = f"""
 WITH {SCANNED}, keys AS (SELECT DISTINCT id, mark_text, unnest([compact, case_folded, diacritics_folded, ascii_folded]) AS key FROM marks),
@@ -474,7 +474,7 @@ WITH c AS (SELECT DISTINCT scan_id, trademark_id FROM scan_candidate WHERE scan_
 f AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY trademark_id) AS n, CAST('0x' || right(md5(scan_id), 4) AS INT) % 5 AS kind FROM c QUALIFY n <= 4),
 g AS (SELECT scan_id, any_value(kind) AS kind, (list(trademark_id ORDER BY n) FILTER (n <> 2))[1:2] AS kept FROM f GROUP BY scan_id)
 SELECT scan_id, CASE kind WHEN 2 THEN 'not a JSON object' WHEN 3 THEN 'broken or truncated JSON' WHEN 4 THEN 'fields missing or out of range' END AS error,
-  CASE WHEN kind < 2 THEN len(kept) END AS risks, CASE WHEN kind < 2 THEN array_to_string(kept, ',') END AS kept, CASE WHEN kind < 2 THEN CAST(159 AS INT) END AS summary_length FROM g
+  CAST(CASE WHEN kind < 2 THEN len(kept) END AS DOUBLE) AS risks, CASE WHEN kind < 2 THEN array_to_string(kept, ',') END AS kept, CASE WHEN kind < 2 THEN CAST(159 AS DOUBLE) END AS summary_length FROM g
 """
 STORE = f"""
 WITH RECURSIVE {LATEST}, stored AS (SELECT trademark_id, compact FROM {R} WHERE trademark_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trademark_id ORDER BY normalization_version DESC NULLS LAST, created_at DESC NULLS LAST, compact DESC NULLS LAST) = 1),
