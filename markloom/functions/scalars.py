@@ -331,11 +331,16 @@ def weighted_edit(a: str, b: str, locale: str = "generic") -> tuple[float, float
 def weighted_cost(a: str, b: str, locale: str) -> float:
     """Cost of ``weighted_edit`` without its trace, of texts in lower case without marks.
 
+    Where no rule has one side in ``a`` and the other in ``b`` all letters outside of a longest common
+    subsequence are deleted or inserted.
+
     A row starts from deletions everywhere, is lowered where a stretch that ends here meets an equal or
     equated one in ``b``, and is then swept for insertions.
     """
     if a == b:
         return 0.0
+    if not any(x in a and y in b for x, y in RULES[locale]):
+        return float(len(a) + len(b) - 2 * lcs(a, b))
     width, ends = len(b), {}
     for j, y in enumerate(b, 1):
         ends.setdefault(y, []).append((j, 1, 0.0))

@@ -204,11 +204,13 @@ def results(assessed: DataFrame) -> DataFrame:
 
 
 def _named(corpus: DataFrame) -> DataFrame:
-    return represent(corpus.filter(F.length(trim_blanks(F.col("mark_text"))) > 0))
+    """Marks with a text, represented; a corpus that was represented and written before is taken as it is."""
+    named = corpus.filter(F.length(trim_blanks(F.col("mark_text"))) > 0)
+    return named if "r" in corpus.columns else cut(represent(named))
 
 
 def _scan(names: DataFrame, corpus: DataFrame, hits) -> DataFrame:
-    queries, marks = cut(propose(names)), cut(_named(corpus))
+    queries, marks = cut(propose(names)), _named(corpus)
     caps = queries.select("query_id", strategy_cap(F.length("r.compact")).alias("cap"))
     capped = R.cap_hits(hits(queries, marks).join(caps, "query_id"), [F.col("score").desc(), F.col("id")], F.col("cap"), most=LAST_CAP)
     return results(assess(R.unite(capped), queries, marks))
@@ -253,6 +255,6 @@ def index_hits(queries: DataFrame, marks: DataFrame, keys: dict[str, DataFrame],
 def index_scan(names: DataFrame, corpus: DataFrame, least: float = 0.3) -> DataFrame:
     """The scan by stored key tables, with strategies, keys and caps of their own (``index_hits``)."""
     queries = cut(with_sound_keys(cut(R.query_keys(cut(propose(names))))))
-    marks = cut(_named(corpus))
+    marks = _named(corpus)
     united = R.unite(index_hits(queries, marks, index(marks), least))
     return results(assess(united, queries, marks, with_context=False))
