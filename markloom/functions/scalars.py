@@ -103,7 +103,27 @@ def bare_udf(texts: pd.Series) -> pd.Series:
 
 #: A unit of spelling, then every repeat of the letter that it began with.
 UNIT = re.compile(r"(?=(?P<first>.))(?P<unit>CH|DG[EIY]|GH(?=[^AEIOU])|GN$|PH|SH|TH|.)(?P=first)*")
-FIXED = {"CH": "X", "GH": "", "GN": "", "PH": "F", "SH": "X", "TH": "0", "D": "T", "F": "F", "J": "J", "K": "K", "L": "L", "M": "M", "N": "N", "P": "P", "Q": "K", "R": "R", "V": "F", "X": "KS", "Z": "S"}
+FIXED = {
+    "CH": "X",
+    "GH": "",
+    "GN": "",
+    "PH": "F",
+    "SH": "X",
+    "TH": "0",
+    "D": "T",
+    "F": "F",
+    "J": "J",
+    "K": "K",
+    "L": "L",
+    "M": "M",
+    "N": "N",
+    "P": "P",
+    "Q": "K",
+    "R": "R",
+    "V": "F",
+    "X": "KS",
+    "Z": "S",
+}
 SOFT = {"C": ("S", "K"), "G": ("J", "K")}
 
 
@@ -392,7 +412,15 @@ METRICS = ("levenshtein", "damerau_levenshtein", "jaro", "jaro_winkler", "weight
 def all_metrics(a: str, b: str) -> list[float]:
     """Similarities of METRICS, for non-empty strings."""
     near = jaro(a, b)
-    return [1 - _share(levenshtein(a, b), a, b), 1 - _share(damerau(a, b), a, b), near, with_prefix(near, a, b), weighted_similarity(a.lower(), b.lower(), "en"), dice(a, b), _share(lcs(a, b), a, b)]
+    return [
+        1 - _share(levenshtein(a, b), a, b),
+        1 - _share(damerau(a, b), a, b),
+        near,
+        with_prefix(near, a, b),
+        weighted_similarity(a.lower(), b.lower(), "en"),
+        dice(a, b),
+        _share(lcs(a, b), a, b),
+    ]
 
 
 def _stem_only(a: str, b: str) -> bool:
@@ -437,7 +465,10 @@ def string_metrics(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         else:
             n = lcs(x, y)
             rows.append([levenshtein(x, y), damerau(x, y), jaro(x, y), jaro_winkler(x, y), n, n / max(len(x), len(y)) if x or y else 1.0])
-    return pd.DataFrame(rows, columns=["levenshtein", "damerau", "jaro", "jaro_winkler", "lcs", "lcs_similarity"]).astype({"levenshtein": "Int32", "damerau": "Int32", "lcs": "Int32"})
+    return pd.DataFrame(
+        rows,
+        columns=["levenshtein", "damerau", "jaro", "jaro_winkler", "lcs", "lcs_similarity"],
+    ).astype({"levenshtein": "Int32", "damerau": "Int32", "lcs": "Int32"})
 
 
 @series_udf("levenshtein int, damerau int")

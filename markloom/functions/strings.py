@@ -150,9 +150,14 @@ def language_hypotheses(text: Column, explicit: Column | None = None) -> Column:
     hint = lambda locale, p, code: F.struct(F.lit(locale).alias("l"), F.lit(p).alias("p"), F.lit(code).alias("e"))
     # Word ends are those of A-Z, digits and the underscore alone.
     ends = lambda r: r.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
-    tests = [(r, hint(loc, p, code)) for loc, code, r, p in LOCALE_SCRIPTS] + [("(?i)(?u)" + ends(r), hint(loc, 0.72, code)) for loc, code, r in LOCALE_PATTERNS]
+    tests = [(r, hint(loc, p, code)) for loc, code, r, p in LOCALE_SCRIPTS] + [
+        ("(?i)(?u)" + ends(r), hint(loc, 0.72, code)) for loc, code, r in LOCALE_PATTERNS
+    ]
     seen = F.filter(F.array(*[F.when(text.rlike(r), h) for r, h in tests]), lambda h: h.isNotNull())
-    given = F.transform(F.array_distinct(explicit), lambda x: F.struct(x.alias("l"), F.lit(0.95).alias("p"), F.lit("EXPLICIT_LOCALE").alias("e"))) if explicit is not None else None
+    given = F.transform(
+        F.array_distinct(explicit),
+        lambda x: F.struct(x.alias("l"), F.lit(0.95).alias("p"), F.lit("EXPLICIT_LOCALE").alias("e")),
+    ) if explicit is not None else None
     hints = F.when(F.size(seen) > 0, seen).otherwise(F.array(hint("und", 0.25, "FALLBACK_UNKNOWN")))
     if given is not None:
         hints = F.when(F.size(explicit) > 0, given).otherwise(hints)
@@ -160,7 +165,12 @@ def language_hypotheses(text: Column, explicit: Column | None = None) -> Column:
 
     def merged(name: Column, place: Column) -> Column:
         own = F.filter(hints, lambda h: h["l"] == name)
-        return F.struct((-F.array_max(F.transform(own, lambda h: h["p"]))).alias("m"), place.alias("i"), name.alias("l"), F.array_distinct(F.transform(own, lambda h: h["e"])).alias("e"))
+        return F.struct(
+            (-F.array_max(F.transform(own, lambda h: h["p"]))).alias("m"),
+            place.alias("i"),
+            name.alias("l"),
+            F.array_distinct(F.transform(own, lambda h: h["e"])).alias("e"),
+        )
 
     ordered = F.array_sort(F.transform(names, merged))
     return F.transform(ordered, lambda h: F.struct(h["l"].alias("locale"), (-h["m"]).alias("probability"), h["e"].alias("evidence_codes")))

@@ -75,7 +75,14 @@ def compound_splits(roled: Column) -> Column:
         return F.when((F.length(word) >= 6) & ((F.size(roled) == 1) | (t["role"] == "distinctive")), ending)
 
     found = F.filter(F.transform(roled, lambda t: F.struct(t["word"].alias("w"), split(t).alias("e"))), lambda s: s["e"].isNotNull())
-    return F.transform(found, lambda s: F.struct(F.array(F.left(s["w"], F.length(s["w"]) - F.length(s["e"])), s["e"]).alias("tokens"), s["w"].alias("merged"), F.lit("agglutinated-noise-suffix-split").alias("reason")))
+    return F.transform(
+        found,
+        lambda s: F.struct(
+            F.array(F.left(s["w"], F.length(s["w"]) - F.length(s["e"])), s["e"]).alias("tokens"),
+            s["w"].alias("merged"),
+            F.lit("agglutinated-noise-suffix-split").alias("reason"),
+        ),
+    )
 
 
 def merge_hypotheses(roled: Column) -> Column:
@@ -83,7 +90,10 @@ def merge_hypotheses(roled: Column) -> Column:
     named = F.filter(F.transform(roled, lambda t: t["word"]), lambda w: w != "")
     joined = lambda ws, why: F.struct(ws.alias("tokens"), F.array_join(ws, "").alias("merged"), F.lit(why).alias("reason"))
     sig = significant(roled)
-    more = F.array(F.when(F.size(named) >= 2, joined(F.slice(named, 1, 2), "adjacent-token-merge")), F.when(F.size(sig) >= 2, joined(sig, "significant-merge")))
+    more = F.array(
+        F.when(F.size(named) >= 2, joined(F.slice(named, 1, 2), "adjacent-token-merge")),
+        F.when(F.size(sig) >= 2, joined(sig, "significant-merge")),
+    )
     return F.concat(compound_splits(roled), F.filter(more, lambda h: h.isNotNull()))
 
 
@@ -92,4 +102,9 @@ def core_keys(sig: Column) -> Column:
     letters on if it is alone and from six on beside others."""
     least = F.when(F.size(sig) >= 2, 6).otherwise(3)
     whole = F.array_join(sig, "")
-    return F.array_distinct(F.concat(F.when(F.length(whole) >= 2, F.array(whole)).otherwise(F.array().cast("array<string>")), F.filter(sig, lambda w: F.length(w) >= least)))
+    return F.array_distinct(
+        F.concat(
+            F.when(F.length(whole) >= 2, F.array(whole)).otherwise(F.array().cast("array<string>")),
+            F.filter(sig, lambda w: F.length(w) >= least),
+        )
+    )

@@ -18,7 +18,11 @@ RESPONSE = (
 )
 
 #: Words that a field may hold (fixed values).
-CHOICES = {"score": ["sterk", "matig", "zwak", "niet"], "riskLevel": ["hoog", "middel", "laag"], "aanbeveling": ["indienen_risicovol", "indienen_met_aanpassing", "nader_onderzoek", "laag_risico"]}
+CHOICES = {
+    "score": ["sterk", "matig", "zwak", "niet"],
+    "riskLevel": ["hoog", "middel", "laag"],
+    "aanbeveling": ["indienen_risicovol", "indienen_met_aanpassing", "nader_onderzoek", "laag_risico"],
+}
 
 
 def compact_candidates(rows: DataFrame, keys: list[str], order: list[Column], limit: int = CANDIDATE_LIMIT) -> DataFrame:
@@ -29,7 +33,11 @@ def compact_candidates(rows: DataFrame, keys: list[str], order: list[Column], li
         F.struct("score", F.col("risk_band").alias("riskBand"), "confidence").alias("score"), F.slice("evidence_codes", 1, MAX_CODES).alias("evidenceCodes"), F.slice("explanations", 1, MAX_SENTENCES).alias("explanations"),
     )
     listed = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", one.alias("x")))).alias("l"))
-    return listed.select(*keys, F.size("l").alias("n"), F.to_json(F.transform("l", lambda s: s["x"]), {"ignoreNullFields": "false"}).alias("payload"))
+    return listed.select(
+        *keys,
+        F.size("l").alias("n"),
+        F.to_json(F.transform("l", lambda s: s["x"]), {"ignoreNullFields": "false"}).alias("payload"),
+    )
 
 
 def json_object(raw: Column) -> Column:
@@ -50,13 +58,22 @@ def parse_replies(rows: DataFrame, raw: str, known: str, top_n: int = 10) -> Dat
     with broken JSON or with fields missing or out of range is an error; risks of ids that aren't in
     array ``known`` are dropped and the rest renumbered, ``top_n`` at most."""
     texts = rows.withColumn("_json", json_object(F.col(raw)))
-    parsed = texts.withColumn("_p", F.from_json("_json", RESPONSE, {"mode": "PERMISSIVE"})).withColumn("_ok", F.try_parse_json("_json").isNotNull())
+    parsed = texts.withColumn(
+        "_p",
+        F.from_json("_json", RESPONSE, {"mode": "PERMISSIVE"}),
+    ).withColumn("_ok", F.try_parse_json("_json").isNotNull())
     dim = lambda d: F.struct(d["score"].alias("score"), _clip(d["toelichting"], LIMITS["toelichting"]).alias("toelichting"))
 
     def risk(r: Column) -> Column:
         clipped = {f: _clip(r[f], LIMITS[f]) for f in ("summary", "confusionRisk", "whySelected")}
         dims = F.struct(*[dim(r["dimensions"][d]).alias(d) for d in DIMENSIONS])
-        return F.struct(*[r[f].alias(f) for f in ("rank", "candidateId", "markText", "engineScore", "riskLevel")], clipped["summary"].alias("summary"), dims.alias("dimensions"), clipped["confusionRisk"].alias("confusionRisk"), clipped["whySelected"].alias("whySelected"))
+        return F.struct(
+            *[r[f].alias(f) for f in ("rank", "candidateId", "markText", "engineScore", "riskLevel")],
+            clipped["summary"].alias("summary"),
+            dims.alias("dimensions"),
+            clipped["confusionRisk"].alias("confusionRisk"),
+            clipped["whySelected"].alias("whySelected"),
+        )
 
     filled = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
     among = lambda c, name: F.coalesce(c.isin(CHOICES[name]), F.lit(False))
@@ -67,10 +84,25 @@ def parse_replies(rows: DataFrame, raw: str, known: str, top_n: int = 10) -> Dat
         tests += [among(r["dimensions"][d]["score"], "score") & filled(r["dimensions"][d]["toelichting"]) for d in DIMENSIONS]
         return F.aggregate(F.array(*tests), F.lit(True), lambda a, t: a & t)
 
-    shaped = parsed.withColumn("_risks", F.transform("_p.topRisks", risk)).withColumn("_text", _clip(F.col("_p.overallAdvice.text"), LIMITS["overallAdviceText"]))
-    valid = filled(F.col("_text")) & among(F.col("_p.overallAdvice.aanbeveling"), "aanbeveling") & F.coalesce((F.size("_risks") <= 10) & F.forall("_risks", sound), F.lit(False))
-    error = F.when(F.col("_json").isNull(), "not a JSON object").when(~F.col("_ok"), "broken or truncated JSON").when(~valid, "fields missing or out of range")
+    shaped = parsed.withColumn("_risks", F.transform("_p.topRisks", risk)).withColumn(
+        "_text",
+        _clip(F.col("_p.overallAdvice.text"), LIMITS["overallAdviceText"]),
+    )
+    valid = filled(F.col("_text")) & among(F.col("_p.overallAdvice.aanbeveling"), "aanbeveling") & F.coalesce(
+        (F.size("_risks") <= 10) & F.forall("_risks", sound),
+        F.lit(False),
+    )
+    error = F.when(
+        F.col("_json").isNull(),
+        "not a JSON object",
+    ).when(~F.col("_ok"), "broken or truncated JSON").when(~valid, "fields missing or out of range")
     kept = F.slice(F.filter("_risks", lambda r: F.array_contains(F.col(known), r["candidateId"])), 1, top_n)
     numbered = F.transform(kept, lambda r, i: r.withField("rank", (i + 1).cast("int")))
-    advice = F.struct(F.struct(F.col("_text").alias("text"), F.col("_p.overallAdvice.aanbeveling").alias("aanbeveling")).alias("overallAdvice"), numbered.alias("topRisks"))
-    return shaped.withColumn("error", error).withColumn("advice", F.when(F.col("error").isNull(), advice)).drop("_json", "_p", "_ok", "_risks", "_text")
+    advice = F.struct(
+        F.struct(F.col("_text").alias("text"), F.col("_p.overallAdvice.aanbeveling").alias("aanbeveling")).alias("overallAdvice"),
+        numbered.alias("topRisks"),
+    )
+    return shaped.withColumn("error", error).withColumn(
+        "advice",
+        F.when(F.col("error").isNull(), advice),
+    ).drop("_json", "_p", "_ok", "_risks", "_text")

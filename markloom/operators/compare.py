@@ -63,14 +63,40 @@ def with_goods(rows: DataFrame, a_classes: str | None, b_classes: str | None, a_
         if name is None:
             df = df.withColumn(f"_t{side}", none)
         else:
-            df = df.withColumn(f"_t{side}", F.filter(F.split(bare_udf(F.lower(F.array_join(F.coalesce(F.col(name), none), "\x01"))), "\x01"), lambda t: t.rlike(r"[\p{L}\p{N}]")))
+            df = df.withColumn(
+                f"_t{side}",
+                F.filter(
+                    F.split(bare_udf(F.lower(F.array_join(F.coalesce(F.col(name), none), "\x01"))), "\x01"),
+                    lambda t: t.rlike(r"[\p{L}\p{N}]"),
+                ),
+            )
     c = F.col
-    df = df.withColumns({"_wa": goods_words(c("_ta")), "_wb": goods_words(c("_tb")), "_known": (F.size("_ta") > 0) & (F.size("_tb") > 0), "_overlap": class_overlap(c("_ca"), c("_cb")), "_related": related_share(c("_ca"), c("_cb"))})
+    df = df.withColumns(
+        {
+            "_wa": goods_words(c("_ta")),
+            "_wb": goods_words(c("_tb")),
+            "_known": (F.size("_ta") > 0) & (F.size("_tb") > 0),
+            "_overlap": class_overlap(c("_ca"), c("_cb")),
+            "_related": related_share(c("_ca"), c("_cb")),
+        }
+    )
     covered = F.when(F.size("_wa") > 0, F.size(F.array_intersect("_wa", "_wb")) / F.size("_wa")).otherwise(0.0)
-    warnings = F.filter(F.array(F.when(F.size("_ta") == 0, "missing_proposed_goods_text"), F.when(F.size("_tb") == 0, "missing_candidate_goods_text")), lambda w: w.isNotNull())
-    df = df.withColumns({"_concrete": F.when(c("_known"), overlap_ratio(c("_wa"), c("_wb"), 1.0)), "_covered": F.when(c("_known"), covered), "_warnings": warnings})
+    warnings = F.filter(
+        F.array(F.when(F.size("_ta") == 0, "missing_proposed_goods_text"), F.when(F.size("_tb") == 0, "missing_candidate_goods_text")),
+        lambda w: w.isNotNull(),
+    )
+    df = df.withColumns(
+        {
+            "_concrete": F.when(c("_known"), overlap_ratio(c("_wa"), c("_wb"), 1.0)),
+            "_covered": F.when(c("_known"), covered),
+            "_warnings": warnings,
+        }
+    )
     overlap, related, known, concrete = c("_overlap"), c("_related"), c("_known"), c("_concrete")
-    near = F.when(known, _ladder(concrete, ((0.7, "high"), (0.4, "medium"), (0.15, "low")), "none")).otherwise(F.when(overlap >= 0.75, "high").otherwise("medium"))
+    near = F.when(
+        known,
+        _ladder(concrete, ((0.7, "high"), (0.4, "medium"), (0.15, "low")), "none"),
+    ).otherwise(F.when(overlap >= 0.75, "high").otherwise("medium"))
     relationship = (
         F.when((F.size("_ca") == 0) & (F.size("_cb") == 0) & ~known, "unknown")
         .when(known & (concrete >= 0.9) & (overlap >= 0.5), "identical")
@@ -81,8 +107,25 @@ def with_goods(rows: DataFrame, a_classes: str | None, b_classes: str | None, a_
     )
     confidence = F.when(known, "high").when(overlap > 0, "medium").otherwise("low")
     df = df.withColumns({"_relationship": relationship, "_confidence": confidence})
-    names = {"relationship": "_relationship", "class_overlap": "_overlap", "related_signal": "_related", "concrete_similarity": "_concrete", "coverage": "_covered", "confidence": "_confidence", "warnings": "_warnings"}
-    return df.withColumn(out, F.struct(*[c(v).alias(k) for k, v in names.items()])).drop("_ca", "_cb", "_ta", "_tb", "_wa", "_wb", "_known", *names.values())
+    names = {
+        "relationship": "_relationship",
+        "class_overlap": "_overlap",
+        "related_signal": "_related",
+        "concrete_similarity": "_concrete",
+        "coverage": "_covered",
+        "confidence": "_confidence",
+        "warnings": "_warnings",
+    }
+    return df.withColumn(out, F.struct(*[c(v).alias(k) for k, v in names.items()])).drop(
+        "_ca",
+        "_cb",
+        "_ta",
+        "_tb",
+        "_wa",
+        "_wb",
+        "_known",
+        *names.values(),
+    )
 
 
 def _ladder(value: Column, limits: tuple, rest: str) -> Column:
@@ -94,7 +137,15 @@ def _ladder(value: Column, limits: tuple, rest: str) -> Column:
 
 # -- features ----------------------------------------------------------------------------------------
 
-ORTHOGRAPHIC = {"levenshtein": "levenshteinSimilarity", "damerau_levenshtein": "damerauLevenshteinSimilarity", "jaro": "jaroSimilarity", "jaro_winkler": "jaroWinklerSimilarity", "weighted_edit": "weightedEditSimilarity", "trigram_dice": "trigramDice", "lcs": "lcsSimilarity"}
+ORTHOGRAPHIC = {
+    "levenshtein": "levenshteinSimilarity",
+    "damerau_levenshtein": "damerauLevenshteinSimilarity",
+    "jaro": "jaroSimilarity",
+    "jaro_winkler": "jaroWinklerSimilarity",
+    "weighted_edit": "weightedEditSimilarity",
+    "trigram_dice": "trigramDice",
+    "lcs": "lcsSimilarity",
+}
 
 
 def _token_family(a: Column, b: Column, m: Column) -> dict[str, Column]:
@@ -206,7 +257,10 @@ def with_features(pairs: DataFrame, left: str = "p", right: str = "c", left_clas
     a, b = F.col(left), F.col(right)
     # The metrics cost far more than their input's bytes tell, so the rows are spread first.
     spread = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = spread.withColumn("metrics", pair_metrics(a["forms"], b["forms"], a["affix_core"], b["affix_core"], a["primary_key"], b["primary_key"]))
+    out = spread.withColumn(
+        "metrics",
+        pair_metrics(a["forms"], b["forms"], a["affix_core"], b["affix_core"], a["primary_key"], b["primary_key"]),
+    )
     out = with_goods(out, left_classes, right_classes, left_goods, right_goods)
     found = F.coalesce(F.col(strategies), F.array().cast("array<string>")) if strategies else F.array().cast("array<string>")
     parts = _families(a, b, F.col("metrics"), F.col("goods"), found, F.col(ranks) if ranks else None)
@@ -237,7 +291,9 @@ def prune(x: Column, families: Column, proposed: Column, candidate: Column, prof
     """Struct(decision, rule, reasons): keep, promote or discard. Lengths far apart discard first,
     unless the forms are equal; then protections keep; then enough weak signals discard."""
     short, long = F.least(proposed, candidate), F.greatest(proposed, candidate)
-    unlike = ~(x["exactMatch"] | x["transliterationExact"]) & (short > 0) & (short / F.greatest(long, F.lit(1)) <= 0.5) & (short <= profile["short"])
+    unlike = ~(
+        x["exactMatch"] | x["transliterationExact"]
+    ) & (short > 0) & (short / F.greatest(long, F.lit(1)) <= 0.5) & (short <= profile["short"])
     codes = lambda prefix, tests: F.filter(F.array(*[F.when(t, F.lit(f"{prefix}:{n}")) for n, t in tests]), lambda r: r.isNotNull())
     backed = x["coreTokenHit"] | x["exactMatch"]
     affix = F.greatest(x["prefixScore"], x["suffixScore"])
@@ -287,8 +343,23 @@ def with_score(rows: DataFrame, f: str = "features", out: str = "score", goods:
     """
     v = F.col(f)
     best = lambda fam, *names: _z(F.greatest(*[v[fam][n] for n in names])) * 100
-    tok = {n: _z(v["token"][n]) for n in ("dominantTokenOverlap", "tokenJaccard", "significantOverlap", "coreCompactMatch", "secondarySignificantOverlap", "noiseOnlyOverlap", "coreEmpty", "prefixOverlap", "suffixOverlap", "sharedRareTokenCount")}
-    dom, jac, sig, core, second = (tok[n] for n in ("dominantTokenOverlap", "tokenJaccard", "significantOverlap", "coreCompactMatch", "secondarySignificantOverlap"))
+    tok = {
+        n: _z(v["token"][n]) for n in (
+            "dominantTokenOverlap",
+            "tokenJaccard",
+            "significantOverlap",
+            "coreCompactMatch",
+            "secondarySignificantOverlap",
+            "noiseOnlyOverlap",
+            "coreEmpty",
+            "prefixOverlap",
+            "suffixOverlap",
+            "sharedRareTokenCount",
+        )
+    }
+    dom, jac, sig, core, second = (
+        tok[n] for n in ("dominantTokenOverlap", "tokenJaccard", "significantOverlap", "coreCompactMatch", "secondarySignificantOverlap")
+    )
     partial = (sig > 0) & (sig < 1) & (core < 1)
     led = F.when((dom >= 1) & partial, sig).otherwise(dom)
     token = F.greatest(led, jac, sig, core, F.when((led >= 1) | (core >= 1), second).otherwise(second * 0.55))
@@ -349,8 +420,20 @@ def with_plain_score(rows: DataFrame, a: str, b: str) -> DataFrame:
     lev = F.when(longest > 0, 1 - F.col("_m.levenshtein") / longest).otherwise(1.0)
     df = df.withColumns({"exact": exact, "_lev": lev, "_jaro": F.col("_m.jaro"), "_jw": F.col("_m.jaro_winkler")})
     df = df.withColumn("_c", F.when(F.col("exact") == 1, 1.0).otherwise(F.col("_lev") * 0.35 + F.col("_jaro") * 0.25 + F.col("_jw") * 0.4))
-    named = _ladder(F.col("_c"), ((0.95, "critical"), (0.85, "strong"), (0.7, "relevant"), (0.55, "borderline"), (0.35, "weak")), "irrelevant")
-    out = df.withColumns({"levenshtein": F.round("_lev", 4), "jaro": F.round("_jaro", 4), "jaro_winkler": F.round("_jw", 4), "combined": F.round("_c", 4), "band": named})
+    named = _ladder(
+        F.col("_c"),
+        ((0.95, "critical"), (0.85, "strong"), (0.7, "relevant"), (0.55, "borderline"), (0.35, "weak")),
+        "irrelevant",
+    )
+    out = df.withColumns(
+        {
+            "levenshtein": F.round("_lev", 4),
+            "jaro": F.round("_jaro", 4),
+            "jaro_winkler": F.round("_jw", 4),
+            "combined": F.round("_c", 4),
+            "band": named,
+        }
+    )
     return out.drop("_a", "_b", "_m", "_lev", "_jaro", "_jw", "_c")
 
 
@@ -362,7 +445,10 @@ def explain(codes: Column, proposed: Column, candidate: Column, locale: str = "e
     table = F.create_map(*[F.lit(x) for kv in SENTENCES.get(locale, SENTENCES["en"]).items() for x in kv])
     shown = lambda c: F.coalesce(c, F.lit("—"))
     known = F.filter(F.transform(codes, lambda k: F.try_element_at(table, k)), lambda s: s.isNotNull())
-    return F.transform(known, lambda s: F.replace(F.replace(s, F.lit("{proposedMark}"), shown(proposed)), F.lit("{candidateMark}"), shown(candidate)))
+    return F.transform(
+        known,
+        lambda s: F.replace(F.replace(s, F.lit("{proposedMark}"), shown(proposed)), F.lit("{candidateMark}"), shown(candidate)),
+    )
 
 
 def known_evidence_codes() -> list[str]:

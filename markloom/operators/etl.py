@@ -98,7 +98,10 @@ def hash_diff(current: DataFrame, stored: DataFrame, keys: list[str], hash_col:
     """``current`` with ``action``: insert, update or unchanged against the stored hashes."""
     old = stored.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(hash_col).alias("_o_hash"), F.lit(True).alias("_o_known"))
     joined = current.join(old, [current[k] == old[f"_o_{k}"] for k in keys], "left")
-    action = F.when(F.col("_o_known").isNull(), "insert").when(F.col(hash_col).eqNullSafe(F.col("_o_hash")), "unchanged").otherwise("update")
+    action = F.when(F.col("_o_known").isNull(), "insert").when(
+        F.col(hash_col).eqNullSafe(F.col("_o_hash")),
+        "unchanged",
+    ).otherwise("update")
     return joined.select(*[current[c] for c in current.columns], action.alias("action"))
 
 
@@ -112,7 +115,9 @@ def purge(marks: DataFrame, dependants: dict[str, DataFrame], allowed: list[str]
     """Marks of allowed raw status and the rows of every dependent table (by trademark_id) that belong
     to them."""
     kept = marks.filter(F.col("status_code").isin(allowed))
-    return {"trademark": kept} | {n: d.join(kept.select(F.col("id").alias("trademark_id")).distinct(), "trademark_id", "left_semi") for n, d in dependants.items()}
+    return {"trademark": kept} | {
+        n: d.join(kept.select(F.col("id").alias("trademark_id")).distinct(), "trademark_id", "left_semi") for n, d in dependants.items()
+    }
 
 
 def not_represented(marks: DataFrame, represented: DataFrame) -> DataFrame:
@@ -123,11 +128,44 @@ def not_represented(marks: DataFrame, represented: DataFrame) -> DataFrame:
 def preprocess(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Representation and sound-key tables of ``marks``."""
     done = represent(marks)
-    arrays = ("tokens", "significant_tokens", "weak_tokens", "company_suffix_tokens", "prefixes", "suffixes", "bigrams", "trigrams", "scripts")
-    folds = ("raw", "unicode_nfc", "unicode_nfkc", "case_folded", "diacritics_folded", "punctuation_folded", "whitespace_folded", "ascii_folded", "compact")
+    arrays = (
+        "tokens",
+        "significant_tokens",
+        "weak_tokens",
+        "company_suffix_tokens",
+        "prefixes",
+        "suffixes",
+        "bigrams",
+        "trigrams",
+        "scripts",
+    )
+    folds = (
+        "raw",
+        "unicode_nfc",
+        "unicode_nfkc",
+        "case_folded",
+        "diacritics_folded",
+        "punctuation_folded",
+        "whitespace_folded",
+        "ascii_folded",
+        "compact",
+    )
     hypotheses = F.array().cast("array<struct<locale:string,probability:double,evidence_codes:array<string>>>").alias("language_hypotheses")
-    table = done.select(F.col("id").alias("trademark_id"), *[f"r.{c}" for c in folds], *[f"r.{c}" for c in arrays], F.col("r.weak_tokens").alias("descriptive_tokens"), F.array("r.skeleton").alias("consonant_skeletons"), "r.dominant_token", "r.transliterations", hypotheses, "r.normalization_version")
-    spoken = done.select(F.col("id").alias("trademark_id"), F.when(F.col("r.diacritics_folded") != "", F.col("r.diacritics_folded")).otherwise(F.col("r.compact")).alias("t"))
+    table = done.select(
+        F.col("id").alias("trademark_id"),
+        *[f"r.{c}" for c in folds],
+        *[f"r.{c}" for c in arrays],
+        F.col("r.weak_tokens").alias("descriptive_tokens"),
+        F.array("r.skeleton").alias("consonant_skeletons"),
+        "r.dominant_token",
+        "r.transliterations",
+        hypotheses,
+        "r.normalization_version",
+    )
+    spoken = done.select(
+        F.col("id").alias("trademark_id"),
+        F.when(F.col("r.diacritics_folded") != "", F.col("r.diacritics_folded")).otherwise(F.col("r.compact")).alias("t"),
+    )
     return table, phonetic_keys(spoken, "trademark_id", "t")
 
 

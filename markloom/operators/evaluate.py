@@ -34,7 +34,13 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str,
     placed = running_count(counts, keys, [F.col("_v").asc()], F.col("_c"), "_before", "_n")
     at = lambda p: F.min(F.when(F.col("_before") + F.col("_c") >= F.greatest(F.ceil(F.col("_n") * p), F.lit(1)), F.col("_v")))
     mean = F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")
-    return placed.groupBy(*keys).agg(F.sum("_c").alias("n"), mean.alias("mean"), F.min("_v").alias("least"), F.max("_v").alias("greatest"), *[at(p).alias(name) for name, p in shares.items()])
+    return placed.groupBy(*keys).agg(
+        F.sum("_c").alias("n"),
+        mean.alias("mean"),
+        F.min("_v").alias("least"),
+        F.max("_v").alias("greatest"),
+        *[at(p).alias(name) for name, p in shares.items()],
+    )
 
 
 def corpus_statistics(marks: DataFrame, represented: DataFrame, sound: DataFrame) -> DataFrame:

@@ -228,8 +228,15 @@ def run_frontier(runs: DataFrame, status: str, checkpoint: str, started: str) ->
     removal goes into the plan as a literal.
     """
     completed = runs.filter(F.lower(strip_blanks(F.col(status))) == "completed")
-    done = completed.select(F.col(started).alias("s"), checkpoint_position(F.col(checkpoint)).alias("p")).filter("s is not null and p.at is not null")
-    reach = F.struct(F.col("p.at").alias("at"), F.col("p.last_id").isNull().alias("whole"), F.coalesce("p.last_id", F.lit("")).alias("last"))
+    done = completed.select(
+        F.col(started).alias("s"),
+        checkpoint_position(F.col(checkpoint)).alias("p"),
+    ).filter("s is not null and p.at is not null")
+    reach = F.struct(
+        F.col("p.at").alias("at"),
+        F.col("p.last_id").isNull().alias("whole"),
+        F.coalesce("p.last_id", F.lit("")).alias("last"),
+    )
     best = done.groupBy("s").agg(F.max(reach).alias("r"))
     later = Window.partitionBy(F.date_trunc("month", "s")).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
     own = best.withColumn("_b", F.max("r").over(later)).filter(F.col("_b").isNull() | (F.col("r") > F.col("_b")))

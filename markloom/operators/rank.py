@@ -16,7 +16,14 @@ def _level() -> Column:
 
 def rank_order() -> list[Column]:
     """Score, confidence, active right, channels, earliest priority date, id."""
-    return [F.col("score").desc(), _level().desc(), F.col("active_right").desc(), F.col("channel_count").desc(), F.coalesce("priority_date", F.lit("9999-99-99")).asc(), F.col("id").asc()]
+    return [
+        F.col("score").desc(),
+        _level().desc(),
+        F.col("active_right").desc(),
+        F.col("channel_count").desc(),
+        F.coalesce("priority_date", F.lit("9999-99-99")).asc(),
+        F.col("id").asc(),
+    ]
 
 
 def rank_results(rows: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
@@ -30,7 +37,10 @@ def rank_results(rows: DataFrame, keys: list[str], spread: bool = False) -> Data
 def family_key(name_key: Column, owner: Column, id_: Column) -> Column:
     """The name's folded letters, with the owner if there is one; without letters a key of its own."""
     held = F.lower(F.trim(F.coalesce(owner, F.lit(""))))
-    return F.when((name_key == "") & (held == ""), F.concat(F.lit("singleton:"), id_)).when(held == "", name_key).otherwise(F.concat_ws("::", name_key, held))
+    return F.when(
+        (name_key == "") & (held == ""),
+        F.concat(F.lit("singleton:"), id_),
+    ).when(held == "", name_key).otherwise(F.concat_ws("::", name_key, held))
 
 
 def families(rows: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
@@ -39,7 +49,14 @@ def families(rows: DataFrame, keys: list[str], spread: bool = False) -> DataFram
     The best member is a minimum over sort keys, combined before the shuffle.
     """
     rest = [c for c in rows.columns if c not in (*keys, "family")]
-    lead = [-F.col("score"), -_level(), ~F.col("active_right"), -F.col("channel_count"), F.coalesce("priority_date", F.lit("9999-99-99")), F.col("id")]
+    lead = [
+        -F.col("score"),
+        -_level(),
+        ~F.col("active_right"),
+        -F.col("channel_count"),
+        F.coalesce("priority_date", F.lit("9999-99-99")),
+        F.col("id"),
+    ]
     packed = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(lead)], F.struct(*rest).alias("row"))
     best = rows.groupBy(*keys, "family").agg(F.min(packed).alias("_b"), F.count(F.lit(1)).alias("member_count"))
     return rank_results(best.select(*keys, "family", "_b.row.*", "member_count"), keys, spread)

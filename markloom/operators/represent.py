@@ -19,18 +19,32 @@ def represent(rows: DataFrame, text: str = "mark_text") -> DataFrame:
     """
     base = rows.withColumn("_f", text_forms(F.col(text)))
     low = F.col("_f.bare")
-    base = base.withColumn("_dia", S.fold_special_latin(low)).withColumn("_punct", S.fold_punctuation(F.col("_dia"))).withColumn("_blank", S.fold_blanks(F.col("_punct")))
+    base = base.withColumn("_dia", S.fold_special_latin(low)).withColumn(
+        "_punct",
+        S.fold_punctuation(F.col("_dia")),
+    ).withColumn("_blank", S.fold_blanks(F.col("_punct")))
     base = base.withColumn("_compact", S.compact(F.col("_blank"))).withColumn("_roled", K.with_roles(F.col("_f.tokens")))
-    base = base.withColumn("_sig", K.significant(F.col("_roled"))).withColumn("_dom", K.dominance(F.col("_roled"))).withColumn("_core", F.array_join("_sig", ""))
+    base = base.withColumn(
+        "_sig",
+        K.significant(F.col("_roled")),
+    ).withColumn("_dom", K.dominance(F.col("_roled"))).withColumn("_core", F.array_join("_sig", ""))
     base = base.withColumn("_first", S.alnum(F.lower(F.get("_f.variants", F.lit(0)))))
     latin_core = (F.col("_core") != "") & F.col("_core").rlike(r"^[\p{IsLatin}\p{N}]*$")
-    spoken = F.when(latin_core, F.col("_core")).when(F.col("_first") != "", F.col("_first")).when(F.col("_dia") != "", F.col("_dia")).otherwise(F.col("_compact"))
+    spoken = F.when(latin_core, F.col("_core")).when(
+        F.col("_first") != "",
+        F.col("_first"),
+    ).when(F.col("_dia") != "", F.col("_dia")).otherwise(F.col("_compact"))
     base = base.withColumn("_spoken", spoken).withColumn("_key1", sound_key_udf("_spoken"))
-    latin = F.when((F.length("_first") < F.length("_compact")) & F.contains(F.col("_compact"), F.col("_first")) | (F.col("_first") == ""), F.col("_compact")).otherwise(F.col("_first"))
+    latin = F.when(
+        (F.length("_first") < F.length("_compact")) & F.contains(F.col("_compact"), F.col("_first")) | (F.col("_first") == ""),
+        F.col("_compact"),
+    ).otherwise(F.col("_first"))
     base = base.withColumn("_latin", latin)
     base = base.withColumn("_merged", K.merge_hypotheses(F.col("_roled")))
     forms = F.array_distinct(F.filter(F.array("_compact", "_latin", "_core"), lambda x: x.isNotNull() & (x != "")))
-    off_script = (F.col("_core") != "") & (F.col("_latin") != "") & (F.col("_core") != F.col("_latin")) & ~F.col("_core").rlike(r"^[\p{IsLatin}\p{N}]*$")
+    off_script = (F.col("_core") != "") & (F.col("_latin") != "") & (
+        F.col("_core") != F.col("_latin")
+    ) & ~F.col("_core").rlike(r"^[\p{IsLatin}\p{N}]*$")
     core = F.when(off_script | (F.col("_core") == ""), F.col("_latin")).otherwise(F.col("_core"))
     keys = lambda c: F.array_distinct(F.filter(F.transform(c, lambda v: S.alnum(F.lower(v))), lambda v: v != ""))
     fields = {
@@ -81,7 +95,11 @@ def phonetic_keys(rows: DataFrame, key: str, text: str) -> DataFrame:
     without repeats; a text without any gets the sentinel (und, unencodable, _)."""
     spoken = rows.select(F.col(key).alias("id"), S.alnum(F.lower(F.col(text))).alias("t")).withColumn("k1", sound_key_udf("t"))
     pair = lambda a, k: F.struct(F.lit(a).alias("algorithm"), k.alias("key"))
-    made = F.array(pair("double_metaphone", F.col("k1")), pair("double_metaphone", S.second_sound_key(F.col("t"))), pair("nysiis", S.nysiis(F.col("t"))))
+    made = F.array(
+        pair("double_metaphone", F.col("k1")),
+        pair("double_metaphone", S.second_sound_key(F.col("t"))),
+        pair("nysiis", S.nysiis(F.col("t"))),
+    )
     real = F.array_distinct(F.filter(made, lambda p: p["key"] != ""))
     keys = F.when(F.size(real) > 0, real).otherwise(F.array(pair("unencodable", F.lit("_"))))
     return spoken.select("id", F.lit("und").alias("locale"), F.inline(keys)).withColumnRenamed("id", key)

@@ -54,7 +54,12 @@ def query_keys(queries: DataFrame) -> DataFrame:
 def key_hits(queries: DataFrame, keys: str, table: DataFrame, strategy: str) -> DataFrame:
     """Marks that share one of the query's keys; a mark comes once, with score 1."""
     asked = queries.select("query_id", F.explode(keys).alias("key")).distinct()
-    return table.join(asked, "key").select("query_id", "id").distinct().select("query_id", "id", F.lit(strategy).alias("strategy"), F.lit(1.0).alias("score"))
+    return table.join(asked, "key").select("query_id", "id").distinct().select(
+        "query_id",
+        "id",
+        F.lit(strategy).alias("strategy"),
+        F.lit(1.0).alias("score"),
+    )
 
 
 def sound_hits(queries: DataFrame, phonetic: DataFrame, strategy: str = "phonetic") -> DataFrame:
@@ -71,7 +76,12 @@ def trigram_hits(queries: DataFrame, keys: str, table: DataFrame, least: float =
     met = table.join(grams, "gram").filter((F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9))
     shared = met.groupBy("query_id", "key", "id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     similar = shared.withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).filter(F.col("score") >= least)
-    return similar.groupBy("query_id", "id").agg(F.max("score").alias("score")).select("query_id", "id", F.lit(strategy).alias("strategy"), "score")
+    return similar.groupBy("query_id", "id").agg(F.max("score").alias("score")).select(
+        "query_id",
+        "id",
+        F.lit(strategy).alias("strategy"),
+        "score",
+    )
 
 
 def trigram_containment(queries: DataFrame, keys: str, table: DataFrame, least: float = 0.15) -> DataFrame:
@@ -101,8 +111,14 @@ def reserve_core(full: DataFrame, core: DataFrame, cap: Column, fraction: float
     first = lambda hits: hits.withColumn("_p", F.row_number().over(by_score)).filter(F.col("_p") <= 2 * S.LAST_CAP)
     placed, full = first(core), first(full).drop("_p")
     places = F.least(cap, F.greatest(F.lit(1), F.floor(cap * fraction)))
-    tagged = placed.withColumn("_class", F.when(F.col("_p") <= places, 0).otherwise(2)).drop("_p").unionByName(full.withColumn("_class", F.lit(1)))
-    once = tagged.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("_class", F.col("score").desc()))).filter("_k = 1")
+    tagged = placed.withColumn(
+        "_class",
+        F.when(F.col("_p") <= places, 0).otherwise(2),
+    ).drop("_p").unionByName(full.withColumn("_class", F.lit(1)))
+    once = tagged.withColumn(
+        "_k",
+        F.row_number().over(Window.partitionBy("query_id", "id").orderBy("_class", F.col("score").desc())),
+    ).filter("_k = 1")
     order = Window.partitionBy("query_id").orderBy("_class", F.col("score").desc(), "id")
     return once.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap).drop("_n", "_k", "_class")
 
@@ -113,7 +129,14 @@ def unite(hits: DataFrame) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("rank", "strategy", "score")))
     grouped = hits.groupBy("query_id", "id").agg(items.alias("e"))
     evidence = F.transform("e", lambda x: F.struct(x["strategy"], x["rank"], x["score"]))
-    return grouped.select("query_id", "id", evidence.alias("evidence"), F.transform("e", lambda x: x["strategy"]).alias("strategies"), F.transform("e", lambda x: x["rank"]).alias("ranks"), F.get("e", F.lit(0))["rank"].alias("best_rank"))
+    return grouped.select(
+        "query_id",
+        "id",
+        evidence.alias("evidence"),
+        F.transform("e", lambda x: x["strategy"]).alias("strategies"),
+        F.transform("e", lambda x: x["rank"]).alias("ranks"),
+        F.get("e", F.lit(0))["rank"].alias("best_rank"),
+    )
 
 
 def fetch_by_ids(marks: DataFrame, ids: DataFrame) -> DataFrame:

@@ -72,7 +72,10 @@ def running_count(
     offsets = per_range.select(*group, "_range", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_offset"), whole)
     inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     null_safe = [ranged[g].eqNullSafe(offsets[g]) for g in group]
-    joined = ranged.join(offsets, [*null_safe, ranged["_range"] == offsets["_range"]]).select(ranged["*"], offsets["_offset"], offsets["_total"])
+    joined = ranged.join(
+        offsets,
+        [*null_safe, ranged["_range"] == offsets["_range"]],
+    ).select(ranged["*"], offsets["_offset"], offsets["_total"])
     counted = joined.withColumn(out, F.col("_offset") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
     if total:
         counted = counted.withColumn(total, F.col("_total"))

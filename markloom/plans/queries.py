@@ -29,7 +29,10 @@ def _latest_marks(spark: SparkSession, sf: str) -> DataFrame:
 def _name_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Scanned names and the marks that were hit, each pair once."""
     runs = table(spark, sf, "scan_run").select("scan_id", "input_text").distinct()
-    return table(spark, sf, "retrieval_hit").select("scan_id", "mark_text").distinct().join(runs, "scan_id").select(F.col("input_text").alias("a"), F.col("mark_text").alias("b")).dropna().distinct()
+    return table(spark, sf, "retrieval_hit").select("scan_id", "mark_text").distinct().join(runs, "scan_id").select(
+        F.col("input_text").alias("a"),
+        F.col("mark_text").alias("b"),
+    ).dropna().distinct()
 
 
 def _joined(column: str, by: str) -> Column:
@@ -46,7 +49,13 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 def fold_part_names(spark: SparkSession, sf: str) -> DataFrame:
     low = F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
-    return table(spark, sf, "part").select("p_partkey", S.fold_punctuation(low).alias("punctuation_folded"), S.fold_blanks(S.fold_punctuation(low)).alias("whitespace_folded"), S.fold_ascii(low).alias("ascii_folded"), S.compact(S.fold_blanks(S.fold_punctuation(low))).alias("compact"))
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        S.fold_punctuation(low).alias("punctuation_folded"),
+        S.fold_blanks(S.fold_punctuation(low)).alias("whitespace_folded"),
+        S.fold_ascii(low).alias("ascii_folded"),
+        S.compact(S.fold_blanks(S.fold_punctuation(low))).alias("compact"),
+    )
 
 
 def represent_marks(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +75,13 @@ def detect_scripts(spark: SparkSession, sf: str) -> DataFrame:
 def compact_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, REPR).select("trademark_id", "compact").distinct()
     join = lambda c: F.array_join(c, ",")
-    return rows.select("trademark_id", join(S.char_ngrams(F.col("compact"), 2)).alias("bigrams"), join(S.char_ngrams(F.col("compact"), 3)).alias("trigrams"), join(S.affixes(F.col("compact"), "prefix")).alias("prefixes"), join(S.affixes(F.col("compact"), "suffix")).alias("suffixes"))
+    return rows.select(
+        "trademark_id",
+        join(S.char_ngrams(F.col("compact"), 2)).alias("bigrams"),
+        join(S.char_ngrams(F.col("compact"), 3)).alias("trigrams"),
+        join(S.affixes(F.col("compact"), "prefix")).alias("prefixes"),
+        join(S.affixes(F.col("compact"), "suffix")).alias("suffixes"),
+    )
 
 
 def gram_similarity(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +95,12 @@ def edit_distances(spark: SparkSession, sf: str) -> DataFrame:
     m = _spread(_name_pairs(spark, sf)).withColumn("m", edit_udf("a", "b"))
     longest = F.greatest(F.length("a"), F.length("b"))
     similarity = F.when(longest > 0, 1 - F.col("m.levenshtein") / longest).otherwise(1.0)
-    return m.select("a", "b", *[F.col(f"m.{c}").cast("bigint").alias(c) for c in ("levenshtein", "damerau")], F.round(similarity, 6).alias("similarity"))
+    return m.select(
+        "a",
+        "b",
+        *[F.col(f"m.{c}").cast("bigint").alias(c) for c in ("levenshtein", "damerau")],
+        F.round(similarity, 6).alias("similarity"),
+    )
 
 
 def jaro_similarities(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +114,12 @@ def plain_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
     marks = table(spark, sf, "trademark").select("id", "mark_text").distinct()
-    return represent(marks).select("id", F.explode("r.merged_hypotheses").alias("h")).select("id", F.array_join("h.tokens", ",").alias("tokens"), "h.merged", "h.reason")
+    return represent(marks).select("id", F.explode("r.merged_hypotheses").alias("h")).select(
+        "id",
+        F.array_join("h.tokens", ",").alias("tokens"),
+        "h.merged",
+        "h.reason",
+    )
 
 
 def weighted_edits(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +139,9 @@ def transliterations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_roles(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, REPR).select(F.explode("tokens").alias("t")).select(F.lower(S.trim_blanks(F.col("t"))).alias("word")).distinct().filter("word is not null")
+    words = table(spark, sf, REPR).select(F.explode("tokens").alias("t")).select(
+        F.lower(S.trim_blanks(F.col("t"))).alias("word")
+    ).distinct().filter("word is not null")
     return words.select("word", K.role(F.col("word")).alias("role"))
 
 
@@ -122,8 +149,19 @@ def token_cores(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, REPR).select("trademark_id", "tokens").distinct().filter("tokens is not null")
     folded = F.transform("tokens", lambda t: F.struct(t.alias("raw"), S.alnum(F.lower(t)).alias("normalized")))
     roled = rows.select("trademark_id", "tokens", K.with_roles(F.filter(folded, lambda t: t["normalized"] != "")).alias("r"))
-    core = roled.select("trademark_id", "tokens", K.significant(F.col("r")).alias("sig"), K.noise(F.col("r")).alias("noise"), K.dominance(F.col("r")).alias("dom"))
-    fields = {"significant": F.col("sig"), "noise": F.col("noise"), "dominant": F.transform("dom", lambda d: d["token"]), "core_keys": K.core_keys(F.col("sig"))}
+    core = roled.select(
+        "trademark_id",
+        "tokens",
+        K.significant(F.col("r")).alias("sig"),
+        K.noise(F.col("r")).alias("noise"),
+        K.dominance(F.col("r")).alias("dom"),
+    )
+    fields = {
+        "significant": F.col("sig"),
+        "noise": F.col("noise"),
+        "dominant": F.transform("dom", lambda d: d["token"]),
+        "core_keys": K.core_keys(F.col("sig")),
+    }
     weights = F.transform("dom", lambda d: F.format_string("%.4f", d["weight"]))
     listed = [F.array_join(c, ",").alias(n) for n, c in (fields | {"weights": weights}).items()]
     return core.select("trademark_id", *listed, F.array_join("sig", "").alias("core_compact")).distinct()
@@ -132,11 +170,22 @@ def token_cores(spark: SparkSession, sf: str) -> DataFrame:
 def sound_codes(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, REPR).select(F.col("ascii_folded").alias("t")).distinct().filter("t is not null")
     t = F.col("t")
-    return rows.select("t", S.second_sound_key(t).alias("second_key"), S.nysiis(t).alias("nysiis"), S.cologne(t).alias("cologne"), S.dutch_key(t).alias("dutch"), S.consonants(F.lower(t)).alias("skeleton"), F.array_join(S.phoneme_letters(F.lower(t)), "").alias("phonemes"))
+    return rows.select(
+        "t",
+        S.second_sound_key(t).alias("second_key"),
+        S.nysiis(t).alias("nysiis"),
+        S.cologne(t).alias("cologne"),
+        S.dutch_key(t).alias("dutch"),
+        S.consonants(F.lower(t)).alias("skeleton"),
+        F.array_join(S.phoneme_letters(F.lower(t)), "").alias("phonemes"),
+    )
 
 
 def phonetic_key_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, REPR).select("trademark_id", F.coalesce(F.nullif("diacritics_folded", F.lit("")), "compact").alias("t")).distinct()
+    rows = table(spark, sf, REPR).select(
+        "trademark_id",
+        F.coalesce(F.nullif("diacritics_folded", F.lit("")), "compact").alias("t"),
+    ).distinct()
     return phonetic_keys(rows, "trademark_id", "t").distinct()
 
 
@@ -151,7 +200,10 @@ def languages(spark: SparkSession, sf: str) -> DataFrame:
 def explicit_languages(spark: SparkSession, sf: str) -> DataFrame:
     """The same where the locales that are delivered with a mark count alone."""
     marks = table(spark, sf, "trademark").select("mark_text", "source_languages").dropna(subset=["mark_text"]).distinct()
-    best = F.transform(S.language_hypotheses(F.col("mark_text"), F.col("source_languages")), lambda h: F.concat_ws(":", h["locale"], h["evidence_codes"]))
+    best = F.transform(
+        S.language_hypotheses(F.col("mark_text"), F.col("source_languages")),
+        lambda h: F.concat_ws(":", h["locale"], h["evidence_codes"]),
+    )
     return marks.select("mark_text", F.array_join("source_languages", ",", "?").alias("given"), F.array_join(best, "|").alias("hypotheses"))
 
 
@@ -160,13 +212,26 @@ def explicit_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 def status_groups(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "trademark").select("status_code").distinct()
-    return rows.select("status_code", etl.normalize_status(F.col("status_code")).alias("normalized"), etl.source_status(F.col("status_code")).alias("allowed"))
+    return rows.select(
+        "status_code",
+        etl.normalize_status(F.col("status_code")).alias("normalized"),
+        etl.source_status(F.col("status_code")).alias("allowed"),
+    )
 
 
 def _source_rows(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "trademark")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return t.select(F.col("source_record_id").alias("application_number"), F.col("mark_text").alias("mark_name"), F.col("status_code").alias("status"), "nice_classes", day("filing_date").alias("application_date"), day("registration_date").alias("registration_date"), "mapped_at", "created_at")
+    return t.select(
+        F.col("source_record_id").alias("application_number"),
+        F.col("mark_text").alias("mark_name"),
+        F.col("status_code").alias("status"),
+        "nice_classes",
+        day("filing_date").alias("application_date"),
+        day("registration_date").alias("registration_date"),
+        "mapped_at",
+        "created_at",
+    )
 
 
 def source_hashes(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,7 +241,14 @@ def source_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 def intake_marks(spark: SparkSession, sf: str) -> DataFrame:
     mapped = etl.map_rows(etl.intake(_source_rows(spark, sf))).distinct()
-    return mapped.select("id", "mark_text", "normalized_status", "is_text_searchable", F.size("goods").cast("bigint").alias("goods"), F.date_format("filing_date", "yyyy-MM-dd").alias("filing_date")).distinct()
+    return mapped.select(
+        "id",
+        "mark_text",
+        "normalized_status",
+        "is_text_searchable",
+        F.size("goods").cast("bigint").alias("goods"),
+        F.date_format("filing_date", "yyyy-MM-dd").alias("filing_date"),
+    ).distinct()
 
 
 def _deliveries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -249,25 +321,45 @@ def preprocess_marks(spark: SparkSession, sf: str) -> DataFrame:
 def _marks_with_folds(spark: SparkSession, sf: str) -> DataFrame:
     """Searchable marks with the folds stored for them, once each."""
     ok = _latest_marks(spark, sf).filter("is_text_searchable").select("id", "mark_text")
-    folds = table(spark, sf, REPR).groupBy(F.col("trademark_id").alias("id")).agg(F.max(F.struct("normalization_version", "created_at", *R.FORMS)).alias("r"))
+    folds = table(spark, sf, REPR).groupBy(F.col("trademark_id").alias("id")).agg(
+        F.max(F.struct("normalization_version", "created_at", *R.FORMS)).alias("r")
+    )
     return folds.join(ok, "id")
 
 
 def _watch_keys(spark: SparkSession, sf: str) -> DataFrame:
     key = S.alnum(F.lower("watch_text"))
-    return table(spark, sf, "watch_name").select(F.col("watch_id").alias("query_id"), F.array(key).alias("keys"), S.strategy_cap(F.length(key)).alias("cap"))
+    return table(spark, sf, "watch_name").select(
+        F.col("watch_id").alias("query_id"),
+        F.array(key).alias("keys"),
+        S.strategy_cap(F.length(key)).alias("cap"),
+    )
 
 
 def _scan_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Names as they were scanned."""
     key = S.alnum(F.lower("input_text"))
-    return table(spark, sf, "scan_run").select(F.col("scan_id").alias("query_id"), F.array(key).alias("keys"), S.strategy_cap(F.length(key)).alias("cap")).dropna().distinct()
+    return table(spark, sf, "scan_run").select(
+        F.col("scan_id").alias("query_id"),
+        F.array(key).alias("keys"),
+        S.strategy_cap(F.length(key)).alias("cap"),
+    ).dropna().distinct()
 
 
 def retrieve_exact(spark: SparkSession, sf: str) -> DataFrame:
     marks, asked = _marks_with_folds(spark, sf), _scan_keys(spark, sf)
-    hits = R.key_hits(asked, "keys", R.exact_key_table(marks), "exact_forms").join(marks.select("id", "mark_text"), "id").join(asked.select("query_id", "cap"), "query_id")
-    return R.cap_hits(hits, [F.col("mark_text"), F.col("id")], F.col("cap"), most=S.LAST_CAP).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), "pre_cap")
+    hits = R.key_hits(
+        asked,
+        "keys",
+        R.exact_key_table(marks),
+        "exact_forms",
+    ).join(marks.select("id", "mark_text"), "id").join(asked.select("query_id", "cap"), "query_id")
+    return R.cap_hits(hits, [F.col("mark_text"), F.col("id")], F.col("cap"), most=S.LAST_CAP).select(
+        "query_id",
+        "id",
+        F.col("rank").cast("bigint").alias("rank"),
+        "pre_cap",
+    )
 
 
 def retrieve_trigram(spark: SparkSession, sf: str) -> DataFrame:
@@ -291,9 +383,21 @@ def retrieve_trigram_share_all(spark: SparkSession, sf: str) -> DataFrame:
 def retrieve_phonetic(spark: SparkSession, sf: str) -> DataFrame:
     marks, asked = _marks_with_folds(spark, sf), _watch_keys(spark, sf)
     spoken = marks.select("id", F.coalesce(F.nullif(F.col("r.diacritics_folded"), F.lit("")), F.col("r.compact")).alias("t"))
-    names = phonetic_keys(asked.select("query_id", F.get("keys", F.lit(0)).alias("t")), "query_id", "t").groupBy("query_id").agg(F.collect_set("key").alias("sound_keys"))
-    hits = R.sound_hits(names, phonetic_keys(spoken, "id", "t")).join(marks.select("id", "mark_text"), "id").join(asked.select("query_id", "cap"), "query_id")
-    return R.cap_hits(hits, [F.col("mark_text"), F.col("id")], F.col("cap"), most=S.LAST_CAP).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), "pre_cap")
+    names = phonetic_keys(
+        asked.select("query_id", F.get("keys", F.lit(0)).alias("t")),
+        "query_id",
+        "t",
+    ).groupBy("query_id").agg(F.collect_set("key").alias("sound_keys"))
+    hits = R.sound_hits(names, phonetic_keys(spoken, "id", "t")).join(marks.select("id", "mark_text"), "id").join(
+        asked.select("query_id", "cap"),
+        "query_id",
+    )
+    return R.cap_hits(hits, [F.col("mark_text"), F.col("id")], F.col("cap"), most=S.LAST_CAP).select(
+        "query_id",
+        "id",
+        F.col("rank").cast("bigint").alias("rank"),
+        "pre_cap",
+    )
 
 
 def retrieve_nysiis(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,19 +408,31 @@ def retrieve_nysiis(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stored_hits(spark: SparkSession, sf: str) -> DataFrame:
-    h = table(spark, sf, "retrieval_hit").filter("trademark_id is not null and scan_id is not null and strategy is not null and score is not null and not isnan(score)")
+    h = table(spark, sf, "retrieval_hit").filter(
+        "trademark_id is not null and scan_id is not null and strategy is not null and score is not null and not isnan(score)"
+    )
     return h.groupBy(F.col("scan_id").alias("query_id"), F.col("trademark_id").alias("id"), "strategy").agg(F.max("score").alias("score"))
 
 
 def cap_strategies(spark: SparkSession, sf: str) -> DataFrame:
     capped = R.cap_hits(_stored_hits(spark, sf), [F.col("score").desc(), F.col("id")], F.lit(100))
-    return capped.groupBy("query_id", "strategy").agg(F.count(F.lit(1)).alias("kept"), F.max("pre_cap").alias("pre_cap"), F.max("cap_reached").alias("cap_reached"))
+    return capped.groupBy("query_id", "strategy").agg(
+        F.count(F.lit(1)).alias("kept"),
+        F.max("pre_cap").alias("pre_cap"),
+        F.max("cap_reached").alias("cap_reached"),
+    )
 
 
 def unite_candidates(spark: SparkSession, sf: str) -> DataFrame:
     capped = R.cap_hits(_stored_hits(spark, sf), [F.col("score").desc(), F.col("id")], F.lit(100))
     u = R.unite(capped.select("query_id", "id", "strategy", "score", "rank"))
-    return u.select("query_id", "id", F.size("evidence").cast("bigint").alias("evidence"), F.array_join("strategies", ",").alias("strategies"), F.col("best_rank").cast("bigint").alias("best_rank"))
+    return u.select(
+        "query_id",
+        "id",
+        F.size("evidence").cast("bigint").alias("evidence"),
+        F.array_join("strategies", ",").alias("strategies"),
+        F.col("best_rank").cast("bigint").alias("best_rank"),
+    )
 
 
 def reserve_core_places(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,13 +460,26 @@ def names_of_input(spark: SparkSession, sf: str) -> DataFrame:
 
 def _class_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each mark's classes as first and as last delivered."""
-    t = table(spark, sf, "trademark").groupBy("id").agg(F.min(F.struct("mapped_at", "created_at", "source_hash", "nice_classes")).alias("f"), F.max(F.struct("mapped_at", "created_at", "source_hash", "nice_classes")).alias("l"))
-    return t.select("id", F.coalesce("f.nice_classes", F.array().cast("array<int>")).alias("a"), F.coalesce("l.nice_classes", F.array().cast("array<int>")).alias("b"))
+    t = table(spark, sf, "trademark").groupBy("id").agg(
+        F.min(F.struct("mapped_at", "created_at", "source_hash", "nice_classes")).alias("f"),
+        F.max(F.struct("mapped_at", "created_at", "source_hash", "nice_classes")).alias("l"),
+    )
+    return t.select(
+        "id",
+        F.coalesce("f.nice_classes", F.array().cast("array<int>")).alias("a"),
+        F.coalesce("l.nice_classes", F.array().cast("array<int>")).alias("b"),
+    )
 
 
 def class_relations(spark: SparkSession, sf: str) -> DataFrame:
     g = with_goods(_class_pairs(spark, sf), "a", "b")
-    return g.select("id", F.round("goods.class_overlap", 6).alias("class_overlap"), F.round("goods.related_signal", 6).alias("related"), "goods.relationship", "goods.confidence")
+    return g.select(
+        "id",
+        F.round("goods.class_overlap", 6).alias("class_overlap"),
+        F.round("goods.related_signal", 6).alias("related"),
+        "goods.relationship",
+        "goods.confidence",
+    )
 
 
 #: Features of a pair under the names they have in a flat row.
@@ -391,7 +520,11 @@ def goods_relations(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("text"))
     texts = F.when(F.col("p_partkey") % 7 > 0, F.array(F.col("text"), F.lit(" - "), F.lit("Cafés & more")))
     own = part.select("p_partkey", F.array("p_size", F.lit(35)).alias("c"), texts.alias("t"))
-    next_ = own.select((F.col("p_partkey") - F.when(F.col("p_partkey") % 5 == 0, 0).otherwise(1)).alias("p_partkey"), F.col("c").alias("d"), F.col("t").alias("u"))
+    next_ = own.select(
+        (F.col("p_partkey") - F.when(F.col("p_partkey") % 5 == 0, 0).otherwise(1)).alias("p_partkey"),
+        F.col("c").alias("d"),
+        F.col("t").alias("u"),
+    )
     pairs = own.join(next_, "p_partkey").withColumn("d", F.when(F.col("p_partkey") % 3 > 0, F.col("d")))
     g = with_goods(pairs.dropDuplicates(["p_partkey", "u", "d"]), "c", "d", "t", "u")
     rounded = [F.round(f"goods.{n}", 6).alias(n) for n in ("class_overlap", "related_signal", "concrete_similarity", "coverage")]
@@ -402,9 +535,27 @@ def _stored_features(spark: SparkSession, sf: str) -> DataFrame:
     """Stored candidate scores as a feature vector; what isn't stored is unknown."""
     c = table(spark, sf, "scan_candidate").dropna(subset=["scan_id", "trademark_id"]).distinct()
     unknown = F.lit(None).cast("double")
-    sound = F.when(F.col("feature_version") == "features-1", F.col("phonetic.pronunciation_similarity")).otherwise(F.col("phonetic.pronunciation_similarity") / 100)
-    known = {"orthographic.jaroWinklerSimilarity": F.col("orthographic.jaro_winkler_similarity"), "orthographic.levenshteinSimilarity": F.col("strongest_retrieval_score"), "orthographic.trigramDice": F.col("orthographic.trigram_dice"), "token.significantOverlap": F.col("token_family.significant_overlap"), "token.tokenJaccard": F.col("token_family.significant_overlap"), "token.sharedRareTokenCount": F.col("token_family.shared_rare_token_count"), "phonetic.pronunciationSimilarity": sound}
-    names = {"exact": "normalizedMatch compactMatch caseFoldedMatch transliterationMatch", "orthographic": "levenshteinSimilarity damerauLevenshteinSimilarity jaroSimilarity jaroWinklerSimilarity weightedEditSimilarity trigramDice lcsSimilarity", "token": "dominantTokenOverlap tokenJaccard sharedRareTokenCount prefixOverlap suffixOverlap significantOverlap noiseOnlyOverlap coreCompactMatch coreEmpty secondarySignificantOverlap", "phonetic": "primaryKeyMatch secondaryKeyMatch pronunciationSimilarity skeletonMatch", "conceptual": "lexiconOverlap translationProximity descriptiveOverlap", "goodsServices": "niceClassOverlap conceptOverlap"}
+    sound = F.when(
+        F.col("feature_version") == "features-1",
+        F.col("phonetic.pronunciation_similarity"),
+    ).otherwise(F.col("phonetic.pronunciation_similarity") / 100)
+    known = {
+        "orthographic.jaroWinklerSimilarity": F.col("orthographic.jaro_winkler_similarity"),
+        "orthographic.levenshteinSimilarity": F.col("strongest_retrieval_score"),
+        "orthographic.trigramDice": F.col("orthographic.trigram_dice"),
+        "token.significantOverlap": F.col("token_family.significant_overlap"),
+        "token.tokenJaccard": F.col("token_family.significant_overlap"),
+        "token.sharedRareTokenCount": F.col("token_family.shared_rare_token_count"),
+        "phonetic.pronunciationSimilarity": sound,
+    }
+    names = {
+        "exact": "normalizedMatch compactMatch caseFoldedMatch transliterationMatch",
+        "orthographic": "levenshteinSimilarity damerauLevenshteinSimilarity jaroSimilarity jaroWinklerSimilarity weightedEditSimilarity trigramDice lcsSimilarity",
+        "token": "dominantTokenOverlap tokenJaccard sharedRareTokenCount prefixOverlap suffixOverlap significantOverlap noiseOnlyOverlap coreCompactMatch coreEmpty secondarySignificantOverlap",
+        "phonetic": "primaryKeyMatch secondaryKeyMatch pronunciationSimilarity skeletonMatch",
+        "conceptual": "lexiconOverlap translationProximity descriptiveOverlap",
+        "goodsServices": "niceClassOverlap conceptOverlap",
+    }
     flat = {f"_f_{fam}_{n}": known.get(f"{fam}.{n}", unknown) for fam, ns in names.items() for n in ns.split()}
     parts = {fam: [F.col(f"_f_{fam}_{n}").alias(n) for n in ns.split()] for fam, ns in names.items()}
     parts["goodsServices"].append(F.lit("unknown").alias("coverage"))
@@ -413,7 +564,14 @@ def _stored_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_scores(spark: SparkSession, sf: str) -> DataFrame:
     s = with_score(_stored_features(spark, sf))
-    return s.select("scan_id", "trademark_id", "created_at", F.col("score.score").alias("score"), F.col("score.risk_band").alias("risk_band"), F.col("score.confidence").alias("confidence")).drop("created_at").distinct()
+    return s.select(
+        "scan_id",
+        "trademark_id",
+        "created_at",
+        F.col("score.score").alias("score"),
+        F.col("score.risk_band").alias("risk_band"),
+        F.col("score.confidence").alias("confidence"),
+    ).drop("created_at").distinct()
 
 
 def prune_stored(spark: SparkSession, sf: str) -> DataFrame:
@@ -423,7 +581,10 @@ def prune_stored(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "scan_run").groupBy("scan_id").agg(F.max(length("input_text")).alias("proposed"))
     marks = _latest_marks(spark, sf).select(F.col("id").alias("trademark_id"), length("mark_text").alias("candidate"))
     latin = F.coalesce(F.max((F.col("strategy") == "transliteration") & (F.col("score") >= 1)), F.lit(False))
-    hits = table(spark, sf, "retrieval_hit").groupBy("scan_id", "trademark_id").agg(F.array_sort(F.collect_set("strategy")).alias("hit_by"), latin.alias("latin"))
+    hits = table(spark, sf, "retrieval_hit").groupBy("scan_id", "trademark_id").agg(
+        F.array_sort(F.collect_set("strategy")).alias("hit_by"),
+        latin.alias("latin"),
+    )
     both = c.join(names, "scan_id", "left").join(marks, "trademark_id", "left").join(hits, ["scan_id", "trademark_id"], "left")
     z = lambda n: F.coalesce(F.col(n), F.lit(0.0))
     near, dice, shared = z("orthographic.jaro_winkler_similarity"), z("orthographic.trigram_dice"), z("token_family.significant_overlap")
@@ -441,7 +602,15 @@ def prune_stored(spark: SparkSession, sf: str) -> DataFrame:
     families = F.coalesce("hit_by", F.array().cast("array<string>"))
     x = F.struct(*[v.alias(n) for n, v in cheap.items()])
     lengths = [F.coalesce(n, F.lit(0)) for n in ("proposed", "candidate")]
-    d = both.select("scan_id", "trademark_id", "created_at", x.alias("x"), families.alias("f"), lengths[0].alias("p"), lengths[1].alias("q"))
+    d = both.select(
+        "scan_id",
+        "trademark_id",
+        "created_at",
+        x.alias("x"),
+        families.alias("f"),
+        lengths[0].alias("p"),
+        lengths[1].alias("q"),
+    )
     d = d.withColumn("d", prune(F.col("x"), F.col("f"), F.col("p"), F.col("q")))
     return d.select("scan_id", "trademark_id", "d.decision", "d.rule", _joined("d.reasons", ",").alias("reasons")).distinct()
 
@@ -450,25 +619,52 @@ def prune_stored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rankable(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "scan_candidate").dropna(subset=["scan_id", "trademark_id"]).groupBy("scan_id", "trademark_id").agg(F.max(F.struct("created_at", "strongest_retrieval_score", "retrieval_strategy_count", "decision")).alias("m"))
-    marks = _latest_marks(spark, sf).select(F.col("id"), "mark_text", "normalized_status", F.date_format("filing_date", "yyyy-MM-dd").alias("priority_date"))
+    c = table(spark, sf, "scan_candidate").dropna(subset=["scan_id", "trademark_id"]).groupBy("scan_id", "trademark_id").agg(
+        F.max(F.struct("created_at", "strongest_retrieval_score", "retrieval_strategy_count", "decision")).alias("m")
+    )
+    marks = _latest_marks(spark, sf).select(
+        F.col("id"),
+        "mark_text",
+        "normalized_status",
+        F.date_format("filing_date", "yyyy-MM-dd").alias("priority_date"),
+    )
     level = F.when(F.col("m.decision") == "promote", "high").when(F.col("m.decision") == "keep", "medium").otherwise("low")
-    rows = c.select("scan_id", F.col("trademark_id").alias("id"), F.round(F.coalesce("m.strongest_retrieval_score", F.lit(0.0)) * 100, 2).alias("score"), level.alias("confidence"), F.coalesce("m.retrieval_strategy_count", F.lit(0)).alias("channel_count"))
+    rows = c.select(
+        "scan_id",
+        F.col("trademark_id").alias("id"),
+        F.round(F.coalesce("m.strongest_retrieval_score", F.lit(0.0)) * 100, 2).alias("score"),
+        level.alias("confidence"),
+        F.coalesce("m.retrieval_strategy_count", F.lit(0)).alias("channel_count"),
+    )
     return rows.join(marks, "id").withColumn("active_right", F.coalesce(F.col("normalized_status") == "registered", F.lit(False)))
 
 
 def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return rank_results(_rankable(spark, sf), ["scan_id"], spread=True).select("scan_id", "id", F.col("position").cast("bigint").alias("position"))
+    return rank_results(_rankable(spark, sf), ["scan_id"], spread=True).select(
+        "scan_id",
+        "id",
+        F.col("position").cast("bigint").alias("position"),
+    )
 
 
 def group_families(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rankable(spark, sf).withColumn("family", family_key(S.alnum(F.lower("mark_text")), F.lit(None).cast("string"), F.col("id")))
-    return families(rows, ["scan_id"], spread=True).select("scan_id", "id", "member_count", F.col("position").cast("bigint").alias("position"))
+    return families(rows, ["scan_id"], spread=True).select(
+        "scan_id",
+        "id",
+        "member_count",
+        F.col("position").cast("bigint").alias("position"),
+    )
 
 
 def scan_recall(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = _rankable(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.col("score").desc(), "id"))).withColumnRenamed("scan_id", "query_id")
-    want = table(spark, sf, "scan_candidate").filter("decision = 'promote' and scan_id is not null and trademark_id is not null").select(F.col("scan_id").alias("query_id"), F.col("trademark_id").alias("id"))
+    ranked = _rankable(spark, sf).withColumn(
+        "rank",
+        F.row_number().over(Window.partitionBy("scan_id").orderBy(F.col("score").desc(), "id")),
+    ).withColumnRenamed("scan_id", "query_id")
+    want = table(spark, sf, "scan_candidate").filter(
+        "decision = 'promote' and scan_id is not null and trademark_id is not null"
+    ).select(F.col("scan_id").alias("query_id"), F.col("trademark_id").alias("id"))
     return evaluate.recall_at(ranked, want, 10).select("query_id", F.round("recall", 6).alias("recall"))
 
 
@@ -481,7 +677,11 @@ def critical_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_durations(spark: SparkSession, sf: str) -> DataFrame:
-    runs = table(spark, sf, "scan_run").distinct().select("engine_version", "status", (F.unix_micros("completed_at") - F.unix_micros("started_at")).alias("us"))
+    runs = table(spark, sf, "scan_run").distinct().select(
+        "engine_version",
+        "status",
+        (F.unix_micros("completed_at") - F.unix_micros("started_at")).alias("us"),
+    )
     done = evaluate.nearest_rank(runs, ["engine_version", "status"], "us", {"p50": 0.5, "p95": 0.95})
     return done.select("engine_version", "status", "n", F.round("mean", 1).alias("mean"), "p50", "p95", "least", "greatest")
 
@@ -497,7 +697,9 @@ def scan_progress(spark: SparkSession, sf: str) -> DataFrame:
     names = {"retrieved": "union", "pruned": "pruning", "compared": "comparison", "scored": "scoring"}
     c = table(spark, sf, "scan_candidate").dropna(subset=["scan_id"]).select("scan_id", "current_stage").distinct()
     ended = F.max(F.col("status") == "completed")
-    took = F.max(F.unix_micros(F.coalesce("completed_at", F.col("started_at") + F.expr("interval 5 seconds"))) - F.unix_micros("started_at")) / 1000
+    took = F.max(
+        F.unix_micros(F.coalesce("completed_at", F.col("started_at") + F.expr("interval 5 seconds"))) - F.unix_micros("started_at")
+    ) / 1000
     runs = table(spark, sf, "scan_run").groupBy("scan_id").agg(ended.alias("ended"), took.alias("elapsed_ms"))
     order = F.coalesce(*[F.when(F.col("current_stage") == k, i) for i, k in enumerate(names)], F.lit(-1))
     stage = F.coalesce(*[F.when(F.col("current_stage") == k, v) for k, v in names.items()])
@@ -512,16 +714,37 @@ def scan_progress(spark: SparkSession, sf: str) -> DataFrame:
 def newest_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """The last finished snapshot for each run mode, or the live counts where there is none."""
     runs = table(spark, sf, "preprocessing_run").distinct().filter(F.lower(S.trim_blanks(F.col("status"))) == "completed")
-    modes = table(spark, sf, "preprocessing_run").select("run_mode").distinct().unionByName(spark.createDataFrame([("never",)], "run_mode string"))
-    snapshots = runs.select("run_mode", F.col("completed_at").alias("at"), "id", F.col("processed").cast("bigint").alias("marks"), F.col("succeeded").cast("bigint").alias("represented"))
+    modes = table(spark, sf, "preprocessing_run").select("run_mode").distinct().unionByName(
+        spark.createDataFrame([("never",)], "run_mode string")
+    )
+    snapshots = runs.select(
+        "run_mode",
+        F.col("completed_at").alias("at"),
+        "id",
+        F.col("processed").cast("bigint").alias("marks"),
+        F.col("succeeded").cast("bigint").alias("represented"),
+    )
     live = corpus_counts(spark, sf).select("marks", "represented")
     return evaluate.newest_or_live(modes, snapshots, "run_mode", ["at", "id"], live)
 
 
 def candidate_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """What is handed out of each scan, with evidence from the stored scores."""
-    newest = F.max(F.struct("created_at", "strongest_retrieval_score", "retrieval_strategy_count", "decision", "orthographic", "token_family", "phonetic"))
-    c = table(spark, sf, "scan_candidate").dropna(subset=["scan_id", "trademark_id"]).groupBy("scan_id", F.col("trademark_id").alias("id")).agg(newest.alias("m"))
+    newest = F.max(
+        F.struct(
+            "created_at",
+            "strongest_retrieval_score",
+            "retrieval_strategy_count",
+            "decision",
+            "orthographic",
+            "token_family",
+            "phonetic",
+        )
+    )
+    c = table(spark, sf, "scan_candidate").dropna(subset=["scan_id", "trademark_id"]).groupBy(
+        "scan_id",
+        F.col("trademark_id").alias("id"),
+    ).agg(newest.alias("m"))
     tests = {
         "exact_compact": F.col("m.orthographic.jaro_winkler_similarity") >= 1,
         "orthographic_high": F.col("m.orthographic.jaro_winkler_similarity") >= 0.85,
@@ -552,10 +775,19 @@ def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
         F.col("trademark_id").alias("markText"), F.lit(61.5).alias("engineScore"), F.lit("middel").alias("riskLevel"), F.repeat(F.lit("lang "), 60).alias("summary"),
         F.struct(*[part.alias(d) for d in advice.DIMENSIONS]).alias("dimensions"), F.lit("kans").alias("confusionRisk"), F.lit("dichtbij").alias("whySelected"),
     )
-    risks = few.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("n", risk.alias("r")))).alias("l"), F.collect_list("trademark_id").alias("known"))
-    whole = F.struct(F.struct(F.lit("Zie onder.").alias("text"), F.lit("nader_onderzoek").alias("aanbeveling")).alias("overallAdvice"), F.transform("l", lambda x: x["r"]).alias("topRisks"))
+    risks = few.groupBy("scan_id").agg(
+        F.array_sort(F.collect_list(F.struct("n", risk.alias("r")))).alias("l"),
+        F.collect_list("trademark_id").alias("known"),
+    )
+    whole = F.struct(
+        F.struct(F.lit("Zie onder.").alias("text"), F.lit("nader_onderzoek").alias("aanbeveling")).alias("overallAdvice"),
+        F.transform("l", lambda x: x["r"]).alias("topRisks"),
+    )
     json = F.to_json(whole)
-    raw = F.when(kind == 1, F.concat(F.lit("Hier:\n```json\n"), json, F.lit("\n```\n"))).when(kind == 2, "geen antwoord").when(kind == 3, F.concat(F.left(json, F.lit(200)), F.lit("}"))).otherwise(json)
+    raw = F.when(
+        kind == 1,
+        F.concat(F.lit("Hier:\n```json\n"), json, F.lit("\n```\n")),
+    ).when(kind == 2, "geen antwoord").when(kind == 3, F.concat(F.left(json, F.lit(200)), F.lit("}"))).otherwise(json)
     got = advice.parse_replies(risks.select("scan_id", "known", raw.alias("raw")), "raw", "known", 2)
     kept = _joined("advice.topRisks.candidateId", ",").alias("kept")
     length = F.length(F.get("advice.topRisks", F.lit(0))["summary"])
@@ -567,17 +799,42 @@ def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scan_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    corpus = _latest_marks(spark, sf).filter("is_text_searchable").select("id", "mark_text", F.coalesce("nice_classes", F.array().cast("array<int>")).alias("nice_classes"), F.col("normalized_status").alias("status"), F.lit(None).cast("string").alias("owner"), F.date_format("filing_date", "yyyy-MM-dd").alias("priority_date"))
-    names = table(spark, sf, "watch_name").select(F.col("watch_id").alias("query_id"), F.col("watch_text").alias("mark_text"), F.array().cast("array<int>").alias("nice_classes")).distinct()
+    corpus = _latest_marks(spark, sf).filter("is_text_searchable").select(
+        "id",
+        "mark_text",
+        F.coalesce("nice_classes", F.array().cast("array<int>")).alias("nice_classes"),
+        F.col("normalized_status").alias("status"),
+        F.lit(None).cast("string").alias("owner"),
+        F.date_format("filing_date", "yyyy-MM-dd").alias("priority_date"),
+    )
+    names = table(spark, sf, "watch_name").select(
+        F.col("watch_id").alias("query_id"),
+        F.col("watch_text").alias("mark_text"),
+        F.array().cast("array<int>").alias("nice_classes"),
+    ).distinct()
     return names, corpus
 
 
-SCAN_COLUMNS = ("query_id", "id", "mark_text", "score", "risk_band", "confidence", "strategies", "evidence_codes", "explanations", "member_count", "position")
+SCAN_COLUMNS = (
+    "query_id",
+    "id",
+    "mark_text",
+    "score",
+    "risk_band",
+    "confidence",
+    "strategies",
+    "evidence_codes",
+    "explanations",
+    "member_count",
+    "position",
+)
 
 
 def _results(found: DataFrame) -> DataFrame:
     lists = {"strategies": ",", "evidence_codes": ",", "explanations": "|"}
-    return found.select(*[_joined(c, lists[c]).alias(c) if c in lists else F.col(c) for c in SCAN_COLUMNS]).withColumn("position", F.col("position").cast("bigint"))
+    return found.select(
+        *[_joined(c, lists[c]).alias(c) if c in lists else F.col(c) for c in SCAN_COLUMNS]
+    ).withColumn("position", F.col("position").cast("bigint"))
 
 
 def scan_channels(spark: SparkSession, sf: str) -> DataFrame:
@@ -607,12 +864,6 @@ def scan_key_recall(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("recall", F.coalesce(F.try_divide("found", "results"), F.lit(1.0)))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (
-        fold_part_names, represent_marks, detect_scripts, compact_ngrams, gram_similarity, edit_distances, jaro_similarities, plain_scores, token_hypotheses, weighted_edits, weighted_edit_traces, transliterations, token_roles, token_cores, sound_codes, phonetic_key_rows, languages, explicit_languages,
-        status_groups, source_hashes, intake_marks, delivery_actions, register_after_upsert, intake_log, representation_store, sound_key_backfill, newest_statistics, purge_statuses, marks_to_preprocess, preprocess_marks,
-        retrieve_exact, retrieve_trigram, retrieve_trigram_share, retrieve_trigram_share_all, retrieve_phonetic, retrieve_nysiis, cap_strategies, unite_candidates, reserve_core_places, fetch_hits, corpus_ready, names_of_input,
-        class_relations, goods_relations, pair_features, stored_scores, prune_stored, rank_candidates, group_families, scan_recall, scan_durations, corpus_counts, scan_progress, candidate_payloads, parsed_replies, scan_channels, scan_all_rows, scan_by_keys, scan_by_index, scan_key_recall, critical_recall,
-    )
-}
+
+#: Every function above that isn't a helper.
+QUERIES = {n: f for n, f in list(globals().items()) if not n.startswith("_") and getattr(f, "__module__", "") == __name__}

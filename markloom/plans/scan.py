@@ -36,7 +36,10 @@ def split_names(text: Column) -> Column:
     """Names of a comma-separated text: trimmed, first spelling of each kept, ten at most."""
     named = F.filter(F.transform(F.split(text, ","), trim_blanks), lambda x: x != "")
     low = F.transform(named, F.lower)
-    firsts = F.filter(F.transform(named, lambda x, i: F.struct(x.alias("x"), (F.array_position(low, F.lower(x)) == i + 1).alias("f"))), lambda s: s["f"])
+    firsts = F.filter(
+        F.transform(named, lambda x, i: F.struct(x.alias("x"), (F.array_position(low, F.lower(x)) == i + 1).alias("f"))),
+        lambda s: s["f"],
+    )
     return F.slice(F.transform(firsts, lambda s: s["x"]), 1, 10)
 
 
@@ -180,7 +183,12 @@ def assess(united: DataFrame, queries: DataFrame, corpus: DataFrame, with_contex
 
     ``queries`` has nice_classes, ``corpus`` id, mark_text, nice_classes, status and owner.
     """
-    q = queries.select("query_id", F.col("mark_text").alias("proposed"), F.col("nice_classes").alias("proposed_classes"), F.col("r").alias("p"))
+    q = queries.select(
+        "query_id",
+        F.col("mark_text").alias("proposed"),
+        F.col("nice_classes").alias("proposed_classes"),
+        F.col("r").alias("p"),
+    )
     c = corpus.select("id", "mark_text", "nice_classes", "status", "owner", "priority_date", F.col("r").alias("c"))
     pairs = united.join(q, "query_id").join(c, "id")
     context = ("strategies", "ranks") if with_context else (None, None)
@@ -229,13 +237,18 @@ def keyed_scan(names: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def index(marks: DataFrame) -> dict[str, DataFrame]:
     """Key tables of represented marks."""
-    spoken = marks.select("id", F.when(F.col("r.diacritics_folded") != "", F.col("r.diacritics_folded")).otherwise(F.col("r.compact")).alias("t"))
+    spoken = marks.select(
+        "id",
+        F.when(F.col("r.diacritics_folded") != "", F.col("r.diacritics_folded")).otherwise(F.col("r.compact")).alias("t"),
+    )
     return {"exact": R.exact_key_table(marks), "trigram": R.trigram_table(marks), "phonetic": phonetic_keys(spoken, "id", "t")}
 
 
 def with_sound_keys(queries: DataFrame) -> DataFrame:
     spoken = queries.select("query_id", F.explode("spoken").alias("t"))
-    keys = phonetic_keys(spoken, "query_id", "t").filter("algorithm <> 'unencodable'").groupBy("query_id").agg(F.collect_set("key").alias("sound_keys"))
+    keys = phonetic_keys(spoken, "query_id", "t").filter("algorithm <> 'unencodable'").groupBy("query_id").agg(
+        F.collect_set("key").alias("sound_keys")
+    )
     return queries.join(keys, "query_id", "left").withColumn("sound_keys", F.coalesce("sound_keys", F.array().cast("array<string>")))
 
 
@@ -243,12 +256,24 @@ def index_hits(queries: DataFrame, marks: DataFrame, keys: dict[str, DataFrame],
     """Capped hits of all strategies through the key tables, with rank."""
     caps = queries.select("query_id", "cap")
     named = marks.select("id", "mark_text")
-    exact = R.key_hits(queries, "exact_keys", keys["exact"], "exact_forms").unionByName(R.key_hits(queries, "translit_keys", keys["exact"], "transliteration"))
+    exact = R.key_hits(queries, "exact_keys", keys["exact"], "exact_forms").unionByName(
+        R.key_hits(queries, "translit_keys", keys["exact"], "transliteration")
+    )
     equal = exact.unionByName(R.sound_hits(queries, keys["phonetic"])).join(named, "id").join(caps, "query_id")
-    equal = R.cap_hits(equal, [F.col("mark_text"), F.col("id")], F.col("cap"), most=LAST_CAP).select("query_id", "id", "strategy", "score", "rank")
+    equal = R.cap_hits(
+        equal,
+        [F.col("mark_text"), F.col("id")],
+        F.col("cap"),
+        most=LAST_CAP,
+    ).select("query_id", "id", "strategy", "score", "rank")
     full, core = (R.trigram_hits(queries, k, keys["trigram"], least).join(caps, "query_id") for k in ("full_grams", "core_grams"))
     similar = R.reserve_core(full, core, F.col("cap"))
-    similar = R.cap_hits(similar, [F.col("score").desc(), F.col("id")], F.col("cap"), most=LAST_CAP).select("query_id", "id", "strategy", "score", "rank")
+    similar = R.cap_hits(
+        similar,
+        [F.col("score").desc(), F.col("id")],
+        F.col("cap"),
+        most=LAST_CAP,
+    ).select("query_id", "id", "strategy", "score", "rank")
     return equal.unionByName(similar)
 
 

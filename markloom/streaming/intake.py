@@ -46,4 +46,7 @@ def stream_changes(
 def hits_per_window(hits: DataFrame, at: str = "retrieved_at", late: str = "1 hour", width: str = "10 minutes") -> DataFrame:
     """Hits and mean score by strategy and window of time; rows later than ``late`` are left out."""
     timed = hits.withWatermark(at, late).groupBy(F.window(at, width), "strategy")
-    return timed.agg(F.count(F.lit(1)).alias("hits"), F.avg(F.when(~F.isnan("score"), F.col("score"))).alias("mean_score")).select(F.col("window.start").alias("start"), "strategy", "hits", "mean_score")
+    return timed.agg(
+        F.count(F.lit(1)).alias("hits"),
+        F.avg(F.when(~F.isnan("score"), F.col("score"))).alias("mean_score"),
+    ).select(F.col("window.start").alias("start"), "strategy", "hits", "mean_score")

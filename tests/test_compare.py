@@ -52,7 +52,10 @@ def test_goods_blend(spark):
 
 def pair(spark, a, b, **cols):
     d = spark.createDataFrame([(a, b)], "ta string, tb string")
-    d = represent(represent(d.withColumnRenamed("ta", "mark_text")).withColumnRenamed("mark_text", "ta").withColumnRenamed("r", "p"), "tb").withColumnRenamed("r", "c")
+    d = represent(
+        represent(d.withColumnRenamed("ta", "mark_text")).withColumnRenamed("mark_text", "ta").withColumnRenamed("r", "p"),
+        "tb",
+    ).withColumnRenamed("r", "c")
     return with_score(with_features(d)).first()
 
 
@@ -98,9 +101,21 @@ def test_goods(spark):
 
 
 def decide(spark, families=("trigram",), lengths=(6, 6), **x):
-    base = {"exactMatch": False, "phoneticKeyMatch": False, "transliterationExact": False, "missingData": False, "coreTokenHit": False, "noiseOnlyHit": False, "trigramDice": 0.5, "prefixScore": 0.5, "suffixScore": 0.5} | x
+    base = {
+        "exactMatch": False,
+        "phoneticKeyMatch": False,
+        "transliterationExact": False,
+        "missingData": False,
+        "coreTokenHit": False,
+        "noiseOnlyHit": False,
+        "trigramDice": 0.5,
+        "prefixScore": 0.5,
+        "suffixScore": 0.5,
+    } | x
     cheap = F.struct(*[F.lit(v).alias(k) for k, v in base.items()])
-    return tuple(spark.range(1).select(prune(cheap, F.array(*map(F.lit, families)), F.lit(lengths[0]), F.lit(lengths[1])).alias("d")).first()["d"])
+    return tuple(
+        spark.range(1).select(prune(cheap, F.array(*map(F.lit, families)), F.lit(lengths[0]), F.lit(lengths[1])).alias("d")).first()["d"]
+    )
 
 
 def test_prune(spark):

@@ -23,12 +23,23 @@ def test_limits():
 
 
 def test_hash_ignores_class_order(spark):
-    h = [r[0] for r in src(spark, (*ROW[:3], [9, 35], *ROW[4:]), (*ROW[:3], [35, 9], *ROW[4:]), (ROW[0], "OTHER", *ROW[2:]), ("1", "ACME", "REGISTERED", [35, 9], None, None)).select(etl.row_hash()).collect()]
+    h = [
+        r[0] for r in src(
+            spark,
+            (*ROW[:3], [9, 35], *ROW[4:]),
+            (*ROW[:3], [35, 9], *ROW[4:]),
+            (ROW[0], "OTHER", *ROW[2:]),
+            ("1", "ACME", "REGISTERED", [35, 9], None, None),
+        ).select(etl.row_hash()).collect()
+    ]
     assert h[0] == h[1] != h[2] and h[3] not in h[:3] and all(len(x) == 64 and x == x.lower() for x in h)
 
 
 def test_mapping_and_coercion(spark):
-    d = spark.createDataFrame([(18, None, None, None, "bad", None)], "application_number int, mark_name string, status string, nice_classes array<int>, application_date string, registration_date string")
+    d = spark.createDataFrame(
+        [(18, None, None, None, "bad", None)],
+        "application_number int, mark_name string, status string, nice_classes array<int>, application_date string, registration_date string",
+    )
     c = etl.coerce_row(d).first()
     assert tuple(c)[:4] == ("18", "", "unknown", [])
     m = etl.map_rows(etl.coerce_row(src(spark, ROW))).first()
@@ -40,7 +51,14 @@ def test_mapping_and_coercion(spark):
 def test_statuses(spark):
     d = spark.createDataFrame([(" registered ",), ("Accepted",), ("EXPIRED",), ("SURRENDERED",), ("SUSPENDED",), (None,)], "s string")
     got = [tuple(r) for r in d.select(etl.normalize_status(F.col("s")), etl.source_status(F.col("s"))).collect()]
-    assert got == [("registered", True), ("registered", True), ("expired", False), ("cancelled", False), ("pending", False), ("unknown", False)]
+    assert got == [
+        ("registered", True),
+        ("registered", True),
+        ("expired", False),
+        ("cancelled", False),
+        ("pending", False),
+        ("unknown", False),
+    ]
 
 
 def test_upsert_twice(spark):
@@ -50,11 +68,16 @@ def test_upsert_twice(spark):
     stored = etl.upsert(rows, empty, ["id"], "source_hash")
     assert [r.action for r in etl.hash_diff(rows, stored, ["id"], "source_hash").collect()] == ["unchanged"]
     changed = rows.withColumn("source_hash", F.lit("x")).withColumn("mark_text", F.lit("NEW"))
-    assert [tuple(r) for r in etl.upsert(changed, stored, ["id"], "source_hash").select("source_hash", "mark_text").collect()] == [("x", "NEW")]
+    assert [
+        tuple(r) for r in etl.upsert(changed, stored, ["id"], "source_hash").select("source_hash", "mark_text").collect()
+    ] == [("x", "NEW")]
 
 
 def test_purge_and_preprocess(spark):
-    marks = spark.createDataFrame([("a", "LUNA", "REGISTERED", True), ("b", "ZEN", "registered", True), ("c", "", "ACCEPTED", False)], "id string, mark_text string, status_code string, is_text_searchable boolean")
+    marks = spark.createDataFrame(
+        [("a", "LUNA", "REGISTERED", True), ("b", "ZEN", "registered", True), ("c", "", "ACCEPTED", False)],
+        "id string, mark_text string, status_code string, is_text_searchable boolean",
+    )
     reps, keys = etl.preprocess(marks)
     kept = etl.purge(marks, {"reps": reps, "keys": keys})
     assert {r.id for r in kept["trademark"].collect()} == {"a", "c"} and {r.trademark_id for r in kept["reps"].collect()} == {"a", "c"}
@@ -67,9 +90,15 @@ def test_recall_and_summaries(spark):
     ranked = spark.createDataFrame([("q", "2", 1), ("q", "3", 2), ("q", "1", 3)], "query_id string, id string, rank int")
     want = spark.createDataFrame([("q", "1"), ("q", "2")], "query_id string, id string")
     assert evaluate.recall_at(ranked, want, 2).first()["recall"] == 0.5 and evaluate.recall_at(ranked, want, -1).first()["recall"] == 0
-    pairs = spark.createDataFrame([("a", "b", True), ("a", "c", True), ("a", "d", False)], "query string, candidate string, must_retrieve boolean")
+    pairs = spark.createDataFrame(
+        [("a", "b", True), ("a", "c", True), ("a", "d", False)],
+        "query string, candidate string, must_retrieve boolean",
+    )
     hit = spark.createDataFrame([("a", "b")], "query string, candidate string")
-    assert evaluate.pair_recall(pairs, hit).first()[0] == 0.5 and evaluate.pair_recall(pairs.filter("not must_retrieve"), hit).first()[0] == 1
+    assert evaluate.pair_recall(pairs, hit).first()[0] == 0.5 and evaluate.pair_recall(
+        pairs.filter("not must_retrieve"),
+        hit,
+    ).first()[0] == 1
     times = spark.createDataFrame([("k", float(v)) for v in range(1, 21)] + [("k", None)], "k string, v double")
     r = evaluate.nearest_rank(times, ["k"], "v", {"p50": 0.5, "p95": 0.95}).first()
     assert (r.n, r.mean, r.p50, r.p95, r.least, r.greatest) == (20, 10.5, 10, 19, 1, 20)
@@ -89,7 +118,10 @@ REPLY = {
 def test_replies(spark):
     text = json.dumps(REPLY)
     bad = json.dumps(REPLY | {"overallAdvice": {"text": "", "aanbeveling": "laag_risico"}})
-    d = spark.createDataFrame([(i, t, ["a", "b"]) for i, t in enumerate([text, f"Here:\n```json\n{text}\n```", "no braces", text[:-40], bad, None])], "i int, raw string, known array<string>")
+    d = spark.createDataFrame(
+        [(i, t, ["a", "b"]) for i, t in enumerate([text, f"Here:\n```json\n{text}\n```", "no braces", text[:-40], bad, None])],
+        "i int, raw string, known array<string>",
+    )
     got = {r.i: r for r in advice.parse_replies(d, "raw", "known").collect()}
     for i in (0, 1):
         a = got[i].advice

@@ -62,7 +62,10 @@ def test_parts_are_compacted(spark):
 def test_empty_table_nulls_and_clashing_names(spark):
     s = IncrementalState(spark, scratch_path(spark, "t"), KEYS)
     assert taken(s, rows(spark, [])) == []
-    odd = spark.createDataFrame([("a", "1", 5, "x"), (None, "1", 6, "y"), ("a", "1", 5, "x")], "k string, h string, _m int, state_hash string")
+    odd = spark.createDataFrame(
+        [("a", "1", 5, "x"), (None, "1", 6, "y"), ("a", "1", 5, "x")],
+        "k string, h string, _m int, state_hash string",
+    )
     one = latest(odd, ["k"], [F.col("_m")], {"h": F.col("h"), "state_hash": F.col("state_hash")})
     assert [tuple(r) for r in one.collect()] == [("a", "1", "x")]
     assert s.changes(one, "h").count() == 1
@@ -74,8 +77,21 @@ def test_content_hash_keeps_null_apart(spark):
 
 
 def test_checkpoint_forms(spark):
-    texts = ['{"mapped_at": 1767571200000}', '{"last_id":"t","mapped_at":"2026-01-05T01:00:00+01:00"}', '{"position": {"mapped_at": 1767571200000, "last_id": null}}', '{"mapped_at": ', None, "[]", '{"mapped_at": "soon"}']
-    got = [tuple(r.p) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, c string").select("i", checkpoint_position(F.col("c")).alias("p")).orderBy("i").collect()]
+    texts = [
+        '{"mapped_at": 1767571200000}',
+        '{"last_id":"t","mapped_at":"2026-01-05T01:00:00+01:00"}',
+        '{"position": {"mapped_at": 1767571200000, "last_id": null}}',
+        '{"mapped_at": ',
+        None,
+        "[]",
+        '{"mapped_at": "soon"}',
+    ]
+    got = [
+        tuple(r.p) for r in spark.createDataFrame(
+            [(i, t) for i, t in enumerate(texts)],
+            "i int, c string",
+        ).select("i", checkpoint_position(F.col("c")).alias("p")).orderBy("i").collect()
+    ]
     at = datetime(2026, 1, 5)
     assert got == [(at, None), (at, "t"), (at, None)] + [(None, None)] * 4
 
@@ -104,9 +120,25 @@ def test_due_rows_match_the_definition(spark):
 
     rng = random.Random(4)
     marks = [(f"t{rng.randrange(12):02}", rng.choice("AaBbCc"), hour(rng.randrange(20)), hour(rng.randrange(30))) for _ in range(200)]
-    runs = [(rng.choice(["completed", "failed"]), hour(rng.randrange(30)), hour(rng.randrange(20)), rng.choice([None, "t03", "t07"])) for _ in range(6)]
+    runs = [
+        (
+            rng.choice(["completed", "failed"]),
+            hour(rng.randrange(30)),
+            hour(rng.randrange(20)),
+            rng.choice([None, "t03", "t07"]),
+        ) for _ in range(6)
+    ]
     m = spark.createDataFrame(marks, "id string, source_hash string, mapped_at timestamp, created_at timestamp")
-    r = spark.createDataFrame([(f" {s.upper()} ", f'{{"mapped_at": {int(a.timestamp() * 1000)}, "last_id": {"null" if i is None else chr(34) + i + chr(34)}}}', b) for s, b, a, i in runs], "status string, checkpoint string, started_at timestamp")
+    r = spark.createDataFrame(
+        [
+            (
+                f" {s.upper()} ",
+                f'{{"mapped_at": {int(a.timestamp() * 1000)}, "last_id": {"null" if i is None else chr(34) + i + chr(34)}}}',
+                b,
+            ) for s, b, a, i in runs
+        ],
+        "status string, checkpoint string, started_at timestamp",
+    )
     got = {tuple(x) for x in due_after_runs(m, r, scratch_path(spark, "due")).collect()}
     assert got == brute(marks, runs)
     none = due_after_runs(m, r.limit(0), scratch_path(spark, "due"))

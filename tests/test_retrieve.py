@@ -27,9 +27,14 @@ def test_trigram_hits_match_brute_force(spark):
 
 
 def test_caps_and_union(spark):
-    h = spark.createDataFrame([("q", i, s, sc) for i, s, sc in [("a", "x", 3.0), ("b", "x", 2.0), ("c", "x", 1.0), ("a", "y", 1.0)]], "query_id string, id string, strategy string, score double")
+    h = spark.createDataFrame(
+        [("q", i, s, sc) for i, s, sc in [("a", "x", 3.0), ("b", "x", 2.0), ("c", "x", 1.0), ("a", "y", 1.0)]],
+        "query_id string, id string, strategy string, score double",
+    )
     capped = R.cap_hits(h, [F.col("score").desc(), F.col("id")], F.lit(2))
-    assert sorted((r.id, r.strategy, r["rank"], r.pre_cap, r.cap_reached) for r in capped.collect()) == [("a", "x", 1, 3, True), ("a", "y", 1, 1, False), ("b", "x", 2, 3, True)]
+    assert sorted(
+        (r.id, r.strategy, r["rank"], r.pre_cap, r.cap_reached) for r in capped.collect()
+    ) == [("a", "x", 1, 3, True), ("a", "y", 1, 1, False), ("b", "x", 2, 3, True)]
     u = {r.id: r for r in R.unite(capped).collect()}
     assert u["a"].strategies == ["x", "y"] and u["a"].best_rank == 1 and [e.strategy for e in u["a"].evidence] == ["x", "y"]
 

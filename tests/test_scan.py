@@ -8,9 +8,17 @@ from markloom.sources.corpus import CRITICAL_PAIRS, sample_corpus
 @pytest.fixture(scope="module")
 def inputs(spark):
     extra = [(f"x{i}", c) for i, c in enumerate(sorted({c for _, c, _, _ in CRITICAL_PAIRS}))]
-    more = spark.createDataFrame([(i, c, None, [1], "registered") for i, c in extra], "id string, mark_text string, locale_hint string, nice_classes array<int>, status string")
-    corpus = sample_corpus(spark).unionByName(more).drop("locale_hint").withColumns({"owner": F.lit(None).cast("string"), "priority_date": F.lit(None).cast("string")})
-    names = spark.createDataFrame([(q, q, [9]) for q in sorted({q for q, _, _, _ in CRITICAL_PAIRS})] + [("blank", "  ", [])], "query_id string, mark_text string, nice_classes array<int>")
+    more = spark.createDataFrame(
+        [(i, c, None, [1], "registered") for i, c in extra],
+        "id string, mark_text string, locale_hint string, nice_classes array<int>, status string",
+    )
+    corpus = sample_corpus(spark).unionByName(more).drop("locale_hint").withColumns(
+        {"owner": F.lit(None).cast("string"), "priority_date": F.lit(None).cast("string")}
+    )
+    names = spark.createDataFrame(
+        [(q, q, [9]) for q in sorted({q for q, _, _, _ in CRITICAL_PAIRS})] + [("blank", "  ", [])],
+        "query_id string, mark_text string, nice_classes array<int>",
+    )
     return names, corpus
 
 

@@ -37,7 +37,10 @@ def test_both_sides_of_a_hot_key_are_cut(spark):
 
 
 def test_running_count_spans_ranges(spark):
-    rows = spark.range(500).select(F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string")).alias("g"), F.col("id").alias("v"))
+    rows = spark.range(500).select(
+        F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string")).alias("g"),
+        F.col("id").alias("v"),
+    )
     got = running_count(rows, ["g"], [F.col("v").asc()], F.lit(1), "before", "n", buckets=7)
     for r in got.collect():
         assert (r.before, r.n) == ((r.v, 400) if r.g == "hot" else (0, 1))

@@ -4,14 +4,20 @@ from markloom.operators import etl, evaluate
 
 
 def test_newest_takes_whole_rows_and_leaves_null_keys(spark):
-    d = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("a", 2, "b"), (None, 9, "z"), ("b", None, "n")], "k string, at int, v string")
+    d = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 2, None), ("a", 2, "b"), (None, 9, "z"), ("b", None, "n")],
+        "k string, at int, v string",
+    )
     got = {r.k: (r["at"], r.v) for r in etl.newest(d, ["k"], ["at", "v"]).collect()}
     assert got == {"a": (2, "b"), "b": (None, "n")} and etl.newest(d.limit(0), ["k"], ["at"]).count() == 0
 
 
 def test_run_log_counts(spark):
     cols = "id string, source_hash string"
-    stored, current = spark.createDataFrame([("a", "1"), ("b", "1")], cols), spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], cols)
+    stored, current = spark.createDataFrame([("a", "1"), ("b", "1")], cols), spark.createDataFrame(
+        [("a", "1"), ("b", "2"), ("c", None)],
+        cols,
+    )
     got = etl.run_log("r", spark.range(9), spark.range(4), current, stored).first()
     assert tuple(got) == ("r", 9, 4, 5, 1, 1, 1)
     assert tuple(etl.run_log("r", spark.range(0), spark.range(0), current.limit(0), stored)[["read", "inserted"]].first()) == (0, 0)
@@ -20,7 +26,12 @@ def test_run_log_counts(spark):
 def test_representations_replace_and_keys_are_added_once(spark):
     reps = lambda *r: spark.createDataFrame(list(r), "trademark_id string, compact string")
     keys = lambda *r: spark.createDataFrame(list(r), "trademark_id string, locale string, algorithm string, key string")
-    after = etl.store_representations(reps(("a", "new"), ("c", "c")), reps(("a", "old"), ("b", "b")), keys(("a", "und", "x", "K"), ("a", "und", "y", "L")), keys(("a", "und", "x", "K")))
+    after = etl.store_representations(
+        reps(("a", "new"), ("c", "c")),
+        reps(("a", "old"), ("b", "b")),
+        keys(("a", "und", "x", "K"), ("a", "und", "y", "L")),
+        keys(("a", "und", "x", "K")),
+    )
     assert {tuple(r) for r in after[0].collect()} == {("a", "new"), ("c", "c"), ("b", "b")}
     assert sorted(r.algorithm for r in after[1].collect()) == ["x", "y"]
 

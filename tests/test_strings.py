@@ -8,7 +8,53 @@ from markloom.operators.represent import phonetic_keys, represent
 
 @pytest.fixture(scope="module")
 def marks(spark):
-    texts = ["ZEN-ZO", "ZEN ZO", "ZENZO", "CAFÉ", "Weißbier", "œuf", "ØÆ", "Đaković", "ﬁle", "ﬀ", "㎾h", "QUORIX SpA", "NEXORA Inc.", "ZORVEX BV", "BANCO", "VISA", "ФЛОКС", "ΑΛΦΑ", "", "ZORVEX DRINKS", "ZORVEX 365", "PREMIUM ORIGINAL BEVERAGES", "ZORVEXDRINKS", "ZOR-VEX Soft", "KI STELLARIS", "VAN LUMINA", "VON DER LUMINA", "AB LUMINARA", "LUMINA―SOLARA", "LUMINA·SOLARA", "SOFT_ZORVEX", "ZORVEX＋DRINKS", "INTERNATIONAL BUSINESS", "THE BRAND", "ZORVEC Partners", "ZORVEX Trading Company", "LUNA", "Zén", "well-being", "R2-D2", "ZKAN", "SCAN", "Zén-Zo", "漢字", "SHOP"]
+    texts = [
+        "ZEN-ZO",
+        "ZEN ZO",
+        "ZENZO",
+        "CAFÉ",
+        "Weißbier",
+        "œuf",
+        "ØÆ",
+        "Đaković",
+        "ﬁle",
+        "ﬀ",
+        "㎾h",
+        "QUORIX SpA",
+        "NEXORA Inc.",
+        "ZORVEX BV",
+        "BANCO",
+        "VISA",
+        "ФЛОКС",
+        "ΑΛΦΑ",
+        "",
+        "ZORVEX DRINKS",
+        "ZORVEX 365",
+        "PREMIUM ORIGINAL BEVERAGES",
+        "ZORVEXDRINKS",
+        "ZOR-VEX Soft",
+        "KI STELLARIS",
+        "VAN LUMINA",
+        "VON DER LUMINA",
+        "AB LUMINARA",
+        "LUMINA―SOLARA",
+        "LUMINA·SOLARA",
+        "SOFT_ZORVEX",
+        "ZORVEX＋DRINKS",
+        "INTERNATIONAL BUSINESS",
+        "THE BRAND",
+        "ZORVEC Partners",
+        "ZORVEX Trading Company",
+        "LUNA",
+        "Zén",
+        "well-being",
+        "R2-D2",
+        "ZKAN",
+        "SCAN",
+        "Zén-Zo",
+        "漢字",
+        "SHOP",
+    ]
     d = spark.createDataFrame([(t,) for t in texts], "mark_text string")
     return {r.mark_text: r.r for r in represent(d).collect()}
 
@@ -64,7 +110,11 @@ def test_null_text(spark):
 
 def test_ngrams_and_affixes(spark):
     d = spark.createDataFrame([("abcde",), ("ab",), ("",), (None,)], "t string")
-    got = d.select(S.char_ngrams(F.col("t"), 3).alias("g"), S.affixes(F.col("t"), "prefix").alias("p"), S.affixes(F.col("t"), "suffix").alias("s")).collect()
+    got = d.select(
+        S.char_ngrams(F.col("t"), 3).alias("g"),
+        S.affixes(F.col("t"), "prefix").alias("p"),
+        S.affixes(F.col("t"), "suffix").alias("s"),
+    ).collect()
     assert got[0].g == ["abc", "bcd", "cde"] and got[1].g == [] and got[2].g == []
     assert got[0].p == ["ab", "abc", "abcd"] and got[0].s == ["de", "cde", "bcde"] and got[1].p == ["ab"]
     with pytest.raises(ValueError, match="positive"):
@@ -94,10 +144,22 @@ def test_languages(spark):
     assert one("dijk van zo")[0][0] == "nl" and len(one("dijk van zo")[0][2]) == 3
     assert one("флокс") == [("und-x-phonetic", 0.55, ["SCRIPT_CYRL"])]
     assert one("123") == [("und", 0.25, ["FALLBACK_UNKNOWN"])]
-    given = spark.createDataFrame([("dijk", ["fr", "de", "fr"])], "t string, l array<string>").select(S.language_hypotheses(F.col("t"), F.col("l"))).first()[0]
+    given = spark.createDataFrame(
+        [("dijk", ["fr", "de", "fr"])],
+        "t string, l array<string>",
+    ).select(S.language_hypotheses(F.col("t"), F.col("l"))).first()[0]
     assert [(h.locale, h.probability) for h in given] == [("fr", 0.95), ("de", 0.95)]
 
 
 def test_roles(spark):
     d = spark.createDataFrame([(w,) for w in ["", "12", "bv", "company", "the", "coffee", "zorvex", "³"]], "w string")
-    assert [r[0] for r in d.select(K.role(F.col("w"))).collect()] == ["unknown", "numeral", "legal_form", "legal_form", "function_word", "descriptive_weak", "distinctive", "numeral"]
+    assert [r[0] for r in d.select(K.role(F.col("w"))).collect()] == [
+        "unknown",
+        "numeral",
+        "legal_form",
+        "legal_form",
+        "function_word",
+        "descriptive_weak",
+        "distinctive",
+        "numeral",
+    ]
