@@ -204,7 +204,9 @@ def remove_leaks(
 def _cutter(n: int):
     @F.pandas_udf("kept string, share double")
     def clean(values: pd.Series, at: pd.Series) -> pd.DataFrame:
-        rows = [(None, None) if v is None else cut_places(v, {i for p in ps for i in range(p, p + n)}) for v, ps in zip(values, at, strict=True)]
+        rows = [
+            (None, None) if v is None else cut_places(v, {i for p in ps for i in range(p, p + n)}) for v, ps in zip(values, at, strict=True)
+        ]
         return pd.DataFrame(rows, columns=["kept", "share"])
 
     return clean

@@ -221,7 +221,10 @@ def same_look_pairs(rows: DataFrame, key: str, text: str, vocabulary: list[str])
     mixed = forms.join(shared, "canonical")
     x, y = mixed.select("canonical", F.col("text").alias("tx")), mixed.select("canonical", F.col("text").alias("ty"))
     texts = x.join(y, "canonical").filter(F.col("tx") < F.col("ty")).select("tx", "ty")
-    a, b = members.select(F.col("text").alias("tx"), F.col("key").alias("a")), members.select(F.col("text").alias("ty"), F.col("key").alias("b"))
+    a, b = members.select(
+        F.col("text").alias("tx"),
+        F.col("key").alias("a"),
+    ), members.select(F.col("text").alias("ty"), F.col("key").alias("b"))
     pairs = texts.join(a, "tx").join(b, "ty").filter("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -127,7 +127,10 @@ def similar_sets(
     sets = cut(rows.groupBy("sid").agg(F.first("values").alias("values"), F.max("left").alias("left"), F.max("right").alias("right")))
     met = _small_pairs(sets, t, small)
     met = (met.unionByName(_large_pairs(sets, t, small)) if large else met).distinct()
-    va, vb = sets.select(F.col("sid").alias("a"), F.col("values").alias("va")), sets.select(F.col("sid").alias("b"), F.col("values").alias("vb"))
+    va, vb = sets.select(
+        F.col("sid").alias("a"),
+        F.col("values").alias("va"),
+    ), sets.select(F.col("sid").alias("b"), F.col("values").alias("vb"))
     both = met.join(va, "a").join(vb, "b").withColumn("shared", F.size(F.array_intersect("va", "vb")))
     pairs = both.withColumn("similarity", _similarity(F.col("shared"), F.col("va"), F.col("vb"))).filter(F.col("similarity") >= t)
     return sets, pairs.select("a", "b", "shared", "similarity")
@@ -141,7 +144,10 @@ def overlap_pairs(rows: DataFrame, key: str, values: Column, t: float, small: in
     a, b = who.select(F.col("sid").alias("a"), F.col("key").alias("x")), who.select(F.col("sid").alias("b"), F.col("key").alias("y"))
     unlike = pairs.join(a, "a").join(b, "b").select("x", "y")
     alike = a.join(b, F.col("a") == F.col("b")).filter(F.col("x") < F.col("y")).select("x", "y")
-    return unlike.unionByName(alike).filter("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    return unlike.unionByName(alike).filter("x <> y").select(
+        F.least("x", "y").alias("key_a"),
+        F.greatest("x", "y").alias("key_b"),
+    ).distinct()
 
 
 def overlap_classes(rows: DataFrame, key: str, values: Column, t: float, small: int = 6) -> DataFrame:
@@ -152,7 +158,12 @@ def overlap_classes(rows: DataFrame, key: str, values: Column, t: float, small:
     links = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     copies = members.groupBy("sid").agg(F.countDistinct("key").alias("copies"))
     info = copies.join(links, copies["sid"] == links["a"], "left").select("sid", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return lookup_join(members.select("key", "sid"), info, ["sid"], "copies").select("key", F.lower(F.hex("sid")).alias("set_id"), "copies", "links")
+    return lookup_join(members.select("key", "sid"), info, ["sid"], "copies").select(
+        "key",
+        F.lower(F.hex("sid")).alias("set_id"),
+        "copies",
+        "links",
+    )
 
 
 #: Up to this many postings and characters the right side is sent to every task.
@@ -208,7 +219,12 @@ def _index(rows: list) -> dict:
     for i, r in enumerate(rows):
         for v in r["values"]:
             lists.setdefault(v, []).append(i)
-    return {"keys": [r["key"] for r in rows], "sets": [frozenset(r["values"]) for r in rows], "sizes": [len(r["values"]) for r in rows], "lists": lists}
+    return {
+        "keys": [r["key"] for r in rows],
+        "sets": [frozenset(r["values"]) for r in rows],
+        "sizes": [len(r["values"]) for r in rows],
+        "lists": lists,
+    }
 
 
 def _scan(batches, index: dict, t: float, small: int):

@@ -58,7 +58,9 @@ class _Counter(dict):
 
     def count(self, text: str) -> int:
         if self.apart:
-            return sum(map(self.__getitem__, (m.group() for m in STRETCH.finditer(text)) if len(text) > 1_000_000 else STRETCH.findall(text)))
+            return sum(
+                map(self.__getitem__, (m.group() for m in STRETCH.finditer(text)) if len(text) > 1_000_000 else STRETCH.findall(text))
+            )
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
@@ -141,7 +143,10 @@ def pack(rows: DataFrame, key: str, length: str, capacity: int, window: int = 20
     kind = rows.schema[key].dataType.simpleString()
     last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int")
     piece = lambda i: F.struct(i.alias("piece"), F.least(F.lit(capacity), F.col("n") - i * capacity).cast("int").alias("n_tokens"))
-    items = rows.select(F.col(key).cast("string").alias("key"), size.alias("n")).select("key", F.inline(F.transform(F.sequence(F.lit(0), last), piece)))
+    items = rows.select(F.col(key).cast("string").alias("key"), size.alias("n")).select(
+        "key",
+        F.inline(F.transform(F.sequence(F.lit(0), last), piece)),
+    )
     total = rows.agg(F.sum(F.greatest(F.ceil(size / capacity), F.lit(1)))).first()[0] or 0
     windows = max(1, round(total / window))
     # Copies are counted before they are numbered, so that a key of any number of rows is never gathered.
@@ -173,4 +178,9 @@ def unused_space(placed: DataFrame, capacity: int) -> DataFrame:
     bins = placed.filter("sequence is not null").groupBy("window", "sequence").agg(F.sum("n_tokens").alias("t"))
     whole = bins.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("sequences"))
     least = F.ceil(F.col("tokens") / capacity)
-    return whole.select("tokens", "sequences", least.alias("least_sequences"), F.try_divide("tokens", F.col("sequences") * capacity).alias("filled"))
+    return whole.select(
+        "tokens",
+        "sequences",
+        least.alias("least_sequences"),
+        F.try_divide("tokens", F.col("sequences") * capacity).alias("filled"),
+    )

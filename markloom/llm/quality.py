@@ -60,7 +60,9 @@ SENTENCE_WORDS = frozenset(
 )
 
 #: The most usual words of the same languages: those above and the joining words of noun phrases.
-COMMON_WORDS = SENTENCE_WORDS | frozenset("of and or to in for with de du des d et en à pour avec un y con para del und in mit für von zu van en voor met tegen in de".split())
+COMMON_WORDS = SENTENCE_WORDS | frozenset(
+    "of and or to in for with de du des d et en à pour avec un y con para del und in mit für von zu van en voor met tegen in de".split()
+)
 
 PROSE_SHARE = 0.1
 NOISE_SYMBOLS = 0.25
@@ -91,7 +93,9 @@ def _word(prefix: str, alnum: int) -> tuple[int, int, int, int, int]:
     low = prefix.lower()
     parts = [p for p in (x.strip("".join(c for c in x if not c.isalnum())) for x in APOSTROPHE.split(low)) if p]
     plain = PLAIN.fullmatch(low) or (len(parts) > 1 and all(map(str.isalpha, parts)) and max(map(len, parts)) > 1)
-    return 1, alnum, int(any(p in COMMON_WORDS for p in parts)), int(any(p in SENTENCE_WORDS and (len(p) > 1 or plain) for p in parts)), mixed
+    return 1, alnum, int(any(p in COMMON_WORDS for p in parts)), int(
+        any(p in SENTENCE_WORDS and (len(p) > 1 or plain) for p in parts)
+    ), mixed
 
 
 def _alnum(s: str) -> int:
@@ -137,7 +141,14 @@ def line_state(s: str) -> list:
     bits = [[p[:WORD_CAP], _alnum(p)] for p in ends]
     head = bits.pop(0) if left else none
     whole = left and right and len(pieces) == 1
-    return [[visible, letters, digits, words, word_chars, common, sentence, mixed], head, bits.pop() if bits else none, whole, pieces[-1][-1], pieces[0][0]]
+    return [
+        [visible, letters, digits, words, word_chars, common, sentence, mixed],
+        head,
+        bits.pop() if bits else none,
+        whole,
+        pieces[-1][-1],
+        pieces[0][0],
+    ]
 
 
 def _glue(a: list, b: list) -> list:
@@ -320,5 +331,8 @@ def text_quality(rows: DataFrame, key: str, text: str, chunk: int = 16_384) -> D
     })
     prose = F.when(F.col("visible") > 0, F.col("prose_share") >= PROSE_DOCUMENT)
     junk = (F.col("symbol_ratio") > 0.5) | (F.col("mean_word_length") > 40) | F.col("words").isin(0)
-    kind = F.when(prose, "prose").when(junk, "junk").when((F.col("digit_ratio") > 0.15) | (F.col("symbol_ratio") > 0.15), "table").otherwise("list")
+    kind = F.when(prose, "prose").when(junk, "junk").when(
+        (F.col("digit_ratio") > 0.15) | (F.col("symbol_ratio") > 0.15),
+        "table",
+    ).otherwise("list")
     return out.withColumn("prose", prose).withColumn("kind", F.when(prose.isNotNull(), kind))

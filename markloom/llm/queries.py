@@ -26,12 +26,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighed = distinctive_terms(table(spark, sf_dir, REPR), "trademark_id", F.col("tokens"))
-    return weighed.select(F.col("key").alias("trademark_id"), F.col("term").alias("token"), F.col("tf").cast("bigint").alias("tf"), "df", F.round("weight", 6).alias("weight"))
+    return weighed.select(
+        F.col("key").alias("trademark_id"),
+        F.col("term").alias("token"),
+        F.col("tf").cast("bigint").alias("tf"),
+        "df",
+        F.round("weight", 6).alias("weight"),
+    )
 
 
 def p2_descriptive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighed = distinctive_terms(table(spark, sf_dir, REPR), "trademark_id", F.col("descriptive_tokens"))
-    return weighed.select(F.col("key").alias("trademark_id"), F.col("term").alias("token"), F.col("tf").cast("bigint").alias("tf"), "df", F.round("weight", 6).alias("weight"))
+    return weighed.select(
+        F.col("key").alias("trademark_id"),
+        F.col("term").alias("token"),
+        F.col("tf").cast("bigint").alias("tf"),
+        "df",
+        F.round("weight", 6).alias("weight"),
+    )
 
 
 SCORES = {
@@ -61,7 +73,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "trademark").select("id", "mark_text").distinct()
-    return add_canonical(marks, "mark_text", build_vocabulary(marks, "mark_text")).select(F.col("id").alias("trademark_id"), "mark_text", "canonical")
+    return add_canonical(marks, "mark_text", build_vocabulary(marks, "mark_text")).select(
+        F.col("id").alias("trademark_id"),
+        "mark_text",
+        "canonical",
+    )
 
 
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +97,15 @@ def p4_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks, names = table(spark, sf_dir, REPR), table(spark, sf_dir, "watch_name")
     tokens = overlap_pairs(marks, "trademark_id", clean_set(F.col("significant_tokens")), 0.6)
-    grams = overlap_pairs_between(marks, "trademark_id", clean_set(F.col("trigrams"), trim=False), names, "watch_id", clean_set(F.col("trigrams"), trim=False), 0.5)
+    grams = overlap_pairs_between(
+        marks,
+        "trademark_id",
+        clean_set(F.col("trigrams"), trim=False),
+        names,
+        "watch_id",
+        clean_set(F.col("trigrams"), trim=False),
+        0.5,
+    )
     tag = lambda d, f: d.select(F.lit(f).alias("set_field"), "key_a", "key_b")
     return tag(tokens, "significant_tokens").unionByName(tag(grams, "trigrams"))
 
@@ -95,16 +119,32 @@ def p5_trigrams_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, REPR)
-    return overlap_classes(marks, "trademark_id", clean_set(F.col("significant_tokens")), 0.6).select(F.col("key").alias("trademark_id"), "copies", F.col("links").cast("bigint").alias("links"))
+    return overlap_classes(marks, "trademark_id", clean_set(F.col("significant_tokens")), 0.6).select(
+        F.col("key").alias("trademark_id"),
+        "copies",
+        F.col("links").cast("bigint").alias("links"),
+    )
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_n(table(spark, sf_dir, "retrieval_hit"), ["scan_id", "strategy"], "trademark_id", "score", 5).select("scan_id", "strategy", "trademark_id")
+    return top_n(
+        table(spark, sf_dir, "retrieval_hit"),
+        ["scan_id", "strategy"],
+        "trademark_id",
+        "score",
+        5,
+    ).select("scan_id", "strategy", "trademark_id")
 
 
 def p6_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = top_n(table(spark, sf_dir, "retrieval_hit"), ["scan_id", "strategy"], "trademark_id", "score", 20)
-    return best.select("scan_id", "strategy", "trademark_id", F.round("score", 6).alias("score"), F.col("place").cast("bigint").alias("place"))
+    return best.select(
+        "scan_id",
+        "strategy",
+        "trademark_id",
+        F.round("score", 6).alias("score"),
+        F.col("place").cast("bigint").alias("place"),
+    )
 
 
 def p7_sequences(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.json", capacity: int = CAPACITY) -> DataFrame:
@@ -123,7 +163,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", table(spark, sf_dir, "eval_item"), "item_id", "item_text")
+    return remove_leaks(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        "text",
+        table(spark, sf_dir, "eval_item"),
+        "item_id",
+        "item_text",
+    )
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,4 +183,27 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *counts, *[F.round(r, 6).alias(r) for r in ratios], "kind")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p2_descriptive_weights, p3_found, p3_ranking, p4_found, p4_forms, p4_classes, p4_spellings, p5_found, p5_trigrams_joined, p5_classes, p6_found, p6_top20, p7_sequences, p7_unused, p8_found, p8_cleaned, p9_found, p9_statistics)}
+QUERIES = {
+    f.__name__: f for f in (
+        p2_found,
+        p2_weights,
+        p2_descriptive_weights,
+        p3_found,
+        p3_ranking,
+        p4_found,
+        p4_forms,
+        p4_classes,
+        p4_spellings,
+        p5_found,
+        p5_trigrams_joined,
+        p5_classes,
+        p6_found,
+        p6_top20,
+        p7_sequences,
+        p7_unused,
+        p8_found,
+        p8_cleaned,
+        p9_found,
+        p9_statistics,
+    )
+}

@@ -21,7 +21,13 @@ def brute(rows, k1=1.2, b=0.75):
     docs = {k: c for k, c in docs.items() if c}
     df = Counter(t for c in docs.values() for t in c)
     mean = sum(sum(c.values()) for c in docs.values()) / max(len(docs), 1)
-    return {(k, t): (n, df[t], math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * sum(c.values()) / mean))) for k, c in docs.items() for t, n in c.items()}
+    return {
+        (k, t): (
+            n,
+            df[t],
+            math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * sum(c.values()) / mean)),
+        ) for k, c in docs.items() for t, n in c.items()
+    }
 
 
 def run(spark, rows):
@@ -37,7 +43,12 @@ def same(got, want):
 
 def test_matches_brute_force(spark):
     rng = random.Random(1)
-    rows = [(f"d{rng.randrange(40)}", [rng.choice(["a", "A ", "b", "c", "", " ", None, " d", f"r{rng.randrange(60)}"]) for _ in range(rng.randrange(12))]) for _ in range(120)]
+    rows = [
+        (
+            f"d{rng.randrange(40)}",
+            [rng.choice(["a", "A ", "b", "c", "", " ", None, " d", f"r{rng.randrange(60)}"]) for _ in range(rng.randrange(12))],
+        ) for _ in range(120)
+    ]
     rows += [rows[0], (None, ["a"]), ("n", None), ("e", []), ("blank", ["", None])]
     same(run(spark, rows), brute(rows))
 
@@ -55,7 +66,12 @@ def test_long_and_empty(spark):
 
 
 def test_rare_shared_terms_are_chosen_by_their_weight(spark):
-    rows = [(f"k{i}", ["all", *(["many"] if i < 6 else []), *(["five"] if i < 5 else []), *(["two"] if i in (3, 9) else []), f"own{i}"]) for i in range(40)]
+    rows = [
+        (
+            f"k{i}",
+            ["all", *(["many"] if i < 6 else []), *(["five"] if i < 5 else []), *(["two"] if i in (3, 9) else []), f"own{i}"],
+        ) for i in range(40)
+    ]
     d = spark.createDataFrame(rows, "k string, a array<string>")
     whole = {(r.key, r.term): r.weight for r in distinctive_terms(d, "k", F.col("a")).collect()}
     got = {(r.key, r.term): r.weight for r in distinctive_terms(d, "k", F.col("a"), shared_by=(2, 5)).collect()}

@@ -53,8 +53,19 @@ def test_matches_brute_force(spark, unknown, most):
     rng = random.Random(3)
     pick = lambda scale: rng.choice([None, 0.0, round(rng.random(), 1) * scale, rng.random() * scale])
     rows = [(f"g{rng.randrange(4)}", f"i{n:03}", pick(1), pick(1), pick(100), pick(1e6)) for n in range(120)]
-    rows += [("hot", f"i{n:03}", 1.0 if n % 3 else None, float(n % 5), rng.random(), 2.0) for n in range(200)] + [("single", "x", None, None, None, None)]
-    got = {(r.g, r.i): (r.fused, r.place) for r in fuse(frame(spark, rows + rows[:30]), "g", "i", cols(), unknown=unknown, in_one_task=most).collect()}
+    rows += [
+        ("hot", f"i{n:03}", 1.0 if n % 3 else None, float(n % 5), rng.random(), 2.0) for n in range(200)
+    ] + [("single", "x", None, None, None, None)]
+    got = {
+        (r.g, r.i): (r.fused, r.place) for r in fuse(
+            frame(spark, rows + rows[:30]),
+            "g",
+            "i",
+            cols(),
+            unknown=unknown,
+            in_one_task=most,
+        ).collect()
+    }
     want = brute(rows, unknown)
     assert got.keys() == want.keys()
     for k, (mean, place) in want.items():
@@ -84,17 +95,26 @@ def test_clear_winners(spark, most):
     for g in range(60):
         n = rng.choice([1, 2, 3, 4, 9, 30])
         for i in range(n):
-            rows.append((f"g{g}", f"i{i:02}", *[rng.choice([None, rng.random()]) if rng.random() < 0.2 else rng.random() for _ in range(4)]))
+            rows.append(
+                (f"g{g}", f"i{i:02}", *[rng.choice([None, rng.random()]) if rng.random() < 0.2 else rng.random() for _ in range(4)])
+            )
         if g % 2:
             best = [2.0, 2.0, 2.0, rng.choice([None, 0.0, 3.0])]
             rng.shuffle(best)
             rows.append((f"g{g}", "top", *best))
-    got = {(r.g, r.i) for r in clear_winners(frame(spark, rows + rows[:40]), "g", "i", cols(), least=3, chunk=4, in_one_task=most).collect()}
+    got = {
+        (r.g, r.i) for r in clear_winners(frame(spark, rows + rows[:40]), "g", "i", cols(), least=3, chunk=4, in_one_task=most).collect()
+    }
     assert got == winners(rows) and got
 
 
 def test_nulls_nan_and_empty(spark):
-    rows = [(None, "x", 1.0, 1.0, 1.0, 1.0), ("g", None, 1.0, 1.0, 1.0, 1.0), ("g", "a", float("nan"), None, 1.0, 1.0), ("g", "b", 1.0, 1.0, 0.0, 0.0)]
+    rows = [
+        (None, "x", 1.0, 1.0, 1.0, 1.0),
+        ("g", None, 1.0, 1.0, 1.0, 1.0),
+        ("g", "a", float("nan"), None, 1.0, 1.0),
+        ("g", "b", 1.0, 1.0, 0.0, 0.0),
+    ]
     got = {r.i: r for r in fuse(frame(spark, rows), "g", "i", cols()).collect()}
     assert set(got) == {"a", "b"} and got["a"].a_pct is None and got["a"].place == 1
     assert fuse(frame(spark, []), "g", "i", cols()).count() == 0 and clear_winners(frame(spark, []), "g", "i", cols(), 3).count() == 0

@@ -8,7 +8,10 @@ ITEM = "The panel compared Drulvohu with Ronsaubrex and found the openings close
 
 
 def frames(spark, docs, items):
-    return spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc bigint, text string, words int"), spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item bigint, text string")
+    return spark.createDataFrame(
+        [(i, t, 1) for i, t in enumerate(docs)],
+        "doc bigint, text string, words int",
+    ), spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item bigint, text string")
 
 
 def found(spark, docs, items, n=13):
@@ -23,7 +26,18 @@ def brute(docs, items, n):
 
 def test_disguised_passages(spark):
     w = ITEM.split()
-    docs = [ITEM, " ".join(w[3:16]), " ".join(w[3:15]), ITEM.upper().replace(" ", " \n"), ITEM.replace("e", "é"), ITEM.replace(" ", " - ").replace("panel", "p.a.n.e.l"), None, "", "x " * 50_000 + ITEM, " ".join(w[:8] + ["stop"] + w[8:13])]
+    docs = [
+        ITEM,
+        " ".join(w[3:16]),
+        " ".join(w[3:15]),
+        ITEM.upper().replace(" ", " \n"),
+        ITEM.replace("e", "é"),
+        ITEM.replace(" ", " - ").replace("panel", "p.a.n.e.l"),
+        None,
+        "",
+        "x " * 50_000 + ITEM,
+        " ".join(w[:8] + ["stop"] + w[8:13]),
+    ]
     assert found(spark, docs, [ITEM, "too short", None, ITEM]) == {(d, i) for d in (0, 1, 3, 4, 5, 8) for i in (0, 3)}
     assert found(spark, [], [ITEM]) == found(spark, docs, []) == set()
 
@@ -38,7 +52,12 @@ def test_matches_brute_force_with_a_full_and_an_empty_set(spark, most, monkeypat
 
 
 def test_spans_are_cut_and_documents_dropped(spark):
-    docs = [f"Before it all. {ITEM} After that.  Two  blanks stay, here and there, as they were in the text that we keep because it is long enough.", ITEM, "clean  text", None]
+    docs = [
+        f"Before it all. {ITEM} After that.  Two  blanks stay, here and there, as they were in the text that we keep because it is long enough.",
+        ITEM,
+        "clean  text",
+        None,
+    ]
     d, i = frames(spark, docs, [ITEM])
     got = {r.doc: r.text for r in L.remove_leaks(d, "text", i, "item", "text").collect()}
     assert set(got) == {0, 2, 3} and got[2] == docs[2] and got[3] is None

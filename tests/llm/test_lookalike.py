@@ -44,7 +44,9 @@ def test_other_edits_cost():
 def brute(rows):
     seen = set(rows)
     form = lambda t: Vocabulary([]).canonical(t)
-    return {tuple(sorted((a, b))) for a, x in seen for b, y in seen if a < b and x is not None and y is not None and x != y and form(x) == form(y) != ""}
+    return {
+        tuple(sorted((a, b))) for a, x in seen for b, y in seen if a < b and x is not None and y is not None and x != y and form(x) == form(y) != ""
+    }
 
 
 def test_pairs_match_brute_force(spark):

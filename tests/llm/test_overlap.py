@@ -28,7 +28,15 @@ def brute(left, right, t):
 def data(seed, n, most, letters):
     rng = random.Random(seed)
     rows = [(f"k{i % (n - 5):03}", [rng.choice(letters) for _ in range(rng.randint(0, most))]) for i in range(n)]
-    return rows + [(None, ["a"]), ("nul", None), ("emp", []), ("bad", ["", None, " "]), *rows[:10], ("up", ["A ", "b"]), ("lo", ["a", " B"])]
+    return rows + [
+        (None, ["a"]),
+        ("nul", None),
+        ("emp", []),
+        ("bad", ["", None, " "]),
+        *rows[:10],
+        ("up", ["A ", "b"]),
+        ("lo", ["a", " B"]),
+    ]
 
 
 @pytest.mark.parametrize(("t", "small", "most"), [(0.6, 6, 12), (0.6, 2, 12), (0.5, 4, 8), (0.8, 6, 20), (1.0, 3, 5), (0.34, 3, 6)])

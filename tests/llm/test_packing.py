@@ -28,7 +28,9 @@ def test_window_places_all_within_capacity():
 
 def test_pack(spark):
     rng = random.Random(2)
-    rows = [(i, rng.choice([None, 0, 5, 60, rng.randint(1, 400)]), 1, "w") for i in range(900)] + [(5000, 1000, 1, "w"), (5000, 1000, 1, "w"), (None, 7, 1, "w")]
+    rows = [
+        (i, rng.choice([None, 0, 5, 60, rng.randint(1, 400)]), 1, "w") for i in range(900)
+    ] + [(5000, 1000, 1, "w"), (5000, 1000, 1, "w"), (None, 7, 1, "w")]
     d = spark.createDataFrame(rows, "doc bigint, n int, piece int, window string")
     out = pack(d, "doc", "n", 128, window=200).collect()
     assert sum(r.n_tokens for r in out) == sum(r[1] or 0 for r in rows)
@@ -53,7 +55,13 @@ def test_pack(spark):
 def test_counts_with_a_public_tokenizer(spark):
     path = f"{TOKENIZERS}/byte_bpe_50k.json"
     texts = ["Hello world", "", None, "<|endoftext|>", "x" * 100_000, "été"]
-    got = [r.n_tokens for r in add_token_count(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1), "t", path).orderBy("i").collect()]
+    got = [
+        r.n_tokens for r in add_token_count(
+            spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1),
+            "t",
+            path,
+        ).orderBy("i").collect()
+    ]
     assert got[0] == 2 and got[1] == got[2] == 0 and got[3] > 1 and got[4] > 1000
     with pytest.raises(Exception, match="(?i)no such file|not found|error"):
         add_token_count(spark.createDataFrame([("a",)], "t string"), "t", "/nowhere.json").collect()
@@ -81,14 +89,18 @@ def test_other_tokenizers_take_texts_whole():
     from markloom.llm.packing import _Counter
 
     counter = _Counter(f"{TOKENIZERS}/word_bpe_49k.json")
-    assert not counter.apart and counter.count("Hello  WORLD ") == len(counter.tokenizer.encode("hello world", add_special_tokens=False).ids)
+    assert not counter.apart and counter.count("Hello  WORLD ") == len(
+        counter.tokenizer.encode("hello world", add_special_tokens=False).ids
+    )
 
 
 def test_windows_do_not_depend_on_the_split(spark):
     rng = random.Random(3)
     rows = [(None if i % 3 == 0 else i, rng.choice([40, 50, rng.randint(1, 200)])) for i in range(1500)]
     d = spark.createDataFrame(rows, "doc bigint, n int")
-    runs = [sorted((tuple(r) for r in pack(x, "doc", "n", 128, window=100).collect()), key=str) for x in (d.coalesce(1), d.repartition(7, "n"))]
+    runs = [
+        sorted((tuple(r) for r in pack(x, "doc", "n", 128, window=100).collect()), key=str) for x in (d.coalesce(1), d.repartition(7, "n"))
+    ]
     assert runs[0] == runs[1] and len({r[3] for r in runs[0] if r[0] is None}) > 5
 
 

@@ -6,7 +6,10 @@ from hypothesis import strategies as st
 
 from markloom.llm import quality as Q
 
-TEXT = st.lists(st.sampled_from(["a", "the ", "is", " ", "\n", "\r", "\r\n", ".", ",", "é", "9", "l'", "\xa0", "漢"]), max_size=50).map("".join)
+TEXT = st.lists(
+    st.sampled_from(["a", "the ", "is", " ", "\n", "\r", "\r\n", ".", ",", "é", "9", "l'", "\xa0", "漢"]),
+    max_size=50,
+).map("".join)
 
 
 @settings(max_examples=400, deadline=None)
@@ -22,7 +25,19 @@ def test_chunks_join_to_the_same_counts(text, cuts, rng):
 
 def test_counts_by_hand():
     c = dict(zip(Q.COUNTS, Q.finish(Q.chunk_state("The cat isn't here.\r\n\r\n* 12 items;\n~~~\n")), strict=True))
-    assert c == {"chars": 39, "visible": 28, "letters": 19, "digits": 2, "words": 6, "word_chars": 21, "common": 2, "lines": 3, "ended": 2, "prose_lines": 1, "prose_visible": 16}
+    assert c == {
+        "chars": 39,
+        "visible": 28,
+        "letters": 19,
+        "digits": 2,
+        "words": 6,
+        "word_chars": 21,
+        "common": 2,
+        "lines": 3,
+        "ended": 2,
+        "prose_lines": 1,
+        "prose_visible": 16,
+    }
 
 
 def test_endless_word():
