@@ -44,6 +44,17 @@ def split_join(
     return met.drop("_i", "_j")
 
 
+#: Tables of at most so many (narrow) rows are sent to every task.
+FEW_ROWS = 200_000
+
+
+def small_first(rows: DataFrame, other: DataFrame, keys: list[str], most: int = FEW_ROWS) -> DataFrame:
+    """Inner join of any table with ``other``, which was written down and may be small: it is counted, and
+    broadcast up to ``most`` rows, so that ``rows`` stay where they are; beyond, both are shuffled."""
+    few = other.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(other) if few else other, keys)
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, hot_rows: int = ROWS_OF_A_KEY) -> DataFrame:
     """Inner join of many ``rows`` with one ``lookup`` row per key, whose column ``weight`` says how many
     rows carry the key. The lookup row of a hot key is copied to every block of its rows."""

@@ -15,6 +15,7 @@ from markloom.operators import retrieve as R
 from markloom.operators.compare import cheap_features, explain, prune, with_features, with_score
 from markloom.operators.rank import families, family_key
 from markloom.operators.represent import phonetic_keys, represent
+from markloom.operators.skew import small_first
 from markloom.runtime import cut
 
 #: Proposed names are taken in blocks of so many against all rows of the corpus.
@@ -89,15 +90,17 @@ def _matches(q: dict, m: dict) -> tuple[list[str], float]:
     return [s for s, t in zip(STRATEGIES, tests, strict=True) if t], near
 
 
-def _channels(queries: list[tuple]):
-    """Function of one block of corpus rows: which names each row is a candidate of, and by what."""
+def _channels(queries):
+    """Function of one block of corpus rows: which names each row is a candidate of, and by what.
+    ``queries`` is a broadcast block of names."""
 
     def match(batches):
+        block = queries.value
         for b in batches:
             rows = []
             for id_, *sides in zip(b["id"], *[b[s] for s in SIDES], strict=True):
                 mark = _asked(dict(zip(SIDES, sides, strict=True)))
-                for query_id, q in queries:
+                for query_id, q in block:
                     found, near = _matches(q, mark)
                     rows += [(query_id, id_, s, near) for s in found]
             yield pd.DataFrame(rows, columns=["query_id", "id", "strategy", "score"])
@@ -116,7 +119,8 @@ def channel_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     qkind = queries.schema["query_id"].dataType.simpleString()
 
     def add(block: list, out: DataFrame | None) -> DataFrame:
-        part = rows.mapInPandas(_channels(block), f"query_id {qkind}, id {kind}, strategy string, score double")
+        shared = corpus.sparkSession.sparkContext.broadcast(block)
+        part = rows.mapInPandas(_channels(shared), f"query_id {qkind}, id {kind}, strategy string, score double")
         return part if out is None else out.unionByName(part)
 
     for q in asked:
@@ -160,8 +164,8 @@ def keyed_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     The channels are decided by the same test, so no hit is made that the whole comparison doesn't make.
     It misses pairs that are alike by Jaro-Winkler similarity alone and begin with other letters.
     """
-    sure = _sure_keys(corpus, "id").join(_sure_keys(queries, "query_id"), "k").select("query_id", "id")
-    met = _form_grams(corpus, "id", "n").join(_form_grams(queries, "query_id", "m"), "gram")
+    sure = small_first(_sure_keys(corpus, "id"), _sure_keys(queries, "query_id"), ["k"]).select("query_id", "id")
+    met = small_first(_form_grams(corpus, "id", "n"), _form_grams(queries, "query_id", "m"), ["gram"])
     met = met.filter(2 * F.least("n", "m") >= LEAST_DICE * (F.col("n") + F.col("m")) - 1e-9)
     shared = met.groupBy("query_id", "id", "form_m", "form_n").agg((2 * F.count(F.lit(1)) / F.first(F.col("n") + F.col("m"))).alias("dice"))
     like = shared.filter(F.col("dice") >= LEAST_DICE - 1e-9).select("query_id", "id")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from markloom import runtime
-from markloom.operators.skew import lookup_join, running_count, split_join
+from markloom.operators.skew import lookup_join, running_count, small_first, split_join
 
 
 def test_hot_keys_join_like_others(spark):
@@ -47,6 +47,13 @@ def test_running_count_spans_ranges(spark):
     assert running_count(rows.limit(0), ["g"], [F.col("v").asc()], F.lit(1), "before").count() == 0
 
 
+def test_only_a_small_table_is_broadcast(spark):
+    a, b = spark.range(100).withColumn("x", F.lit(1)), spark.range(50)
+    plans = [small_first(a, b, ["id"], most)._jdf.queryExecution().optimizedPlan().toString() for most in (50, 49)]
+    assert "broadcast" in plans[0] and "broadcast" not in plans[1]
+    assert small_first(a, b, ["id"], 10).count() == small_first(a, b, ["id"]).count() == 50
+
+
 class _Cluster:
     """A session on a cluster that names no folder."""
 
