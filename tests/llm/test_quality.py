@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,11 +79,20 @@ def test_huge_text_in_a_tree(spark):
 
 
 def test_agreement_with_raters(spark, sf):
-    labels = spark.read.parquet(f"{sf}/doc_label.parquet").select("doc_id", "label")
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    """Outcome against the labels, some of which are wrong, over the largest table at hand."""
+    from pathlib import Path
+
+    large = Path(sf).with_name("sf0.1")
+    at = str(large if large.exists() else sf)
+    labels = spark.read.parquet(f"{at}/doc_label.parquet").select("doc_id", "label")
+    docs = spark.read.parquet(f"{at}/documents.parquet")
     seen = Q.text_quality(docs, "doc_id", "text").join(labels, "doc_id").filter("prose is not null")
-    hits = seen.filter("prose = (label = 'prose')").count()
-    assert hits >= 0.85 * seen.count()
+    counts = seen.groupBy("prose", F.expr("label = 'prose'").alias("said")).count().collect()
+    n = {(r.prose, r.said): r["count"] for r in counts}
+    other, found = n.get((False, False), 0), sum(v for (p, _), v in n.items() if not p)
+    assert n.get((True, True), 0) + other >= 0.96 * sum(n.values())
+    # Labels of prose are wrong now and then, so that some say something else of it.
+    assert other >= 0.88 * (other + n.get((True, False), 0)) and other >= 0.97 * found
 
 
 def share(text):
