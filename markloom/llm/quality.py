@@ -83,6 +83,17 @@ PARAGRAPH = ("words", "sentence", "lines", "visible")
 LINE = ("visible", "letters", "digits", "words", "word_chars", "common", "sentence", "mixed")
 
 
+#: Sentence words and common words in use in this process.
+_IN_USE = [SENTENCE_WORDS, COMMON_WORDS]
+
+
+def use_words(sentence: frozenset, common: frozenset) -> None:
+    """Count with these words from here on; what is remembered of pieces belongs to a pair of lists."""
+    if _IN_USE[0] != sentence or _IN_USE[1] != common:
+        _IN_USE[:] = [sentence, common]
+        PIECES.clear()
+
+
 def _word(prefix: str, alnum: int) -> tuple[int, int, int, int, int]:
     """words, word_chars, common, sentence, mixed of one finished word."""
     if not alnum:
@@ -93,9 +104,9 @@ def _word(prefix: str, alnum: int) -> tuple[int, int, int, int, int]:
     low = prefix.lower()
     parts = [p for p in (x.strip("".join(c for c in x if not c.isalnum())) for x in APOSTROPHE.split(low)) if p]
     plain = PLAIN.fullmatch(low) or (len(parts) > 1 and all(map(str.isalpha, parts)) and max(map(len, parts)) > 1)
-    return 1, alnum, int(any(p in COMMON_WORDS for p in parts)), int(
-        any(p in SENTENCE_WORDS and (len(p) > 1 or plain) for p in parts)
-    ), mixed
+    sentence, common = _IN_USE
+    joins = any(p in sentence and (len(p) > 1 or plain) for p in parts)
+    return 1, alnum, int(any(p in common for p in parts)), int(joins), mixed
 
 
 def _alnum(s: str) -> int:
@@ -256,18 +267,24 @@ def finish(state: list) -> list:
     return total
 
 
-def text_counts(rows: DataFrame, key: str, text: str, chunk: int = 16_384, fan_in: int = 64) -> DataFrame:
+def text_counts(
+    rows: DataFrame, key: str, text: str, chunk: int = 16_384, fan_in: int = 64, words: tuple[frozenset, frozenset] | None = None
+) -> DataFrame:
     """(key, COUNTS...), one row per row of ``rows``; ``key`` may repeat or be null.
 
+    ``words`` are the sentence words and the common words, by default those of five languages.
+
     One scan cuts every text into chunks of at most ``chunk`` characters and counts them where they lie. A
     text of one chunk is finished there; of the others only the states are written down, under a number
     of their row, and merged ``fan_in`` at a time. The texts themselves never move.
     """
     fields = ", ".join(f"{c} long" for c in COUNTS)
     none = [None] * len(COUNTS)
+    sentence, common = words or (SENTENCE_WORDS, COMMON_WORDS)
 
     @F.pandas_udf(f"{fields}, state string")
     def counted(texts: pd.Series, whole: pd.Series) -> pd.DataFrame:
+        use_words(sentence, common)
         out = []
         for t, alone in zip(texts, whole, strict=True):
             if t is None:
@@ -280,9 +297,11 @@ def text_counts(rows: DataFrame, key: str, text: str, chunk: int = 16_384, fan_i
 
     @F.pandas_udf(fields)
     def closed(states: pd.Series) -> pd.DataFrame:
+        use_words(sentence, common)
         return pd.DataFrame([finish(json.loads(s)) for s in states], columns=list(COUNTS)).astype("Int64")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        use_words(sentence, common)
         states = [json.loads(s) for s in pdf.sort_values("i")["s"]]
         joined = states[0]
         for s in states[1:]:
@@ -312,14 +331,16 @@ def text_counts(rows: DataFrame, key: str, text: str, chunk: int = 16_384, fan_i
     return done.withColumnRenamed("k", key)
 
 
-def text_quality(rows: DataFrame, key: str, text: str, chunk: int = 16_384) -> DataFrame:
-    """Counts, ratios and the rule outcomes.
+def text_quality(
+    rows: DataFrame, key: str, text: str, chunk: int = 16_384, words: tuple[frozenset, frozenset] | None = None
+) -> DataFrame:
+    """Counts, ratios and the rule outcomes; ``words`` as in ``text_counts``, for texts in other languages.
 
     ``prose``: at least PROSE_DOCUMENT of the visible characters stand in running text. ``kind`` names what
     else it is: ``junk`` (symbols, endless or repeated words, hardly any letters), ``table`` (many
     digits or separators in short lines) or ``list``.
     """
-    c = text_counts(rows, key, text, chunk)
+    c = text_counts(rows, key, text, chunk, words=words)
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     out = c.withColumns({
         "mean_word_length": ratio("word_chars", "words"),

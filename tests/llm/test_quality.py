@@ -146,3 +146,12 @@ def test_repeated_and_null_keys_keep_their_rows(spark):
     got = [tuple(r) for r in Q.text_counts(d, "doc", "text", chunk=11, fan_in=2).collect()]
     want = [(k, *Q.finish(Q.chunk_state(t))) for k, t in rows]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_words_of_another_language(spark):
+    text = "Znak jest bardzo podobny do tego, który został już dawno zarejestrowany w urzędzie, i nie może być używany."
+    d = spark.createDataFrame([("a", text), ("b", text[:60] + " " + text)], "k string, t string")
+    polish = frozenset(["jest", "do", "tego", "który", "już", "w", "i", "nie", "może", "być"])
+    known = [r.prose for r in Q.text_quality(d, "k", "t", words=(polish, polish)).collect()]
+    assert known == [True, True] and not any(r.prose for r in Q.text_quality(d, "k", "t").collect())
+    assert [r.prose for r in Q.text_quality(d, "k", "t", chunk=9, words=(polish, polish)).collect()] == [True, True]
