@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
@@ -50,9 +51,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system; nothing happens where it or the session is gone."""
     context = spark.sparkContext
-    if context._jsc is not None and not context._jsc.sc().isStopped():
-        at = context._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    with contextlib.suppress(Exception):
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
