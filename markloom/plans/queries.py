@@ -14,7 +14,8 @@ from markloom.operators.compare import band, explain, prune, with_features, with
 from markloom.operators.rank import families, family_key, rank_results
 from markloom.operators.represent import phonetic_keys, represent
 from markloom.plans import scan
-from markloom.runtime import cut, table
+from markloom.runtime import cut, scratch_path, table
+from markloom.sources.corpus import read_source
 
 REPR = "trademark_normalized_representation"
 
@@ -60,7 +61,7 @@ def fold_part_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def represent_marks(spark: SparkSession, sf: str) -> DataFrame:
     marks = table(spark, sf, "trademark").select("id", "mark_text").distinct()
-    plain = ("unicode_nfkc", "case_folded", "diacritics_folded", "whitespace_folded", "ascii_folded", "compact", "dominant_token")
+    plain = ("unicode_nfc", "unicode_nfkc", "punctuation_folded", "case_folded", "diacritics_folded", "whitespace_folded", "ascii_folded", "compact", "dominant_token")
     derived = ("core_compact", "primary_key", "secondary_key", "skeleton")
     listed = [_joined(f"r.{f}", ",").alias(f) for f in ("scripts", "tokens", "significant_tokens", "noise_tokens")]
     variants = _joined("r.transliterations", "|").alias("transliterations")
@@ -234,6 +235,18 @@ def _source_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def read_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Source rows, written in each format and read back with the fixed schema."""
+    rows = _source_rows(spark, sf).drop("mapped_at", "created_at").distinct()
+    out = None
+    for kind in ("parquet", "orc", "json"):
+        at = scratch_path(spark, f"source-{kind}")
+        rows.write.format(kind).save(at)
+        back = read_source(spark, at, kind).withColumn("kind", F.lit(kind))
+        out = back if out is None else out.unionByName(back)
+    return out.withColumn("nice_classes", F.array_join(F.col("nice_classes").cast("array<string>"), ","))
+
+
 def source_hashes(spark: SparkSession, sf: str) -> DataFrame:
     rows = etl.coerce_row(_source_rows(spark, sf)).distinct()
     return rows.select("application_number", etl.row_hash().alias("hash")).distinct()
@@ -315,6 +328,14 @@ def preprocess_marks(spark: SparkSession, sf: str) -> DataFrame:
     return reps.select("trademark_id", "compact", *listed, "dominant_token", "normalization_version")
 
 
+def lookup_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """What each scanned name is looked up by in the key tables."""
+    names = table(spark, sf, "scan_run").select(F.col("input_text").alias("mark_text")).dropna().distinct()
+    keyed = R.query_keys(represent(names))
+    lists = ("exact_keys", "translit_keys", "full_grams", "core_grams", "spoken")
+    return keyed.select("mark_text", *[_joined(c, ",").alias(c) for c in lists], F.col("cap").cast("bigint").alias("cap"))
+
+
 # -- retrieval ---------------------------------------------------------------------------------------
 
 

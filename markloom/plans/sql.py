@@ -273,7 +273,7 @@ second AS (SELECT spoken, {_SPOKEN_KEY} AS key2 FROM (SELECT DISTINCT spoken, {_
 _MARKS = "marks_in AS (SELECT DISTINCT id, mark_text FROM trademark)"
 REPRESENT = f"""
 WITH RECURSIVE {_MARKS}, {X.forms("marks_in", "mark_text")}, {DERIVED}
-SELECT m.id, s.nfkc AS unicode_nfkc, s.low AS case_folded, s.dia AS diacritics_folded, s.ws AS whitespace_folded, s.ascii AS ascii_folded,
+SELECT m.id, nfc_normalize(m.mark_text) AS unicode_nfc, s.nfkc AS unicode_nfkc, {_sub("s.dia", (r"[\p{P}\p{S}]+", " "))} AS punctuation_folded, s.low AS case_folded, s.dia AS diacritics_folded, s.ws AS whitespace_folded, s.ascii AS ascii_folded,
   s.compact,
   c.dominant AS dominant_token, c.core AS core_compact, k.key AS primary_key, z.key2 AS secondary_key,
   {_sub("lower(s.spoken)", ("[^b-df-hj-np-tv-xz]", ""))} AS skeleton,
@@ -284,6 +284,22 @@ FROM marks_in m LEFT JOIN said s ON s.t = m.mark_text LEFT JOIN cores c ON c.t =
   JOIN keyed k ON k.t = s.spoken
 LEFT JOIN second z ON z.spoken = s.spoken LEFT JOIN ({DETECT_SCRIPTS}) d ON d.id = m.id
 """
+_ONCE = "list_filter({0}, lambda x, i: x <> '' AND list_position({0}, x) = i)"
+_FOLDS = ", ".join(["compact", *[_sub(c, (X.ALNUM, "")) for c in ("low", "dia", "ascii")]])
+LOOKUP_KEYS = f"""
+WITH {X.forms("scan_run", "input_text")}, {X.WORDS}, {X.VARIANTS},
+a AS (SELECT f.t, compact, dia, [{_FOLDS}] AS folds, list_transform(v, lambda x: {_sub("lower(x)", (X.ALNUM, ""))}) AS tk,
+  CASE WHEN length(core) >= 2 THEN [core] ELSE [] END || list_filter(sig, lambda w: length(w) >= CASE WHEN len(sig) >= 2 THEN 6 ELSE 3 END) AS ck
+  FROM forms f JOIN cores USING (t) JOIN variants USING (t)),
+b AS (SELECT t, compact, dia, folds, {_ONCE.format("tk")} AS tk, {_ONCE.format("ck")} AS ck FROM a),
+c AS (SELECT *, folds || ck AS e0 FROM b), d AS (SELECT *, {_ONCE.format("e0")} AS e FROM c),
+f AS (SELECT *, list_filter(tk, lambda x: NOT list_contains(e, x)) AS tr FROM d),
+g AS (SELECT *, CASE WHEN len(tr) > 0 THEN tr WHEN compact <> '' THEN [compact] ELSE [] END AS fg,
+  [coalesce(list_filter(tk, lambda x: x <> compact)[1], CASE WHEN dia <> '' THEN dia ELSE compact END)] || ck AS s0 FROM f)
+SELECT t AS mark_text, array_to_string(e, ',') AS exact_keys, array_to_string(tr, ',') AS translit_keys, array_to_string(fg, ',') AS full_grams,
+  array_to_string(list_filter(ck, lambda x: NOT list_contains(fg, x)), ',') AS core_grams, array_to_string({_ONCE.format("s0")}, ',') AS spoken,
+  CAST({_cap("length(compact)")} AS BIGINT) AS cap FROM g
+"""
 TRANSLITERATIONS = f"""
 WITH {X.forms("trademark", "mark_text")}, {X.VARIANTS}
 SELECT mark_text, array_to_string(v, '|') AS variants FROM (SELECT DISTINCT mark_text FROM trademark) LEFT JOIN variants ON t = mark_text
@@ -319,6 +335,12 @@ def _day(x: str) -> str:
     return f"strftime(CAST({x} AS TIMESTAMP), '%Y-%m-%d')"
 
 
+READ = f"""
+WITH r AS (SELECT DISTINCT source_record_id, mark_text, status_code, nice_classes, {_day("filing_date")} AS f, {_day("registration_date")} AS g FROM trademark)
+SELECT source_record_id AS application_number, mark_text AS mark_name, status_code AS status, array_to_string(nice_classes, ',') AS nice_classes,
+  f AS application_date, g AS registration_date, kind FROM r, (VALUES ('parquet'), ('orc'), ('json')) AS k(kind)
+"""
+
 SOURCE_HASH = f"""sha256(CAST(to_json({{'application_date': {_day("filing_date")}, 'mark_name': coalesce(mark_text, ''),
   'nice_classes': list_sort(coalesce(nice_classes, [])),
   'registration_date': {_day("registration_date")}, 'status': coalesce(status_code, 'unknown')}}) AS VARCHAR))"""
@@ -747,6 +769,8 @@ SQL = {
     "plain_scores": PLAIN_SCORES,
     "pair_features": PAIR_FEATURES,
     "goods_relations": GOODS,
+    "read_sources": READ,
+    "lookup_keys": LOOKUP_KEYS,
     "intake_log": INTAKE_LOG,
     "representation_store": STORE,
     "sound_key_backfill": BACKFILL,
