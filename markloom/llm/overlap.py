@@ -65,6 +65,10 @@ def _similarity(shared: Column, a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+#: So many sets of an inverted list, or with one subset, may meet so many others in one task; more are cut into blocks.
+LIST_BLOCK = 10_000
+
+
 def _small_pairs(sets: DataFrame, t: float, small: int) -> DataFrame:
     plan = _subsets(small, t)
     if not plan:
@@ -77,14 +81,13 @@ def _small_pairs(sets: DataFrame, t: float, small: int) -> DataFrame:
     signed = rows.select("sid", "left", "right", F.col("p.role").alias("role"), signature.alias("sig"))
     a = signed.filter("role <> 1").select("sig", F.col("sid").alias("a"), F.col("left").alias("la"), F.col("right").alias("ra"), "role")
     b = signed.filter("role <> 0").select("sig", F.col("sid").alias("b"), F.col("left").alias("lb"), F.col("right").alias("rb"))
-    met = a.join(b, "sig").filter((F.col("role") == 0) | (F.col("a") < F.col("b"))).filter("(la and rb) or (ra and lb)")
+    # A subset that very many sets hold is met in blocks too; all of its pairs are similar ones.
+    in_a, in_b = F.count_if(F.col("role") != 1).alias("in_a"), F.count_if(F.col("role") != 0).alias("in_b")
+    counts = signed.groupBy("sig").agg(in_a, in_b)
+    met = split_join(a, b, ["sig"], counts, "in_a", "in_b", limit=LIST_BLOCK).filter((F.col("role") == 0) | (F.col("a") < F.col("b"))).filter("(la and rb) or (ra and lb)")
     return met.select("a", "b")
 
 
-#: So many sets of an inverted list may meet so many others in one task; longer lists are cut into blocks.
-LIST_BLOCK = 10_000
-
-
 def _large_pairs(sets: DataFrame, t: float, small: int) -> DataFrame:
     able = sets.filter(F.size("values") >= math.ceil(t * (small + 1) - EPS))
     flat = able.select("sid", F.explode("values").alias("value"))

@@ -86,3 +86,10 @@ def test_lists_of_frequent_values_are_cut_into_blocks(spark, monkeypatch):
     rows = [(f"k{i:03}", rng.sample("abcdefghij", rng.randint(3, 10))) for i in range(120)]
     got = [tuple(r) for r in O.overlap_pairs(frame(spark, rows), "k", O.clean_set(F.col("s")), 0.6, 2).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(folded(rows), folded(rows), 0.6)
+
+
+def test_subsets_of_very_many_sets_are_met_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(O, "LIST_BLOCK", 5)
+    rows = [(f"k{i:03}", ["a", "b", "c", f"own{i}"]) for i in range(60)] + [("x", ["a", "b", "c"]), ("y", ["c", "d"])]
+    got = [tuple(r) for r in O.overlap_pairs(frame(spark, rows), "k", O.clean_set(F.col("s")), 0.6).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(folded(rows), folded(rows), 0.6) and len(got) == 61 * 60 // 2
