@@ -48,6 +48,16 @@ def test_repeats_among_the_first_ranks_hide_no_item(spark):
     assert got == {(g, i, p) for g in "ab" for p, i in enumerate(["top", "i0", "i1"], 1)} | {("c", f"i{k}", k + 1) for k in range(3)}
 
 
+def test_copies_of_the_best_hit_are_limited_before_the_exchange(spark):
+    """A row that comes very often hides nobody, and no task passes on more of a group than is wanted."""
+    copies = spark.range(5000).select(F.lit("a").alias("g"), F.lit("top").alias("i"), F.lit(9.0).alias("score"))
+    others = spark.range(30).select(F.lit("a").alias("g"), F.concat(F.lit("i"), F.col("id")).alias("i"), (F.col("id") / 10).alias("score"))
+    d = copies.unionByName(others)
+    assert [(r.i, r.place) for r in top_n(d, ["g"], "i", "score", 3).orderBy("place").collect()] == [("top", 1), ("i29", 2), ("i28", 3)]
+    first = _first_ranks(d, ["g"], "i", "score", 3, 9)
+    assert first.filter("_open").count() == 1
+
+
 def test_plan_limits_groups_on_both_sides_of_the_only_exchange(spark):
     d = spark.range(900).select(
         (F.col("id") % 3).cast("string").alias("g"),
