@@ -236,11 +236,12 @@ def same_look_classes(rows: DataFrame, key: str, text: str, vocabulary: list[str
     members = cut(rows.select(F.col(key).alias("key"), F.col(text).alias("text")).dropna().distinct())
     per_text = members.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     forms = cut(add_canonical(per_text, "text", vocabulary).filter("canonical <> ''"))
-    classes = forms.groupBy("canonical").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows"))
-    placed = lookup_join(lookup_join(members, forms.select("text", "canonical", "n"), ["text"], "n"), classes, ["canonical"], "rows")
-    twice = members.groupBy("key").agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select("key")
+    placed = lookup_join(members, forms.select("text", "canonical", "n"), ["text"], "n").drop("n")
     # A key that writes one form in several ways counts once.
-    extra = placed.join(twice, "key", "left_semi").groupBy("canonical", "key").agg((F.count(F.lit(1)) - 1).alias("x"))
-    extra = extra.groupBy("canonical").agg(F.sum("x").alias("x"))
-    out = placed.join(extra, "canonical", "left").withColumn("keys", F.col("rows") - F.coalesce("x", F.lit(0)))
+    twice = members.groupBy("key").agg(F.count(F.lit(1)).alias("t")).filter("t > 1")
+    ways = lookup_join(placed, twice, ["key"], "t").groupBy("canonical", "key").agg((F.count(F.lit(1)) - 1).alias("x"))
+    extra = ways.groupBy("canonical").agg(F.sum("x").alias("x"))
+    classes = forms.groupBy("canonical").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows"))
+    sized = classes.join(extra, "canonical", "left").withColumn("keys", F.col("rows") - F.coalesce("x", F.lit(0)))
+    out = lookup_join(placed, sized.drop("x"), ["canonical"], "rows")
     return out.select("key", "text", "canonical", "texts", "keys")
