@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.operators.skew import lookup_join
+from markloom.operators.skew import lookup_join, split_join
 from markloom.runtime import cut
 
 #: Letters of other scripts and the Latin letter of the same look (fixed values); three capital
@@ -216,16 +216,17 @@ def same_look_pairs(rows: DataFrame, key: str, text: str, vocabulary: list[str])
     single text are dropped before any join.
     """
     members = cut(rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).dropna().distinct())
-    forms = cut(add_canonical(members.select("text").distinct(), "text", vocabulary).filter("canonical <> ''"))
-    shared = forms.groupBy("canonical").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("canonical")
+    per_text = members.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    forms = cut(add_canonical(per_text, "text", vocabulary).filter("canonical <> ''"))
+    shared = forms.groupBy("canonical").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("canonical")
     mixed = forms.join(shared, "canonical")
-    x, y = mixed.select("canonical", F.col("text").alias("tx")), mixed.select("canonical", F.col("text").alias("ty"))
-    texts = x.join(y, "canonical").filter(F.col("tx") < F.col("ty")).select("tx", "ty")
-    a, b = members.select(
-        F.col("text").alias("tx"),
-        F.col("key").alias("a"),
-    ), members.select(F.col("text").alias("ty"), F.col("key").alias("b"))
-    pairs = texts.join(a, "tx").join(b, "ty").filter("a <> b")
+    x, y = (mixed.select("canonical", F.col("text").alias(f"t{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
+    texts = x.join(y, "canonical").filter(F.col("tx") < F.col("ty")).select("tx", "ty", "nx", "ny")
+    # A text that very many keys have is split, on its own side and where it meets another such text.
+    a, b = (members.select(F.col("text").alias(f"t{c}"), F.col("key").alias(k)) for c, k in ("xa", "yb"))
+    held = split_join(a, texts.select("tx", "ty"), ["tx"], mixed.select(F.col("text").alias("tx"), "n"), "n")
+    counts = texts.groupBy("ty").agg(F.sum("nx").alias("in_a"), F.max("ny").alias("in_b"))
+    pairs = split_join(held, b, ["ty"], counts, "in_a", "in_b").filter("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
