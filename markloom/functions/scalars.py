@@ -9,7 +9,9 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -348,6 +350,138 @@ def weighted_edit(a: str, b: str, locale: str = "generic") -> tuple[float, float
     return total, max(0.0, min(1.0, 1 - total / longest)) if longest else 1.0, ops, used
 
 
+#: Cells of the cost tables that are filled together; a block is one pair where that alone has more.
+BLOCK_CELLS = 1 << 20
+#: Texts whose lengths differ by less than this may share a block.
+BAND = 8
+#: Pairs that are gathered before they are sorted into blocks.
+GATHERED = 40_000
+#: A bit for each rule of a locale.
+RULE_BITS = np.uint16 if max(map(len, RULES.values())) <= 16 else np.uint64
+
+
+def _letters(texts: list[str], width: int) -> np.ndarray:
+    """Code points, a column for each text; row 0 and the rows beyond a text's end hold zeros."""
+    padded = np.array(texts, dtype=f"U{width or 1}").view(np.uint32).reshape(len(texts), -1)[:, :width]
+    return np.concatenate([np.zeros((1, len(texts)), np.uint32), padded.T])
+
+
+def _mark_ends(letters: np.ndarray, part: str, marks: np.ndarray, bit: int) -> None:
+    """Set ``bit`` in ``marks`` wherever ``part`` ends."""
+    rows = len(letters) - len(part)
+    if rows > 0:
+        ends = letters[1 : 1 + rows] == ord(part[0])
+        for k, c in enumerate(part[1:], 2):
+            ends &= letters[k : k + rows] == ord(c)
+        marks[len(part) :] |= ends.astype(marks.dtype) << bit
+
+
+def _trace_block(a: list[str], b: list[str], locale: str) -> tuple[list[list[str]], list[int]]:
+    """Rules and number of operations of each pair, all tables filled together by diagonals.
+
+    Cell (i, j) of a table lies on the diagonal i + j. It takes the sums of ``weighted_edit`` in the same
+    order, so that equal costs are equal here too and the same way comes first. Equal stretches of two
+    letters are never better than their letters one by one.
+
+    Steps are 0 for a deletion, 1 for an insertion, 2 or 3 for equal letters, then the rules.
+    """
+    rules = sorted(((x, y, *min(found, key=lambda r: r[0])) for (x, y), found in RULES[locale].items()), key=lambda r: (len(r[0]), len(r[1])))
+    spans: dict = {}
+    for k, (s, t, _, _) in enumerate(rules):
+        spans[len(s), len(t)] = spans.get((len(s), len(t)), 0) | 1 << k
+    n, la, lb = len(a), np.array([*map(len, a)]), np.array([*map(len, b)])
+    high, wide = int(la.max()), int(lb.max())
+    x, y = _letters(a, high), _letters(b, wide)
+    left, right = np.zeros(x.shape, RULE_BITS), np.zeros(y.shape, RULE_BITS)
+    for k, (s, t, _, _) in enumerate(rules):
+        _mark_ends(x, s, left, k)
+        _mark_ends(y, t, right, k)
+    if max(x.max(), y.max()) < 1 << 16:
+        x, y = x.astype(np.uint16), y.astype(np.uint16)
+    y, right = np.ascontiguousarray(y[::-1]), np.ascontiguousarray(right[::-1])
+    down = np.array([1, 0, 1, 1, *(len(r[0]) for r in rules)])
+    both = down + [0, 1, 1, 1, *(len(r[1]) for r in rules)]
+    price = np.array([r[2] for r in rules])
+    margin, kept = int(down.max()), int(both.max()) + 1
+    costs = [np.full((margin + high + 1, n), np.inf) for _ in range(kept)]
+    costs[0][margin] = 0
+    how = np.empty((high + 1) * (wide + 1) * n, np.int8)
+    diagonals = np.arange(high + wide + 1)
+    low, top = np.maximum(0, diagonals - wide), np.minimum(diagonals, high)
+    begin = (np.cumsum(top - low + 1) - (top - low + 1)) * n
+    for d in range(1, high + wide + 1):
+        lo, hi = int(low[d]), int(top[d]) + 1
+        of_a, of_b = slice(lo, hi), slice(lo + wide - d, hi + wide - d)
+        back = lambda steps, rows: costs[(d - steps) % kept][margin + lo - rows : margin + hi - rows]  # noqa: B023, E731
+        now = costs[d % kept]
+        now[: margin + lo] = now[margin + hi :] = np.inf
+        best = np.add(back(1, 1), 1, out=back(0, 0))
+        step = how[begin[d] : begin[d] + best.size].reshape(best.shape)
+        insertion = back(1, 0) + 1
+        np.less(insertion, best, out=step.view(np.bool_))
+        np.minimum(best, insertion, out=best)
+        same = back(2, 1) < best
+        same &= x[of_a] == y[of_b]
+        np.putmask(best, same, back(2, 1))
+        same = same.view(np.int8)
+        same <<= 1
+        step |= same
+        met = left[of_a] & right[of_b]
+        cells = np.flatnonzero(met != 0)
+        if not cells.size:
+            continue
+        which, best, step = met.ravel()[cells], best.ravel(), step.ravel()
+        present = int(np.bitwise_or.reduce(which))
+        for (m, k), bits in spans.items():
+            if present & bits:
+                one = which & RULE_BITS(bits)
+                some = np.flatnonzero(one)
+                at, rule = cells[some], np.frexp(one[some])[1] - 1
+                cost = back(m + k, m).ravel()[at] + price[rule]
+                less = np.flatnonzero(cost < best[at])
+                at = at[less]
+                best[at], step[at] = cost[less], rule[less] + 4
+    found: list[list[str]] = [[] for _ in a]
+    operations = np.zeros(n, np.int64)
+    base = begin - low * n
+    at = np.flatnonzero(la + lb)
+    i, d = la[at], (la + lb)[at]
+    done = 0
+    while at.size:
+        step = how[base[d] + i * n + at].astype(np.int64)
+        ruled = np.flatnonzero(step > 3)
+        for p, k in zip(at[ruled].tolist(), step[ruled].tolist(), strict=True):
+            found[p].append(rules[k - 4][3])
+        i -= down[step]
+        d -= both[step]
+        done += 1
+        if not d.all():
+            operations[at[d == 0]] = done
+            more = np.flatnonzero(d)
+            at, i, d = at[more], i[more], d[more]
+    return [list(dict.fromkeys(reversed(f))) for f in found], operations.tolist()
+
+
+def weighted_traces(a: list[str], b: list[str], locale: str = "generic") -> list[tuple[list[str], int]]:
+    """(rules, number of operations) of ``weighted_edit`` for each pair of texts in lower case without
+    marks; pairs of like lengths share a block."""
+    la, lb = np.array([*map(len, a)], np.int64), np.array([*map(len, b)], np.int64)
+    band = la // BAND
+    order = np.lexsort((-lb, band))
+    found: list = [None] * len(a)
+    start = 0
+    while start < len(order):
+        first = order[start]
+        most = max(1, BLOCK_CELLS // int((band[first] + 1) * BAND * (lb[first] + 1)))
+        block = order[start : start + most]
+        block = block[band[block] == band[first]].tolist()
+        traces = zip(*_trace_block([a[p] for p in block], [b[p] for p in block], locale), strict=True)
+        for p, trace in zip(block, traces, strict=True):
+            found[p] = trace
+        start += len(block)
+    return found
+
+
 def weighted_cost(a: str, b: str, locale: str) -> float:
     """Cost of ``weighted_edit`` without its trace, of texts in lower case without marks.
 
@@ -513,3 +647,30 @@ def weighted_edit_udf(locale: str = "generic"):
         return pd.DataFrame(rows, columns=["raw_cost", "similarity", "operations", "rules"])
 
     return weighted
+
+
+def weighted_trace_udf(locale: str = "generic"):
+    """Rules, joined by commas, and number of operations of ``weighted_edit``, of many pairs at a time;
+    null gives nulls."""
+
+    def traced(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        known = (a.notna() & b.notna()).to_numpy(dtype=bool)
+        plain = {t: bare(t.lower()) for side in (a, b) for t in side[known].unique()}
+        rows: list = [(None, None)] * len(a)
+        traces = weighted_traces([plain[t] for t in a[known]], [plain[t] for t in b[known]], locale)
+        for p, (rules, operations) in zip(np.flatnonzero(known).tolist(), traces, strict=True):
+            rows[p] = (",".join(rules), operations)
+        return pd.DataFrame(rows, columns=["rules", "operations"]).astype({"operations": "Int32"})
+
+    @F.pandas_udf("rules string, operations int")
+    def weighted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        gathered: list = []
+        for batch in batches:
+            gathered.append(batch)
+            if sum(len(a) for a, _ in gathered) >= GATHERED:
+                yield traced(*(pd.concat(side, ignore_index=True) for side in zip(*gathered, strict=True)))
+                gathered = []
+        if gathered:
+            yield traced(*(pd.concat(side, ignore_index=True) for side in zip(*gathered, strict=True)))
+
+    return weighted

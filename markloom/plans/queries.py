@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markloom.functions import strings as S
 from markloom.functions import tokens as K
-from markloom.functions.scalars import edit_udf, string_metrics, text_forms, weighted_cost_udf, weighted_edit_udf
+from markloom.functions.scalars import edit_udf, string_metrics, text_forms, weighted_cost_udf, weighted_trace_udf
 from markloom.operators import advice, etl, evaluate
 from markloom.operators import retrieve as R
 from markloom.operators.compare import band, explain, prune, with_features, with_goods, with_plain_score, with_score
@@ -130,8 +130,8 @@ def weighted_edits(spark: SparkSession, sf: str) -> DataFrame:
 
 def weighted_edit_traces(spark: SparkSession, sf: str) -> DataFrame:
     """Rules that were used and the number of steps; of equal costs the first way counts."""
-    w = _spread(_name_pairs(spark, sf)).withColumn("w", weighted_edit_udf("nl")("a", "b"))
-    return w.select("a", "b", F.array_join("w.rules", ",").alias("rules"), F.size("w.operations").alias("operations"))
+    w = _name_pairs(spark, sf).withColumn("w", weighted_trace_udf("nl")("a", "b"))
+    return w.select("a", "b", "w.rules", "w.operations")
 
 
 def transliterations(spark: SparkSession, sf: str) -> DataFrame:

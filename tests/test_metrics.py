@@ -1,9 +1,13 @@
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from markloom.functions import scalars as X
+from markloom.plans.registry import QUERIES
 
 WORDS = st.text("abkszphfxé", max_size=9)
 
@@ -102,3 +106,42 @@ def test_udf_nulls(spark):
     w = d.select(X.weighted_edit_udf()("a", "b").alias("w")).collect()
     assert w[0].w.raw_cost is None and w[1].w.similarity == 1.0
     assert d.select(F.levenshtein("a", "b")).collect()[2][0] == 2
+
+
+RULED = st.text("szckphfquwijyxa", max_size=9)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(RULED, RULED), max_size=8), st.sampled_from(sorted(X.RULES)))
+def test_traces_in_blocks(pairs, locale):
+    want = [X.weighted_edit(a, b, locale) for a, b in pairs]
+    assert X.weighted_traces([a for a, _ in pairs], [b for _, b in pairs], locale) == [(w[3], len(w[2])) for w in want]
+
+
+def test_traces_across_blocks_and_nulls(spark, monkeypatch):
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("szckphfquwijyxa", k=draw.randint(0, 40))) for _ in range(400)]
+    monkeypatch.setattr(X, "BLOCK_CELLS", 5000)
+    got = X.weighted_traces(texts, texts[::-1], "nl")
+    assert all(g == (w[3], len(w[2])) for g, w in zip(got, (X.weighted_edit(a, b, "nl") for a, b in zip(texts, texts[::-1], strict=True)), strict=True))
+    d = spark.createDataFrame([("IJ", None), ("", ""), ("ÏJ", "y"), (None, None)], "a string, b string")
+    traces = [tuple(r.w) for r in d.select(X.weighted_trace_udf("nl")("a", "b").alias("w")).collect()]
+    assert traces == [(None, None), ("", 0), ("ij-y", 1), (None, None)]
+
+
+def test_traces_of_many_pairs_take_a_part_of_the_definitions_time(spark, tmp_path):
+    draw = random.Random(7)
+    names, marks = ([f"{k} " + "".join(draw.choices("szckphfquwijyxaenrt ", k=draw.randint(20, 30))) for k in range(n)] for n in (20, 1500))
+    hits = spark.createDataFrame([(m,) for m in marks], "mark_text string").crossJoin(spark.range(len(names)).selectExpr("cast(id AS string) AS scan_id"))
+    hits.write.parquet(f"{tmp_path}/retrieval_hit.parquet")
+    spark.createDataFrame([(str(k), n) for k, n in enumerate(names)], "scan_id string, input_text string").write.parquet(f"{tmp_path}/scan_run.parquet")
+    began = time.perf_counter()
+    got = {(r.a, r.b): (r.rules, r.operations) for r in QUERIES["weighted_edit_traces"](spark, str(tmp_path)).collect()}
+    took = time.perf_counter() - began
+    assert set(got) == {(a, b) for a in names for b in marks}
+    some = draw.sample(sorted(got), 300)
+    began = time.perf_counter()
+    want = {p: X.weighted_edit(*p, "nl") for p in some}
+    definition = (time.perf_counter() - began) / len(some) * len(got)
+    assert all(got[p] == (",".join(w[3]), len(w[2])) for p, w in want.items())
+    assert took < 0.15 * definition, (took, definition)
